@@ -22,6 +22,7 @@ from . import common as C
 WINDOW = 10
 #: Words of test items that one automaton may hold (about 1 KB each in a worker); larger benchmarks take several passes.
 BLOCK_WORDS = 60_000
+NEW = ("n_words", "n_hit", "item_ids", "hit_spans")
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -163,7 +164,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     body = C.free_name(docs, "__text")
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hit_spans", span)]
-    out = docs.drop(*(f.name for f in fields if f.name in docs.columns))
+    out = docs.drop(*(c for c in docs.columns if c.lower() in NEW))
     blocks = iter(item_blocks(items, item_id, item_text, block_words))
     block, first = next(blocks), True
     while block is not None:
@@ -229,6 +230,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", min
     Returns the columns of ``docs``. Null or empty texts stay as they are; a
     text that loses nothing stays byte for byte.
     """
+    columns = docs.columns
+    own = {c: C.free_name(docs, "__own_" + c) for c in columns if c.lower() in NEW}
+    docs = docs.withColumnsRenamed(own)
     found = find_contamination(docs, items, text_col, **options)
     found = found.where((F.col("n_words") == 0) | (F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage)))
     body, out_col = C.free_name(found, "__text"), C.free_name(found, "__clean")
@@ -244,4 +248,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", min
     slim = found.withColumn(body, F.when(has, C.raw(text_col)).otherwise(F.lit(b"")))
     out = C.add_columns(slim, clean, [T.StructField(out_col, T.BinaryType())], body, drop=(body, "n_words", "n_hit", "item_ids", "hit_spans"))
     out = out.withColumn(text_col, F.coalesce(F.col(out_col).cast("string"), F.col(f"`{text_col}`")))
-    return out.select([F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumnsRenamed({v: k for k, v in own.items()}).select([F.col(f"`{c}`") for c in columns])

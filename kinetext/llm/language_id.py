@@ -111,8 +111,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(table)  # GRAMS x languages floats
     L = len(languages)
     some = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
-    names = {x: C.free_name(docs, "__" + x) for x in ("body", "declared", "suffix", "host", "scores", "n", "prior", "told")}
-    body, declared, suffix, host, scores, n, prior, told = names.values()
+    names = {x: C.free_name(docs, "__" + x) for x in ("body", "declared", "suffix", "host", "prior", "told", "hk", "hs", "declaredk", "declaredp", "suffixk", "suffixp")}
+    body, declared, suffix, host, prior, told, hk, hs, dk, dp, sk, sp = names.values()
     with_evidence = docs.withColumns({body: C.raw(text_col), declared: F.lower(some(declared_col)), suffix: some(suffix_col), host: some(host_col)})
 
     # What the texts alone say, by host, suffix and declaration.
@@ -136,18 +136,18 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     smooth = lambda counts, parent, w: F.zip_with(counts, parent, lambda c, p: (c + p * w) / (F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + w))
     by_suffix = shares(["suffix"]).where("suffix is not null").select(F.col("suffix").alias("s"), smooth(F.col("c"), literal(corpus), SUFFIX_WEIGHT).alias("sp"))
     hosts = shares(["host", "suffix"]).where("host is not null").join(by_suffix, F.col("suffix") == F.col("s"), "left")
-    hosts = hosts.select(F.col("host").alias("__hk"), F.coalesce("suffix", F.lit("")).alias("__hs"), smooth(F.col("c"), F.coalesce("sp", literal(corpus)), HOST_WEIGHT).alias(prior))
+    hosts = hosts.select(F.col("host").alias(hk), F.coalesce("suffix", F.lit("")).alias(hs), smooth(F.col("c"), F.coalesce("sp", literal(corpus)), HOST_WEIGHT).alias(prior))
     # How often each language declares each value, or has each suffix: p(value | language).
     def given(column: str) -> DataFrame:
-        return shares([column]).where(f"{column} is not null").select(F.col(column).alias("__" + column + "k"), F.zip_with("c", literal(np.array(total) + EVEN_WEIGHT), lambda c, t: F.log((c + EVEN_WEIGHT * 0.05) / t)).alias("__" + column + "p"))
+        return shares([column]).where(f"{column} is not null").select(F.col(column).alias(names[column + "k"]), F.zip_with("c", literal(np.array(total) + EVEN_WEIGHT), lambda c, t: F.log((c + EVEN_WEIGHT * 0.05) / t)).alias(names[column + "p"]))
 
     out = with_evidence
-    for side, on in ((hosts, (F.col(host) == F.col("__hk")) & (F.coalesce(F.col(suffix), F.lit("")) == F.col("__hs"))), (given("declared"), F.col(declared) == F.col("__declaredk")), (given("suffix"), F.col(suffix) == F.col("__suffixk"))):
+    for side, on in ((hosts, (F.col(host) == F.col(hk)) & (F.coalesce(F.col(suffix), F.lit("")) == F.col(hs))), (given("declared"), F.col(declared) == F.col(dk)), (given("suffix"), F.col(suffix) == F.col(sk))):
         out = out.join(C.sized_broadcast(C.materialize(side, "evidence"), F.lit(64 + 8 * L)), on, "left")
     zero = literal([0.0] * L)
-    out = out.withColumn(told, F.zip_with(F.coalesce("__declaredp", zero), F.coalesce("__suffixp", zero), lambda a, b: a + b))
+    out = out.withColumn(told, F.zip_with(F.coalesce(dp, zero), F.coalesce(sp, zero), lambda a, b: a + b))
     out = out.withColumn(told, F.zip_with(told, F.transform(F.coalesce(prior, literal(corpus)), lambda x: F.log(x)), lambda a, b: a + b))
-    out = out.drop("__hk", "__hs", prior, "__declaredk", "__declaredp", "__suffixk", "__suffixp", declared, suffix, host)
+    out = out.drop(hk, hs, prior, dk, dp, sk, sp, declared, suffix, host)
 
     def fuse(part: pa.RecordBatch) -> dict:
         count, mean = text_scores(*C.view(part.column(body)), shared.value)

@@ -11,6 +11,8 @@ DataFrame functions only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from . import common as C
 
 #: Words of a gram, how far diagonals may lie apart to merge, and the share of a template's grams that a span must have.
 K, DRIFT, SHARE = 2, 3, 0.6
+#: A span remembers which of its template's grams it has in this many longs.
+MASKS = 2
 
 
 @dataclass(frozen=True)
@@ -74,6 +78,8 @@ def find_licenses(docs: DataFrame, templates: list[Template] | None = None, text
     be grouped.
     """
     templates = BASE + MORE if templates is None else templates
+    if any(len(t.text.split()) - K + 1 > 63 * MASKS for t in templates):
+        raise ValueError(f"a template has at most {63 * MASKS + K - 1} words")
     spark = docs.sparkSession
     row = C.free_name(docs, "__row")
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "places", "spans", text_col.lower())]
@@ -88,7 +94,8 @@ def find_licenses(docs: DataFrame, templates: list[Template] | None = None, text
     same = (pairs["hash"] == index["hash"]) & (pairs["__w"] == index["a"]) & (pairs["__x"] == index["b"])
     hits = pairs.join(index, same, "left").select(*key_cols, "__at", "no", F.when(F.col("no").isNotNull(), F.col("__at") - F.col("at")).alias("diagonal"), "at")
     # A document's grams are in one task: the partial aggregate leaves a record for it and one for each of its diagonals.
-    votes = hits.groupBy(*key_cols, "no", "diagonal").agg(F.count("__at").alias("n"), F.max("__at").alias("last"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    grams_seen = [F.bit_or(F.when(F.col("at").between(63 * i, 63 * i + 62), F.expr(f"shiftleft(1L, at - {63 * i})"))).alias(f"g{i}") for i in range(MASKS)]
+    votes = hits.groupBy(*key_cols, "no", "diagonal").agg(F.count("__at").alias("n"), *grams_seen, F.max("__at").alias("last"), F.min("at").alias("lo"), F.max("at").alias("hi"))
     meta = F.create_map(*(x for no, t in enumerate(templates) for x in (F.lit(no), F.struct(F.lit(t.label).alias("label"), F.lit(len(t.text.split()) - K + 1).alias("grams"), F.lit(t.base).alias("base")))))
     votes = votes.withColumn("t", F.element_at(meta, F.col("no")))
     exact = F.col("t.base") & (F.col("n") == F.col("t.grams"))
@@ -97,9 +104,9 @@ def find_licenses(docs: DataFrame, templates: list[Template] | None = None, text
     gap = F.col("diagonal") - F.lag("diagonal").over(by)
     votes = votes.withColumn("group", F.sum(F.when((gap <= DRIFT) & ~F.col("t.base"), 0).otherwise(1)).over(by))
     spans = votes.groupBy(*key_cols, "no", "group").agg(
-        F.sum("n").alias("n"), F.max("last").alias("last"), F.min(F.col("diagonal") + F.col("lo")).alias("start"), F.max(F.col("diagonal") + F.col("hi") + K).alias("stop"),
+        *(F.bit_or(f"g{i}").alias(f"g{i}") for i in range(MASKS)), F.max("last").alias("last"), F.min(F.col("diagonal") + F.col("lo")).alias("start"), F.max(F.col("diagonal") + F.col("hi") + K).alias("stop"),
         F.max(exact).alias("exact")).withColumn("t", F.element_at(meta, F.col("no")))
-    share = F.least(F.col("n") / F.col("t.grams"), F.lit(1.0))
+    share = reduce(add, (F.coalesce(F.bit_count(f"g{i}"), F.lit(0)) for i in range(MASKS))) / F.col("t.grams")
     place = F.when(F.col("exact"), F.struct(F.col("start"), F.col("t.label").alias("label")))
     span = F.when(~F.col("t.base") & (share >= SHARE) & (F.col("stop") - F.col("start") <= 2 * (F.col("t.grams") + K)), F.struct("start", "stop", F.col("t.label").alias("label"), share.alias("share")))
     out = spans.groupBy(*key_cols).agg(
