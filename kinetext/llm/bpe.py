@@ -25,9 +25,11 @@ from . import common as C
 #: A cut follows a byte where the hash of the last WIDTH bytes has its top CUT_BITS bits unset: chunks of about 1 KB.
 WIDTH, CUT_BITS, LEAST, MOST = 24, 10, 256, 8192
 #: Bytes of text whose encoding a worker remembers, and of the texts between chunks.
-MEMORY, JOIN_MEMORY = 16 << 20, 2 << 20
+MEMORY, JOIN_MEMORY = 8 << 20, 1 << 20
 #: Words whose ids a worker remembers.
-WORDS = 500_000
+WORDS, STEP = 400_000, 5000
+#: Bytes of text that are encoded at a time.
+BLOCK = 2 << 20
 #: A space after white space, or white space beyond ASCII: such a text is encoded whole.
 UNSURE = re.compile(rb"[\x00-\x20\x7f] |\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _FACTOR = 0x9E3779B97F4A7C15
@@ -142,8 +144,11 @@ class Encoder:
                 if x not in self.words:
                     new[x] = None
         if new:
-            encoded = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-            self.words.update((x, np.array(e.ids, self.dtype).tobytes()) for x, e in zip(new, encoded, strict=True))
+            new = list(new)
+            for lo in range(0, len(new), STEP):  # the library's results are large
+                part = new[lo : lo + STEP]
+                encoded = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
+                self.words.update((x, np.array(e.ids, self.dtype).tobytes()) for x, e in zip(part, encoded, strict=True))
             self.size += sum(map(len, new))
         out = [np.frombuffer(b"".join([self.words[x] for x in parts]), self.dtype) for parts in plans]
         if len(self.words) > WORDS or self.size > MEMORY:  # at most a block of texts above the bounds
@@ -235,21 +240,20 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", drop_text: bool = False) -> DataFrame:
     """``docs`` with ``token_ids`` (array of int), as the tokenizers library encodes each whole text without special tokens added.
 
     ``vocabulary`` is a tokenizers file of byte-level BPE that every worker can
     open. Strings of special tokens inside a text become their ids, as in the
     library. Null counts as empty: no ids. A column named token_ids is replaced.
     """
-    body = C.free_name(docs, "__text")
 
     def run(part: pa.RecordBatch) -> dict:
-        ids = encoder(vocabulary).encode(part.column(body).to_pylist())
+        ids = encoder(vocabulary).encode(C.texts(part.column(text_col)))
         at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         return {"token_ids": pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)))}
 
-    return C.add_columns(docs.withColumn(body, C.raw(text_col)), run, [T.StructField("token_ids", T.ArrayType(T.IntegerType()))], body, drop=(body,))
+    return C.add_columns(C.as_text(docs, text_col), run, [T.StructField("token_ids", T.ArrayType(T.IntegerType()))], text_col, drop=(text_col,) * drop_text, block=BLOCK)
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -262,14 +266,13 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col
     return C.add_columns(docs.withColumn(size, F.lit("").cast("binary")), run, [T.StructField(out_col, T.StringType())], size, drop=(size,))
 
 
-def encode_and_decode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+def encode_and_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", drop_text: bool = False) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids_text`` (decimal ids, comma-joined) and ``decoded`` (the text of the ids), in one pass. Null counts as empty."""
-    body = C.free_name(docs, "__text")
 
     def run(part: pa.RecordBatch) -> dict:
         own = encoder(vocabulary)
-        ids = own.encode(part.column(body).to_pylist())
+        ids = own.encode(C.texts(part.column(text_col)))
         return {"n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_text": pa.array(own.decimal(ids), pa.string()), "decoded": pa.array(own.decode(ids), pa.string())}
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_text", T.StringType()), T.StructField("decoded", T.StringType())]
-    return C.add_columns(docs.withColumn(body, C.raw(text_col)), run, fields, body, drop=(body,))
+    return C.add_columns(C.as_text(docs, text_col), run, fields, text_col, drop=(text_col,) * drop_text, block=BLOCK)

@@ -60,19 +60,29 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def raw(name: str) -> Column:
-    """A string column as bytes, null as empty: what the Python steps work on."""
-    return F.coalesce(F.col(f"`{name}`").cast("string").cast("binary"), F.lit(b""))
+def as_text(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the column as a string, whatever it was."""
+    kind = df.schema[name].dataType
+    return df if isinstance(kind, T.StringType) else df.withColumn(name, F.col(f"`{name}`").cast("string"))
+
+
+def texts(column: pa.Array) -> list[bytes]:
+    """A string column's bytes, null as empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def text_array(rows: list[bytes | None]) -> pa.Array:
+    return pa.array(rows, pa.binary()).view(pa.string())
 
 
 def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], fields: list[T.StructField], reads: str, drop: Iterable[str] = ()) -> DataFrame:
+def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], fields: list[T.StructField], reads: str, drop: Iterable[str] = (), block: int = BLOCK_BYTES) -> DataFrame:
     """``df`` without the columns in ``drop`` and with what ``fn`` computes from each slice of a batch.
 
-    Slices hold about BLOCK_BYTES of column ``reads``. New columns replace
+    Slices hold about ``block`` bytes of column ``reads``. New columns replace
     columns of the same name.
     """
     new = {f.name.lower() for f in fields} | {c.lower() for c in drop}
@@ -80,7 +90,7 @@ def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], fields: lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, reads):
+            for part in slices(batch, reads, block):
                 out = fn(part)
                 columns = [part.column(f.name) for f in kept] + [out[f.name] for f in fields]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + [f.name for f in fields])
@@ -89,7 +99,7 @@ def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], fields: lis
 
 
 def slices(batch: pa.RecordBatch, name: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``most`` bytes of a binary column (single rows may be larger)."""
+    """The batch in pieces of about ``most`` bytes of a text column (single rows may be larger)."""
     ends = offsets(batch.column(name))
     start = 0
     while start < batch.num_rows:
@@ -104,7 +114,7 @@ def offsets(column: pa.Array) -> np.ndarray:
 
 
 def view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column as one array, and where each row starts and ends in it."""
+    """All bytes of a text column as one array, and where each row starts and ends in it; null rows are empty."""
     at = offsets(column)
     data = column.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

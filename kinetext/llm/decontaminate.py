@@ -141,8 +141,8 @@ class Automaton:
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Test items in blocks of bounded size, one block on the driver at a time."""
     block, size = [], 0
-    for row in items.select(F.col(f"`{id_col}`").cast("string").alias("id"), C.raw(text_col).alias("text")).toLocalIterator():
-        words = words_of(bytes(row["text"]))
+    for row in items.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")).toLocalIterator():
+        words = words_of(bytes(row["text"] or b""))
         if row["id"] is None or not words:
             continue
         if block and size + len(words) > block_words:
@@ -153,24 +153,28 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int)
     yield block
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, min_span: int | None = None) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``item_ids`` (sorted strings) and ``hit_spans`` (first and last hit word, merged).
 
     A window is ``window`` consecutive words of an item, or a whole shorter
     item. Null or empty text has no words; items with null id or no words are
     left out; items that repeat an id are one item; without items nothing is
-    hit. Columns of ``docs`` named like a new column are replaced.
+    hit. With ``min_span``, runs of at least so many hit words are cut from
+    the text. Columns of ``docs`` named like a new column are replaced.
     """
-    body = C.free_name(docs, "__text")
+    docs = C.as_text(docs, text_col)
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hit_spans", span)]
     out = docs.drop(*(c for c in docs.columns if c.lower() in NEW))
     blocks = iter(item_blocks(items, item_id, item_text, block_words))
     block, first = next(blocks), True
     while block is not None:
+        following = next(blocks, None)
+        cut_span = min_span if following is None else None
         shared = docs.sparkSession.sparkContext.broadcast(block)  # the automaton is rebuilt from it in each worker
-        out = C.add_columns(out.withColumn(body, C.raw(text_col)), _scanner(shared, window, body, first), fields, body, drop=(body,))
-        block, first = next(blocks, None), False
+        new = [*fields, T.StructField(text_col, T.StringType())] if cut_span is not None else fields
+        out = C.add_columns(out, _scanner(shared, window, text_col, first, cut_span), new, text_col)
+        block, first = following, False
         if block is not None:
             out = C.materialize(out, "hits")
     return out
@@ -179,7 +183,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
 _BUILT: dict[str, Automaton] = {}
 
 
-def _scanner(shared, window: int, body: str, first: bool):
+def _scanner(shared, window: int, text_col: str, first: bool, min_span: int | None):
     key = uuid.uuid4().hex  # a worker builds the automaton once
 
     def scan(part: pa.RecordBatch) -> dict:
@@ -187,9 +191,9 @@ def _scanner(shared, window: int, body: str, first: bool):
             _BUILT.clear()
             _BUILT[key] = Automaton(shared.value, window)
         automaton = _BUILT[key]
-        n_words, n_hit, ids, spans = [], [], [], []
+        n_words, n_hit, ids, spans, cleaned = [], [], [], [], []
         before = [([], [])] * part.num_rows if first else list(zip(part.column("item_ids").to_pylist(), part.column("hit_spans").to_pylist(), strict=True))
-        for text, (old_ids, old_spans) in zip(part.column(body).to_pylist(), before, strict=True):
+        for text, (old_ids, old_spans) in zip(C.texts(part.column(text_col)), before, strict=True):
             words = words_of(text)
             own, items = automaton.scan(words)
             if old_spans:
@@ -198,8 +202,15 @@ def _scanner(shared, window: int, body: str, first: bool):
             n_hit.append(sum(b - a + 1 for a, b in own))
             ids.append(sorted(items.union(old_ids)))
             spans.append([{"first": a, "last": b} for a, b in own])
+            if min_span is not None:
+                gone = [x for x in own if x[1] - x[0] + 1 >= min_span]
+                cleaned.append(cut(text, gone) if gone else text)
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        return {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "item_ids": pa.array(ids, pa.list_(pa.string())), "hit_spans": pa.array(spans, kind)}
+        out = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "item_ids": pa.array(ids, pa.list_(pa.string())), "hit_spans": pa.array(spans, kind)}
+        if min_span is not None:
+            nulls = part.column(text_col).is_null().to_pylist()
+            out[text_col] = C.text_array([None if null else x for x, null in zip(cleaned, nulls, strict=True)])
+        return out
 
     return scan
 
@@ -233,19 +244,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", min
     columns = docs.columns
     own = {c: C.free_name(docs, "__own_" + c) for c in columns if c.lower() in NEW}
     docs = docs.withColumnsRenamed(own)
-    found = find_contamination(docs, items, text_col, **options)
-    found = found.where((F.col("n_words") == 0) | (F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage)))
-    body, out_col = C.free_name(found, "__text"), C.free_name(found, "__clean")
-
-    def clean(part: pa.RecordBatch) -> dict:
-        out = []
-        for text, spans in zip(part.column(body).to_pylist(), part.column("hit_spans").to_pylist(), strict=True):
-            gone = [[x["first"], x["last"]] for x in spans if x["last"] - x["first"] + 1 >= min_span]
-            out.append(cut(text, gone) if gone else None)
-        return {out_col: pa.array(out, pa.binary())}
-
-    has = F.size("hit_spans") > 0
-    slim = found.withColumn(body, F.when(has, C.raw(text_col)).otherwise(F.lit(b"")))
-    out = C.add_columns(slim, clean, [T.StructField(out_col, T.BinaryType())], body, drop=(body, "n_words", "n_hit", "item_ids", "hit_spans"))
-    out = out.withColumn(text_col, F.coalesce(F.col(out_col).cast("string"), F.col(f"`{text_col}`")))
-    return out.withColumnsRenamed({v: k for k, v in own.items()}).select([F.col(f"`{c}`") for c in columns])
+    found = find_contamination(docs, items, text_col, min_span=min_span, **options)
+    out = found.where((F.col("n_words") == 0) | (F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage)))
+    return out.drop(*NEW).withColumnsRenamed({v: k for k, v in own.items()}).select([F.col(f"`{c}`") for c in columns])

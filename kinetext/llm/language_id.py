@@ -11,15 +11,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
 from . import features as X
 
-#: Labelled documents of each language that the text model is fitted on: those with the smallest hashes of their ids.
-SAMPLE = 500
+#: Labelled documents of each language that the text model is fitted on, on average over hashes of ids (all if there are fewer), and languages at most: the most frequent.
+SAMPLE, MOST_LANGUAGES = 500, 64
 #: Trigrams of a text are far from independent: their joint log likelihood counts as that of this many at most, and this share of them.
 MOST_GRAMS, TEMPER = 200, 0.25
 #: Pseudo-counts: of a host's parent, of the corpus for a suffix, and of an even spread for the corpus and for declarations.
@@ -30,16 +30,16 @@ OTHER = "?"
 
 
 def fit_text_model(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, log probability of each trigram in each): counted on the workers over at most ``sample`` documents a language."""
+    """(languages, log probability of each trigram in each): counted on the workers over about ``sample`` documents a language."""
     known = labelled.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    order = F.xxhash64(F.col(f"`{id_col}`"))
-    ranked = known.select(F.col(f"`{label_col}`").alias("lang"), order.alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample)
-    limits = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}  # one row per language
-    languages = sorted(limits)
+    sizes = known.groupBy(F.col(f"`{label_col}`").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return [], np.zeros((X.GRAMS, 0), np.float32)
-    limit = F.coalesce(*(F.when(F.col(f"`{label_col}`") == x, F.lit(h)) for x, h in limits.items()))
-    chosen = known.where(order <= limit).select(F.col(f"`{label_col}`").alias("lang"), C.raw(text_col).alias("text"))
+    # A document is taken if its id's hash, even over 2^32, is below its language's share.
+    place = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 32))
+    limit = F.coalesce(*(F.when(F.col(f"`{label_col}`") == r["lang"], F.lit(min(1 << 32, (sample << 32) // r["n"]))) for r in sizes))
+    chosen = known.where(place < limit).select(F.col(f"`{label_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def count(batches):
         total = np.zeros((len(languages), X.GRAMS), np.int64)
@@ -94,7 +94,7 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"&#?\w+;", " ")
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", declared_col: str | None = None, host_col: str | None = None, suffix_col: str | None = None, least: float = LEAST_PROBABILITY) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", declared_col: str | None = None, host_col: str | None = None, suffix_col: str | None = None, least: float = LEAST_PROBABILITY, drop_text: bool = False) -> DataFrame:
     """``docs`` with ``language`` (the most likely; ties to the first by name), ``probability``, ``text_language`` and ``accepted``.
 
     Evidence that is null, or whose column isn't given, says nothing. Text
@@ -111,19 +111,20 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(table)  # GRAMS x languages floats
     L = len(languages)
     some = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
-    names = {x: C.free_name(docs, "__" + x) for x in ("body", "declared", "suffix", "host", "prior", "told", "hk", "hs", "declaredk", "declaredp", "suffixk", "suffixp")}
-    body, declared, suffix, host, prior, told, hk, hs, dk, dp, sk, sp = names.values()
-    with_evidence = docs.withColumns({body: C.raw(text_col), declared: F.lower(some(declared_col)), suffix: some(suffix_col), host: some(host_col)})
+    names = {x: C.free_name(docs, "__" + x) for x in ("declared", "suffix", "host", "prior", "told", "hk", "hs", "declaredk", "declaredp", "suffixk", "suffixp")}
+    declared, suffix, host, prior, told, hk, hs, dk, dp, sk, sp = names.values()
+    docs = C.as_text(docs, text_col)
+    with_evidence = docs.withColumns({declared: F.lower(some(declared_col)), suffix: some(suffix_col), host: some(host_col)})
 
     # What the texts alone say, by host, suffix and declaration.
     def guess(batches):
         for batch in batches:
-            for part in C.slices(batch, body):
-                count, mean = text_scores(*C.view(part.column(body)), shared.value)
+            for part in C.slices(batch, text_col):
+                count, mean = text_scores(*C.view(part.column(text_col)), shared.value)
                 best = pa.array(np.where(count > 0, mean.argmax(1), -1).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(host), part.column(suffix), part.column(declared), best], names=["host", "suffix", "declared", "best"])
 
-    seen = with_evidence.select(body, host, suffix, declared).mapInArrow(guess, "host string, suffix string, declared string, best int").where("best >= 0")
+    seen = with_evidence.select(F.col(f"`{text_col}`"), host, suffix, declared).mapInArrow(guess, "host string, suffix string, declared string, best int").where("best >= 0")
     seen = C.materialize(seen.groupBy("host", "suffix", "declared", "best").agg(F.count(F.lit(1)).alias("n")), "seen")
 
     def shares(keys: list[str]) -> DataFrame:
@@ -150,7 +151,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     out = out.drop(hk, hs, prior, dk, dp, sk, sp, declared, suffix, host)
 
     def fuse(part: pa.RecordBatch) -> dict:
-        count, mean = text_scores(*C.view(part.column(body)), shared.value)
+        count, mean = text_scores(*C.view(part.column(text_col)), shared.value)
         extra = np.asarray(part.column(told).flatten()).reshape(-1, L)
         log = mean * (np.minimum(count, MOST_GRAMS) * TEMPER)[:, None] + extra
         p = np.exp(log - log.max(1, keepdims=True)) if len(log) else log
@@ -166,13 +167,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
         }
 
     fields = [T.StructField("language", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("text_language", T.StringType()), T.StructField("accepted", T.BooleanType())]
-    return C.add_columns(out, fuse, fields, body, drop=(body, told))
+    return C.add_columns(out, fuse, fields, text_col, drop=(told, text_col) if drop_text else (told,))
 
 
-def identify_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify_documents(docs: DataFrame, sample: int = SAMPLE, drop_text: bool = False) -> DataFrame:
     """Documents: ``lang`` is the declaration, ``source`` the host; the text model is fitted on a bounded sample of declared documents."""
     model = fit_text_model(docs, "text", "lang", "doc_id", sample)
-    return identify(docs, model, "text", declared_col="lang", host_col="source")
+    return identify(docs, model, "text", declared_col="lang", host_col="source", drop_text=drop_text)
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -180,4 +181,4 @@ def identify_pages(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> D
     model = fit_text_model(docs, "text", "lang", "doc_id", sample)
     host, suffix = host_and_suffix(F.col("url"))
     ready = pages.select("page_id", "url", visible_text(F.col("html")).alias("text"), markup_language(F.col("html")).alias("declared"), host.alias("host"), suffix.alias("suffix"))
-    return identify(ready, model, "text", "declared", "host", "suffix").drop("text")
+    return identify(ready, model, "text", "declared", "host", "suffix", drop_text=True)

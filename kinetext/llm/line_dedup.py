@@ -70,7 +70,7 @@ def _fill(bits: int, min_chars: int):
         last, seen = None, set()  # rows of one document may follow one another
         for batch in batches:
             for part in C.slices(batch, "text"):
-                for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for doc, text in zip(part.column("doc").to_pylist(), C.texts(part.column("text")), strict=True):
                     if doc != last:
                         last, seen = doc, set()
                     new = {k for k in line_keys(text, min_chars) if k is not None} - seen
@@ -114,7 +114,7 @@ def _suspects(filter_parts, bits: int, min_chars: int):
         for batch in batches:
             for part in C.slices(batch, "text"):
                 docs, keys = [], []
-                for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for doc, text in zip(part.column("doc").to_pylist(), C.texts(part.column("text")), strict=True):
                     own = [k for k in dict.fromkeys(line_keys(text, min_chars)) if k is not None]
                     docs += [doc] * len(own)
                     keys += own
@@ -127,7 +127,7 @@ def _suspects(filter_parts, bits: int, min_chars: int):
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """Per document, the digests of the lines it loses: columns ``doc`` and ``lost`` (array of binary)."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(C.NO_ID)).alias("doc"), C.raw(text_col).alias("text"))
+    texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(C.NO_ID)).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     n = docs.agg(F.sum(F.length(F.regexp_replace(text, "[^\n]+", "")).cast("long") + 1)).first()[0] or 0
     bits = LEAST_BITS
@@ -159,13 +159,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lost = repeated_lines(docs, id_col, text_col, min_chars)
     lost = C.sized_broadcast(lost, F.size("lost") * 24)
-    key, bag, body = (C.free_name(docs, x) for x in ("__doc", "__lost", "__text"))
+    columns, docs = docs.columns, C.as_text(docs, text_col)
+    key, bag = (C.free_name(docs, x) for x in ("__doc", "__lost"))
     side = lost.select(F.col("doc").alias(key), F.col("lost").alias(bag))
-    joined = docs.withColumns({key: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(C.NO_ID)), body: C.raw(text_col)}).join(side, key, "left")
+    joined = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(C.NO_ID))).join(side, key, "left")
 
     def rewrite(part: pa.RecordBatch) -> dict:
         texts, n_lines, n_dropped = [], [], []
-        for text, gone, null in zip(part.column(body).to_pylist(), part.column(bag).to_pylist(), part.column(text_col).is_null().to_pylist(), strict=True):
+        for text, gone, null in zip(C.texts(part.column(text_col)), part.column(bag).to_pylist(), part.column(text_col).is_null().to_pylist(), strict=True):
             lines = text.split(b"\n")
             kept = lines
             if gone:
@@ -174,9 +175,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))
             texts.append(None if null else text if len(kept) == len(lines) else b"\n".join(kept))
-        return {body + "out": pa.array(texts, pa.binary()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
+        return {text_col: C.text_array(texts), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
 
-    fields = [T.StructField(body + "out", T.BinaryType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    slim = joined.withColumn(text_col, F.when(F.col(f"`{text_col}`").isNotNull(), F.lit("")))  # the text crosses to Python once
-    out = C.add_columns(slim, rewrite, fields, body, drop=(key, bag, body))
-    return out.withColumn(text_col, F.col(body + "out").cast("string")).drop(body + "out")
+    fields = [T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+    out = C.add_columns(joined, rewrite, fields, text_col, drop=(key, bag))
+    return out.select([F.col(f"`{c}`") for c in columns if c.lower() not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"])

@@ -168,9 +168,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     named like a new one are replaced.
     """
     spark = docs.sparkSession
-    body, meta, size = (C.free_name(docs, x) for x in ("__text", "__meta", "__size"))
+    docs = C.as_text(docs, text_col)
+    meta, size = (C.free_name(docs, x) for x in ("__meta", "__size"))
+    body = text_col
     ready = docs.withColumns({
-        body: C.raw(text_col), meta: F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in meta_cols)) if meta_cols else F.array().cast("array<string>"),
+        meta: F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in meta_cols)) if meta_cols else F.array().cast("array<string>"),
         size: F.coalesce(F.col(f"`{size_col}`").cast("double"), F.lit(0.0)) if size_col else F.lit(0.0),
     })
 
@@ -220,4 +222,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         return {f"p_{name}": pa.array(sigmoid(model.odds(t, m)), pa.float64()) for name, model in zip(targets, shared.value, strict=True)}
 
     fields = [T.StructField(f"p_{t}", T.DoubleType()) for t in targets]
-    return C.add_columns(ready.drop(text_col), score, fields, body, drop=(body, meta, size))
+    return C.add_columns(ready, score, fields, body, drop=(body, meta, size))

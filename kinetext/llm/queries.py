@@ -35,7 +35,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return language_id.identify_documents(docs).select("doc_id", "language", "probability", "text_language", "accepted")
+    return language_id.identify_documents(docs, drop_text=True).select("doc_id", "language", "probability", "text_language", "accepted")
 
 
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
+    found = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, drop_text=True)
     return found.select("doc_id", "n_tokens", sha(F.col("ids_text")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
 
 

@@ -203,14 +203,12 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, text_col: str
     findings is replaced.
     """
     rules = tuple(BASE + MORE if rules is None else rules)
-    body = C.free_name(docs, "__text")
 
     def run(part: pa.RecordBatch) -> dict:
         if rules not in _SCANNERS:
             _SCANNERS[rules] = Scanner(list(rules))
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        return {"findings": pa.array(_SCANNERS[rules].scan(*C.view(part.column(body))), kind)}
+        return {"findings": pa.array(_SCANNERS[rules].scan(*C.view(part.column(text_col))), kind)}
 
     field = T.StructField("findings", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
-    slim = docs.withColumn(body, C.raw(text_col)).drop(text_col)
-    return C.add_columns(slim, run, [field], body, drop=(body,))
+    return C.add_columns(C.as_text(docs, text_col), run, [field], text_col, drop=(text_col,))

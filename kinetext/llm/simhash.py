@@ -75,18 +75,17 @@ def fingerprint_rows(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", drop_text: bool = False) -> DataFrame:
     """``docs`` with ``simhash``, the 64-bit fingerprint of the words' 3-shingles as a signed long.
 
     Null and empty texts have fingerprint 0; texts of fewer than three words
     have one shingle.
     """
-    body = C.free_name(docs, "__text")
 
     def run(part: pa.RecordBatch) -> dict:
-        return {"simhash": pa.array(fingerprint_rows(part.column(body).to_pylist()).view(np.int64), pa.int64())}
+        return {"simhash": pa.array(fingerprint_rows(C.texts(part.column(text_col))).view(np.int64), pa.int64())}
 
-    return C.add_columns(docs.withColumn(body, C.raw(text_col)), run, [T.StructField("simhash", T.LongType())], body, drop=(body,))
+    return C.add_columns(C.as_text(docs, text_col), run, [T.StructField("simhash", T.LongType())], text_col, drop=(text_col,) * drop_text)
 
 
 def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -197,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the masks cover radii up to {RADIUS}")
-    prints = C.materialize(fingerprints(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "text").select("doc_id", "simhash"), "prints")
+    prints = C.materialize(fingerprints(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "text", drop_text=True), "prints")
     nodes = C.materialize(prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("rep")), "nodes")
     real = nodes.where("rep is not null")
     parts = connected_components(links(real, radius))
