@@ -5,10 +5,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 FULL, END = "_FULL_SENTENCE", "_END_SENTENCE"
 TIME = r"(\d{2}):(\d{2}):(\d{2}),(\d{3})"
@@ -142,27 +143,44 @@ def gib(size: Column | str) -> Column:
     return col(size) / float(1 << 30)
 
 
+def repeats_dominate(words: list[str], min_words: int = 5, most: int = 10, share: float = 0.5) -> bool:
+    """Whether one n-gram of up to ``most`` words, found more than once, makes up more than ``share`` of the words."""
+    n = len(words)
+    if n < min_words:
+        return False
+    names: dict[str, int] = {}
+    single = np.array([names.setdefault(w, len(names)) for w in words], np.int64)
+    gram = single
+    for k in range(1, min(most, n) + 1):
+        if k > 1:  # a gram is the one before it and a word: numbered anew, so that numbers stay small
+            gram = gram[: n - k + 1] * len(names) + single[k - 1 :]
+        _, gram, counts = np.unique(gram, return_inverse=True, return_counts=True)
+        top = int(counts.max())
+        if top < 2:
+            return False  # then no longer gram repeats either
+        if top * k / n > share:
+            return True
+    return False
+
+
+@F.pandas_udf(BooleanType())
+def _degenerate(words: pd.Series, min_words: pd.Series, most: pd.Series, share: pd.Series) -> pd.Series:
+    return pd.Series([repeats_dominate(list(w), int(a), int(b), float(c)) for w, a, b, c in zip(words, min_words, most, share, strict=True)], dtype=bool)
+
+
 def is_degenerate(text: Column | str, min_words: int = 5, most: int = 10, share: float = 0.5) -> Column:
-    """Whether one n-gram, repeated, makes up more than ``share`` of a text of at least ``min_words`` words."""
-    w = words(text)
-
-    def dominates(n: int) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array(F.lit(1)))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
-        ordered = F.array_sort(grams)
-        # The longest run of equal neighbours in the sorted grams.
-        run = F.aggregate(
-            ordered,
-            F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")),
-            lambda a, g: F.struct(g.alias("last"), F.when(a["last"] == g, a["run"] + 1).otherwise(1).alias("run"), F.greatest(a["best"], F.when(a["last"] == g, a["run"] + 1).otherwise(1)).alias("best")),
-            lambda a: a["best"],
-        )
-        return (F.size(w) >= n) & (run > 1) & (run * n / F.size(w) > share)
-
-    found = F.lit(False)
-    for n in range(1, most + 1):
-        found = found | dominates(n)
-    return F.coalesce((F.size(w) >= min_words) & found, F.lit(False))
+    """``repeats_dominate`` of the text's words; false for null. As array expressions the n-gram counts take quadratic time, so they run over Arrow batches."""
+    return _degenerate(words(text), F.lit(min_words), F.lit(most), F.lit(share))
+
+
+def pieces(n: int):
+    """A column function: the distinct substrings of ``n`` characters of a text. Spark's substring walks a text from its start for each."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else sorted({t[i : i + n] for i in range(len(t) - n + 1)}))
+
+    return cut
 
 
 def target_size(height: Column, width: Column, resolution: int, aspect: float = 9 / 16, step: int = 64) -> Column:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 #: Rows and bytes of a dimension that is turned into one expression or broadcast.
 SMALL_ROWS, SMALL_BYTES = 20_000, 8 << 20
 
@@ -40,35 +42,37 @@ def contains_any(lines: DataFrame, terms: DataFrame, text: str, term: str, out:
         # A term that contains another one adds nothing; checked against short ones only, as long ones rarely do.
         return lines.withColumn(out, F.coalesce(F.col(text).rlike("|".join(re.escape(t) for t in found)), F.lit(False)))
     keyed = lines.withColumn("row_", F.monotonically_increasing_id())
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(3)))
-    pieces = keyed.select("row_", text, F.explode(F.array_distinct(grams)).alias("g_"))
-    hits = pieces.join(wanted.withColumn("g_", F.substring("t_", 1, 3)), "g_").where(F.col(text).contains(F.col("t_"))).select("row_").distinct()
+    hits = substring_join(keyed.select("row_", text), wanted, text, "t_").select("row_").distinct()
     return keyed.join(hits.withColumn(out, F.lit(True)), "row_", "left").withColumn(out, F.coalesce(out, F.lit(False))).drop("row_")
 
 
+#: Terms that a scan looks for one by one.
+FEW_TERMS = 64
+
+
 def term_search(blocks: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
-    """Each block with each term that it contains, by the same trigram key: no cross join."""
-    return substring_join(blocks, terms, text, term)
+    """Each block with each term that it contains, without a cross join: few terms are looked for in the scan, more are joined by their first characters."""
+    wanted = terms.select(term).where(F.length(term) > 0).distinct()
+    few = [r[0] for r in wanted.limit(FEW_TERMS + 1).collect()]
+    if len(few) > FEW_TERMS:
+        return substring_join(blocks, wanted, text, term)
+    if not few:
+        return blocks.withColumn(term, F.lit(None).cast("string")).limit(0)
+    found = F.filter(F.array(*(F.lit(t) for t in sorted(few))), lambda t: F.col(text).contains(t))
+    return blocks.withColumn(term, F.explode(found))
 
 
 def substring_join(left: DataFrame, right: DataFrame, text: str, term: str, gram: int = 3) -> DataFrame:
-    """Pairs where ``text`` contains ``term`` (both non-null; terms of under ``gram`` characters match by their whole length as key)."""
+    """Pairs where ``text`` contains ``term`` (both non-null, terms not empty): a term's first ``gram`` characters must stand in the text, which gives an equi join."""
     terms = right.where(F.length(term) > 0).withColumn("g_", F.substring(term, 1, gram)).withColumn("n_", F.length("g_"))
-    sizes = [r["n_"] for r in terms.select("n_").distinct().collect()]  # at most ``gram`` values
     terms = broadcast_if_small(terms, F.length(term) + 16)
     out = None
-    for n in sizes or [gram]:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-        keys = F.array_distinct(F.transform(starts, _piece(text, n)))
-        pairs = left.withColumn("g_", F.explode(keys)).join(terms.where(F.col("n_") == n), "g_").where(F.col(text).contains(F.col(term))).drop("g_", "n_")
+    for n in range(1, gram + 1):  # terms shorter than ``gram`` are their own key
+        pairs = left.withColumn("g_", F.explode(X.pieces(n)(F.col(text)))).join(terms.where(F.col("n_") == n), "g_").where(F.col(text).contains(F.col(term))).drop("g_", "n_")
         out = pairs if out is None else out.unionByName(pairs)
     return out
 
 
-def _piece(text: str, n: int):
-    return lambda i: F.substring(F.col(text), i, F.lit(n))
-
-
 def frames_in_intervals(intervals: DataFrame, frames: DataFrame, keys: Sequence[str], first: str, last: str, frame: str, how: str = "inner", most: int | None = None) -> DataFrame:
     """Pairs with ``first <= frame <= last`` on integers, as an equi join on the exploded frame numbers.
 

@@ -2,44 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ..functions import text as X
 
 
-def word_grams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+MATCH = ArrayType(StructType([StructField("n", IntegerType()), StructField("pred", LongType()), StructField("ref", LongType()), StructField("matches", LongType())]))
 
 
-def char_grams(text: Column, n: int) -> Column:
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    return F.when(F.length(bare) >= n, F.transform(F.sequence(F.lit(1), F.length(bare) - n + 1), lambda i: F.substring(bare, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def count_matches(pred: Sequence, ref: Sequence, orders: range) -> list[dict]:
+    """Per order: grams of each side, and matches, each gram matched as often as both have it."""
+    out = []
+    for n in orders:
+        a = Counter(tuple(pred[i : i + n]) for i in range(len(pred) - n + 1))
+        b = Counter(tuple(ref[i : i + n]) for i in range(len(ref) - n + 1))
+        out.append({"n": n, "pred": max(len(pred) - n + 1, 0), "ref": max(len(ref) - n + 1, 0), "matches": (a & b).total()})
+    return out
 
 
-def gram_matches(pairs: DataFrame, grams: Callable[[Column, int], Column], orders: range, by_row: bool = False) -> DataFrame:
-    """Per order (and row): grams of the prediction, of the reference, and matches, each gram matched as often as both have it."""
-    def tagged(n: int, flag: int):
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(flag).alias("p"))
+def row_matches(orders: range):
+    """A column function on two word lists (or strings without white space, by character). A row's grams meet in its own task: nothing is shuffled."""
 
-    def side(c: str, flag: int) -> Column:
-        return F.flatten(F.array(*(F.transform(grams(F.col(c), n), tagged(n, flag)) for n in orders)))
+    @F.pandas_udf(MATCH)
+    def count(pred: pd.Series, ref: pd.Series) -> pd.Series:
+        return pd.Series([count_matches(a, b, orders) for a, b in zip(pred, ref, strict=True)])
 
-    rows = pairs.select("id", F.explode(F.concat(side("pred", 1), side("ref", 0))).alias("x")).select("id", "x.*")
-    counts = rows.groupBy("id", "n", "g").agg(F.sum("p").alias("p"), F.sum(1 - F.col("p")).alias("r"))
-    keys = ["id", "n"] if by_row else ["n"]
-    return counts.groupBy(*keys).agg(F.sum("p").alias("pred"), F.sum("r").alias("ref"), F.sum(F.least("p", "r")).alias("matches"))
+    return count
+
+
+def gram_matches(pairs: DataFrame, orders: range, keys: Sequence[str] = ()) -> DataFrame:
+    """Per order (and key): grams of predictions and references, and matches."""
+    rows = pairs.select(*keys, F.explode(row_matches(orders)("pred", "ref")).alias("x")).select(*keys, "x.*")
+    return rows.groupBy(*keys, "n").agg(F.sum("pred").alias("pred"), F.sum("ref").alias("ref"), F.sum("matches").alias("matches"))
+
+
+def without_blanks(text: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", "")
 
 
 def bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
     """Corpus BLEU-1 to BLEU-``order`` (0 to 100), with brevity penalty, without smoothing."""
     worded = pairs.select("id", X.words("pred").alias("pred"), X.words("ref").alias("ref"))
     lengths = worded.agg(F.coalesce(F.sum(F.size("pred")), F.lit(0)).alias("c"), F.coalesce(F.sum(F.size("ref")), F.lit(0)).alias("r"))
-    m = gram_matches(worded, word_grams, range(1, order + 1))
+    m = gram_matches(worded, range(1, order + 1))
     cells = [F.max(F.when(F.col("n") == n, F.struct("matches", "pred"))).alias(f"o{n}") for n in range(1, order + 1)]
     row = m.agg(*cells).crossJoin(lengths)
     penalty = F.when(F.col("c") == 0, 0.0).when(F.col("c") < F.col("r"), F.exp(1 - F.col("r") / F.col("c"))).otherwise(1.0)
@@ -56,7 +67,8 @@ def bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
 
 def chrf(pairs: DataFrame, order: int = 6, beta: float = 2.0) -> DataFrame:
     """Corpus chrF (0 to 100) over character n-grams without white space; orders that either side lacks don't count."""
-    m = gram_matches(pairs, char_grams, range(1, order + 1)).where("pred > 0 and ref > 0")
+    bare = pairs.select(without_blanks("pred").alias("pred"), without_blanks("ref").alias("ref"))
+    m = gram_matches(bare, range(1, order + 1)).where("pred > 0 and ref > 0")
     mean = m.agg(F.avg(F.col("matches") / F.col("pred")).alias("p"), F.avg(F.col("matches") / F.col("ref")).alias("r"))
     b = beta**2
     return mean.select(F.coalesce(F.try_divide((1 + b) * F.col("p") * F.col("r"), b * F.col("p") + F.col("r")) * 100, F.lit(0.0)).alias("chrf"))
@@ -99,7 +111,7 @@ def f_measure(matches: Column, pred: Column, ref: Column) -> Column:
 def rouge(pairs: DataFrame, stemmed: bool = True) -> DataFrame:
     """Mean F of ROUGE-1, -2 and -L over rows (0 to 100)."""
     worded = pairs.select("id", rouge_words(F.col("pred"), stemmed).alias("pred"), rouge_words(F.col("ref"), stemmed).alias("ref"))
-    m = gram_matches(worded, word_grams, range(1, 3), by_row=True)
+    m = gram_matches(worded, range(1, 3), ["id"])
     grams = m.groupBy("id").agg(*(F.sum(F.when(F.col("n") == n, f_measure(F.col("matches"), F.col("pred"), F.col("ref"))).otherwise(0.0)).alias(f"f{n}") for n in (1, 2)))
     lcs = worded.select("id", f_measure(lcs_length("pred", "ref"), F.size("pred"), F.size("ref")).alias("fl"))
     both = lcs.join(grams, "id", "left").fillna(0.0)

@@ -53,7 +53,7 @@ def metric_threshold_outliers(spark, sf_dir):
     return M.threshold(times(spark, sf_dir), "gd", 20_000_000, columns=["gloss", "entry", "block_index", "speaker", "gd"], ties=["pos"])
 
 
-@add(f"WITH {TIMES} SELECT gloss, round(avg(gd), 6) AS avg_gd FROM tt WHERE NOT lost GROUP BY gloss ORDER BY avg(gd) DESC, gloss LIMIT 3")
+@add(f"WITH {TIMES} SELECT gloss, round(avg(gd), 2) AS avg_gd FROM tt WHERE NOT lost GROUP BY gloss ORDER BY avg(gd) DESC, gloss LIMIT 3")
 def top_glosses_by_duration(spark, sf_dir):
     return rounded(M.extremes(M.statistics(times(spark, sf_dir).where("not lost"), ["gloss"], ["gd"]), "avg_gd", 3, ties=["gloss"]).select("gloss", "avg_gd"))
 

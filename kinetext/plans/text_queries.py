@@ -229,7 +229,7 @@ COUNTS = f"x AS ({_grams(PW, 'pred', 1, 4)} UNION ALL {_grams(RW, 'ref', 0, 4)})
 @add(f"WITH {PAIRS}, {COUNTS} SELECT CAST(n AS INTEGER) AS n, CAST(pred AS BIGINT) AS pred, CAST(ref AS BIGINT) AS ref, CAST(matches AS BIGINT) AS matches FROM m")
 def gram_matches(spark, sf_dir):
     p = pairs(spark, sf_dir).select("id", X.words("pred").alias("pred"), X.words("ref").alias("ref"))
-    return scoring.gram_matches(p, scoring.word_grams, range(1, 5))
+    return scoring.gram_matches(p, range(1, 5))
 
 
 @add(f"""WITH {PAIRS}, {COUNTS}, l AS (SELECT sum(len({PW})) AS c, sum(len({RW})) AS r FROM pr), bp AS (SELECT CASE WHEN c < r THEN exp(1 - r / c) ELSE 1 END AS b FROM l),
