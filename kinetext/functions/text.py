@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -173,6 +174,12 @@ def is_degenerate(text: Column | str, min_words: int = 5, most: int = 10, share:
     return _degenerate(words(text), F.lit(min_words), F.lit(most), F.lit(share))
 
 
+@F.pandas_udf(ArrayType(BooleanType()))
+def degenerate_flags(texts: pd.Series) -> pd.Series:
+    """``repeats_dominate`` of each text of an array."""
+    return texts.map(lambda xs: None if xs is None else [repeats_dominate([w for w in re.split(BLANKS, x or "") if w]) for x in xs])
+
+
 def pieces(n: int):
     """A column function: the distinct substrings of ``n`` characters of a text. Spark's substring walks a text from its start for each."""
 

@@ -151,6 +151,7 @@ def paraphrases(df: DataFrame, generate, text: str = "full_sentence", tries: int
     ``generate`` is a column function (text) -> array of candidates: the
     boundary to a model.
     """
-    c = F.slice(generate(F.col(text)), 1, tries)
-    fresh = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: (x != "") & (x != F.trim(F.col(text))) & ~X.is_degenerate(x))
-    return df.withColumn("paraphrase", F.get(fresh, F.lit(0)))
+    c = F.transform(F.slice(generate(F.col(text)), 1, tries), lambda x: F.trim(x))
+    rated = F.arrays_zip(c.alias("x"), X.degenerate_flags(c).alias("bad"))
+    fresh = F.filter(rated, lambda r: ~r["bad"] & (r["x"] != "") & (r["x"] != F.trim(F.col(text))))
+    return df.withColumn("paraphrase", F.get(fresh, F.lit(0))["x"])
