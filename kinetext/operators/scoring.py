@@ -108,6 +108,13 @@ def f_measure(matches: Column, pred: Column, ref: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * matches, pred + ref), F.lit(0.0))
 
 
+def rouge_n(pairs: DataFrame, n: int, stemmed: bool = True) -> DataFrame:
+    """Mean F of ROUGE-n over rows (0 to 100)."""
+    worded = pairs.select("id", rouge_words(F.col("pred"), stemmed).alias("pred"), rouge_words(F.col("ref"), stemmed).alias("ref"))
+    m = gram_matches(worded, range(n, n + 1), ["id"])
+    return m.agg((F.avg(f_measure(F.col("matches"), F.col("pred"), F.col("ref"))) * 100).alias(f"rouge_{n}"))
+
+
 def rouge(pairs: DataFrame, stemmed: bool = True) -> DataFrame:
     """Mean F of ROUGE-1, -2 and -L over rows (0 to 100)."""
     worded = pairs.select("id", rouge_words(F.col("pred"), stemmed).alias("pred"), rouge_words(F.col("ref"), stemmed).alias("ref"))
@@ -118,14 +125,23 @@ def rouge(pairs: DataFrame, stemmed: bool = True) -> DataFrame:
     return both.agg((F.avg("f1") * 100).alias("rouge_1"), (F.avg("f2") * 100).alias("rouge_2"), (F.avg("fl") * 100).alias("rouge_l"))
 
 
-def edit_distance(a: list[str], b: list[str]) -> int:
-    """Word-level Levenshtein distance."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Word-level Levenshtein distance; a column of the table is two bit vectors over b."""
+    if not b:
+        return len(a)
+    places: dict = {}
+    for i, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << i
+    full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
+    plus, minus, score = full, 0, len(b)
+    for w in a:
+        eq = places.get(w, 0)
+        diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
+        up, down = minus | (~(diagonal | plus) & full), plus & diagonal
+        score += 1 if up & top else -1 if down & top else 0
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        plus, minus = down | (~(diagonal | up) & full), up & diagonal
+    return score
 
 
 def ter_edits(pred: list[str], ref: list[str], span: int = 10, reach: int = 50) -> int:

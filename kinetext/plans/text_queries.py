@@ -249,6 +249,15 @@ def chrf(spark, sf_dir):
     return scoring.chrf(pairs(spark, sf_dir)).select(r6("chrf").alias("chrf"))
 
 
+RP, RR = (f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')" for c in ("pred", "ref"))
+
+
+@add(f"""WITH {PAIRS}, g AS ({_grams(RP, 'pred', 1, 2)} UNION ALL {_grams(RR, 'ref', 0, 2)}), c AS (SELECT id, g, sum(p) AS p, sum(1 - p) AS r FROM g WHERE n = 2 GROUP BY ALL), m AS (SELECT id, sum(p) AS p, sum(r) AS r, sum(least(p, r)) AS m FROM c GROUP BY id)
+SELECT round(100 * avg(coalesce(2.0 * m / (p + r), 0)), 6) AS rouge_2 FROM pr LEFT JOIN m USING (id)""")
+def rouge_2(spark, sf_dir):
+    return scoring.rouge_n(pairs(spark, sf_dir), 2, stemmed=False).select(r6("rouge_2").alias("rouge_2"))
+
+
 @add()
 def rouge(spark, sf_dir):
     out = scoring.rouge(pairs(spark, sf_dir))

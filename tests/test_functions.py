@@ -228,7 +228,15 @@ def test_scores(spark):
 def test_ter_counts_a_shift_once():
     assert scoring.ter_edits("c d a b".split(), "a b c d".split()) == 1
     assert scoring.ter_edits("a b".split(), "a b".split()) == 0
-    assert scoring.edit_distance("a b c".split(), "a c".split()) == 1
+    rng = random.Random(12)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert scoring.edit_distance(a, b) == row[-1]
 
 
 def test_joins(spark):
