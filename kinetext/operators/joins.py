@@ -24,10 +24,33 @@ def broadcast_if_small(df: DataFrame, size_of: Column) -> DataFrame:
     return F.broadcast(df) if is_small(df, size_of) else df
 
 
+def trie_regex(terms: Sequence[str]) -> str:
+    """An expression that finds any of the terms (none empty), branching letter by letter, so that a place costs few comparisons however many terms there are. A term with another one as prefix adds nothing."""
+    root: dict = {}
+    for t in sorted(set(terms), key=len):
+        node = root
+        for i, ch in enumerate(t):
+            if node is None:
+                break
+            node = node.setdefault(ch, {} if i < len(t) - 1 else None)
+
+    def render(node: dict) -> str:
+        parts = []
+        for ch, below in sorted(node.items()):
+            tail = re.escape(ch)
+            while below is not None and len(below) == 1:  # a straight run needs no group
+                ((ch, below),) = below.items()
+                tail += re.escape(ch)
+            parts.append(tail if below is None else f"{tail}{render(below)}")
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return render(root)
+
+
 def contains_any(lines: DataFrame, terms: DataFrame, text: str, term: str, out: str = "found", strip: str = "^") -> DataFrame:
     """``out``: whether the text contains any of the terms, each without ``strip`` at its end. A null text contains none.
 
-    A bounded list of terms becomes one alternation, evaluated in the scan. A
+    A bounded list of terms becomes one expression, evaluated in the scan. A
     longer one is joined by trigram: a term's first three characters must stand
     in the text, which gives an equi join; the rest is verified.
     """
@@ -39,8 +62,7 @@ def contains_any(lines: DataFrame, terms: DataFrame, text: str, term: str, out:
             return lines.withColumn(out, F.lit(False))
         if found[0] == "":
             return lines.withColumn(out, F.col(text).isNotNull())
-        # A term that contains another one adds nothing; checked against short ones only, as long ones rarely do.
-        return lines.withColumn(out, F.coalesce(F.col(text).rlike("|".join(re.escape(t) for t in found)), F.lit(False)))
+        return lines.withColumn(out, F.coalesce(F.col(text).rlike(trie_regex(found)), F.lit(False)))
     keyed = lines.withColumn("row_", F.monotonically_increasing_id())
     hits = substring_join(keyed.select("row_", text), wanted, text, "t_").select("row_").distinct()
     return keyed.join(hits.withColumn(out, F.lit(True)), "row_", "left").withColumn(out, F.coalesce(out, F.lit(False))).drop("row_")
@@ -149,7 +171,7 @@ def touching_blocks(outliers: DataFrame, blocks: DataFrame, others: DataFrame, k
 
 def zero_fill_grid(counts: DataFrame, row: str, column: str, value: str) -> DataFrame:
     """Every value of ``row`` with every value of ``column`` (both few and distinct), 0 where there is no count."""
-    grid = counts.select(row).distinct().crossJoin(F.broadcast(counts.select(column).distinct()))
+    grid = counts.select(row).distinct().crossJoin(broadcast_if_small(counts.select(column).distinct(), F.lit(32)))
     return grid.join(counts, [row, column], "left").fillna(0, [value])
 
 

@@ -176,3 +176,13 @@ def occurrence_names(matches: DataFrame, term: str, name: Column, *order: str) -
     n = F.row_number().over(ordered([term], *order))
     out = matches.withColumn("occurrence", n)
     return out.withColumn("out_name", F.when(F.col("occurrence") > 1, F.format_string("%s_%03d", name, F.col("occurrence"))).otherwise(name))
+
+
+def flagged(df: DataFrame, column: str, value: str = "true") -> DataFrame:
+    """Rows whose flag, as text, is the value but for case and blanks at its ends."""
+    return df.where(F.lower(F.trim(F.col(column).cast("string"))) == value)
+
+
+def with_text(blocks: DataFrame, text: str, label: int = 3, column: str = "text") -> DataFrame:
+    """Blocks whose text after the label is exactly ``text``."""
+    return blocks.where(F.expr(f"substring(`{column}`, {label + 1})") == text)

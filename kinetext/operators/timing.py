@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import segments as S
+from .joins import broadcast_if_small
 
 METRICS = ("gd", "igt", "ogt", "tgt")
 
@@ -53,7 +54,7 @@ def gloss_times(blocks: DataFrame, keys: Sequence[str] = S.KEYS, order: str = "p
         F.when(alone, index).otherwise(both).alias("tgt_index"), "lost",
     )
     out = out.withColumn("tgt", F.col("igt") + F.col("gd") + F.col("ogt"))
-    return out.join(F.broadcast(types.distinct()), "gloss", "left_semi") if types is not None else out
+    return out.join(broadcast_if_small(types.distinct(), F.length("gloss")), "gloss", "left_semi") if types is not None else out
 
 
 def statistics(df: DataFrame, by: Sequence[str], metrics: Sequence[str] = METRICS, count: str = "count") -> DataFrame:

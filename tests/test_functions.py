@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -252,6 +253,14 @@ def test_joins(spark):
     assert got == sorted((p, x[0]) for p in range(50) for x in iv if x[1] == "k%d" % (p % 3) and x[2] <= p * 5 <= x[3])
 
 
+def test_trie_expression():
+    rng = random.Random(10)
+    for _ in range(200):
+        terms = ["".join(rng.choice("ab.^") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 8))]
+        text = "".join(rng.choice("ab.^") for _ in range(8))
+        assert bool(re.search(joins.trie_regex(terms), text)) == any(t in text for t in terms)
+
+
 def test_long_term_lists_are_joined(spark, monkeypatch):
     lines = spark.createDataFrame([(1, "abcdef"), (2, "xyz"), (3, None), (4, "a")], "id int, text string")
     terms = spark.createDataFrame([("cde^",), ("z",), ("qq",), ("cd",)], "gloss string")

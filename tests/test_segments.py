@@ -162,3 +162,9 @@ def test_every_nth_is_global(spark):
     df = spark.range(1000).select((F.col("id") % 7).cast("string").alias("k"), "id")
     want = [r["id"] for i, r in enumerate(df.orderBy("k", "id").collect(), 1) if i % 10 == 0]
     assert sorted(r["id"] for r in S.every_nth(df, 10, "k", "id").collect()) == sorted(want)
+
+
+def test_filters(spark):
+    df = spark.createDataFrame([("A: X", " True "), ("B: X", "no"), ("A: XY", None)], "text string, lost string")
+    assert [r["text"] for r in S.flagged(df, "lost").collect()] == ["A: X"]
+    assert sorted(r["text"] for r in S.with_text(df, "X").collect()) == ["A: X", "B: X"]
