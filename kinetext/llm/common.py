@@ -56,10 +56,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sized_broadcast(df: DataFrame, bytes_of: Column, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """``df`` with a broadcast hint if its rows, by ``bytes_of`` plus 48 bytes each, stay within ``limit``; else unchanged, so that Spark shuffles."""
+def sized_broadcast(df: DataFrame, bytes_of: Column, limit: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, by ``bytes_of`` plus 48 bytes each, stay within ``limit`` (BROADCAST_LIMIT); else unchanged, so that Spark shuffles."""
     total = df.agg(F.sum(bytes_of.cast("long") + F.lit(48))).first()[0] or 0
-    return F.broadcast(df) if total <= limit else df
+    return F.broadcast(df) if total <= (BROADCAST_LIMIT if limit is None else limit) else df
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -358,6 +358,24 @@ def test_sized_broadcast_has_a_way_beyond(spark):
     assert hinted(1 << 20) and not hinted(10)
 
 
+def test_results_without_broadcasts(spark, docs, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_LIMIT", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame(docs, DOCS)
+        same(rows(line_dedup.dedup_lines(df), "doc_id", "n_lines", "n_dropped", "text"), brute.line_dedup([d[:2] for d in docs]))
+        prints = {d[0]: brute.fingerprint(d[1]) for d in docs}
+        roots = brute.components(prints)
+        assert sorted(r["doc_id"] for r in simhash.dedup(df).select("doc_id").collect()) == sorted(d for d in prints if roots[d] == d)
+        pages = spark.createDataFrame([(1, "http://example.com/en/7"), (2, "http://a.net/de/1"), (3, None)], "page_id long, url string")
+        assert sorted((r["page_id"], r["rule"]) for r in url_filter.filter_urls(pages).collect()) == [(1, "example.com/en/7"), (2, "net/de/"), (3, None)]
+        found = license_scan.find_licenses(spark.createDataFrame([(1, "x all rights reserved")], "doc_id long, text string")).first()
+        assert [(p["start"], p["label"]) for p in found["places"]] == [(1, "reserved")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_schema_of_results(spark, sf):
     kinds = {
         "op1_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
