@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import keypoints as K
 from ..functions import text as X
+from .joins import broadcast_if_small
 
 DEFAULT_GAP = 7
 
@@ -22,9 +23,10 @@ def _dims(prefix: str) -> dict[str, Column]:
 
 def scale_to_first(sequences: DataFrame, keys: Sequence[str] = ("query",), order: str = "pos", uniform: bool = True) -> DataFrame:
     """Every later sequence of a query scaled to the body of the first; one without shoulders or torso stays as it is."""
-    w = Window.partitionBy(*keys).orderBy(order)
     own = sequences.withColumn("own_", K.reference_dims(F.get("pose_sequence", F.lit(0))))
-    own = own.withColumns({"ref_": F.first("own_").over(w), "rn_": F.row_number().over(w)})
+    # Only the first sequence's five lengths travel; they join its query's other sequences, however many there are.
+    first = own.groupBy(*keys).agg(F.min(F.struct(F.col(order).alias("at_"), F.col("own_").alias("ref_"))).alias("first_")).select(*keys, "first_.at_", "first_.ref_")
+    own = own.join(broadcast_if_small(first, F.lit(64)), list(keys))
     r, o = _dims("ref_"), _dims("own_")
     sx, sy = r["shoulder"] / F.nullif(o["shoulder"], F.lit(0.0)), r["torso"] / F.nullif(o["torso"], F.lit(0.0))
     boxed = (o["face_w"] > 0) & (o["face_h"] > 0)
@@ -34,8 +36,8 @@ def scale_to_first(sequences: DataFrame, keys: Sequence[str] = ("query",), order
         fx = fy = (fx + fy) / 2
     own = own.withColumns({"sx_": sx, "sy_": sy, "fx_": fx, "fy_": fy, "neck_": r["neck"]})
     scaled = F.transform("pose_sequence", lambda f: K.scale_frame(f, F.col("sx_"), F.col("sy_"), F.col("fx_"), F.col("fy_"), F.col("neck_")))
-    keep = (F.col("rn_") == 1) | F.col("sx_").isNull() | F.col("sy_").isNull()
-    return own.withColumn("pose_sequence", F.when(keep, F.col("pose_sequence")).otherwise(scaled)).drop("own_", "ref_", "rn_", "sx_", "sy_", "fx_", "fy_", "neck_")
+    keep = (F.col(order) == F.col("at_")) | F.col("sx_").isNull() | F.col("sy_").isNull()
+    return own.withColumn("pose_sequence", F.when(keep, F.col("pose_sequence")).otherwise(scaled)).drop("own_", "ref_", "at_", "sx_", "sy_", "fx_", "fy_", "neck_")
 
 
 def lookup(queries: DataFrame, dictionary: DataFrame, keys: Sequence[str] = ("query",)) -> DataFrame:
