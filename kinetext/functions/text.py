@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections.abc import Iterator
 
@@ -14,8 +15,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 FULL, END = "_FULL_SENTENCE", "_END_SENTENCE"
 TIME = r"(\d{2}):(\d{2}):(\d{2}),(\d{3})"
-#: ASCII punctuation, as a character class.
-PUNCTUATION = r"[!-/:-@\[-`{-~]"
+PUNCTUATION = string.punctuation
 #: What splits words.
 BLANKS = r"[ \t\n\r]+"
 
@@ -84,15 +84,12 @@ def base_gloss(token: Column) -> Column:
 
 def words(text: Column | str) -> Column:
     """Words between white space; null and blank text have none."""
-    return F.filter(F.split(F.coalesce(col(text), F.lit("")), BLANKS), lambda w: w != "")
-
-
-def normalize_word(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, PUNCTUATION, ""))
+    return F.array_remove(F.split(F.coalesce(col(text), F.lit("")), BLANKS), "")
 
 
 def normalized_words(text: Column | str) -> Column:
-    return F.filter(F.transform(words(text), normalize_word), lambda w: w != "")
+    """Words in lower case without punctuation, in one pass over the text; words of punctuation only are dropped."""
+    return F.array_remove(F.split(F.lower(F.translate(F.coalesce(col(text), F.lit("")), PUNCTUATION, "")), BLANKS), "")
 
 
 def is_upper(text: Column | str) -> Column:

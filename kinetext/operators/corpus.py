@@ -53,8 +53,9 @@ def ngrams(docs: DataFrame, words: Column, n: int, order: str) -> DataFrame:
     are joined across texts, by their place in the stream.
     """
     base = docs.select(F.col(order).alias("o"), words.alias("w")).where(F.size("w") > 0)
-    inside = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))
-    grams = base.select(F.explode(inside).alias("ngram"))
+    # The words beside themselves, shifted: rows in which the last one is missing aren't whole.
+    shifted = base.select(F.explode(F.arrays_zip(*(F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - k, F.lit(0))).alias(f"t{k}") for k in range(n)))).alias("x")).where(F.col(f"x.t{n - 1}").isNotNull())
+    grams = shifted.select(F.concat_ws(" ", *(F.col(f"x.t{k}") for k in range(n))).alias("ngram"))
     if n > 1:
         placed = global_offsets(base.select("o", F.size("w").alias("size"), "w"), F.col("size"), "o", "start")
         edge = F.filter(F.transform("w", lambda t, i: F.struct((F.col("start") + i).alias("p"), i.alias("i"), t.alias("t"))), lambda x: (x["i"] < n - 1) | (x["i"] > F.col("size") - n))

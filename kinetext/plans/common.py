@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """An input of fewer splits than the cluster has cores, dealt out evenly; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def r6(c: Column | str) -> Column:
     """Six places, without a negative zero; in SQL ``round(x, 6) + 0.0``."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)

@@ -11,7 +11,7 @@ from ..operators import joins as J
 from ..operators import matching, scoring
 from ..operators import timing as M
 from ..sources import html
-from .common import Registry, long, r6, table
+from .common import Registry, long, r6, spread, table
 
 R = Registry()
 add = R.add
@@ -24,7 +24,7 @@ TOK = "t AS (SELECT unnest(w) AS token FROM w), c AS (SELECT token, count(*) AS
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 @add(f"WITH {RAW} SELECT CAST(len(w) AS INTEGER) AS length, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM w), 6) AS percentage FROM w GROUP BY len(w)")
