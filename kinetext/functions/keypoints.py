@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import KEYPOINT_KEYS, STORED_SIZES
 
-#: Keypoints of the upper body that a stored frame keeps, and where the anchor points stand in it.
+# Keypoints of the upper body that a stored frame keeps, and where the anchor points stand in it.
 UPPER_BODY = (0, 1, 2, 3, 4, 5, 6, 7, 8, 15, 16, 17, 18)
 NOSE, NECK, RIGHT_SHOULDER, LEFT_SHOULDER, HIP, NOSE_TIP = 0, 1, 2, 5, 8, 30
 

@@ -13,8 +13,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType
 
+# Markers, times, spoken sentences, labels with stray pipes, and glosses (base, number, letters).
 FULL, END = "_FULL_SENTENCE", "_END_SENTENCE"
 TIME = r"(\d{2}):(\d{2}):(\d{2}),(\d{3})"
+SENTENCE = r"^(?:A:|B:|C:)\s*(?:[A-ZÄÖÜ].*|(?:[0-9#]\S*(?:\s+\S+)+))$"
+PIPED_LABEL = r"^(A:|B:)\s*\|+(.*)"
+VARIANT = r"^([A-ZÄÖÜ]+)(\d+)?([A-Z]*)$"
+
 PUNCTUATION = string.punctuation
 #: What splits words.
 BLANKS = r"[ \t\n\r]+"
@@ -68,13 +73,13 @@ def ms_to_frames_rounded(ms: Column | str, fps: int = 50) -> Column:
 def clean_line(text: Column | str) -> Column:
     """A transcript line without * and ^, without pipes at its ends and after its label."""
     bare = F.btrim(F.translate(col(text), "*^", ""), F.lit("|"))
-    return F.regexp_replace(bare, r"^(A:|B:)\s*\|+(.*)", "$1 $2")
+    return F.regexp_replace(bare, PIPED_LABEL, "$1 $2")
 
 
 def is_sentence(text: Column | str) -> Column:
     """Whether an original line, unless it holds a gloss, is a spoken sentence: a label, then a capital, or several words after a digit or #."""
     bare = F.regexp_replace(F.regexp_replace(col(text), "[„“]", ""), "/+$", "")
-    return (F.length(bare) > 4) & bare.rlike(r"^(?:A:|B:|C:)\s*(?:[A-ZÄÖÜ].*|(?:[0-9#]\S*(?:\s+\S+)+))$")
+    return (F.length(bare) > 4) & bare.rlike(SENTENCE)
 
 
 def base_gloss(token: Column) -> Column:
@@ -118,9 +123,6 @@ def safe_name(text: Column | str, default: str = "untitled", most: int | None =
     return F.coalesce(F.nullif(name, F.lit("")), F.lit(default))
 
 
-VARIANT = r"^([A-ZÄÖÜ]+)(\d+)?([A-Z]*)$"
-
-
 def gloss_variant(gloss: Column | str) -> tuple[Column, Column, Column]:
     """(base, number, letters) of a gloss such as ``HAUS1A``; base is null if it has another form."""
     g = col(gloss)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 KEYS = ("entry", "speaker")
-#: Fixed lists: single tokens that are dropped, and tokens that veto a whole sentence.
+# Single tokens that are dropped, and tokens that veto a whole sentence.
 EXCLUDED_TOKENS = ("$GEST", "$GEST-NM", "$GEST-OFF", "$$EXTRA-LING-MAN", "$PMS", "$UNKLAR")
 VETO_TOKENS, VETO_PREFIX = ("$PROD", "$ORAL", "$ALPHA", "$ORAL^"), "$ALPHA"
 
