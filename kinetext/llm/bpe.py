@@ -125,12 +125,13 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.chunks, self.joins = Memory(MEMORY), Memory(JOIN_MEMORY)
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {b"": b""}
         self.size = 0
         special = {i for i, x in self.tokenizer.get_added_tokens_decoder().items()}
         back = {c: b for b, c in enumerate(byte_letters())}
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.pieces = pa.array([t.encode() if i in special else bytes(back[c] for c in t) for i, t in enumerate(tokens)], pa.large_binary())
+        self.sizes = np.array([len(x) for x in self.pieces.to_pylist()])
         self.digits = pa.array([b"%d," % i for i in range(size)], pa.large_binary())
         self.encoded = self.reused = 0
 
@@ -138,24 +139,48 @@ class Encoder:
         """Encode texts by their words, each word as it stands after a space that surely parts it; other texts whole."""
         plans, new = [], {}
         for t in texts:
-            parts = [t] if UNSURE.search(t) else [x if not i else b" " + x for i, x in enumerate(t.split(b" "))]
+            parts = [t] if not t or UNSURE.search(t) else [x if not i else b" " + x for i, x in enumerate(t.split(b" "))]
             plans.append(parts)
             for x in parts:
-                if x not in self.words:
+                if x and x not in self.words:
                     new[x] = None
         if new:
-            new = list(new)
-            for lo in range(0, len(new), STEP):  # the library's results are large
-                part = new[lo : lo + STEP]
-                encoded = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
-                self.words.update((x, np.array(e.ids, self.dtype).tobytes()) for x, e in zip(part, encoded, strict=True))
+            self._learn(list(new))
             self.size += sum(map(len, new))
         out = [np.frombuffer(b"".join([self.words[x] for x in parts]), self.dtype) for parts in plans]
         if len(self.words) > WORDS or self.size > MEMORY:  # at most a block of texts above the bounds
-            self.words.clear()
+            self.words = {b"": b""}
             self.size = 0
         return out
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode words that aren't known. Words that surely part from what follows go to the library joined; where its tokens don't end with a word, alone."""
+        plain = [x for x in new if x[0] == 32 and x[-1] > 32 and x[-1] != 127 and b"<|" not in x]
+        alone = set(new).difference(plain)
+        joined = [plain[lo : lo + STEP] for lo in range(0, len(plain), STEP)]
+        width = self.dtype().itemsize
+        for part in joined:
+            (encoded,) = self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)
+            ids = np.array(encoded.ids, self.dtype)
+            ends = np.cumsum([len(x) for x in part])
+            reach = np.cumsum(self.sizes[ids])
+            stop = np.searchsorted(reach, ends)
+            ok = (stop < len(reach)) & (reach[np.minimum(stop, len(reach) - 1)] == ends)
+            ok[1:] &= ok[:-1]  # a word also has to begin with a token
+            data, at = ids.tobytes(), ((stop + 1) * width).tolist()
+            start = 0
+            for x, good, end in zip(part, ok.tolist(), at, strict=True):
+                if good:
+                    self.words[x] = data[start:end]
+                else:
+                    alone.add(x)
+                start = end
+        rest = list(alone)
+        for lo in range(0, len(rest), STEP):  # the library's results are large
+            part = rest[lo : lo + STEP]
+            encoded = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
+            self.words.update((x, np.array(e.ids, self.dtype).tobytes()) for x, e in zip(part, encoded, strict=True))
+
     def _once(self, memory: Memory, texts: list[bytes]) -> dict[bytes, np.ndarray]:
         out, new = {}, []
         for t in texts:
