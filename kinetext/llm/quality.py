@@ -22,7 +22,9 @@ from . import features as X
 LABELLED, POOL = 4000, 3000
 #: Hashed words, hashed metadata values, and styles of writing.
 WORD_BITS, META_BITS = 14, 10
-ROUNDS, SURE, STEPS = 4, 0.95, 60
+ROUNDS, SURE = 4, 0.95
+#: Steps of the first fit of a view, and of the later ones, which start from the one before.
+STEPS, MORE_STEPS = 60, 15
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 LETTERS = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 #: Byte classes whose shares are features of style.
@@ -76,7 +78,7 @@ def fit(x: Sparse, y: np.ndarray, trust: np.ndarray, start: np.ndarray | None =
     share = [max(trust[y == c].sum(), 1e-9) for c in (0, 1)]
     trust = trust * np.where(y == 1, 0.5 / share[1], 0.5 / share[0])
     m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, STEPS + 1):
+    for t in range(1, (STEPS if start is None else MORE_STEPS) + 1):
         g = x.back((sigmoid(x.dot(w)) - y) * trust) + 1e-5 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)

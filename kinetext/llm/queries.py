@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of documents; an input of fewer splits than the cluster has cores is dealt out evenly first."""
+    df = table(spark, sf_dir, "documents").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sha(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
@@ -28,13 +35,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), sha(F.array_join("item_ids", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = texts(spark, sf_dir, "doc_id", "text", "lang", "source")
     return language_id.identify_documents(docs, drop_text=True).select("doc_id", "language", "probability", "text_language", "accepted")
 
 
@@ -45,14 +52,14 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    docs = texts(spark, sf_dir, "doc_id", "text", "source", "lang", "n_chars")
     found = quality.score_quality(docs, table(spark, sf_dir, "labels"))
     keep = (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5)
     return found.select("doc_id", F.col("p_quality").alias("quality_score"), F.col("p_toxic").alias("toxic_score"), keep.alias("keep"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_scan.find_secrets(texts(spark, sf_dir, "doc_id", "text"))
     of = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
     shown = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.filter("findings", lambda x: x["kind"].isin("assign", "access", "hex"))
@@ -60,7 +67,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, drop_text=True)
+    found = bpe.encode_and_decode(texts(spark, sf_dir, "doc_id", "text"), VOCABULARY, drop_text=True)
     return found.select("doc_id", "n_tokens", sha(F.col("ids_text")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
 
 
@@ -70,7 +77,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = simhash.near_duplicates(texts(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -110,7 +117,7 @@ sizes AS (SELECT DISTINCT n FROM win),
 occ AS (SELECT d.doc_id, i, n, list_slice(w, i, i + n - 1) AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n) d),
 hit AS (SELECT o.doc_id, o.i, o.n, w.item FROM occ o JOIN win w ON o.g = w.g AND o.n = w.n),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+its AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
