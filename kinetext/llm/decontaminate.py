@@ -30,10 +30,14 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(C.WORD_TABLE).split()
 
 
+def named(items: set[str | None]) -> tuple[str, ...]:
+    return tuple(sorted(i for i in items if i is not None))
+
+
 class Automaton:
     """Suffix automaton over the words of many items; no run crosses from one item to the next."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -52,15 +56,15 @@ class Automaton:
             for i, w in enumerate(words):
                 v = self.next[v][w]
                 if i + 1 >= window:
-                    ends.setdefault(self._top(v, i + 1), set()).add(item)
+                    ends.setdefault(self.anchor[v], set()).add(item)
             if 0 < len(words) < window:
                 short.setdefault(self._state(words), set()).add(item)
-        self.items = {v: tuple(sorted(x)) for v, x in ends.items()}
+        self.items = {v: named(x) for v, x in ends.items()}
         # Whole short items that are a suffix of a state's strings: (words, items), longest first.
         self.short: dict[int, tuple[tuple[int, tuple[str, ...]], ...]] = {}
         lengths = {self._state(words): len(words) for _, words in items if 0 < len(words) < window}
         for v in order[1:]:
-            own = ((lengths[v], tuple(sorted(short[v]))),) if v in short else ()
+            own = ((lengths[v], named(short[v])),) if v in short else ()
             if found := own + self.short.get(self.link[v], ()):
                 self.short[v] = found
 
@@ -70,9 +74,6 @@ class Automaton:
             v = self.next[v][w]
         return v
 
-    def _top(self, v: int, _: int) -> int:
-        return self.anchor[v]
-
     def _add(self, words: list[bytes]) -> None:
         nxt, link, length = self.next, self.link, self.length
 
@@ -143,7 +144,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int)
     block, size = [], 0
     for row in items.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")).toLocalIterator():
         words = words_of(bytes(row["text"] or b""))
-        if row["id"] is None or not words:
+        if not words:
             continue
         if block and size + len(words) > block_words:
             yield block
@@ -157,8 +158,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     """``docs`` with ``n_words``, ``n_hit``, ``item_ids`` (sorted strings) and ``hit_spans`` (first and last hit word, merged).
 
     A window is ``window`` consecutive words of an item, or a whole shorter
-    item. Null or empty text has no words; items with null id or no words are
-    left out; items that repeat an id are one item; without items nothing is
+    item. Null or empty text has no words; items without words are left out;
+    windows of an item with a null id hit but name no item; items that repeat an id are one item; without items nothing is
     hit. With ``min_span``, runs of at least so many hit words are cut from
     the text. Columns of ``docs`` named like a new column are replaced.
     """

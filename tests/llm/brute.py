@@ -43,13 +43,13 @@ def hits(text: str | None, items: list[tuple], size: int = 10) -> tuple[list[int
     at, found = set(), set()
     for item, body in items:
         w = words(body)
-        if item is None or not w:
+        if not w:
             continue
         for win in [w] if len(w) < size else [w[i : i + size] for i in range(len(w) - size + 1)]:
             for i in range(len(own) - len(win) + 1):
                 if own[i : i + len(win)] == win:
                     at.update(range(i, i + len(win)))
-                    found.add(str(item))
+                    found.update([str(item)] if item is not None else [])
     return sorted(at), sorted(found)
 
 

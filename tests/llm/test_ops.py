@@ -65,8 +65,8 @@ def test_line_dedup_bounded_filters_change_nothing(spark, docs, monkeypatch):
 
 
 def test_decontamination(spark, docs, items):
-    items = [*items, (900, "short item"), (901, "Short ITEM!"), (None, "no id"), (902, None), (900, "short item")]
-    data = [*docs[:80], *ODD, (50_001, "a short item, short " + " ".join(brute.words(items[0][1])[5:30]), "en", "s", 1)]
+    items = [*items, (900, "short item"), (901, "Short ITEM!"), (None, "no id here"), (902, None), (900, "short item")]
+    data = [*docs[:80], *ODD, (50_001, "a short item, no id here, short " + " ".join(brute.words(items[0][1])[5:30]), "en", "s", 1)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (decontaminate.BLOCK_WORDS, 500):
         got = decontaminate.find_contamination(spark.createDataFrame(data, DOCS), bench, block_words=block)
