@@ -40,7 +40,11 @@ def own_folder(spark: SparkSession) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Delete this application's tables; results that haven't been computed need them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    delete(spark, own_folder(spark))
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

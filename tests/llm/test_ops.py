@@ -160,6 +160,37 @@ def test_co_training_uses_the_pool():
     assert np.mean((model.odds(text, meta) > 0) == (y == 1)) > 0.97
 
 
+def crowded(spark):
+    """60 labelled documents and 3,400 others; a word that no label shows is only in those whose ids hash highest."""
+    ids = [r["id"] for r in spark.range(60, 3460).orderBy(F.xxhash64("id"), "id").collect()]
+    rare = set(ids[-60:])
+    own = lambda i: i in rare or i % 2 == 1
+    data = [(i, ("zeta alone" if i in rare else "good page" if own(i) else "bad stuff") + f" n{i % 7}", "en", "fine" if own(i) else "poor", 9) for i in range(3460)]
+    data += [(None, "zeta", "en", "other", 9)]
+    return spark.createDataFrame(data, DOCS).repartition(3), spark.createDataFrame([(i, i % 2, None) for i in range(60)], "doc_id long, quality int, toxic int")
+
+
+def test_every_unlabelled_document_takes_part(spark):
+    docs, labels = crowded(spark)
+    got = quality.score_quality(docs, labels).where("doc_id is null").first()
+    assert got["p_quality"] > 0.8
+
+
+def test_co_training_on_workers_equals_one_process(spark):
+    docs, labels = crowded(spark)
+    got = {r["doc_id"]: r["p_quality"] for r in quality.score_quality(docs, labels).collect()}
+    ids = [r["id"] for r in spark.range(60).orderBy(F.xxhash64("id")).collect()]
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    order = [*ids, *[i for i in rows if i not in set(ids)]]
+    texts = [rows[i]["text"].encode() for i in order]
+    row, col, style = quality.text_view(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    m_row, m_col, m_dense = quality.meta_view([[rows[i][c] for i in order] for c in ("source", "lang")], np.array([rows[i]["n_chars"] for i in order], float))
+    text, meta = quality.Sparse(row, col, style, 1 << quality.WORD_BITS), quality.Sparse(m_row, m_col, m_dense, 1 << quality.META_BITS)
+    model = quality.co_train(text, meta, np.array([i % 2 if i is not None and i < 60 else -1 for i in order]))
+    want = quality.sigmoid(model.odds(text, meta))
+    assert np.allclose([got[i] for i in order], want, atol=1e-6)
+
+
 def test_secrets(spark, docs):
     data = [*docs, *ODD, (70, "secret=token=abcdefghijklmnop password: token: abcdefghijklmnop APIKEY=\u017fecret=abcdefghijklmnop", "en", "s", 1)]
     got = secret_scan.find_secrets(spark.createDataFrame(data, DOCS))
