@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from . import common as C
 from . import features as X
 
-#: Labelled documents of each language that the text model is fitted on, on average over hashes of ids (all if there are fewer), and languages at most: the most frequent.
-SAMPLE, MOST_LANGUAGES = 500, 64
+#: Labelled documents of each language that the text model is fitted on, on average over hashes of ids (all if there are fewer), and languages that are scored at a time.
+SAMPLE, LANGUAGES = 500, 64
 #: Trigrams of a text are far from independent: their joint log likelihood counts as that of this many at most, and this share of them.
 MOST_GRAMS, TEMPER = 200, 0.25
 #: Pseudo-counts: of a host's parent, of the corpus for a suffix, and of an even spread for the corpus and for declarations.
@@ -29,35 +29,57 @@ LEAST_PROBABILITY, LEAST_GAIN = 0.5, 1.0
 OTHER = "?"
 
 
-def fit_text_model(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, log probability of each trigram in each): counted on the workers over about ``sample`` documents a language."""
-    known = labelled.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    sizes = known.groupBy(F.col(f"`{label_col}`").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    if not languages:
-        return [], np.zeros((X.GRAMS, 0), np.float32)
+class Grams:
+    """Log probabilities of trigrams by language: those that occur, and what any other has. Dense for LANGUAGES at a time."""
+
+    def __init__(self, lang: np.ndarray, code: np.ndarray, n: np.ndarray, languages: int) -> None:
+        order = np.argsort(lang, kind="stable")
+        self.lang, self.code, self.languages = lang[order], code[order], languages
+        log_total = np.log(np.bincount(lang, n, languages) + 0.5 * X.GRAMS)
+        self.other = (np.log(0.5) - log_total).astype(np.float32)
+        self.value = (np.log(n[order] + 0.5) - log_total[self.lang]).astype(np.float32)
+        self.only: np.ndarray | None = None  # the block, if there is but one
+
+    def block(self, first: int) -> np.ndarray:
+        if self.only is not None:
+            return self.only
+        stop = min(first + LANGUAGES, self.languages)
+        own = slice(*np.searchsorted(self.lang, (first, stop)))
+        table = np.tile(self.other[first:stop], (X.GRAMS, 1))
+        table[self.code[own], self.lang[own] - first] = self.value[own]
+        if self.languages <= LANGUAGES:
+            self.only = table
+        return table
+
+    def scores(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``text_scores`` over all languages."""
+        found = [text_scores(data, at, self.block(i)) for i in range(0, self.languages, LANGUAGES)]
+        return found[0][0], np.concatenate([mean for _, mean in found], 1)
+
+
+def fit_text_model(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], Grams | None]:
+    """(all declared languages, log probability of each trigram in each): counted on the workers over about ``sample`` documents a language."""
+    label, text, place = (C.free_name(labelled, x) for x in ("__label", "__body", "__place"))
     # A document is taken if its id's hash, even over 2^32, is below its language's share.
-    place = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 32))
-    limit = F.coalesce(*(F.when(F.col(f"`{label_col}`") == r["lang"], F.lit(min(1 << 32, (sample << 32) // r["n"]))) for r in sizes))
-    chosen = known.where(place < limit).select(F.col(f"`{label_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    known = labelled.select(F.col(f"`{label_col}`").cast("string").alias(label), F.col(f"`{text_col}`").cast("string").alias(text), F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 32)).alias(place))
+    known = known.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    sizes = known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
+    languages = sorted(r[label] for r in sizes)
+    if not languages:
+        return [], None
+    number = {x: i for i, x in enumerate(languages)}
+    shares = labelled.sparkSession.createDataFrame([(r[label], number[r[label]], min(1 << 32, (sample << 32) // r["n"])) for r in sizes], "name string, lang int, share long")
+    chosen = known.join(F.broadcast(shares), F.col(label) == F.col("name")).where(F.col(place) < F.col("share")).select("lang", F.col(text).alias("text"))  # shares: a row for each language
 
     def count(batches):
-        total = np.zeros((len(languages), X.GRAMS), np.int64)
         for batch in batches:
             for part in C.slices(batch, "text"):
                 codes, row = X.trigrams(*C.view(part.column("text")))
-                lang = np.searchsorted(np.array(languages), np.array(part.column("lang").to_pylist(), str))
-                for i in range(len(languages)):
-                    total[i] += np.bincount(codes[lang[row] == i], minlength=X.GRAMS)
-        for i in range(len(languages)):
-            (at,) = np.nonzero(total[i])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(total[i][at])], names=["lang", "code", "n"])
+                found, n = np.unique(np.asarray(part.column("lang"))[row].astype(np.int64) * X.GRAMS + codes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((found // X.GRAMS).astype(np.int32)), pa.array((found % X.GRAMS).astype(np.int32)), pa.array(n)], names=["lang", "code", "n"])
 
-    counts = np.full((X.GRAMS, len(languages)), 0.5)
-    for r in chosen.mapInArrow(count, "lang int, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_batches():  # GRAMS x languages rows at most
-        counts[np.asarray(r.column("code")), np.asarray(r.column("lang"))] += np.asarray(r.column("n"))
-    return languages, (np.log(counts) - np.log(counts.sum(0))).astype(np.float32)
+    got = chosen.mapInArrow(count, "lang int, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()  # trigrams that occur, of each language
+    return languages, Grams(*(np.asarray(got.column(x).combine_chunks()) for x in ("lang", "code", "n")), len(languages))
 
 
 def text_scores(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +116,7 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"&#?\w+;", " ")
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", declared_col: str | None = None, host_col: str | None = None, suffix_col: str | None = None, least: float = LEAST_PROBABILITY, drop_text: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], Grams | None], text_col: str = "text", declared_col: str | None = None, host_col: str | None = None, suffix_col: str | None = None, least: float = LEAST_PROBABILITY, drop_text: bool = False) -> DataFrame:
     """``docs`` with ``language`` (the most likely; ties to the first by name), ``probability``, ``text_language`` and ``accepted``.
 
     Evidence that is null, or whose column isn't given, says nothing. Text
@@ -108,7 +130,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     if not languages:
         return docs.withColumns({"language": F.lit(None).cast("string"), "probability": F.lit(None).cast("double"), "text_language": F.lit(None).cast("string"), "accepted": F.lit(False)})
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # GRAMS x languages floats
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # trigrams that occur, of each language
     L = len(languages)
     some = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
     names = {x: C.free_name(docs, "__" + x) for x in ("declared", "suffix", "host", "prior", "told", "hk", "hs", "declaredk", "declaredp", "suffixk", "suffixp")}
@@ -120,7 +142,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     def guess(batches):
         for batch in batches:
             for part in C.slices(batch, text_col):
-                count, mean = text_scores(*C.view(part.column(text_col)), shared.value)
+                count, mean = shared.value.scores(*C.view(part.column(text_col)))
                 best = pa.array(np.where(count > 0, mean.argmax(1), -1).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(host), part.column(suffix), part.column(declared), best], names=["host", "suffix", "declared", "best"])
 
@@ -129,11 +151,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
 
     def shares(keys: list[str]) -> DataFrame:
         """Counts of each language for each value of the keys, as an array."""
-        return seen.groupBy(*keys).agg(F.array(*(F.sum(F.when(F.col("best") == i, F.col("n")).otherwise(0)).cast("double") for i in range(L))).alias("c"))
+        counts = seen.groupBy(*keys, "best").agg(F.sum("n").cast("double").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("c"))
+        return counts.withColumn("c", F.transform(F.sequence(F.lit(0), F.lit(L - 1)), lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0.0))))
 
-    total = seen.agg(F.array(*(F.coalesce(F.sum(F.when(F.col("best") == i, F.col("n")).otherwise(0)), F.lit(0)).cast("double") for i in range(L)))).first()[0]
+    total = [0.0] * L
+    for r in seen.groupBy("best").agg(F.sum("n").cast("double").alias("n")).collect():  # a row for each language
+        total[r["best"]] = r["n"]
     corpus = (np.array(total) + EVEN_WEIGHT) / (sum(total) + EVEN_WEIGHT * L)
-    literal = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
+    literal = lambda xs: F.expr(f"array({', '.join(f'{float(x)!r}D' for x in xs)})")
     smooth = lambda counts, parent, w: F.zip_with(counts, parent, lambda c, p: (c + p * w) / (F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + w))
     by_suffix = shares(["suffix"]).where("suffix is not null").select(F.col("suffix").alias("s"), smooth(F.col("c"), literal(corpus), SUFFIX_WEIGHT).alias("sp"))
     hosts = shares(["host", "suffix"]).where("host is not null").join(by_suffix, F.col("suffix") == F.col("s"), "left")
@@ -151,7 +176,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     out = out.drop(hk, hs, prior, dk, dp, sk, sp, declared, suffix, host)
 
     def fuse(part: pa.RecordBatch) -> dict:
-        count, mean = text_scores(*C.view(part.column(text_col)), shared.value)
+        count, mean = shared.value.scores(*C.view(part.column(text_col)))
         extra = np.asarray(part.column(told).flatten()).reshape(-1, L)
         log = mean * (np.minimum(count, MOST_GRAMS) * TEMPER)[:, None] + extra
         p = np.exp(log - log.max(1, keepdims=True)) if len(log) else log

@@ -106,6 +106,14 @@ def test_language_id(spark, docs):
     assert not result.where("doc_id = 2").first()["accepted"]
 
 
+def test_every_declared_language_has_a_model(spark):
+    rng = random.Random(4)
+    words = {f"l{i:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)] for i in range(70)}
+    data = [(100 * n + i, " ".join(rng.choices(own, k=40)), lang, "h", 9) for n, (lang, own) in enumerate(words.items()) for i in range(4 if n < 65 else 3)]
+    got = language_id.identify_documents(spark.createDataFrame(data, DOCS)).collect()
+    assert len(got) == len(data) and all(r["language"] == r["lang"] == r["text_language"] and r["accepted"] for r in got)
+
+
 def test_language_id_scores_match_plain_sums(docs):
     rng = np.random.default_rng(1)
     table = rng.normal(size=(1 << 18, 3)).astype(np.float32)
