@@ -107,7 +107,7 @@ def host_and_suffix(url: Column) -> tuple[Column, Column]:
 
 def markup_language(html: Column) -> Column:
     """The primary language that a page's html element declares, or null."""
-    return F.nullif(F.lower(F.regexp_extract(F.substring(html, 1, 4096), r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
 
 
 def visible_text(html: Column) -> Column:

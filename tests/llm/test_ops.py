@@ -133,6 +133,11 @@ def test_pages_language(spark, sf):
     assert len(got) == 50 and sum(r["declared"] == r["language"] for r in got) >= 45
 
 
+def test_declaration_after_a_long_comment(spark):
+    pages = spark.createDataFrame([("<!-- " + "licence " * 1000 + "-->\n<html class=x lang='DE-at'>",), ("<p>none</p>",), (None,)], "html string")
+    assert [r[0] for r in pages.select(language_id.markup_language(F.col("html"))).collect()] == ["de", None, None]
+
+
 def test_prior_decides_without_text(spark):
     train = [(i, ("the cat and dog " if i % 2 else "le chat et chien ") * 5, "en" if i % 2 else "fr", "h%d" % (i % 2), 1) for i in range(40)]
     model = language_id.fit_text_model(spark.createDataFrame(train, DOCS), "text", "lang", "doc_id")
