@@ -24,10 +24,12 @@ NO_ID = (1 << 63) - 1
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set (single-machine tests)."""
+    """The shared folder of the cluster. A folder of our own only where none is set and all runs on this machine, as in tests; elsewhere a missing setting is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="kinetext-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)

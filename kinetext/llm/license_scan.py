@@ -22,8 +22,8 @@ from . import common as C
 
 #: Words of a gram, how far diagonals may lie apart to merge, and the share of a template's grams that a span must have.
 K, DRIFT, SHARE = 2, 3, 0.6
-#: A span remembers which of its template's grams it has in this many longs.
-MASKS = 2
+#: A span remembers which of its template's grams it has, this many to a long; the longest template says how many longs.
+MASK_BITS = 63
 
 
 @dataclass(frozen=True)
@@ -75,44 +75,43 @@ def find_licenses(docs: DataFrame, templates: list[Template] | None = None, text
     part of its grams found. Both are sorted by start. Null or empty text has
     no words and no finds. Repeated rows are scanned each. Columns of ``docs``
     named like a new one are replaced; its columns must be of types that can
-    be grouped.
+    be grouped, and may have any names.
     """
     templates = BASE + MORE if templates is None else templates
-    if any(len(t.text.split()) - K + 1 > 63 * MASKS for t in templates):
-        raise ValueError(f"a template has at most {63 * MASKS + K - 1} words")
+    lengths = [len(t.text.split()) - K + 1 for t in templates]
+    masks = range(-(-max([1, *lengths]) // MASK_BITS))
     spark = docs.sparkSession
     row = C.free_name(docs, "__row")
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "places", "spans", text_col.lower())]
-    keys = [row, *kept]
-    key_cols = [F.col(f"`{c}`") for c in keys]
     index = template_grams(spark, templates)
     index = C.sized_broadcast(index, F.length("a") + F.length("b"))
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
-    words = rows.select(*key_cols, words_of(F.col(f"`{text_col}`").cast("string")).alias("__words"))
-    pairs = words.select(*key_cols, F.posexplode_outer(grams(F.col("__words"))).alias("__at", "__gram"))
-    pairs = pairs.select(*key_cols, "__at", F.col("__gram.w").alias("__w"), F.col("__gram.x").alias("__x")).withColumn("hash", F.xxhash64("__w", "__x"))
-    same = (pairs["hash"] == index["hash"]) & (pairs["__w"] == index["a"]) & (pairs["__x"] == index["b"])
-    hits = pairs.join(index, same, "left").select(*key_cols, "__at", "no", F.when(F.col("no").isNotNull(), F.col("__at") - F.col("at")).alias("diagonal"), "at")
+    # The caller's columns travel as one struct, so that their names meet no others.
+    own = F.struct(F.monotonically_increasing_id().alias(row), *(F.col(f"`{c}`") for c in kept))
+    words = docs.select(own.alias("own"), words_of(F.col(f"`{text_col}`").cast("string")).alias("words"))
+    pairs = words.select("own", F.posexplode_outer(grams(F.col("words"))).alias("place", "gram"))
+    pairs = pairs.select("own", "place", F.col("gram.w").alias("w"), F.col("gram.x").alias("x")).withColumn("hash", F.xxhash64("w", "x"))
+    same = (pairs["hash"] == index["hash"]) & (pairs["w"] == index["a"]) & (pairs["x"] == index["b"])
+    hits = pairs.join(index, same, "left").select("own", "place", "no", F.when(F.col("no").isNotNull(), F.col("place") - F.col("at")).alias("diagonal"), "at")
     # A document's grams are in one task: the partial aggregate leaves a record for it and one for each of its diagonals.
-    grams_seen = [F.bit_or(F.when(F.col("at").between(63 * i, 63 * i + 62), F.expr(f"shiftleft(1L, at - {63 * i})"))).alias(f"g{i}") for i in range(MASKS)]
-    votes = hits.groupBy(*key_cols, "no", "diagonal").agg(F.count("__at").alias("n"), *grams_seen, F.max("__at").alias("last"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    meta = F.create_map(*(x for no, t in enumerate(templates) for x in (F.lit(no), F.struct(F.lit(t.label).alias("label"), F.lit(len(t.text.split()) - K + 1).alias("grams"), F.lit(t.base).alias("base")))))
+    grams_seen = [F.bit_or(F.when(F.col("at").between(MASK_BITS * i, MASK_BITS * (i + 1) - 1), F.expr(f"shiftleft(1L, at - {MASK_BITS * i})"))).alias(f"g{i}") for i in masks]
+    votes = hits.groupBy("own", "no", "diagonal").agg(F.count("place").alias("n"), *grams_seen, F.max("place").alias("last"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    meta = F.create_map(*(x for no, (t, n) in enumerate(zip(templates, lengths, strict=True)) for x in (F.lit(no), F.struct(F.lit(t.label).alias("label"), F.lit(n).alias("grams"), F.lit(t.base).alias("base")))))
     votes = votes.withColumn("t", F.element_at(meta, F.col("no")))
     exact = F.col("t.base") & (F.col("n") == F.col("t.grams"))
     # Neighbouring diagonals of one template merge while each is within DRIFT of the one before and starts near where it ends.
-    by = Window.partitionBy(row, "no").orderBy("diagonal")
+    by = Window.partitionBy("own", "no").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(by)
     votes = votes.withColumn("group", F.sum(F.when((gap <= DRIFT) & ~F.col("t.base"), 0).otherwise(1)).over(by))
-    spans = votes.groupBy(*key_cols, "no", "group").agg(
-        *(F.bit_or(f"g{i}").alias(f"g{i}") for i in range(MASKS)), F.max("last").alias("last"), F.min(F.col("diagonal") + F.col("lo")).alias("start"), F.max(F.col("diagonal") + F.col("hi") + K).alias("stop"),
+    spans = votes.groupBy("own", "no", "group").agg(
+        *(F.bit_or(f"g{i}").alias(f"g{i}") for i in masks), F.max("last").alias("last"), F.min(F.col("diagonal") + F.col("lo")).alias("start"), F.max(F.col("diagonal") + F.col("hi") + K).alias("stop"),
         F.max(exact).alias("exact")).withColumn("t", F.element_at(meta, F.col("no")))
-    share = reduce(add, (F.coalesce(F.bit_count(f"g{i}"), F.lit(0)) for i in range(MASKS))) / F.col("t.grams")
+    share = reduce(add, (F.coalesce(F.bit_count(f"g{i}"), F.lit(0)) for i in masks)) / F.col("t.grams")
     place = F.when(F.col("exact"), F.struct(F.col("start"), F.col("t.label").alias("label")))
     span = F.when(~F.col("t.base") & (share >= SHARE) & (F.col("stop") - F.col("start") <= 2 * (F.col("t.grams") + K)), F.struct("start", "stop", F.col("t.label").alias("label"), share.alias("share")))
-    out = spans.groupBy(*key_cols).agg(
-        F.max(F.col("last") + 1).alias("__most"),
+    out = spans.groupBy("own").agg(
+        F.max(F.col("last") + 1).alias("most"),
         F.array_sort(F.collect_list(place)).alias("places"), F.array_sort(F.collect_list(span)).alias("spans"))
-    return out.select(*(F.col(f"`{c}`") for c in kept), F.coalesce("__most", F.lit(0)).cast("long").alias("n_words"), "places", "spans")
+    return out.select(*(F.col(f"own.`{c}`") for c in kept), F.coalesce("most", F.lit(0)).cast("long").alias("n_words"), "places", "spans")
 
 
 def summarize(found: DataFrame) -> DataFrame:

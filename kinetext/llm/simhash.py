@@ -9,6 +9,7 @@ some v has even products with them all: under that mask the two agree.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +22,21 @@ from . import common as C
 from .components import connected_components
 
 RADIUS, WORDS, SEED = 3, 3, 42
-#: Fingerprints of a bucket that are compared in one task; larger buckets are split by a second set of masks.
+#: Fingerprints of a bucket that are compared in one task; larger buckets are split by the next cover.
 BUCKET = 4096
+#: One in so many fingerprints is looked at to see which buckets are large.
+SAMPLE = 16
 
 
-def cover(shift: int, radius: int = RADIUS) -> list[int]:
-    """The masks; ``shift`` gives another assignment of vectors to bits."""
+def cover(step: int, turn: int, radius: int = RADIUS) -> list[int]:
+    """The masks; ``step`` and ``turn`` say which bit has which vector."""
     n = (1 << (radius + 1)) - 1
-    vectors = [((b * (2 * shift + 1) + (b // n) * shift * 4 + shift) % n) + 1 for b in range(64)]
+    vectors = [(b * step + b // n * turn) % n + 1 for b in range(64)]
     return [sum(1 << b for b in range(64) if (vectors[b] & v).bit_count() % 2 == 1) for v in range(1, n + 1)]
 
 
-MASKS, MASKS_2 = cover(0), cover(3)
+#: Fingerprints that agree under a mask of each of the three covers differ in at most 12 bits: no more than 4096 do.
+COVERS = [cover(1, 0), cover(5, 6), cover(2, 11)]
 
 
 def signed(x: int) -> int:
@@ -105,84 +109,88 @@ def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _bucket_links(radius: int, limit: int | None):
-    """Links within runs of equal (table, key) in sorted rows; a run over ``limit`` is handed on instead.
+    """Links within runs of equal keys in sorted rows (key, fp); a run over ``limit`` is handed on instead.
 
-    Out: kind 0, a and b linked; kind 1, a row of a large bucket: table, key, fingerprint, representative.
+    Out: kind 0, fingerprints a and b are linked; kind 1, fingerprint a of a large bucket.
     """
-    names = ["kind", "tab", "key", "fp", "a", "b"]
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names=names)
+    def out(large: list[np.ndarray], pairs: list[np.ndarray]) -> pa.RecordBatch:
+        rest, linked = (np.concatenate([np.zeros((0, 2), np.int64), *x]) for x in (large, pairs))
+        kind = np.repeat(np.array([1, 0], np.int32), [len(rest), len(linked)])
+        none = np.zeros(len(linked), np.int64)
+        columns = [kind, np.concatenate([rest[:, 0], none]), np.concatenate([rest[:, 1], linked[:, 0]]), np.concatenate([np.zeros(len(rest), np.int64), linked[:, 1]])]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "key", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None  # rows of the run that the last batch ended in
-        large: tuple | None = None  # the run that has been found too large
+        rest = np.zeros((0, 2), np.int64)  # rows of the run that the last batch ended in
+        large: int | None = None  # the key of that run, if it has been found too large
 
-        def close(run_rows: np.ndarray) -> list[tuple]:
-            links = _forest(run_rows[:, 2].view(np.uint64), radius)
-            return [(0, 0, 0, 0, int(run_rows[i, 3]), int(run_rows[j, 3])) for i, j in links]
+        def close(own: np.ndarray) -> np.ndarray:
+            edges = _forest(own[:, 1].view(np.uint64), radius) if len(own) > 1 else []
+            return own[np.array(edges, np.int64).reshape(-1, 2), 1]
 
         for batch in batches:
-            rows = np.stack([np.asarray(batch.column(c).cast(pa.int64())) for c in ("tab", "key", "fp", "rep")], 1)
-            found: list[tuple] = []
+            rows = np.stack([np.asarray(batch.column(c)) for c in ("key", "fp")], 1)
+            handed, pairs = [], []
             if large is not None:
-                same = (rows[:, 0] == large[0]) & (rows[:, 1] == large[1])
-                stop = int(np.argmin(same)) if not same.all() else len(rows)
-                found += [(1, int(t), int(k), int(f), int(r), 0) for t, k, f, r in rows[:stop]]
+                stop = int(np.searchsorted(rows[:, 0] != large, True))
+                handed.append(rows[:stop])
                 rows = rows[stop:]
-                if len(rows):
-                    large = None
-            if rest is not None and len(rows):
-                rows, rest = np.concatenate([rest, rows]), None
+                large = None if len(rows) else large
+            rows = np.concatenate([rest, rows])
+            rest = rows[:0]
             if len(rows):
-                change = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1
-                starts = np.concatenate([[0], change])
+                starts = np.concatenate([[0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1])
                 sizes = np.diff(np.concatenate([starts, [len(rows)]]))
-                pairs = starts[:-1][sizes[:-1] == 2]
-                near = np.bitwise_count(rows[pairs, 2].view(np.uint64) ^ rows[pairs + 1, 2].view(np.uint64)) <= radius
-                found += [(0, 0, 0, 0, int(a), int(b)) for a, b in zip(rows[pairs[near], 3], rows[pairs[near] + 1, 3], strict=True)]
+                two = starts[:-1][sizes[:-1] == 2]
+                near = two[np.bitwise_count((rows[two, 1] ^ rows[two + 1, 1]).view(np.uint64)) <= radius]
+                pairs.append(np.stack([rows[near, 1], rows[near + 1, 1]], 1))
                 for i in np.flatnonzero(sizes > 2):
                     own = rows[starts[i] : starts[i] + sizes[i]]
                     if limit and sizes[i] > limit:
-                        found += [(1, int(t), int(k), int(f), int(r), 0) for t, k, f, r in own]
+                        handed.append(own)
                         if i == len(sizes) - 1:
-                            large = (own[0, 0], own[0, 1])
+                            large = int(own[0, 0])
                     elif i < len(sizes) - 1:
-                        found += close(own)
+                        pairs.append(close(own))
                 if large is None:
                     rest = rows[starts[-1] :]
-            yield out(found)
-        if rest is not None and len(rest) > 1:
-            yield out(close(rest))
+            yield out(handed, pairs)
+        yield out([], [close(rest)])
 
     return run
 
 
-LINKS = "kind int, tab int, key long, fp long, a long, b long"
-
-
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """A spanning set of the links among distinct fingerprints ``fp`` with node ``rep``: columns a, b.
+    """A spanning set of the links among distinct fingerprints ``fp``: columns a, b (fingerprints).
 
-    Every pair within the radius ends up connected. A bucket of more than
-    ``bucket`` fingerprints is split by a second set of masks; rows that agree
-    under masks of both sets differ in at most 17 bits, which bounds the
-    second buckets.
+    Every pair within the radius ends up connected. Buckets of more than about
+    ``bucket`` fingerprints are split by the next cover, and once more by the
+    last one, after which a bucket has 4096 at most. Buckets that a sample
+    shows to be large skip their own task; others that turn out large are
+    handed on as they stream by.
     """
-
-    def keyed(df: DataFrame, masks: list[int], more: list) -> DataFrame:
-        tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for i, m in enumerate(masks)))
-        return df.select(*more, "fp", "rep", F.explode(tables).alias("x"))
-
-    def linked(df: DataFrame, limit: int | None) -> DataFrame:
-        return df.repartition("tab", "key").sortWithinPartitions("tab", "key").mapInArrow(_bucket_links(radius, limit), LINKS)
-
-    first = keyed(distinct, MASKS, []).select(F.col("x.t").alias("tab"), F.col("x.k").alias("key"), "fp", "rep")
-    found = C.materialize(linked(first, bucket), "links")
-    hot = keyed(found.where("kind = 1").select("tab", "key", "fp", F.col("a").alias("rep")), MASKS_2, ["tab", "key"])
-    hot = hot.select((F.col("tab") * 16 + F.col("x.t")).alias("tab"), F.xxhash64("key", "x.k").alias("key"), "fp", "rep")
-    return found.where("kind = 0").select("a", "b").unionByName(linked(hot, None).where("kind = 0").select("a", "b"))
+    rows, found = distinct.select(F.lit(0).cast("long").alias("path"), "fp"), []
+    for level, masks in enumerate(COVERS):
+        last = level == len(COVERS) - 1
+        # A bucket's key hashes the way to it; should two keys meet, their rows are compared for nothing.
+        keys = F.array(*(F.xxhash64("path", F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)))
+        keyed = rows.select("fp", F.explode(keys).alias("key"))
+        crowded = keyed.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(SAMPLE, bucket // (2 * SAMPLE))).select("key")
+        crowded = None if last else C.materialize(crowded, "crowded")
+        if crowded is not None and crowded.isEmpty():
+            crowded = None
+        small = keyed if crowded is None else keyed.join(C.sized_broadcast(crowded, F.lit(8)), "key", "left_anti")
+        linked = small.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(radius, None if last else bucket), "kind int, key long, a long, b long")
+        linked = C.materialize(linked, "links")
+        found.append(linked.where("kind = 0").select("a", "b"))
+        rows = linked.where("kind = 1").select(F.col("key").alias("path"), F.col("a").alias("fp"))
+        if crowded is not None:
+            rows = rows.unionByName(keyed.join(C.sized_broadcast(crowded, F.lit(8)), "key", "left_semi").select(F.col("key").alias("path"), "fp"))
+        if rows.isEmpty():
+            break
+        rows = C.materialize(rows, "crowd")
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -191,22 +199,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The component is the smallest id reachable over fingerprints that differ
     in at most ``radius`` bits (at most 3). Rows with equal fingerprints are
     one node, so large groups of copies never meet as pairs. Rows with a null
-    id keep their fingerprint and get the smallest non-null id of their
-    component, or null. An empty table gives an empty table.
+    id link like any other, keep their fingerprint and get the smallest
+    non-null id of their component, or null where there is none. An empty
+    table gives an empty table.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the masks cover radii up to {RADIUS}")
     prints = C.materialize(fingerprints(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "text", drop_text=True), "prints")
     nodes = C.materialize(prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("rep")), "nodes")
-    real = nodes.where("rep is not null")
-    parts = connected_components(links(real, radius))
-    label = nodes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("simhash"), F.coalesce("component", "rep").alias("component_id"))
+    # Only fingerprints that have a link, a part of all, are labelled anew.
+    parts = connected_components(links(nodes.select("fp"), radius))
+    linked = C.materialize(nodes.join(C.sized_broadcast(parts, F.lit(16)), F.col("fp") == F.col("node")).select("fp", "rep", "component"), "linked")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    least = linked.join(C.sized_broadcast(least, F.lit(16)), "component").select(F.col("fp").alias("linked_fp"), "least")
+    label = nodes.join(C.sized_broadcast(least, F.lit(16)), F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("simhash"), F.coalesce("least", "rep").alias("component_id"))
     label = C.sized_broadcast(C.materialize(label, "labels"), F.lit(24))
     return prints.join(label, "simhash").select("doc_id", "simhash", "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id. Rows with a null id stay; of rows that repeat an id all stay or none."""
-    found = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    key = C.free_name(docs, "__gone")
+    found = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(key))
     gone = C.sized_broadcast(C.materialize(found.distinct(), "gone"), F.lit(8))
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")

@@ -61,12 +61,13 @@ def path_of(url: Column) -> Column:
 
 
 def rule_index(spark: SparkSession, addresses: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Columns token, no, regex: each rule under its token that the fewest addresses have, rules without a token under ''. A larger no decides first."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    counts = addresses.select(F.explode("tokens").alias("token")).where(F.col("token").isin(wanted)).groupBy("token").count()
-    seen = {r["token"]: r["count"] for r in counts.collect()} if wanted else {}  # one row per token of a rule at most
-    rows = [(min(r.tokens, key=lambda t: (seen.get(t, 0), t), default=""), no, r.regex) for no, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "token string, no int, regex string")
+    """Columns token, no, regex: each rule under its token that the fewest addresses (column tokens) have, rules without a token under ''. A larger no decides first."""
+    regexes = spark.createDataFrame([(no, r.regex) for no, r in enumerate(rules)], "no int, regex string")
+    held = spark.createDataFrame([(no, t) for no, r in enumerate(rules) for t in r.tokens], "no int, token string")
+    wanted = held.select("token").distinct()
+    counts = addresses.select(F.explode("tokens").alias("token")).join(C.sized_broadcast(wanted, F.length("token")), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = held.join(counts, "token", "left").groupBy("no").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token"))
+    return C.materialize(regexes.join(rarest, "no", "left").select(F.coalesce("token", F.lit("")).alias("token"), "no", "regex"), "rules")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -75,23 +76,23 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, url_col: str
     A null URL, or one without ://, has an empty host and path, fits no rule
     and gets the default. Repeated rows are judged each. Rules that tie in
     length are decided by name. Columns of ``pages`` named like a new one are
-    replaced; its columns must be of types that can be grouped (no maps).
+    replaced; its columns must be of types that can be grouped (no maps), and
+    may have any names.
     """
     rules = sorted(BASE_RULES + WORD_RULES if rules is None else rules, key=lambda r: (r.base, len(r.name), r.name))
     spark, url = pages.sparkSession, F.col(f"`{url_col}`").cast("string")
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "method_rule", "verdict")]
-    row, tokens = C.free_name(pages, "__row"), C.free_name(pages, "tokens")
-    split = pages.select(*(F.col(f"`{c}`") for c in kept), host_of(url).alias("host"), path_of(url).alias("path"))
+    row = C.free_name(pages, "__row")
+    # The caller's columns travel as one struct, so that their names meet no others.
+    own = F.struct(F.monotonically_increasing_id().alias(row), *(F.col(f"`{c}`") for c in kept))
+    split = pages.select(own.alias("own"), host_of(url).alias("host"), path_of(url).alias("path"))
     words = F.split(C.lower_az(F.concat("host", "path")), "[^0-9a-z]+")
-    split = split.withColumn(tokens, F.array_append(F.array_distinct(F.filter(words, lambda t: t != "")), F.lit("")))
-    index = rule_index(spark, split.select(F.col(tokens).alias("tokens")), rules)
-    index = C.sized_broadcast(index.withColumnsRenamed({"token": "__token", "no": "__no", "regex": "__regex"}), F.length("__regex"))
+    split = split.withColumn("tokens", F.array_append(F.array_distinct(F.filter(words, lambda t: t != "")), F.lit("")))
+    index = C.sized_broadcast(rule_index(spark, split.select("tokens"), rules), F.length("token") + F.length("regex"))
     # All tokens of a row are in one task, so the partial aggregate leaves one record of it to shuffle.
-    rows = split.withColumn(row, F.monotonically_increasing_id())
-    keys = [row, *kept, "host", "path"]
-    hits = rows.select(*(F.col(f"`{c}`") for c in keys), F.explode(tokens).alias("__token")).join(index, "__token", "left")
-    fits = F.expr("concat(host, path) rlike __regex")
-    best = hits.groupBy(*(F.col(f"`{c}`") for c in keys)).agg(F.max(F.when(fits, F.col("__no"))).alias("__best"))
-    names = spark.createDataFrame([(no, r.name if r.base else None, None if r.base else r.name, r.verdict) for no, r in enumerate(rules)], "__best int, rule string, method_rule string, __verdict string")
-    done = best.join(C.sized_broadcast(names, F.lit(200)), "__best", "left")
-    return done.select(*(F.col(f"`{c}`") for c in kept), "host", "path", "rule", "method_rule", F.coalesce("__verdict", F.lit(default)).alias("verdict"))
+    hits = split.select("own", "host", "path", F.explode("tokens").alias("token")).join(index, "token", "left")
+    fits = F.expr("concat(host, path) rlike regex")
+    best = hits.groupBy("own", "host", "path").agg(F.max(F.when(fits, F.col("no"))).alias("best"))
+    names = spark.createDataFrame([(no, r.name if r.base else None, None if r.base else r.name, r.verdict) for no, r in enumerate(rules)], "best int, rule string, method_rule string, said string")
+    done = best.join(C.sized_broadcast(names, F.lit(200)), "best", "left")
+    return done.select(*(F.col(f"own.`{c}`") for c in kept), "host", "path", "rule", "method_rule", F.coalesce("said", F.lit(default)).alias("verdict"))

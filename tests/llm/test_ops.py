@@ -3,6 +3,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -277,23 +278,68 @@ def test_simhash(spark, docs):
 
 def test_covering_masks():
     rng = random.Random(1)
-    for masks in (simhash.MASKS, simhash.MASKS_2):
+    for masks in simhash.COVERS:
         for _ in range(3000):
             d = sum({1 << b: 0 for b in rng.sample(range(64), 3)})
             assert any(d & m == 0 for m in masks)
-    full = (1 << 64) - 1
-    assert max((full & ~(a | b)).bit_count() for a in simhash.MASKS for b in simhash.MASKS_2) <= 21
+    full, one, two, three = (1 << 64) - 1, *simhash.COVERS
+    assert max((full & ~(a | b | c)).bit_count() for a in one for b in two for c in three) == 12
+    assert 1 << 12 == simhash.BUCKET
 
 
 def test_large_buckets_are_split(spark):
     rng = random.Random(3)
     prints = sorted({sum(1 << b for b in rng.sample(range(64), 2)) for _ in range(400)})
-    distinct = spark.createDataFrame([(simhash.signed(p), i) for i, p in enumerate(prints)], "fp long, rep long")
     want = brute.components(dict(enumerate(prints)))
     for bucket in (5, 4096):
-        edges = simhash.links(distinct, bucket=bucket)
+        edges = simhash.links(spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long"), bucket=bucket)
         got = {r["node"]: r["component"] for r in simhash.connected_components(edges).collect()}
-        assert {i: got.get(i, i) for i in range(len(prints))} == want
+        groups = {}
+        for i, p in enumerate(prints):
+            groups.setdefault(got.get(simhash.signed(p), simhash.signed(p)), []).append(i)
+        assert {i: min(own) for own in groups.values() for i in own} == want
+
+
+def test_one_bucket_of_200_000_fingerprints(spark):
+    free = [b for b in range(64) if not simhash.COVERS[0][0] >> b & 1][:22]  # bits that the first mask leaves out
+    rng = np.random.default_rng(5)
+    few = np.sort(rng.choice(1 << len(free), 200_000, replace=False))
+    prints = sum(((few >> i & 1) << b for i, b in enumerate(free)), np.zeros(len(few), np.int64))
+    root = np.arange(len(few))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for bit in range(len(free)):  # those that differ in one bit
+        other = few ^ (1 << bit)
+        at = np.minimum(np.searchsorted(few, other), len(few) - 1)
+        for i in np.flatnonzero((few[at] == other) & (few < other)).tolist():
+            x, y = sorted((top(i), top(int(at[i]))))
+            root[y] = x
+    want = np.array([top(i) for i in range(len(few))])
+    edges = simhash.links(spark.createDataFrame(pd.DataFrame({"fp": prints})), radius=1)
+    got = simhash.connected_components(edges).toPandas()
+    place = dict(zip(prints.tolist(), range(len(prints)), strict=True))
+    label = np.arange(len(few))
+    label[[place[x] for x in got["node"].tolist()]] = [place[x] for x in got["component"].tolist()]
+    least = {}
+    for i, x in enumerate(label.tolist()):
+        least.setdefault(x, i)
+    assert [least[x] for x in label.tolist()] == want.tolist()
+
+
+def test_fingerprints_without_an_id_link(spark):
+    texts = ["one two three four five six seven eight nine", "ten eleven twelve thirteen"]
+    df = spark.createDataFrame([(None, texts[0]), (7, texts[0]), (None, texts[1]), (None, None)], "doc_id long, text string")
+    assert rows(simhash.near_duplicates(df), "doc_id", "component_id") == sorted([(None, 7), (7, 7), (None, None), (None, None)], key=repr)
+    # Between two documents stands a fingerprint that only a row without an id has.
+    found = spark.createDataFrame([(4, 0b1), (None, 0b1111), (9, 0b1111111)], "doc_id long, simhash long")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash, "fingerprints", lambda *_, **__: found)
+        assert rows(simhash.near_duplicates(df), "doc_id", "component_id") == sorted([(4, 4), (None, 4), (9, 4)], key=repr)
 
 
 def test_components_of_chains_and_hubs(spark):
@@ -372,12 +418,35 @@ def test_graph_walk_finds_the_nearest():
     assert found >= 0.9 * 600
 
 
-def test_clashing_and_extra_columns(spark):
-    df = odd(spark).withColumns({c: F.lit(1) for c in ("n_lines", "__text", "__doc", "doc", "digest", "n_words", "simhash", "host", "token_ids", "findings", "Language", "places", "__row", "segment", "__declaredk", "suffix")})
+#: Names that operators give their own columns.
+INNER = """
+    a at b best body chosen code component count crowded declared diagonal digest doc evidence exact findings first fp free g g0 g1 gram group grams hash hi hit_spans host id item_ids key kind
+    label labels language last least linked linked_fp lo lost lang m marks mean meta most n n_dropped n_hit n_lines n_tokens n_words name no node own part path place places prior probability q
+    regex rep row rule said scores segment seen share simhash size spans start stop style suffix t told token token_ids tokens v verdict w words x decoded ids_text component_id
+    __at __best __body __declared __declaredk __declaredp __dense __doc __free __gone __gram __hk __host __hs __id __label __lost __m __meta __most __n __no __place __prior __quality __regex __row
+    __size __style __suffix __suffixk __suffixp __t __text __told __token __toxic __v __verdict __w __words __x
+""".split()
+
+
+def test_clashing_and_extra_columns(spark, sf):
+    df = odd(spark).select("doc_id", "text", F.col("lang").alias("code_of_language"), "source", "n_chars", *(F.lit(1).alias(c) for c in INNER))
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
-    model = language_id.fit_text_model(df, "text", "lang", "doc_id")
-    for out in (line_dedup.dedup_lines(df), decontaminate.decontaminate(df, bench), bpe.encode(df, queries.VOCABULARY), secret_scan.find_secrets(df), license_scan.find_licenses(df), simhash.dedup(df), language_id.identify(df, model, declared_col="lang", host_col="source"), url_filter.filter_urls(df.withColumnRenamed("text", "url"))):
-        assert out.count() > 0 and len({c.lower() for c in out.columns}) == len(out.columns)
+    label = spark.createDataFrame([(i, i % 2, 0) for i in range(9)], "doc_id long, quality int, toxic int").withColumns({c: F.lit(1) for c in ("n", "__id", "t")})
+    model = language_id.fit_text_model(df, "text", "code_of_language", "doc_id")
+    found = {
+        "lines": line_dedup.dedup_lines(df), "bench": decontaminate.decontaminate(df, bench), "hits": decontaminate.find_contamination(df, bench, block_words=1), "bpe": bpe.encode(df, queries.VOCABULARY),
+        "round": bpe.encode_and_decode(df, queries.VOCABULARY), "secrets": secret_scan.find_secrets(df), "licenses": license_scan.find_licenses(df), "copies": simhash.dedup(df),
+        "languages": language_id.identify(df, model, declared_col="code_of_language", host_col="source"), "urls": url_filter.filter_urls(df.withColumnRenamed("text", "url")),
+        "quality": quality.score_quality(df, label, meta_cols=("source", "code_of_language")),
+    }
+    for name, out in found.items():
+        assert out.count() > 0 and len({c.lower() for c in out.columns}) == len(out.columns), name
+        kept = [c for c in INNER if c in out.columns and dict(out.dtypes)[c] == "int"]
+        assert len(kept) > len(INNER) - 12 and out.where(" or ".join(f"`{c}` <> 1" for c in kept)).isEmpty(), name
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumns({c: F.lit(1) for c in INNER})
+    assert language_id.identify_pages(pages, odd(spark)).count() == pages.count()
+    vectors = spark.createDataFrame([(i * 50, [float(i), 1.0]) for i in range(9)], "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in INNER})
+    assert ann.search(vectors, k=2).count() == 10
 
 
 def test_empty_tables(spark):
