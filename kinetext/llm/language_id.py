@@ -58,7 +58,12 @@ class Grams:
 
 
 def fit_text_model(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], Grams | None]:
-    """(all declared languages, log probability of each trigram in each): counted on the workers over about ``sample`` documents a language."""
+    """(all declared languages, log probability of each trigram in each): counted on the workers over about ``sample`` documents a language.
+
+    Rows with a null label or text are left out; an empty text counts for its
+    label with no trigrams. Rows that repeat each count. Without labels there
+    are no languages and no model.
+    """
     label, text, place = (C.free_name(labelled, x) for x in ("__label", "__body", "__place"))
     # A document is taken if its id's hash, even over 2^32, is below its language's share.
     known = labelled.select(F.col(f"`{label_col}`").cast("string").alias(label), F.col(f"`{text_col}`").cast("string").alias(text), F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 32)).alias(place))
@@ -101,17 +106,18 @@ def text_scores(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np
 
 
 def host_and_suffix(url: Column) -> tuple[Column, Column]:
+    """The host after the first ://, with A-Z lower-cased, without user and port, and what follows its last dot; null where there is none (also for a null URL)."""
     host = F.regexp_extract(C.lower_az(url), r"://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     return F.nullif(host, F.lit("")), F.nullif(F.substring_index(host, ".", -1), F.lit(""))
 
 
 def markup_language(html: Column) -> Column:
-    """The primary language that a page's html element declares, or null."""
+    """The primary language that the first html element with a lang declares, wherever it stands; null without one, or for null or empty html."""
     return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
 
 
 def visible_text(html: Column) -> Column:
-    """A page's text without scripts, styles, comments and tags."""
+    """A page's text without scripts, styles, comments and tags; null for null. A tag, comment or script that is never closed stays as text."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
     return F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"&#?\w+;", " ")
 
@@ -133,21 +139,20 @@ def identify(docs: DataFrame, model: tuple[list[str], Grams | None], text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(table)  # trigrams that occur, of each language
     L = len(languages)
     some = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
-    names = {x: C.free_name(docs, "__" + x) for x in ("declared", "suffix", "host", "prior", "told", "hk", "hs", "declaredk", "declaredp", "suffixk", "suffixp")}
-    declared, suffix, host, prior, told, hk, hs, dk, dp, sk, sp = names.values()
+    names = {x: C.free_name(docs, "__" + x) for x in ("declared", "suffix", "host", "prior", "told", "hk", "hs", "declaredk", "declaredp", "suffixk", "suffixp", "grams", "best", "mean")}
+    declared, suffix, host, prior, told, hk, hs, dk, dp, sk, sp, grams, best, mean_of = names.values()
     docs = C.as_text(docs, text_col)
     with_evidence = docs.withColumns({declared: F.lower(some(declared_col)), suffix: some(suffix_col), host: some(host_col)})
 
-    # What the texts alone say, by host, suffix and declaration.
-    def guess(batches):
-        for batch in batches:
-            for part in C.slices(batch, text_col):
-                count, mean = shared.value.scores(*C.view(part.column(text_col)))
-                best = pa.array(np.where(count > 0, mean.argmax(1), -1).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(host), part.column(suffix), part.column(declared), best], names=["host", "suffix", "declared", "best"])
+    # What the texts alone say. They are read once; the rest works on the scores.
+    def score(part: pa.RecordBatch) -> dict:
+        count, mean = shared.value.scores(*C.view(part.column(text_col)))
+        return {grams: pa.array(count), best: pa.array(np.where(count > 0, mean.argmax(1), -1).astype(np.int32)), mean_of: pa.array([x.tobytes() for x in mean], pa.binary())}
 
-    seen = with_evidence.select(F.col(f"`{text_col}`"), host, suffix, declared).mapInArrow(guess, "host string, suffix string, declared string, best int").where("best >= 0")
-    seen = C.materialize(seen.groupBy("host", "suffix", "declared", "best").agg(F.count(F.lit(1)).alias("n")), "seen")
+    fields = [T.StructField(grams, T.LongType()), T.StructField(best, T.IntegerType()), T.StructField(mean_of, T.BinaryType())]
+    scored = C.materialize(C.add_columns(with_evidence, score, fields, text_col, drop=(text_col,) * drop_text), "scored")
+    seen = scored.where(F.col(best) >= 0).groupBy(F.col(host).alias("host"), F.col(suffix).alias("suffix"), F.col(declared).alias("declared"), F.col(best).alias("best"))
+    seen = C.materialize(seen.agg(F.count(F.lit(1)).alias("n")), "seen")
 
     def shares(keys: list[str]) -> DataFrame:
         """Counts of each language for each value of the keys, as an array."""
@@ -167,7 +172,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Grams | None], text_col: s
     def given(column: str) -> DataFrame:
         return shares([column]).where(f"{column} is not null").select(F.col(column).alias(names[column + "k"]), F.zip_with("c", literal(np.array(total) + EVEN_WEIGHT), lambda c, t: F.log((c + EVEN_WEIGHT * 0.05) / t)).alias(names[column + "p"]))
 
-    out = with_evidence
+    out = scored
     for side, on in ((hosts, (F.col(host) == F.col(hk)) & (F.coalesce(F.col(suffix), F.lit("")) == F.col(hs))), (given("declared"), F.col(declared) == F.col(dk)), (given("suffix"), F.col(suffix) == F.col(sk))):
         out = out.join(C.sized_broadcast(C.materialize(side, "evidence"), F.lit(64 + 8 * L)), on, "left")
     zero = literal([0.0] * L)
@@ -176,23 +181,23 @@ def identify(docs: DataFrame, model: tuple[list[str], Grams | None], text_col: s
     out = out.drop(hk, hs, prior, dk, dp, sk, sp, declared, suffix, host)
 
     def fuse(part: pa.RecordBatch) -> dict:
-        count, mean = shared.value.scores(*C.view(part.column(text_col)))
+        count, mean = np.asarray(part.column(grams)), C.view(part.column(mean_of))[0].copy().view(float).reshape(-1, L)
         extra = np.asarray(part.column(told).flatten()).reshape(-1, L)
         log = mean * (np.minimum(count, MOST_GRAMS) * TEMPER)[:, None] + extra
         p = np.exp(log - log.max(1, keepdims=True)) if len(log) else log
         p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
-        sure = p[np.arange(len(p)), best]
-        gain = mean[np.arange(len(p)), best] + np.log(X.GRAMS)
+        best_ = p.argmax(1)
+        sure = p[np.arange(len(p)), best_]
+        gain = mean[np.arange(len(p)), best_] + np.log(X.GRAMS)
         names_ = np.array(languages, object)
         return {
-            "language": pa.array(names_[best], pa.string()), "probability": pa.array(sure, pa.float64()),
+            "language": pa.array(names_[best_], pa.string()), "probability": pa.array(sure, pa.float64()),
             "text_language": pa.array(np.where(count > 0, names_[mean.argmax(1)], None), pa.string()),
             "accepted": pa.array((count > 0) & (sure >= least) & (gain >= LEAST_GAIN)),
         }
 
     fields = [T.StructField("language", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("text_language", T.StringType()), T.StructField("accepted", T.BooleanType())]
-    return C.add_columns(out, fuse, fields, text_col, drop=(told, text_col) if drop_text else (told,))
+    return C.add_columns(out, fuse, fields, mean_of, drop=(told, grams, best, mean_of))
 
 
 def identify_documents(docs: DataFrame, sample: int = SAMPLE, drop_text: bool = False) -> DataFrame:
@@ -202,7 +207,13 @@ def identify_documents(docs: DataFrame, sample: int = SAMPLE, drop_text: bool =
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Pages: language of the html element, suffix and host of the URL, and the visible text; fitted on documents of declared language."""
+    """Pages (page_id, url, html): language of the html element, suffix and host of the URL, and the visible text; fitted on documents of declared language.
+
+    A null or odd URL gives no host and no suffix, null html no declaration
+    and no text; such a page is judged by what it has, and rejected without
+    text. Other columns of ``pages`` are left out. Repeated rows each get
+    their result.
+    """
     model = fit_text_model(docs, "text", "lang", "doc_id", sample)
     host, suffix = host_and_suffix(F.col("url"))
     ready = pages.select("page_id", "url", visible_text(F.col("html")).alias("text"), markup_language(F.col("html")).alias("declared"), host.alias("host"), suffix.alias("suffix"))

@@ -98,14 +98,29 @@ def fit(x: Sparse, y: np.ndarray, start: np.ndarray | None = None) -> Generator[
     return w
 
 
-def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that turn scores into log odds (Platt), by Newton's method."""
-    a = np.array([0.5, 0.0])
-    x = np.stack([score, np.ones(len(score))], 1)
-    for _ in range(30):
+def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, ridge: float) -> np.ndarray:
+    """Logistic regression on few columns, drawn towards ``start``: Newton steps, halved until the loss falls."""
+
+    def loss(a: np.ndarray) -> float:
+        z = x @ a
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * ((a - start) ** 2).sum())
+
+    a = start
+    for _ in range(50):
         p = sigmoid(x @ a)
-        h = x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
-        a = a - np.linalg.solve(h, x.T @ (p - y) + 1e-2 * a)
+        h = x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(a))
+        step, now = np.linalg.solve(h, x.T @ (p - y) + ridge * (a - start)), loss(a)
+        while np.abs(step).max() > 1e-9 and loss(a - step) > now:
+            step = step / 2
+        a = a - step
+        if np.abs(step).max() <= 1e-9:
+            break
+    return a
+
+
+def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset that turn scores into log odds (Platt)."""
+    a = logistic(np.stack([score, np.ones(len(score))], 1), y, np.array([0.5, 0.0]), 1e-2)
     return max(float(a[0]), 0.0), float(a[1])
 
 
@@ -204,12 +219,7 @@ def co_train_all(text: Sparse, meta: Sparse, ys: list[np.ndarray], crowd, rounds
         _, _, x_held, y_held = parts[t]
         scales = [calibrate(x.dot(w), y_held) for x, w in zip(x_held, fits[t], strict=True)]
         odds = np.stack([a * x.dot(w) + b for (a, b), x, w in zip(scales, x_held, fits[t], strict=True)] + [np.ones(len(y_held))], 1)
-        mix = np.array([1.0, 0.3, 0.0])
-        for _ in range(30):
-            p = sigmoid(odds @ mix)
-            h = odds.T @ (odds * (p * (1 - p))[:, None]) + 0.1 * np.eye(3)
-            mix = mix - np.linalg.solve(h, odds.T @ (p - y_held) + 0.1 * (mix - np.array([1.0, 0.3, 0.0])))
-        models[t] = Model(*fits[t], scales, mix)
+        models[t] = Model(*fits[t], scales, logistic(odds, y_held, np.array([1.0, 0.3, 0.0]), 0.1))
     return models
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -107,3 +109,130 @@ def url(address: str | None) -> tuple:
     host = host.translate(AZ)
     fits = [(len(h + p), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else None
+
+
+def letter_class(b: int) -> int:
+    return b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 + (b & 0x3F) % 37 if b >= 128 else 0
+
+
+def letter_trigrams(text: str | None) -> list[tuple[int, int, int]]:
+    c = [letter_class(b) for b in (text or "").encode()]
+    return [x for x in zip(c, c[1:], c[2:], strict=False) if any(x)]
+
+
+def languages(train: list[tuple], docs: list[tuple]) -> list[tuple]:
+    """train: (text, language); docs: (text, declared, host, suffix) -> (language, probability, text_language, accepted)."""
+    seen = defaultdict(Counter)
+    for text, lang in train:
+        if lang is not None and text is not None:
+            seen[lang].update(letter_trigrams(text))
+    names = sorted(seen)
+    total = {x: sum(seen[x].values()) + 0.5 * (1 << 18) for x in names}
+    mean = []
+    for text, *_ in docs:
+        grams = letter_trigrams(text)
+        mean.append((len(grams), [sum(math.log((seen[x][g] + 0.5) / total[x]) for g in grams) / max(len(grams), 1) for x in names]))
+    best = [max(range(len(names)), key=lambda i: (m[i], -i)) if n else None for n, m in mean]
+    lower = lambda x: x and x.lower()
+    found = [(b, lower(d[1]), d[2], d[3]) for b, d in zip(best, docs, strict=True) if b is not None]
+    count = lambda keep: [sum(1 for f in found if f[0] == i and keep(f)) for i in range(len(names))]
+    smooth = lambda own, parent, weight: [(c + p * weight) / (sum(own) + weight) for c, p in zip(own, parent, strict=True)]
+    whole = count(lambda f: True)
+    corpus = [(c + 1) / (sum(whole) + len(names)) for c in whole]
+    out = []
+    for (n, m), (_, declared, host, suffix) in zip(mean, docs, strict=True):
+        prior = corpus
+        if host is not None and any(f[2] == host and f[3] == suffix for f in found):
+            parent = smooth(count(lambda f: f[3] == suffix), corpus, 50) if suffix is not None else corpus
+            prior = smooth(count(lambda f: f[2] == host and f[3] == suffix), parent, 20)
+        log = [x * min(n, 200) * 0.25 + math.log(p) for x, p in zip(m, prior, strict=True)]
+        for at, value in ((1, lower(declared)), (3, suffix)):
+            if value is not None and any(f[at] == value for f in found):
+                log = [x + math.log((c + 0.05) / (t + 1)) for x, c, t in zip(log, count(lambda f: f[at] == value), whole, strict=True)]
+        weight = [math.exp(x - max(log)) for x in log]
+        i = weight.index(max(weight))
+        sure = weight[i] / sum(weight)
+        say = names[max(range(len(names)), key=lambda j: (m[j], -j))] if n else None
+        out.append((names[i], sure, say, n > 0 and sure >= 0.5 and m[i] + math.log(1 << 18) >= 1.0))
+    return out
+
+
+def word_feature(word: str, bits: int = 14) -> int:
+    h = sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(word.encode())) % (1 << 64)
+    return (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64) >> 64 - bits
+
+
+STYLES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " ", "\n", None, ".,;:", "!?", "#$%&*@^~|<>=+_{}[]\\/")
+
+
+def co_training(docs: list[tuple], marks: dict[int, int], rounds: int = 4) -> dict[int, float]:
+    """docs: (id, text, source, lang, n_chars), ids distinct; marks: label of some ids -> probability of label 1 of every id."""
+
+    def dense(sets: list[set], more: list[list[float]]) -> np.ndarray:
+        names = sorted(set().union(*sets))
+        x = np.zeros((len(sets), len(names)))
+        for i, own in enumerate(sets):
+            for f in own:
+                x[i, names.index(f)] = 1 / math.sqrt(len(own))
+        return np.hstack([x, np.array(more), np.ones((len(sets), 1))])
+
+    def style(text: str) -> list[float]:
+        data = text.encode()
+        return [sum(b >= 128 if chars is None else chr(b) in chars and b < 128 for b in data) / max(len(data), 1) for chars in STYLES] + [math.log1p(len(data)) / 10]
+
+    text = dense([{word_feature(w) for w in words(d[1])} for d in docs], [style(d[1] or "") for d in docs])
+    hashed = lambda j, v: xxhash.xxh3_64_intdigest(f"{j}:{v if v is not None else chr(0)}") % 1024
+    # Two values of a document that hash alike count twice.
+    meta = dense([{hashed(0, d[2]), hashed(1, d[3])} for d in docs], [[math.log1p(max(d[4] or 0, 0)) / 10] for d in docs])
+    views = (text, meta)
+    place = {d[0]: i for i, d in enumerate(docs)}
+    order = sorted((i for i in marks if i in place), key=lambda i: int.from_bytes(xxhash.xxh64_digest(i.to_bytes(8, "little"), 42), "big", signed=True))
+    held, learn = [place[i] for i in order[::4]], [place[i] for j, i in enumerate(order) if j % 4]
+    y = np.array([marks.get(d[0], -1) for d in docs])
+    free = np.flatnonzero(y < 0)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    pseudo = [{}, {}]  # for each view: row -> what the other view says
+    weights: list = [None, None]
+
+    def fit(x: np.ndarray, start, crowd: dict, use: bool) -> np.ndarray:
+        w = np.zeros(x.shape[1]) if start is None else start.copy()
+        m, v = w * 0, w * 0
+        trust = 0.3 * min(1, len(learn) / max(len(crowd), 1)) if use else 0
+        rows = learn + list(crowd)
+        label = np.array([y[i] for i in learn] + list(crowd.values()))
+        weight = np.array([1.0] * len(learn) + [trust] * len(crowd))
+        for t in range(1, (60 if start is None else 15) + 1):
+            miss = (sigmoid(x[rows] @ w) - label) * weight
+            g = 1e-5 * w
+            for c in (0, 1):
+                g = g + x[rows].T @ (miss * (label == c)) * 0.5 / max((weight * (label == c)).sum(), 1e-9)
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w = w - 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        return w
+
+    def settled(z: np.ndarray, middle: list[float], ridge: float) -> np.ndarray:
+        """The one minimum of the log loss plus ridge/2 times the squared distance from the middle: steps between steepest descent and Newton's, more careful after each that fails."""
+        a, care = np.array(middle), 1.0
+        loss = lambda a: (np.logaddexp(0, z @ a) - y[held] * (z @ a)).sum() + ridge / 2 * ((a - middle) ** 2).sum()
+        for _ in range(2000):
+            p = sigmoid(z @ a)
+            slope = z.T @ (p - y[held]) + ridge * (a - middle)
+            b = a - np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + (ridge + care) * np.eye(len(a)), slope)
+            a, care = (b, care / 3) if loss(b) < loss(a) else (a, care * 2)
+        return a
+
+    def scales() -> list[tuple[float, float]]:
+        both = [settled(np.stack([x[held] @ w, np.ones(len(held))], 1), [0.5, 0.0], 1e-2) for x, w in zip(views, weights, strict=True)]
+        return [(max(a, 0.0), b) for a, b in both]
+
+    for r in range(rounds + 1):
+        if r:
+            for i, (a, b) in enumerate(scales()):
+                for row in free:
+                    p = sigmoid(a * (views[i][row] @ weights[i]) + b)
+                    if row not in pseudo[1 - i] and (p >= 0.95 or p <= 0.05):
+                        pseudo[1 - i][row] = int(p >= 0.95)
+        weights = [fit(views[i], weights[i], pseudo[i], r > 0) for i in range(2)]
+    odds = np.stack([a * (x @ w) + b for (a, b), x, w in zip(scales(), views, weights, strict=True)] + [np.ones(len(docs))], 1)
+    mix = settled(odds[held], [1.0, 0.3, 0.0], 0.1)
+    return {d[0]: float(p) for d, p in zip(docs, sigmoid(odds @ mix), strict=True)}

@@ -129,6 +129,31 @@ def test_language_id_scores_match_plain_sums(docs):
             assert np.allclose(mean[i], table[codes].astype(float).mean(0), atol=1e-4)
 
 
+def test_fused_evidence_matches_plain_version(spark, docs):
+    data = [(*d[:3], d[3] if d[0] % 5 else None, d[4]) for d in docs] + [d for d in ODD if d[0] != 8]
+    data = [(*d, None if i % 4 == 0 else "com" if i % 3 else "de") for i, d in enumerate(data)]
+    df = spark.createDataFrame(data, DOCS + ", tail string").repartition(3)
+    model = language_id.fit_text_model(df, "text", "lang", "doc_id", 1 << 20)
+    got = language_id.identify(df, model, declared_col="lang", host_col="source", suffix_col="tail")
+    want = brute.languages([(d[1], d[2]) for d in data], [(d[1], d[2], d[3], d[5]) for d in data])
+    keyed = lambda xs: sorted(((x[0], x[1]), x[2:]) for x in xs)
+    got = keyed([(str(r["doc_id"]), r["text"] or "", r["language"], r["text_language"] or "", r["accepted"], r["probability"]) for r in got.collect()])
+    want = keyed([(str(d[0]), d[1] or "", w[0], w[2] or "", w[3], w[1]) for d, w in zip(data, want, strict=True)])
+    assert [(k, x[:3]) for k, x in got] == [(k, x[:3]) for k, x in want]
+    assert np.allclose([x[3] for _, x in got], [x[3] for _, x in want], atol=1e-4)
+
+
+def test_fused_evidence_beats_text_alone(spark, docs):
+    known = [d for d in docs if d[1] and d[2]]
+    model = language_id.fit_text_model(spark.createDataFrame([d for d in known if d[0] % 2], DOCS), "text", "lang", "doc_id")
+    # One word of each document; hosts that mostly hold one language, and a declaration that is wrong for one in five.
+    others = sorted({d[2] for d in known})
+    short = [(d[0], " ".join(d[1].split()[:1]), others[0] if d[0] % 10 == 0 else d[2], f"{d[2]}-host{d[0] % 3}" if d[0] % 7 else "mixed", 1, d[2]) for d in known if d[0] % 2 == 0]
+    got = language_id.identify(spark.createDataFrame(short * 3, DOCS + ", truth string"), model, declared_col="lang", host_col="source").collect()
+    right = lambda name: np.mean([r[name] == r["truth"] for r in got])
+    assert right("language") > right("text_language") + 0.02 and right("language") > 0.9
+
+
 def test_pages_language(spark, sf):
     got = queries.page_language(spark, sf).collect()
     assert len(got) == 50 and sum(r["declared"] == r["language"] for r in got) >= 45
@@ -205,6 +230,17 @@ def test_co_training_on_workers_equals_one_process(spark):
     assert np.allclose([got[i] for i in order], want, atol=1e-6)
 
 
+def test_co_training_matches_plain_version(spark, docs):
+    data = [(*d[:4], d[4] if d[0] % 9 else None) for d in docs if len(d[1]) < 4000][:160]
+    marks = {d[0]: int((d[2] == "en") ^ (d[0] % 11 == 0)) for d in data[::2]}  # some labels are wrong
+    labels = spark.createDataFrame([(i, y, None) for i, y in marks.items()], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r["p_quality"] for r in quality.score_quality(spark.createDataFrame(data, DOCS).repartition(3), labels).collect()}
+    plain = brute.co_training([(d[0], d[1], d[3], d[2], d[4]) for d in data], marks)
+    got, want = (np.array([x[d[0]] for d in data]) for x in (found, plain))
+    assert np.abs(got - want).max() < 0.01
+    assert np.ptp(want) > 0.5
+
+
 def test_secrets(spark, docs):
     data = [*docs, *ODD, (70, "secret=token=abcdefghijklmnop password: token: abcdefghijklmnop APIKEY=\u017fecret=abcdefghijklmnop", "en", "s", 1)]
     got = secret_scan.find_secrets(spark.createDataFrame(data, DOCS))
