@@ -168,22 +168,21 @@ STYLES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "012345678
 def co_training(docs: list[tuple], marks: dict[int, int], rounds: int = 4) -> dict[int, float]:
     """docs: (id, text, source, lang, n_chars), ids distinct; marks: label of some ids -> probability of label 1 of every id."""
 
-    def dense(sets: list[set], more: list[list[float]]) -> np.ndarray:
-        names = sorted(set().union(*sets))
-        x = np.zeros((len(sets), len(names)))
-        for i, own in enumerate(sets):
-            for f in own:
-                x[i, names.index(f)] = 1 / math.sqrt(len(own))
-        return np.hstack([x, np.array(more), np.ones((len(sets), 1))])
+    def dense(features: list[list], more: list[list[float]]) -> np.ndarray:
+        names = sorted(set().union(*features))
+        x = np.zeros((len(features), len(names)))
+        for i, own in enumerate(features):
+            for f in own:  # two values of a row that hash alike count twice
+                x[i, names.index(f)] += 1 / math.sqrt(len(own))
+        return np.hstack([x, np.array(more), np.ones((len(features), 1))])
 
     def style(text: str) -> list[float]:
         data = text.encode()
         return [sum(b >= 128 if chars is None else chr(b) in chars and b < 128 for b in data) / max(len(data), 1) for chars in STYLES] + [math.log1p(len(data)) / 10]
 
-    text = dense([{word_feature(w) for w in words(d[1])} for d in docs], [style(d[1] or "") for d in docs])
+    text = dense([list({word_feature(w) for w in words(d[1])}) for d in docs], [style(d[1] or "") for d in docs])
     hashed = lambda j, v: xxhash.xxh3_64_intdigest(f"{j}:{v if v is not None else chr(0)}") % 1024
-    # Two values of a document that hash alike count twice.
-    meta = dense([{hashed(0, d[2]), hashed(1, d[3])} for d in docs], [[math.log1p(max(d[4] or 0, 0)) / 10] for d in docs])
+    meta = dense([[hashed(0, d[2]), hashed(1, d[3])] for d in docs], [[math.log1p(max(d[4] or 0, 0)) / 10] for d in docs])
     views = (text, meta)
     place = {d[0]: i for i, d in enumerate(docs)}
     order = sorted((i for i in marks if i in place), key=lambda i: int.from_bytes(xxhash.xxh64_digest(i.to_bytes(8, "little"), 42), "big", signed=True))
@@ -214,11 +213,11 @@ def co_training(docs: list[tuple], marks: dict[int, int], rounds: int = 4) -> di
         """The one minimum of the log loss plus ridge/2 times the squared distance from the middle: steps between steepest descent and Newton's, more careful after each that fails."""
         a, care = np.array(middle), 1.0
         loss = lambda a: (np.logaddexp(0, z @ a) - y[held] * (z @ a)).sum() + ridge / 2 * ((a - middle) ** 2).sum()
-        for _ in range(2000):
+        for _ in range(500):
             p = sigmoid(z @ a)
             slope = z.T @ (p - y[held]) + ridge * (a - middle)
             b = a - np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + (ridge + care) * np.eye(len(a)), slope)
-            a, care = (b, care / 3) if loss(b) < loss(a) else (a, care * 2)
+            a, care = (b, max(care / 3, 1e-9)) if loss(b) < loss(a) else (a, min(care * 2, 1e9))
         return a
 
     def scales() -> list[tuple[float, float]]:
