@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,6 +155,9 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int)
     yield block
 
 
+SPAN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, min_span: int | None = None) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``item_ids`` (sorted strings) and ``hit_spans`` (first and last hit word, merged).
 
@@ -162,58 +166,87 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     windows of an item with a null id hit but name no item; items that repeat an id are one item; without items nothing is
     hit. With ``min_span``, runs of at least so many hit words are cut from
     the text. Columns of ``docs`` named like a new column are replaced.
+
+    Items that fit one automaton take one pass. For more, each block of them
+    reads the texts and writes what it hits, narrow rows of a document's
+    number, items and spans; these are merged and joined to the documents once.
     """
     docs = C.as_text(docs, text_col)
-    span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hit_spans", span)]
-    out = docs.drop(*(c for c in docs.columns if c.lower() in NEW))
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in NEW))
+    kind = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hit_spans", kind)]
+    new = [*fields, T.StructField(text_col, T.StringType())] if min_span is not None else fields
     blocks = iter(item_blocks(items, item_id, item_text, block_words))
-    block, first = next(blocks), True
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        shared = Shared(docs.sparkSession, block, window)
+        return C.add_columns(docs, lambda part: described(part, text_col, shared.scan(part.column(text_col)), min_span), new, text_col)
+    row, hit = C.free_name(docs, "__row"), C.free_name(docs, "__hit")
+    numbered = C.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # each block must see the same numbers
+    found = []
     while block is not None:
-        following = next(blocks, None)
-        cut_span = min_span if following is None else None
-        shared = docs.sparkSession.sparkContext.broadcast(block)  # the automaton is rebuilt from it in each worker
-        new = [*fields, T.StructField(text_col, T.StringType())] if cut_span is not None else fields
-        out = C.add_columns(out, _scanner(shared, window, text_col, first, cut_span), new, text_col)
-        block, first = following, False
-        if block is not None:
-            out = C.materialize(out, "hits")
-    return out
+        one = numbered.select(F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_hits(Shared(docs.sparkSession, block, window)), "row long, items array<string>, spans array<struct<first: long, last: long>>")
+        found.append(C.materialize(one, "hits"))
+        block, following = following, next(blocks, None)
+    hits = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    hits = hits.select(F.col("row").alias(row), F.struct("items", "spans").alias(hit))
+    joined = numbered.join(C.sized_broadcast(C.materialize(hits, "hit"), F.size(f"{hit}.spans") * 16 + F.length(F.array_join(f"{hit}.items", ","))), row, "left")
+
+    def told(part: pa.RecordBatch) -> dict:
+        texts = C.texts(part.column(text_col))
+        before = ((len(words_of(t)), merge([[s["first"], s["last"]] for s in x["spans"]]) if x else [], x["items"] if x else ()) for t, x in zip(texts, part.column(hit).to_pylist(), strict=True))
+        return described(part, text_col, before, min_span)
+
+    return C.add_columns(joined, told, new, text_col, drop=(row, hit))
 
 
 _BUILT: dict[str, Automaton] = {}
 
 
-def _scanner(shared, window: int, text_col: str, first: bool, min_span: int | None):
-    key = uuid.uuid4().hex  # a worker builds the automaton once
+class Shared:
+    """A block of items on the workers; each builds its automaton when it first needs it, and keeps the last one."""
+
+    def __init__(self, spark: SparkSession, block: list[tuple[str | None, list[bytes]]], window: int):
+        self.key, self.window, self.block = uuid.uuid4().hex, window, spark.sparkContext.broadcast(block)  # block_words bounds it
 
-    def scan(part: pa.RecordBatch) -> dict:
-        if key not in _BUILT:
+    def scan(self, column: pa.Array) -> Iterator[tuple[int, list[list[int]], set[str]]]:
+        """Number of words, spans and items of each text."""
+        if self.key not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = Automaton(shared.value, window)
-        automaton = _BUILT[key]
-        n_words, n_hit, ids, spans, cleaned = [], [], [], [], []
-        before = [([], [])] * part.num_rows if first else list(zip(part.column("item_ids").to_pylist(), part.column("hit_spans").to_pylist(), strict=True))
-        for text, (old_ids, old_spans) in zip(C.texts(part.column(text_col)), before, strict=True):
+            _BUILT[self.key] = Automaton(self.block.value, self.window)
+        automaton = _BUILT[self.key]
+        for text in C.texts(column):
             words = words_of(text)
-            own, items = automaton.scan(words)
-            if old_spans:
-                own = merge(own + [[x["first"], x["last"]] for x in old_spans])
-            n_words.append(len(words))
-            n_hit.append(sum(b - a + 1 for a, b in own))
-            ids.append(sorted(items.union(old_ids)))
-            spans.append([{"first": a, "last": b} for a, b in own])
-            if min_span is not None:
-                gone = [x for x in own if x[1] - x[0] + 1 >= min_span]
-                cleaned.append(cut(text, gone) if gone else text)
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        out = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "item_ids": pa.array(ids, pa.list_(pa.string())), "hit_spans": pa.array(spans, kind)}
-        if min_span is not None:
-            nulls = part.column(text_col).is_null().to_pylist()
-            out[text_col] = C.text_array([None if null else x for x, null in zip(cleaned, nulls, strict=True)])
-        return out
+            yield len(words), *automaton.scan(words)
+
+
+def _hits(shared: Shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.slices(batch, "text"):
+                found = [(i, sorted(items), [{"first": a, "last": b} for a, b in spans]) for i, (_, spans, items) in enumerate(shared.scan(part.column("text"))) if spans]
+                rows = part.column("row").take(pa.array([i for i, _, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows, pa.array([x for _, x, _ in found], pa.list_(pa.string())), pa.array([x for _, _, x in found], SPAN)], names=["row", "items", "spans"])
+
+    return run
 
-    return scan
+
+def described(part: pa.RecordBatch, text_col: str, found: Iterable[tuple[int, list[list[int]], Iterable[str]]], min_span: int | None) -> dict:
+    """The new columns of rows with the given numbers of words, spans and items."""
+    n_words, n_hit, ids, spans, cleaned = [], [], [], [], []
+    for text, (words, own, items) in zip(C.texts(part.column(text_col)), found, strict=True):
+        n_words.append(words)
+        n_hit.append(sum(b - a + 1 for a, b in own))
+        ids.append(sorted(items))
+        spans.append([{"first": a, "last": b} for a, b in own])
+        if min_span is not None:
+            gone = [x for x in own if x[1] - x[0] + 1 >= min_span]
+            cleaned.append(cut(text, gone) if gone else text)
+    out = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "item_ids": pa.array(ids, pa.list_(pa.string())), "hit_spans": pa.array(spans, SPAN)}
+    if min_span is not None:
+        nulls = part.column(text_col).is_null().to_pylist()
+        out[text_col] = C.text_array([None if null else x for x, null in zip(cleaned, nulls, strict=True)])
+    return out
 
 
 def merge(spans: list[list[int]]) -> list[list[int]]:

@@ -23,6 +23,8 @@ from . import common as C
 #: Bits of a filter: this many for each line, up to a bound that any worker can hold. Beyond the bound the
 #: filters fill up, more lines are suspected and shuffled, and the result stays the same.
 BITS_A_LINE, LEAST_BITS, MOST_BITS, SEGMENT_BITS, PROBES = 16, 1 << 20, 1 << 29, 1 << 22, 3
+#: Tasks a core that fill filters, at most, and filters that one task merges: more are merged in two levels.
+FILL_TASKS, MERGE = 4, 64
 FOLD = 1 << 19
 
 
@@ -89,7 +91,7 @@ def _fill(bits: int, min_chars: int):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge segments as they stream by: seen twice is what either side saw twice or both saw once."""
+    """Merge equal segments as they stream by: seen twice is what either side saw twice or both saw once."""
     merged: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for i, *both in zip(*(batch.column(k).to_pylist() for k in ("segment", "once", "twice")), strict=True):
@@ -99,9 +101,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 merged[i] = [once | a, twice | b | (once & a)]
             else:
                 merged[i] = [a, b]
-    for i, (_, twice) in merged.items():
-        if twice.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["segment", "twice"])
+    for i, both in merged.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in both)], names=["segment", "once", "twice"])
 
 
 def _suspects(filter_parts, bits: int, min_chars: int):
@@ -133,9 +134,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = LEAST_BITS
     while bits < min(MOST_BITS, n * BITS_A_LINE):
         bits *= 2
-    segments = max(1, bits // SEGMENT_BITS)
-    filled = texts.mapInArrow(_fill(bits, min_chars), "segment int, once binary, twice binary")
-    merged = filled.repartition(segments, "segment").mapInArrow(_merge, "segment int, twice binary").collect()  # MOST_BITS bounds it
+    # A filter is as large for one split as for many: few tasks fill them, however many splits there are.
+    few, columns = spark.sparkContext.defaultParallelism * FILL_TASKS, "segment int, once binary, twice binary"
+    segments, shares = max(1, bits // SEGMENT_BITS), -(-few // MERGE)
+    filters = texts.coalesce(few).mapInArrow(_fill(bits, min_chars), columns)
+    if shares > 1:  # no task merges a segment of all filters at once
+        filters = filters.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(shares))).repartition(segments * shares, "segment", "share").select("segment", "once", "twice").mapInArrow(_merge, columns)
+    merged = filters.repartition(segments, "segment").mapInArrow(_merge, columns).select("segment", "twice").collect()  # MOST_BITS bounds it
     parts = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in merged])
     suspects = C.materialize(texts.mapInArrow(_suspects(parts, bits, min_chars), "doc long, digest binary"), "suspects")
     first = suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")

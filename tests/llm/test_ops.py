@@ -65,6 +65,12 @@ def test_line_dedup_bounded_filters_change_nothing(spark, docs, monkeypatch):
     same(rows(got, "doc_id", "n_lines", "n_dropped", "text"), brute.line_dedup([d[:2] for d in docs]))
 
 
+def test_line_dedup_merges_filters_in_two_levels(spark, docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MERGE", 2)
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS).repartition(9))
+    same(rows(got, "doc_id", "n_lines", "n_dropped", "text"), brute.line_dedup([d[:2] for d in docs]))
+
+
 def test_decontamination(spark, docs, items):
     items = [*items, (900, "short item"), (901, "Short ITEM!"), (None, "no id here"), (902, None), (900, "short item")]
     data = [*docs[:80], *ODD, (50_001, "a short item, no id here, short " + " ".join(brute.words(items[0][1])[5:30]), "en", "s", 1)]
@@ -75,6 +81,23 @@ def test_decontamination(spark, docs, items):
         same(rows(got, "doc_id", "n_words", "n_hit", "item_ids"), want)
 
 
+def test_large_benchmarks_do_not_rewrite_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=200))) for i in range(1500)]  # 300,000 words: five automata
+    docs = [(i, " ".join(["start", *items[i * 37 % 1500][1].split()[20 : 20 + i % 25], "mid", *items[(i * 91 + 5) % 1500][1].split()[100:115], "end"])) for i in range(60)]
+    written = []
+    keep = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name="table": written.append((name, df.columns)) or keep(df, name))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench)
+    assert sum("text" in columns for _, columns in written) == 1 and sum(name == "hits" for name, _ in written) == 5
+    for r in found.collect():
+        long, at, other = r["doc_id"] % 25, r["doc_id"] * 37 % 1500, (r["doc_id"] * 91 + 5) % 1500
+        want = [] if long < 10 else [str(at)]
+        assert r["item_ids"] == sorted({*want, str(other)}) and r["n_hit"] == 15 + (long if long >= 10 else 0)
+
+
 def test_automaton_random():
     rng = random.Random(5)
     for _ in range(60):
