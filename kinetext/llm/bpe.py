@@ -94,6 +94,39 @@ def borders(chunk: bytes) -> tuple[int, int] | None:
     return first, last
 
 
+def parts(text: bytes) -> list[tuple[int, int]]:
+    """Where a text's parts start and end: joins (even places) and what lies between the sure borders of each chunk (odd places), by turns."""
+    out, last, join = [], 0, 0
+    for end in cuts(text):
+        inner = borders(text[last:end])
+        if inner and inner[0] < inner[1]:
+            out += [(join, last + inner[0]), (last + inner[0], last + inner[1])]
+            join = last + inner[1]
+        last = end
+    return [*out, (join, len(text))]
+
+
+def around(text: bytes, plan: list[tuple[int, int]], first: int, last: int) -> tuple[bytes, int, int, bytes]:
+    """The word before the parts from ``first`` to ``last``, where they start and end, and the word after them."""
+    left = right = b""
+    if first:
+        a, b = plan[first - 1]
+        left = text[max(text.rfind(b" ", a, b), a) : b]
+    if last + 1 < len(plan):
+        a, b = plan[last + 1]
+        stop = text.find(b" ", a + 1, b)
+        right = text[a : stop if stop > 0 else b]
+    return left, plan[first][0], plan[last][1], right
+
+
+def within(joined: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+    """The ids of a join without those of the words on both sides, which must come out as they do inside their chunks; else None."""
+    stop = len(joined) - len(right)
+    if stop < len(left) or (joined[: len(left)] != left).any() or (joined[stop:] != right).any():
+        return None
+    return joined[len(left) : stop]
+
+
 class Memory:
     """Remembers results up to a number of text bytes; the oldest go first."""
 
@@ -133,7 +166,7 @@ class Encoder:
         self.pieces = pa.array([t.encode() if i in special else bytes(back[c] for c in t) for i, t in enumerate(tokens)], pa.large_binary())
         self.sizes = np.array([len(x) for x in self.pieces.to_pylist()])
         self.digits = pa.array([b"%d," % i for i in range(size)], pa.large_binary())
-        self.encoded = self.reused = 0
+        self.encoded = self.reused = self.widened = 0
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Encode texts by their words, each word as it stands after a space that surely parts it; other texts whole."""
@@ -200,38 +233,32 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, equal to those of encoding it whole."""
-        plans: list[list[tuple[bool, bytes, bytes, bytes]]] = []
-        for text in texts:
-            plan, last, join = [], 0, 0
-            left = b""  # the last word of the inner part before
-            for end in cuts(text):
-                inner = borders(text[last:end])
-                if inner and inner[0] < inner[1]:
-                    a, b = last + inner[0], last + inner[1]
-                    right = text[a : text.find(b" ", a + 1)] if text.find(b" ", a + 1) > 0 else b""
-                    plan.append((False, left, text[join:a], right))
-                    plan.append((True, b"", text[a:b], b""))
-                    left = text[text.rfind(b" ", a, b) : b]
-                    join = b
-                last = end
-            plan.append((False, left, text[join:], b""))
-            plans.append(plan)
-        inner = self._once(self.chunks, [t for p in plans for is_inner, _, t, _ in p if is_inner])
-        joins = self._once(self.joins, list({x for p in plans for is_inner, left, t, right in p if not is_inner for x in (left + t + right, left, right)}))
+        plans = [parts(t) for t in texts]
+        inner = self._once(self.chunks, [t[a:b] for t, p in zip(texts, plans, strict=True) for a, b in p[1::2]])
+        spans = [[around(t, p, i, i) for i in range(0, len(p), 2)] for t, p in zip(texts, plans, strict=True)]
+        joins = self._once(self.joins, list({x for t, own in zip(texts, spans, strict=True) for left, a, b, right in own for x in (left + t[a:b] + right, left, right)}))
         out = []
-        for text, plan in zip(texts, plans, strict=True):
-            ids, ok = [], True
-            for is_inner, left, t, right in plan:
-                if is_inner:
-                    ids.append(inner[t])
+        for text, plan, own in zip(texts, plans, spans, strict=True):
+            done: list[tuple[int, int, np.ndarray]] = []  # first and last part, ids
+            i = 0
+            while i < len(plan):
+                if i % 2:
+                    a, b = plan[i]
+                    done.append((i, i, inner[text[a:b]]))
+                    i += 1
                     continue
-                joined, a, b = joins[left + t + right], joins[left], joins[right]
-                # The words on both sides must come out as they do inside their chunks.
-                if len(joined) < len(a) + len(b) or (joined[: len(a)] != a).any() or (len(b) and (joined[-len(b) :] != b).any()):
-                    ok = False
-                    break
-                ids.append(joined[len(a) : len(joined) - len(b)])
-            out.append(np.concatenate(ids) if ok else self._encode([text])[0])  # the widest join is the text
+                first, last, (left, a, b, right) = i, i, own[i // 2]
+                ids = within(*(joins[x] for x in (left + text[a:b] + right, left, right)))
+                while ids is None:  # wider by a chunk on either side; the widest join is the text
+                    first, last = max(first - 2, 0), min(last + 2, len(plan) - 1)
+                    while done and done[-1][1] >= first:
+                        first = min(first, done.pop()[0])
+                    left, a, b, right = around(text, plan, first, last)
+                    ids = within(*self._encode([left + text[a:b] + right, left, right]))
+                    self.widened += 1
+                done.append((first, last, ids))
+                i = last + 1
+            out.append(np.concatenate([ids for _, _, ids in done]))
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:

@@ -20,6 +20,8 @@ from . import features as X
 
 #: Labelled documents of each language that the text model is fitted on, on average over hashes of ids (all if there are fewer), and languages that are scored at a time.
 SAMPLE, LANGUAGES = 500, 64
+#: Bytes of text whose trigrams are in memory at a time.
+BLOCK = 1 << 20
 #: Trigrams of a text are far from independent: their joint log likelihood counts as that of this many at most, and this share of them.
 MOST_GRAMS, TEMPER = 200, 0.25
 #: Pseudo-counts: of a host's parent, of the corpus for a suffix, and of an even spread for the corpus and for declarations.
@@ -78,7 +80,7 @@ def fit_text_model(labelled: DataFrame, text_col: str, label_col: str, id_col: s
 
     def count(batches):
         for batch in batches:
-            for part in C.slices(batch, "text"):
+            for part in C.slices(batch, "text", BLOCK):
                 codes, row = X.trigrams(*C.view(part.column("text")))
                 found, n = np.unique(np.asarray(part.column("lang"))[row].astype(np.int64) * X.GRAMS + codes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array((found // X.GRAMS).astype(np.int32)), pa.array((found % X.GRAMS).astype(np.int32)), pa.array(n)], names=["lang", "code", "n"])
@@ -93,9 +95,9 @@ def text_scores(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np
     n, total = np.zeros(rows, np.int64), np.zeros((rows, langs))
     lo = 0
     while lo < rows:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20), "right")) - 1)
-        for begin in range(int(at[lo]), int(at[hi]), 1 << 20) if hi == lo + 1 else [int(at[lo])]:
-            end = min(begin + (1 << 20) + 2, int(at[hi])) if hi == lo + 1 else int(at[hi])
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + BLOCK, "right")) - 1)
+        for begin in range(int(at[lo]), int(at[hi]), BLOCK) if hi == lo + 1 else [int(at[lo])]:
+            end = min(begin + BLOCK + 2, int(at[hi])) if hi == lo + 1 else int(at[hi])
             codes, row = X.trigrams(data[begin:end], np.clip(at[lo : hi + 1] - begin, 0, end - begin))
             n[lo:hi] += np.bincount(row, minlength=hi - lo)
             found = table[codes]
@@ -150,7 +152,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Grams | None], text_col: s
         return {grams: pa.array(count), best: pa.array(np.where(count > 0, mean.argmax(1), -1).astype(np.int32)), mean_of: pa.array([x.tobytes() for x in mean], pa.binary())}
 
     fields = [T.StructField(grams, T.LongType()), T.StructField(best, T.IntegerType()), T.StructField(mean_of, T.BinaryType())]
-    scored = C.materialize(C.add_columns(with_evidence, score, fields, text_col, drop=(text_col,) * drop_text), "scored")
+    scored = C.materialize(C.add_columns(with_evidence, score, fields, text_col, drop=(text_col,) * drop_text, block=BLOCK), "scored")
     seen = scored.where(F.col(best) >= 0).groupBy(F.col(host).alias("host"), F.col(suffix).alias("suffix"), F.col(declared).alias("declared"), F.col(best).alias("best"))
     seen = C.materialize(seen.agg(F.count(F.lit(1)).alias("n")), "seen")
 

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import brute
@@ -301,6 +302,22 @@ def test_bpe_equals_the_library(spark, docs):
     same(rows(again, "doc_id", "decoded"), [(x[0], x[3]) for x in want])
 
 
+def test_bpe_joins_are_widened_until_their_ends_agree(docs, monkeypatch):
+    """Borders two letters into a word: most joins disagree at first."""
+    sure = bpe.borders
+
+    def torn(chunk):
+        places = [m.start() + 3 for m in re.finditer(rb"(?<=[a-z]) [a-z]{4,} (?=[a-z])", chunk)]
+        return (places[0], places[-1]) if len(places) > 2 else sure(chunk)
+
+    monkeypatch.setattr(bpe, "borders", torn)
+    own = bpe.Encoder(queries.VOCABULARY)
+    texts = [d[1].encode() for d in docs]
+    got = own.encode(texts)
+    assert own.widened > 100
+    assert [x.tolist() for x in got] == [own.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe_chunks_are_shared():
     passage = b" ".join(b"word%d" % (i * i) for i in range(3000))
     e = bpe.Encoder(queries.VOCABULARY)
