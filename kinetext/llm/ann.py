@@ -3,7 +3,8 @@
 Centroids come from a bounded sample, split until lists are short. Every vector
 goes to its nearest list; a vector near a border goes to several. A query finds
 its centroids by walking an in-memory neighbour graph, and searches the lists
-whose distance is within a ratio of the nearest.
+whose distance is within a ratio of the nearest. Neighbouring lists form a cell,
+to which a vector or a query goes once, whatever number of its lists is there.
 """
 
 from __future__ import annotations
@@ -20,36 +21,37 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Vectors that the centroids are fitted on, vectors a list should hold, and lists at most (their centroids are broadcast).
-SAMPLE, LIST, MOST_LISTS = 20_000, 200, 16_384
+#: Vectors that a list should hold; vectors of the sample for each list, at least (centroids are fitted on the sample), and in all.
+LIST, SAMPLE_A_LIST, SAMPLE = 100, 16, 20_000
+#: Bytes of the sample at most. They bound the lists too: of 64 dimensions 16,384, whose centroids are broadcast (8 MB).
+SAMPLE_BYTES = 128 << 20
 #: A vector is in every list within this ratio of its nearest one, up to COPIES.
 BORDER, COPIES = 1.10, 4
-#: A query searches lists within this ratio of its nearest, up to LISTS_SHARE of all (at least LEAST_LISTS).
-PRUNE, LISTS_SHARE, LEAST_LISTS = 1.45, 0.25, 48
+#: A query searches lists within this ratio of its nearest: LEAST_LISTS at least, and FEW_LISTS or FACTOR * lists ** POWER at most. On
+#: vectors in nearly random directions, where the ratio rules out little, that is what a recall of 0.96 takes at 50,000 and at 500,000.
+PRUNE, LEAST_LISTS, FEW_LISTS, FACTOR, POWER = 1.20, 8, 48, 1.7, 0.62
 #: Graph: neighbours of a centroid, and candidates kept on a walk beyond the lists asked for.
 DEGREE, SLACK = 24, 16
-#: Queries that one task compares with a list at a time, and rows of a list that a task gets.
-BLOCK, PART = 256, 4096
+#: Bytes of vectors of either side that one task compares, and queries that it compares with a list at a time.
+PIECE, BLOCK = 8 << 20, 256
 
 
 def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
-    """Balanced centroids: two-means splits of the largest part until there are ``lists``."""
+    """Balanced centroids: two-means splits of the largest part until there are ``lists``. They stand in the order of the splits: neighbours are near."""
     rng = np.random.default_rng(seed)
-    parts = [(-len(sample), 0, np.arange(len(sample)))]
-    count = 1
+    parts = [(-len(sample), "", np.arange(len(sample)))]
     while len(parts) < lists and -parts[0][0] > 1:
-        _, _, rows = heapq.heappop(parts)
+        _, way, rows = heapq.heappop(parts)
         x = sample[rows]
         a, b = x[rng.choice(len(rows), 2, replace=False)]
         for _ in range(rounds):
-            way = ((x - a) ** 2).sum(1) - ((x - b) ** 2).sum(1)
-            order = np.argsort(way, kind="stable")
+            side = ((x - a) ** 2).sum(1) - ((x - b) ** 2).sum(1)
+            order = np.argsort(side, kind="stable")
             half = len(rows) // 2  # equal halves keep the lists balanced
             a, b = x[order[:half]].mean(0), x[order[half:]].mean(0)
-        for own in (rows[order[:half]], rows[order[half:]]):
-            heapq.heappush(parts, (-len(own), count, own))
-            count += 1
-    return np.stack([sample[rows].mean(0) for _, _, rows in parts]) if len(sample) else np.zeros((1, sample.shape[1]))
+        for bit, own in (("0", rows[order[:half]]), ("1", rows[order[half:]])):
+            heapq.heappush(parts, (-len(own), way + bit, own))
+    return np.stack([sample[rows].mean(0) for _, _, rows in sorted(parts, key=lambda x: x[1])]) if len(sample) else np.zeros((1, sample.shape[1]))
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,7 +124,18 @@ def _graph(key: str, shared) -> Graph:
     return _GRAPHS[key]
 
 
-def _assign(shared):
+def by_cell(batch: pa.RecordBatch, row: np.ndarray, lists: np.ndarray, group: int, key: str) -> pa.RecordBatch:
+    """Columns cell, key, v, lists: each row once for every cell (``group`` neighbouring lists) that any of its lists is in."""
+    cell = lists // group
+    order = np.lexsort((lists, cell, row))
+    row, cell, lists = row[order], cell[order], lists[order]
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])]))[: len(row)]
+    at = pa.array(np.concatenate([first, [len(row)]]).astype(np.int32))
+    taken = pa.array(row[first])
+    return pa.RecordBatch.from_arrays([pa.array(cell[first].astype(np.int32)), batch.column(key).take(taken), batch.column("v").take(taken), pa.ListArray.from_arrays(at, pa.array(lists.astype(np.int32)))], names=["cell", key, "v", "lists"])
+
+
+def _assign(shared, group: int):
     """The lists of each vector: all within BORDER of the nearest, of the COPIES nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,51 +148,76 @@ def _assign(shared):
                 near = np.argpartition(d, k - 1, axis=1)[:, :k]
                 far = np.take_along_axis(d, near, 1)
                 row, col = np.nonzero(far <= far.min(1, keepdims=True) * BORDER**2)
-                lists = near[row, col].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(lists), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], names=["list", "vec_id", "v"])
+                yield by_cell(part, row, near[row, col], group, "vec_id")
 
     return run
 
 
-def _choose(shared):
+def _choose(shared, group: int):
     """The lists that each query searches."""
     key = uuid.uuid4().hex  # a worker builds the graph once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = _graph(key, shared)
-        most = max(LEAST_LISTS, int(len(graph.centroids) * LISTS_SHARE))
+        most = max(FEW_LISTS, int(FACTOR * len(graph.centroids) ** POWER))
         for batch in batches:
-            rows, lists = [], []
+            rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, q in enumerate(matrix(batch.column("v"))):
                 near, far = graph.nearest(q, most)
-                near = near[far <= max(far[0], 1e-12) * PRUNE**2]
-                rows += [i] * len(near)
-                lists += near.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column("q").take(pa.array(rows, pa.int64())), batch.column("v").take(pa.array(rows, pa.int64()))], names=["list", "q", "v"])
+                near = near[(far <= max(far[0], 1e-12) * PRUNE**2) | (np.arange(len(far)) < LEAST_LISTS)]
+                rows.append(np.full(len(near), i))
+                lists.append(near)
+            yield by_cell(batch, np.concatenate(rows), np.concatenate(lists), group, "q")
 
     return run
 
 
+def members(column: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """Rows of each list."""
+    lists = column.combine_chunks()
+    row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    flat = np.asarray(lists.flatten())
+    order = np.argsort(flat, kind="stable")
+    names, at = np.unique(flat[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(row[order], at[1:]), strict=True))
+
+
+def _nearest(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of each query, each once."""
+    q, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((ids, score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    new = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])])[: len(q)]  # a row's copies have the same score
+    q, ids, score = q[new], ids[new], score[new]
+    ok = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[ok], ids[ok], score[ok]
+
+
 def _compare(k: int):
-    """The k nearest rows of a part of a list to each of a part of the queries that search it; both sides hold about PART rows."""
+    """The k nearest of a cell's rows, or a part of them, to each query, or a part of them, in the lists that the query searches."""
 
     def run(rows: pa.Table, wants: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if rows.num_rows and wants.num_rows:
             x, ids = matrix(rows.column("v").combine_chunks()), np.asarray(rows.column("vec_id"))
             asked, qs = matrix(wants.column("v").combine_chunks()), np.asarray(wants.column("q"))
-            for lo in range(0, len(qs), BLOCK):
-                q = asked[lo : lo + BLOCK]
-                d = distances(q, x)
-                kept = min(k, len(ids))
-                edge = np.partition(d, kept - 1, axis=1)[:, kept - 1 : kept]
-                row, col = np.nonzero(d <= edge + 1e-9 * (1 + edge))  # ties and rounding: decided below, exactly
-                exact = np.sqrt(((q[row] - x[col]) ** 2).sum(1))
-                order = np.lexsort((ids[col], exact, row))
-                row, col, exact = row[order], col[order], exact[order]
-                ok = np.arange(len(row)) - np.searchsorted(row, row) < k
-                found.append((qs[lo + row[ok]], ids[col[ok]], exact[ok]))
-        return pa.table(dict(zip(("q", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+            held = members(rows.column("lists"))
+            for name, who in members(wants.column("lists")).items():
+                own = held.get(name)
+                if own is None:
+                    continue
+                x_own, ids_own = x[own], ids[own]
+                for lo in range(0, len(who), BLOCK):
+                    some = who[lo : lo + BLOCK]
+                    q = asked[some]
+                    d = distances(q, x_own)
+                    kept = min(k, len(own))
+                    edge = np.partition(d, kept - 1, axis=1)[:, kept - 1 : kept]
+                    row, col = np.nonzero(d <= edge + 1e-9 * (1 + edge))  # ties and rounding: decided below, exactly
+                    exact = np.sqrt(((q[row] - x_own[col]) ** 2).sum(1))
+                    found.append(_nearest([(qs[some][row], ids_own[col], exact)], k))
+            found = [_nearest(found, k)]
+        return pa.table(dict(zip(("q", "vec_id", "score"), found[0], strict=True)))
 
     return run
 
@@ -202,27 +240,32 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     width = kept.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # The SAMPLE rows with the smallest hashes of their ids.
-    sample = kept.where(F.size("v") == width["n"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    centroids = fit_centroids(matrix(sample.column("v").combine_chunks()), min(MOST_LISTS, max(1, total // LIST)))
-    shared = spark.sparkContext.broadcast(centroids)  # MOST_LISTS x width doubles
+    # The sample: rows with the smallest hashes of their ids.
+    dims = max(1, width["n"])
+    lists = min(max(1, total // LIST), max(1, SAMPLE_BYTES // (8 * dims * SAMPLE_A_LIST)))
+    size = min(max(SAMPLE, lists * SAMPLE_A_LIST), SAMPLE_BYTES // (8 * dims))
+    sample = kept.where(F.size("v") == width["n"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, size)).select("v").toArrow()
+    centroids = fit_centroids(matrix(sample.column("v").combine_chunks()), lists)
+    shared = spark.sparkContext.broadcast(centroids)  # SAMPLE_BYTES / SAMPLE_A_LIST at most
+    # A cell is as many neighbouring lists as one task compares.
+    piece = max(1, PIECE // (8 * dims))
+    group = max(1, piece * len(centroids) // (total * COPIES))
     main, other = kept.where(F.size("v") == width["n"]), kept.where(F.size("v") != width["n"])
-    posted = main.mapInArrow(_assign(shared), "list int, vec_id long, v array<double>")
-    posted = posted.unionByName(other.select((-F.size("v")).alias("list"), "vec_id", "v"))
+    own = lambda key: [(-F.size("v")).alias("cell"), key, "v", F.array(-F.size("v")).alias("lists")]
+    posted = main.mapInArrow(_assign(shared, group), "cell int, vec_id long, v array<double>, lists array<int>").unionByName(other.select(*own("vec_id")))
     # Equal vectors that are queries are searched for once.
     asked = valid.where(F.col("vec_id") % every == 0).groupBy("v").agg(F.min("vec_id").alias("q"))
     asked = C.materialize(asked, "asked")
-    lists = asked.where(F.size("v") == width["n"]).mapInArrow(_choose(shared), "list int, q long, v array<double>")
-    lists = lists.unionByName(asked.where(F.size("v") != width["n"]).select((-F.size("v")).alias("list"), "q", "v"))
-    # Long lists, and lists that many queries search, go to several tasks: each part of the one meets each part of the other.
-    posted, lists = C.materialize(posted, "posted"), C.materialize(lists, "lists")
-    pieces = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias(name))
-    parts = C.materialize(pieces(posted, "parts").join(pieces(lists, "asks"), "list"), "parts")
+    wanted = asked.where(F.size("v") == width["n"]).mapInArrow(_choose(shared, group), "cell int, q long, v array<double>, lists array<int>").unionByName(asked.where(F.size("v") != width["n"]).select(*own("q")))
+    # Large cells, and cells that many queries search, go to several tasks: each part of the one meets each part of the other.
+    posted, wanted = C.materialize(posted, "posted"), C.materialize(wanted, "wanted")
+    pieces = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias(name))
+    parts = C.materialize(pieces(posted, "parts").join(pieces(wanted, "asks"), "cell"), "parts")
     parts = C.sized_broadcast(parts, F.lit(12))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
-    rows = posted.join(parts, "list").select("list", F.pmod(F.xxhash64("vec_id"), "parts").alias("part"), spread("asks").alias("ask"), "vec_id", "v")
-    wants = lists.join(parts, "list").select("list", spread("parts").alias("part"), F.pmod(F.xxhash64("q"), "asks").alias("ask"), "q", "v")
-    cell = ["list", "part", "ask"]
+    rows = posted.join(parts, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "parts").alias("part"), spread("asks").alias("ask"), "vec_id", "v", "lists")
+    wants = wanted.join(parts, "cell").select("cell", spread("parts").alias("part"), F.pmod(F.xxhash64("q"), "asks").alias("ask"), "q", "v", "lists")
+    cell = ["cell", "part", "ask"]
     near = rows.groupBy(*cell).cogroup(wants.groupBy(*cell)).applyInArrow(_compare(k + 1), "q long, vec_id long, score double")
     by = Window.partitionBy("q").orderBy("score", "vec_id")
     best = near.distinct().withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1)
