@@ -214,7 +214,7 @@ def _compare(k: int):
                     kept = min(k, len(own))
                     edge = np.partition(d, kept - 1, axis=1)[:, kept - 1 : kept]
                     row, col = np.nonzero(d <= edge + 1e-9 * (1 + edge))  # ties and rounding: decided below, exactly
-                    exact = np.sqrt(((q[row] - x_own[col]) ** 2).sum(1))
+                    exact = np.sqrt(np.cumsum((q[row] - x_own[col]) ** 2, axis=1)[:, -1])  # summed from the first component on, as SQL does
                     found.append(_nearest([(qs[some][row], ids_own[col], exact)], k))
             found = [_nearest(found, k)]
         return pa.table(dict(zip(("q", "vec_id", "score"), found[0], strict=True)))

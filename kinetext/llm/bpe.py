@@ -292,20 +292,24 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", drop_text: bool = False) -> DataFrame:
-    """``docs`` with ``token_ids`` (array of int), as the tokenizers library encodes each whole text without special tokens added.
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", drop_text: bool = False, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``token_ids`` (array of int), as the tokenizers library encodes each whole text without special tokens added; with ``decoded`` also a column of that name, the text of the ids.
 
     ``vocabulary`` is a tokenizers file of byte-level BPE that every worker can
     open. Strings of special tokens inside a text become their ids, as in the
-    library. Null counts as empty: no ids. A column named token_ids is replaced.
+    library. Null counts as empty: no ids. Columns named like a new one are
+    replaced.
     """
 
     def run(part: pa.RecordBatch) -> dict:
-        ids = encoder(vocabulary).encode(C.texts(part.column(text_col)))
+        own = encoder(vocabulary)
+        ids = own.encode(C.texts(part.column(text_col)))
         at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        return {"token_ids": pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)))}
+        out = {"token_ids": pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)))}
+        return out | {"decoded": pa.array(own.decode(ids), pa.string())} if decoded else out
 
-    return C.add_columns(C.as_text(docs, text_col), run, [T.StructField("token_ids", T.ArrayType(T.IntegerType()))], text_col, drop=(text_col,) * drop_text, block=BLOCK)
+    fields = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())][: 1 + decoded]
+    return C.add_columns(C.as_text(docs, text_col), run, fields, text_col, drop=(text_col,) * drop_text, block=BLOCK)
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -98,7 +99,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), {az}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".replace("{az}", AZ)
 
+def secrets_sql() -> str:
+    """A match starts after the gaps and matches before it: the pieces that a split at matches leaves, and the matches, by turns."""
+    either_case = lambda x: re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", x)
+    found = []
+    for no, rule in enumerate(secret_scan.BASE + secret_scan.MORE):
+        regex = re.sub(r"\(\?i:([^)]*)\)", lambda m: f"(?:{either_case(m[1])})", rule.regex.decode()).replace("'", "''")
+        found.append(f"""SELECT doc_id, {no} AS no, '{rule.kind}' AS kind, w, p, CAST(sum(length(g)) OVER (PARTITION BY doc_id ORDER BY i) + coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a, {rule.least} AS least
+FROM (SELECT doc_id, unnest(w) AS w, unnest(p) AS p, unnest(g[1:len(w)]) AS g, generate_subscripts(w, 1) AS i
+      FROM (SELECT doc_id, regexp_extract_all(text, '{regex}') AS w, regexp_extract_all(text, '{regex}', {rule.group}) AS p, regexp_split_to_array(text, '{regex}') AS g FROM documents WHERE text IS NOT NULL))""")
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE)
+    shown = "kind || ':' || a || ':' || b, ',' ORDER BY a, no"
+    return f"""WITH f AS (SELECT doc_id, no, kind, a, a + length(w) AS b FROM ({" UNION ALL ".join(found)}) WHERE length(p) >= least),
+s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg({shown}) FILTER (kind IN ({base})) AS base, string_agg({shown}) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN s USING (doc_id)"""
+
+
+def licenses_sql() -> str:
+    """Votes by diagonal, as in the operator."""
+    rows = ", ".join(f"({no}, '{t.label}', {t.base}, '{t.text}')" for no, t in enumerate(license_scan.BASE + license_scan.MORE))
+    k, drift, share = license_scan.K, license_scan.DRIFT, license_scan.SHARE
+    return f"""WITH t(no, label, base, text) AS (VALUES {rows}), tw AS (SELECT no, label, base, string_split(text, ' ') AS w, len(w) - 1 AS grams FROM t),
+tg AS (SELECT no, i AS spot, w[i + 1] AS x, w[i + 2] AS y FROM (SELECT no, w, unnest(range(0, grams)) AS i FROM tw)),
+d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+dg AS (SELECT doc_id, i, w[i + 1] AS x, w[i + 2] AS y FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM d)),
+v AS (SELECT doc_id, no, i - spot AS diagonal, count(*) AS n, list(DISTINCT spot) AS spots, min(spot) AS lo, max(spot) AS hi FROM dg JOIN tg ON dg.x = tg.x AND dg.y = tg.y GROUP BY ALL),
+g AS (SELECT v.*, label, base, grams, base AND n = grams AS exact, sum(CASE WHEN NOT base AND gap <= {drift} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, v.no ORDER BY diagonal) AS grp
+      FROM (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, no ORDER BY diagonal) AS gap FROM v) v JOIN tw ON v.no = tw.no),
+s AS (SELECT doc_id, any_value(label) AS label, any_value(base) AS base, any_value(grams) AS grams, bool_or(exact) AS exact, min(diagonal + lo) AS a, max(diagonal + hi) + {k} AS b, len(list_distinct(flatten(list(spots)))) / any_value(grams) AS share FROM g GROUP BY doc_id, no, grp),
+f AS (SELECT * FROM s WHERE exact OR (NOT base AND share >= {share} AND b - a <= 2 * (grams + {k}))),
+r AS (SELECT doc_id, count(*) FILTER (exact) AS n_base, min(a) FILTER (exact) AS first_word, max(a) FILTER (exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) FILTER (NOT exact) AS best FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN r USING (doc_id)"""
+
+
+#: Exact neighbours: the operator's while it searches all lists, as it does with up to FEW_LISTS of them.
+NEIGHBOURS = """
+WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_secret_scan": secrets_sql(),
+    "op9_license_scan": licenses_sql(),
+    "op10_nearest_neighbours": NEIGHBOURS,
     "op1_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, i, line, translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), {AZ}) AS k

@@ -48,7 +48,7 @@ MORE = [
     Rule("slack", rb"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("private_key", rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("url_login", rb"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/:@]{3,64}@"),
+    Rule("url_login", rb"[a-z][a-z0-9+.-]{1,20}://[!-.0-9;-?A-~]{1,64}:[!-.0-9;-?A-~]{3,64}@"),
 ]
 
 # A query is True (any text), a trigram (bytes), or ("and" | "or", frozenset of queries).
