@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines of 10 characters or more that an earlier document has; documents left without words go."""
-    out = line_dedup.dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    """Drops lines of 10 characters or more that an earlier document has; documents that lose lines and are left with nothing but ASCII white space go."""
+    out = line_dedup.dedup_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return _recount(out, docs.columns)
 
 
@@ -41,8 +41,9 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
-    return bpe.encode(docs, VOCABULARY, drop_text=True).select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    """Token ids of each document, and the SHA-256 of the text that they decode to."""
+    out = bpe.encode(docs, VOCABULARY, drop_text=True, decoded=True)
+    return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -58,7 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages, one after the other. Once a stage is written, its input and its own tables are deleted."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        with common.tables_made() as made:
+            docs = common.materialize(stage(spark, docs, sf_dir), name)
+        for path in last + made[:-1]:
+            common.delete(spark, path)
+        last = made[-1:]
     return docs
