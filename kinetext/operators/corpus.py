@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .joins import anti_join, global_offsets
+from .joins import anti_join, running
 
 
 def with_share(counts: DataFrame, total: Column | None = None, count: str = "count", out: str = "percentage") -> DataFrame:
@@ -49,24 +49,26 @@ def extreme_examples(docs: DataFrame, words: Column, text: str, order: str) -> D
 def ngrams(docs: DataFrame, words: Column, n: int, order: str) -> DataFrame:
     """Counts and shares of n-grams over the corpus as one stream in ``order``: they cross the borders of texts; shares are of all words.
 
-    Inside a text, grams are slices of its words. Only the words at the borders
-    are joined across texts, by their place in the stream.
+    Inside a text, grams are slices of its words. For those across borders
+    only the first and last words of each text travel: a text's rank says
+    whose words follow its own.
     """
-    base = docs.select(F.col(order).alias("o"), words.alias("w")).where(F.size("w") > 0)
+    base = docs.select(F.col(order).alias("o"), words.alias("w"))
+    sliding = lambda w, k: F.arrays_zip(*(F.slice(w, F.lit(i + 1), F.greatest(F.size(w) - i, F.lit(0))).alias(f"t{i}") for i in range(k)))
     # The words beside themselves, shifted: rows in which the last one is missing aren't whole.
-    shifted = base.select(F.explode(F.arrays_zip(*(F.slice("w", F.lit(k + 1), F.greatest(F.size("w") - k, F.lit(0))).alias(f"t{k}") for k in range(n)))).alias("x")).where(F.col(f"x.t{n - 1}").isNotNull())
-    grams = shifted.select(F.concat_ws(" ", *(F.col(f"x.t{k}") for k in range(n))).alias("ngram"))
+    grams_of = lambda df, w: df.select(F.explode(sliding(w, n)).alias("x")).where(F.col(f"x.t{n - 1}").isNotNull()).select(F.concat_ws(" ", *(F.col(f"x.t{i}") for i in range(n))).alias("ngram"))
+    grams = grams_of(base, "w")
     if n > 1:
-        placed = global_offsets(base.select("o", F.size("w").alias("size"), "w"), F.col("size"), "o", "start")
-        edge = F.filter(F.transform("w", lambda t, i: F.struct((F.col("start") + i).alias("p"), i.alias("i"), t.alias("t"))), lambda x: (x["i"] < n - 1) | (x["i"] > F.col("size") - n))
-        edges = placed.select("size", F.explode(edge).alias("x")).select("size", "x.*")
-        chain = edges.where(F.col("i") > F.col("size") - n).select("p", F.col("t").alias("ngram"))
-        for k in range(1, n):
-            nxt = edges.select((F.col("p") - k).alias("p"), F.col("t").alias(f"t{k}"))
-            chain = chain.join(nxt, "p").withColumn("ngram", F.concat_ws(" ", "ngram", f"t{k}")).drop(f"t{k}")
-        grams = grams.unionByName(chain.select("ngram"))
+        size = F.size("w")
+        ends = base.where(size > 0).select("o", F.slice("w", 1, n - 1).alias("head"), F.slice("w", F.greatest(size - n + 2, F.lit(1)), F.lit(n - 1)).alias("tail"))
+        ranked = running(ends, F.lit(1), ["o"], "rank")
+        # Each of the n - 1 texts that follow has a word at least.
+        sent = ranked.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((F.col("rank") - i).alias("rank"), i.alias("i"), F.when(i == 0, F.col("tail")).otherwise(F.col("head")).alias("w")))).alias("x")).select("x.*")
+        joined = sent.where("rank >= 0").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("parts"))  # n parts
+        following = F.slice(F.flatten(F.transform(F.slice("parts", 2, n), lambda x: x["w"])), 1, n - 1)
+        grams = grams.unionByName(grams_of(joined.select(F.concat(F.get("parts", F.lit(0))["w"], following).alias("w")), "w"))
     counts = grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("count"))
-    total = base.agg(F.sum(F.size("w")).alias("total_"))
+    total = counts.agg((F.sum("count") + (n - 1)).alias("total_"))  # a stream has n - 1 grams fewer than words
     return counts.crossJoin(F.broadcast(total)).withColumn("percentage", F.col("count") * 100.0 / F.col("total_")).drop("total_")
 
 
@@ -106,15 +108,23 @@ def reduction(df: DataFrame, value: str, order: str) -> DataFrame:
     return df.crossJoin(F.broadcast(first)).withColumn("percent", F.col(value) * 100.0 / F.col("first_")).drop("first_")
 
 
-def split_train_test(df: DataFrame, key: Column, test_share: float = 0.2) -> DataFrame:
-    """``part``: train, dev or test in exact numbers, by the rank of ``key`` (distinct, well mixed): test and dev share ``test_share``, rounded up, the larger half is test."""
-    from .joins import global_rank
+def split_train_test(df: DataFrame, keys: Sequence[str], test_share: float = 0.2, seeds: Sequence[int] = (1,), mix: Callable[[int], Column] | None = None) -> DataFrame:
+    """Each row with ``part`` (train, dev or test) once for every seed, in column ``seed``.
 
+    Numbers are exact: test and dev share ``test_share``, rounded up, and the
+    larger half is test. A split orders rows by ``mix`` of the seed, a hash of
+    their ``keys`` (together distinct) and the seed if not given.
+    """
     n = df.count()
     held = -(-int(round(n * test_share * 1_000_000)) // 1_000_000)
     test = -(-held // 2)
-    ranked = global_rank(df.withColumn("key_", key), "key_", out="rank_")
-    return ranked.withColumn("part", F.when(F.col("rank_") <= test, "test").when(F.col("rank_") <= held, "dev").otherwise("train")).drop("key_", "rank_")
+    out = None
+    for seed in seeds:
+        ranked = running(df.withColumn("key_", mix(seed) if mix else F.xxhash64(*keys, F.lit(seed))), F.lit(1), ["key_", *keys], "rank_")
+        part = F.when(F.col("rank_") < test, "test").when(F.col("rank_") < held, "dev").otherwise("train")
+        one = ranked.withColumns({"seed": F.lit(seed), "part": part}).drop("key_", "rank_")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def without_leaks(train: DataFrame, holdouts: Sequence[DataFrame], keys: Sequence[str] = ("full_sentence", "glosses")) -> DataFrame:

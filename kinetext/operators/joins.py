@@ -180,37 +180,57 @@ def variants(number: int, count: int = 10, size: int = 6) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(count)), lambda v: F.struct(v.alias("variant"), (F.floor((v - 1) / size) + 1).alias("batch")))
 
 
-def global_offsets(df: DataFrame, value: Column, order: str, out: str, buckets: int = 64) -> DataFrame:
-    """``out``: the sum of ``value`` over all rows before, by ``order`` (a number without ties), with no single-partition window.
-
-    Rows are cut into ranges of the order; the few range totals are summed
-    first, then each range by itself.
-    """
-    edges = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
-    edges_ = F.array(*(F.lit(float(e)) for e in edges)) if edges else F.array().cast("array<double>")
-    ranged = df.withColumns({"range_": F.size(F.filter(edges_, lambda e: e < F.col(order))), "value_": value.cast("long")})
-    totals = ranged.groupBy("range_").agg(F.sum("value_").alias("total_"))  # one row per range
-    base = totals.withColumn("base_", F.coalesce(F.sum("total_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total_")
-    inner = Window.partitionBy("range_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.join(F.broadcast(base), "range_").withColumn(out, F.col("base_") + F.coalesce(F.sum("value_").over(inner), F.lit(0)))
-    return summed.drop("range_", "value_", "base_")
+#: Rows that a range of a global order should hold, and the root of the number of ranges at most.
+RANGE_ROWS, RANGE_ROOT = 100_000, 64
 
 
-def global_rank(df: DataFrame, *order: str, out: str = "rank", buckets: int = 64) -> DataFrame:
-    """1-based rank by a list of columns without ties; ranges are cut by the first column's hash-free order.
+def _range_number(df: DataFrame, order: Sequence[str]) -> Column | None:
+    """The number of a row's range of the order, ranges being cut at sampled rows; None if one range will do.
 
-    The first column may be text: ranges are cut at sampled values of it.
+    About 16 rows a range come to the driver. A row is compared with the edges
+    of the coarse ranges, and then with those inside its own.
     """
-    key = order[0]
-    sample = df.select(F.col(key).alias("k")).where("k is not null").distinct()
-    n = sample.count()
-    edges = []
-    if n > buckets:
-        # An even share of values, evenly spread; sorted on the driver: a few hundred.
-        edges = sorted(r["k"] for r in sample.where(F.pmod(F.xxhash64("k"), F.lit(max(1, n // (4 * buckets)))) == 0).limit(8 * buckets).collect())[::4]
-    edges_ = F.array(*(F.lit(e) for e in edges)) if edges else None
-    rng = F.size(F.filter(edges_, lambda e: e < F.col(key))) if edges_ is not None else F.lit(0)
-    ranged = df.withColumn("range_", rng)
-    totals = ranged.groupBy("range_").agg(F.count(F.lit(1)).alias("total_"))
-    base = totals.withColumn("base_", F.coalesce(F.sum("total_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total_")
-    return ranged.join(F.broadcast(base), "range_").withColumn(out, F.col("base_") + F.row_number().over(Window.partitionBy("range_").orderBy(*order))).drop("range_", "base_")
+    n = df.count()
+    wanted = min(RANGE_ROOT**2, -(-n // RANGE_ROWS))
+    if wanted < 2:
+        return None
+    share = max(1, n // (16 * wanted))
+    sample = sorted({tuple(r) for r in df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(share)) == 0).collect()})
+    edges = [sample[i * len(sample) // wanted] for i in range(1, wanted)] if len(sample) >= wanted else sample
+    if not edges:
+        return None
+    kinds = dict(df.dtypes)
+    literal = lambda rows: F.array(*(F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, row, strict=True))) for row in rows))
+    key = F.struct(*(F.col(c).alias(c) for c in order))
+    below = lambda cut: F.size(F.filter(cut, lambda e: e < key))
+    if len(edges) < RANGE_ROOT:
+        return below(literal(edges))
+    coarse = edges[RANGE_ROOT - 1 :: RANGE_ROOT]
+    fine = [edges[i : i + RANGE_ROOT - 1] for i in range(0, len(edges), RANGE_ROOT)]
+    fine += [edges[-1:]] * (len(coarse) + 1 - len(fine))
+    at = below(literal(coarse))
+    return at * RANGE_ROOT + below(F.get(F.array(*(literal(x) for x in fine)), at))
+
+
+def running(df: DataFrame, value: Column, order: Sequence[str], out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``out``: the sum of ``value`` (whole numbers) over all rows before, by ``order`` (columns without nulls, together without ties), in all or within ``keys``.
+
+    Rows are cut into ranges of the order by their number, so that neither a
+    global order nor a hot key is one task: the ranges' totals are summed
+    first, then each range by itself.
+    """
+    number = _range_number(df, order)
+    if number is None:
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # RANGE_ROWS rows at most
+        return df.withColumn(out, F.coalesce(F.sum(value.cast("long")).over(w), F.lit(0).cast("long")))
+    ranged = df.withColumns({"range_": number, "value_": value.cast("long")})
+    totals = ranged.groupBy(*keys, "range_").agg(F.sum("value_").alias("total_"))  # a row for each range (and key)
+    before = F.sum("total_").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    names = [*keys, "range_"]
+    base = totals.select(*(F.col(k).alias(f"{k}_b") for k in names), F.coalesce(before, F.lit(0).cast("long")).alias("base_"))
+    on = F.lit(True)
+    for k in names:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_b"))
+    inner = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.join(base if keys else F.broadcast(base), on).withColumn(out, F.col("base_") + F.coalesce(F.sum("value_").over(inner), F.lit(0).cast("long")))
+    return summed.drop("range_", "value_", "base_", *(f"{k}_b" for k in names))

@@ -165,16 +165,17 @@ def renumber(blocks: DataFrame, keys: Sequence[str] = KEYS, *order: str, out: st
 
 
 def every_nth(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """Every n-th row of a global order, without gathering the rows: ranks come from a range partitioning."""
-    from .joins import global_rank
+    """Every n-th row of a global order, without gathering the rows."""
+    from .joins import running
 
-    return global_rank(df, *order, out="rank_").where(F.col("rank_") % n == 0).drop("rank_")
+    return running(df, F.lit(1), order, "before_").where(F.col("before_") % n == n - 1).drop("before_")
 
 
 def occurrence_names(matches: DataFrame, term: str, name: Column, *order: str) -> DataFrame:
-    """``occurrence`` of each match of a term and ``out_name``, with _002 and so on from the second."""
-    n = F.row_number().over(ordered([term], *order))
-    out = matches.withColumn("occurrence", n)
+    """``occurrence`` of each match of a term and ``out_name``, with _002 and so on from the second. A term's matches are counted range by range."""
+    from .joins import running
+
+    out = running(matches, F.lit(1), order, "before_", [term]).withColumn("occurrence", (F.col("before_") + 1).cast("int")).drop("before_")
     return out.withColumn("out_name", F.when(F.col("occurrence") > 1, F.format_string("%s_%03d", name, F.col("occurrence"))).otherwise(name))
 
 

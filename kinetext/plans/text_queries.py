@@ -147,13 +147,9 @@ def sentence_classifier(spark, sf_dir):
     return lines.select("doc_id", "i", X.is_sentence(F.concat(F.lit("A: "), "line")).alias("is_sentence"))
 
 
-PIECES = "p AS (SELECT DISTINCT substr(text, 1, 24) AS piece FROM benchmark)"
-
-
-@add(f"WITH {PIECES} SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM p WHERE contains(text, piece))")
+@add("SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(documents.text, b.text))")
 def substring_semi_join(spark, sf_dir):
-    pieces = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 24).alias("piece"))
-    return J.contains_any(docs(spark, sf_dir), pieces, "text", "piece", strip="").where("found").select("doc_id")
+    return J.contains_any(docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("text").alias("item")), "text", "item", strip="").where("found").select("doc_id")
 
 
 @add("SELECT d.doc_id, t.term FROM documents d JOIN (VALUES ('the the'), ('password'), ('idiot'), ('ß')) t(term) ON contains(d.text, t.term)")
@@ -162,10 +158,17 @@ def term_search(spark, sf_dir):
     return J.term_search(docs(spark, sf_dir), terms).select("doc_id", "term")
 
 
-@add("SELECT doc_id FROM documents d WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM documents h WHERE h.doc_id % 2 = 1 AND trim(h.text) = trim(d.text) AND trim(h.lang) = trim(d.lang))")
+@add("""SELECT conv_id, turn FROM conversations c WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents h WHERE trim(h.text) = trim(c.text)) AND NOT EXISTS (SELECT 1 FROM benchmark h WHERE trim(h.text) = trim(c.text))
+UNION ALL SELECT -doc_id, 0 FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM conversations h WHERE trim(h.text) = trim(d.text)) AND NOT EXISTS (SELECT 1 FROM documents h JOIN labels l ON h.doc_id = l.doc_id WHERE h.doc_id <> d.doc_id AND trim(h.text) = trim(d.text) AND trim(h.lang) = trim(d.lang)) AND doc_id NOT IN (SELECT doc_id FROM labels)""")
 def leak_filter(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return C.without_leaks(d.where("doc_id % 2 = 0"), [d.where("doc_id % 2 = 1")], ["text", "lang"]).select("doc_id")
+    """Turns that neither a document nor a benchmark item has; and documents without labels, less those with the text of a turn, or the text and language of a labelled document."""
+    d, b = docs(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    c = table(spark, sf_dir, "conversations")
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    turns = C.without_leaks(c, [d, b], ["text"]).select("conv_id", "turn")
+    train = C.without_leaks(d.join(labels, "doc_id", "left_anti"), [c], ["text"])
+    train = C.without_leaks(train, [d.join(labels, "doc_id", "left_semi")], ["text", "lang"])
+    return turns.unionByName(train.select((-F.col("doc_id")).alias("conv_id"), F.lit(0).cast("long").alias("turn")))
 
 
 @add("SELECT DISTINCT doc_id AS gloss FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -174,10 +177,13 @@ def missing_keys(spark, sf_dir):
     return D.missing_glosses(wanted, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("gloss")))
 
 
-@add("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY (doc_id * 2654435761) % 4294967296) AS n, count(*) OVER () AS c FROM documents), k AS (SELECT *, CAST(ceil(c * 0.2) AS BIGINT) AS h FROM r) SELECT doc_id, CASE WHEN n <= (h + 1) // 2 THEN 'test' WHEN n <= h THEN 'dev' ELSE 'train' END AS part FROM k")
+SEEDS = (101, 202, 303)
+
+
+@add(f"WITH s AS (SELECT unnest({list(SEEDS)}) AS seed), r AS (SELECT doc_id, seed, row_number() OVER (PARTITION BY seed ORDER BY (doc_id * (2654435761 + 2 * seed)) % 4294967296, doc_id) AS n, count(*) OVER (PARTITION BY seed) AS c FROM documents, s), k AS (SELECT *, CAST(ceil(c * 0.2) AS BIGINT) AS h FROM r) SELECT doc_id, CAST(seed AS INTEGER) AS seed, CASE WHEN n <= (h + 1) // 2 THEN 'test' WHEN n <= h THEN 'dev' ELSE 'train' END AS part FROM k")
 def split_80_10_10(spark, sf_dir):
-    key = F.pmod(F.col("doc_id") * F.lit(2654435761), F.lit(4294967296))
-    return C.split_train_test(docs(spark, sf_dir).select("doc_id"), key)
+    mix = lambda seed: F.pmod(F.col("doc_id") * F.lit(2654435761 + 2 * seed), F.lit(4294967296))
+    return C.split_train_test(docs(spark, sf_dir).select("doc_id"), ["doc_id"], seeds=SEEDS, mix=mix)
 
 
 @add("SELECT conv_id, turn, text FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'")
@@ -347,9 +353,10 @@ def conditional_prefix_counts(spark, sf_dir):
     return D.prefix_counts(rows, "g", ["The", "of"])
 
 
-@add("SELECT lang, CAST(sum(n_chars) AS BIGINT) AS bytes, count(*) AS frames, count(DISTINCT source) AS unique_glosses, round(sum(n_chars) / 1073741824, 6) AS gib FROM documents GROUP BY lang")
+@add("SELECT CAST(sum(length(html)) AS BIGINT) AS bytes, CAST(sum(page_id) AS BIGINT) AS frames, (SELECT count(*) FROM events) AS glosses, (SELECT count(DISTINCT event_type) FROM events) AS unique_glosses, round(sum(length(html)) / 1073741824, 6) AS gib FROM pages")
 def corpus_totals(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum("n_chars").alias("bytes"), F.count(F.lit(1)).alias("frames"), F.countDistinct("source").alias("unique_glosses"), r6(X.gib(F.sum("n_chars"))).alias("gib"))
+    files = table(spark, sf_dir, "pages").select(F.length("html").alias("size"), F.col("page_id").alias("frames"))
+    return D.corpus_totals(files, table(spark, sf_dir, "events").select(F.col("event_type").alias("gloss"))).withColumn("gib", r6("gib"))
 
 
 @add("SELECT lang, string_agg(source, ',' ORDER BY source) AS sources FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY lang")

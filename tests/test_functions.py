@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinetext.functions import keypoints as K
 from kinetext.functions import text as X
-from kinetext.operators import corpus, joins, matching, motion, scoring
+from kinetext.operators import corpus, joins, matching, motion, scoring, timing
 from kinetext.plans import poses
 from kinetext.schemas import KEYPOINT_KEYS
 
@@ -282,19 +283,52 @@ def test_ngrams_cross_texts(spark):
         assert got == sorted({" ".join(words[i : i + n]) for i in range(len(words) - n + 1)})
 
 
-def test_offsets_over_ranges(spark):
+@pytest.mark.parametrize("rows_a_range", [7, 100, 100_000])
+def test_running_sums_over_ranges(spark, monkeypatch, rows_a_range):
+    monkeypatch.setattr(joins, "RANGE_ROWS", rows_a_range)
+    monkeypatch.setattr(joins, "RANGE_ROOT", 4)
     rng = random.Random(2)
-    rows = [(i * 3 + rng.randint(0, 2), rng.randint(0, 5)) for i in range(300)]
-    got = joins.global_offsets(spark.createDataFrame(rows, "o long, n long").repartition(5), F.col("n"), "o", "start", buckets=7).collect()
-    total, want = 0, {}
-    for o, n in sorted(rows):
-        want[o] = total
-        total += n
-    assert {r["o"]: r["start"] for r in got} == want
+    rows = [(rng.randint(0, 3), f"t{rng.randint(0, 20)}", i, rng.randint(0, 5), rng.choice([None, "x", "y"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, t string, i long, n long, g string").repartition(5)
+    for keys in ((), ("k",), ("g", "k")):
+        got = {r["i"]: r["start"] for r in joins.running(df, F.col("n"), ["t", "i"], "start", keys).collect()}
+        total, want = {}, {}
+        for k, _, i, n, g in sorted(rows, key=lambda r: (r[1], r[2])):
+            key = {(): 0, ("k",): k, ("g", "k"): (g, k)}[keys]
+            want[i] = total.get(key, 0)
+            total[key] = want[i] + n
+        assert got == want
+
+
+def test_ngrams_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(joins, "RANGE_ROWS", 10)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcd", k=rng.randint(0, 4))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    words = " ".join(texts).split()
+    for n in (2, 3, 5):
+        want = Counter(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
+        got = corpus.ngrams(df, X.words("text"), n, "id").collect()
+        assert {r["ngram"]: r["count"] for r in got} == want
+        assert all(abs(r["percentage"] - r["count"] * 100 / len(words)) < 1e-9 for r in got)
+
+
+def test_percentiles(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.0, -3.5, 1e-3, 7.25, rng.uniform(-1e6, 1e6)]), None) for _ in range(500)] + [("one", 5.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(4)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["g"], r["metric"]): r["p"] for r in timing.percentiles(df, ["g"], ["x", "y"], shares).collect()}
+    for g in ("a", "b", None, "one"):
+        want = np.quantile([x for k, x, _ in rows if k == g], shares)
+        assert np.allclose(got[g, "x"], want, rtol=1e-12), g
+    assert got["one", "y"] == [2.0] * 6 and ("a", "y") not in got
+    stats = {r["g"]: r for r in timing.statistics(df, ["g"], ["x", "y"]).collect()}
+    assert stats[None]["median_x"] is not None and stats["a"]["median_y"] is None and stats["one"]["count"] == 1
 
 
 def test_split_and_leaks(spark):
-    parts = corpus.split_train_test(spark.range(101).withColumnRenamed("id", "doc"), F.pmod(F.col("doc") * 7919, F.lit(1009)))
+    parts = corpus.split_train_test(spark.range(101).withColumnRenamed("id", "doc"), ["doc"])
     counts = {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()}
     assert counts == {"test": 11, "dev": 10, "train": 80}
     train = spark.createDataFrame([("a ", "x"), ("b", "y"), (None, "z"), ("c", None)], "full_sentence string, glosses string")
