@@ -27,7 +27,7 @@ WIDTH, CUT_BITS, LEAST, MOST = 24, 10, 256, 8192
 #: Bytes of text whose encoding a worker remembers, and of the texts between chunks.
 MEMORY, JOIN_MEMORY = 8 << 20, 1 << 20
 #: Words whose ids a worker remembers.
-WORDS, STEP = 400_000, 5000
+WORDS, STEP = 250_000, 5000
 #: Bytes of text that are encoded at a time.
 BLOCK = 2 << 20
 #: A space after white space, or white space beyond ASCII: such a text is encoded whole.

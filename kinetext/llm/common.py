@@ -3,6 +3,7 @@ joins and Arrow batches without copies."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -129,6 +130,16 @@ def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], fields: lis
     return df.mapInArrow(run, T.StructType(kept + fields))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and all of an executor's count together."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, name: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` bytes of a text column (single rows may be larger)."""
     ends = offsets(batch.column(name))
@@ -137,6 +148,7 @@ def slices(batch: pa.RecordBatch, name: str, most: int = BLOCK_BYTES) -> Iterato
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
 
 
 def offsets(column: pa.Array) -> np.ndarray:
