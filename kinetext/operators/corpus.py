@@ -156,13 +156,26 @@ def longest(df: DataFrame, words: Column) -> DataFrame:
     return df.agg(F.max(F.size(words)).cast("long").alias("longest"))
 
 
-def paraphrases(df: DataFrame, generate, text: str = "full_sentence", tries: int = 5) -> DataFrame:
-    """``paraphrase`` of each text: the first of up to ``tries`` candidates that is new, differs from the text and isn't degenerate.
-
-    ``generate`` is a column function (text) -> array of candidates: the
-    boundary to a model.
+def paraphrases(df: DataFrame, generate, text: str = "full_sentence", n: int = 1, tries: int = 5) -> DataFrame:
+    """A row with ``paraphrase`` for each of up to ``n`` paraphrases of a text.
+
+    ``generate`` is a column function (text) -> array of candidates in the
+    order they are drawn: the boundary to a model. A candidate, trimmed, is
+    taken if it isn't empty, nor the text, nor one taken before, nor
+    degenerate. After ``tries`` candidates in a row that aren't, or when there
+    are no more, the text has no further paraphrase. A null text has none.
     """
-    c = F.transform(F.slice(generate(F.col(text)), 1, tries), lambda x: F.trim(x))
+    own = F.trim(F.col(text))
+    c = F.transform(generate(F.col(text)), lambda x: F.trim(F.coalesce(x, F.lit(""))))
     rated = F.arrays_zip(c.alias("x"), X.degenerate_flags(c).alias("bad"))
-    fresh = F.filter(rated, lambda r: ~r["bad"] & (r["x"] != "") & (r["x"] != F.trim(F.col(text))))
-    return df.withColumn("paraphrase", F.get(fresh, F.lit(0))["x"])
+    start = F.struct(F.array().cast("array<string>").alias("taken"), F.lit(0).alias("missed"))
+
+    def step(state: Column, r: Column) -> Column:
+        open_ = (state["missed"] < tries) & (F.size(state["taken"]) < n)
+        good = ~r["bad"] & (r["x"] != "") & (r["x"] != own) & ~F.array_contains(state["taken"], r["x"])
+        taken = F.when(open_ & good, F.array_append(state["taken"], r["x"])).otherwise(state["taken"])
+        missed = F.when(open_ & good, 0).when(open_, state["missed"] + 1).otherwise(state["missed"])
+        return F.struct(taken.alias("taken"), missed.alias("missed"))
+
+    found = df.withColumn("rated_", rated).where(F.col(text).isNotNull())
+    return found.withColumn("paraphrase", F.explode(F.aggregate("rated_", start, step)["taken"])).drop("rated_")

@@ -46,16 +46,18 @@ def pose_sequences(intervals: DataFrame, people: DataFrame, keys: Sequence[str]
     return hits.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["person"]).alias("pose_sequence"))  # a gloss has about a hundred frames at most
 
 
-def best_per_key(items: DataFrame, key: str, score: str, order: str, payload: Sequence[str]) -> DataFrame:
-    """The row with the highest score per key, the first in ``order`` on a tie.
+def best_per_key(items: DataFrame, key: str, score: str, order: Sequence[str], payload: Sequence[str]) -> DataFrame:
+    """The row with the highest score per key, the first in ``order`` (columns of any types, together without ties) among equal scores.
 
-    Only scores are compared in the aggregate; payloads join the winners.
+    Only scores and orders are compared, in two narrow aggregates; payloads join the winners. Rows without a score are left out.
     """
-    best = items.groupBy(key).agg(F.max(F.struct(F.col(score), (-F.col(order)).alias("o"))).alias("b")).select(key, (-F.col("b.o")).alias(order))
-    return items.select(key, order, score, *payload).join(best, [key, order])
+    slim = items.select(key, score, *order).where(F.col(score).isNotNull())
+    top = slim.groupBy(key).agg(F.max(score).alias("top_"))
+    first = slim.join(top, key).where(F.col(score) == F.col("top_")).groupBy(key).agg(F.min(F.struct(*order)).alias("first_")).select(key, *(F.col(f"first_.{c}").alias(c) for c in order))
+    return items.select(key, *order, score, *payload).join(first, [key, *order])
 
 
-def build_dictionary(items: DataFrame, wanted: DataFrame, order: str = "item_no") -> DataFrame:
+def build_dictionary(items: DataFrame, wanted: DataFrame, order: Sequence[str] = ("entry", "speaker", "pos")) -> DataFrame:
     """gloss -> the sound sequence with the best mean confidence; only wanted glosses."""
     sound = items.where(~K.is_corrupt("pose_sequence")).withColumn("avg_conf", K.mean_confidence("pose_sequence"))
     wanted = broadcast_if_small(wanted.select("gloss").distinct(), F.length("gloss"))

@@ -87,9 +87,10 @@ def term_search(blocks: DataFrame, terms: DataFrame, text: str = "text", term: s
 def substring_join(left: DataFrame, right: DataFrame, text: str, term: str, gram: int = 3) -> DataFrame:
     """Pairs where ``text`` contains ``term`` (both non-null, terms not empty): a term's first ``gram`` characters must stand in the text, which gives an equi join."""
     terms = right.where(F.length(term) > 0).withColumn("g_", F.substring(term, 1, gram)).withColumn("n_", F.length("g_"))
+    lengths = sorted(r["n_"] for r in terms.select("n_").distinct().collect())  # ``gram`` at most
     terms = broadcast_if_small(terms, F.length(term) + 16)
     out = None
-    for n in range(1, gram + 1):  # terms shorter than ``gram`` are their own key
+    for n in lengths or [gram]:  # terms shorter than ``gram`` are their own key
         pairs = left.withColumn("g_", F.explode(X.pieces(n)(F.col(text)))).join(terms.where(F.col("n_") == n), "g_").where(F.col(text).contains(F.col(term))).drop("g_", "n_")
         out = pairs if out is None else out.unionByName(pairs)
     return out

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as X
-from .joins import broadcast_if_small
+from .joins import broadcast_if_small, is_small
 
 THRESHOLD = 80.0
 
@@ -53,77 +52,106 @@ def variant_match(queries: DataFrame, glosses: DataFrame) -> DataFrame:
     return out.withColumn("match", F.when(F.col("bare_"), F.coalesce("numbered_", "any_")).otherwise(F.col("any_"))).drop("base", "bare_", "any_", "numbered_")
 
 
+#: Letters whose rarity is known; any other counts as rare.
+LETTERS = 4096
+
+
+def _letters(text: Column, ranks: Column) -> Column:
+    """A text's letters, each with its number among equal ones, the rarest first."""
+    parts = F.split(text, "")
+    return F.array_sort(F.transform(parts, lambda x, i: F.struct(F.coalesce(F.try_element_at(ranks, x), F.lit(-1)).alias("r"), x.alias("x"), F.size(F.filter(F.slice(parts, 1, i), lambda y: y == x)).alias("n"))))
+
+
 def fuzzy_match(queries: DataFrame, glosses: DataFrame, least: float = THRESHOLD, order: str = "idx") -> DataFrame:
     """``match``: the gloss with the best ratio of at least ``least``, the first in ``order`` on a tie.
 
-    Candidates join by length: the ratio can't be reached if one string is too
-    short for the other, or if they share too few letters.
+    A pair of lengths says how many letters both must share; so one of the
+    rarest letters of either, as many as may be missing and one more, must be
+    among those of the other. Candidates join by length and such a letter.
     """
-    asked = queries.select("q").distinct()
-    part = least / 200.0  # the shorter must have this share of both
+    asked = queries.select("q").distinct().where(F.length("q") > 0)
+    part = least / 200.0  # the common subsequence must have this share of both lengths
+    common = [r["x"] for r in glosses.select(F.explode(F.split("gloss", "")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c")).orderBy("c", "x").limit(LETTERS).collect()]
+    ranks = F.map_from_arrays(F.array(*map(F.lit, common)), F.sequence(F.lit(0), F.lit(len(common) - 1))) if common else F.create_map(F.lit(""), F.lit(0))
+    need = lambda a, b: F.ceil((a + b) * part - 1e-9).cast("int")
+    shortest = lambda n: F.ceil(n * (part / (1 - part)) - 1e-9).cast("int")
     n = F.length("q")
-    lengths = F.sequence(F.ceil(n * (part / (1 - part)) - 1e-9).cast("int"), F.floor(n * ((1 - part) / part) + 1e-9).cast("int"))
-    table = broadcast_if_small(glosses.select("gloss", order).withColumn("len_", F.length("gloss")), F.length("gloss") + 16)
-    pairs = asked.where(n > 0).withColumn("len_", F.explode(lengths)).join(table, "len_")
-    shared = F.size(F.array_intersect(F.split("q", ""), F.split("gloss", "")))
-    pairs = pairs.where(shared > 0).withColumn("ratio", fuzzy_ratio("q", "gloss")).where(F.col("ratio") >= least)
+    sized = asked.select("q", _letters(F.col("q"), ranks).alias("l_"), F.explode(F.sequence(shortest(n), F.floor(n * ((1 - part) / part) + 1e-9).cast("int"))).alias("len_"))
+    keyed = sized.select("q", "len_", F.explode(F.slice("l_", F.lit(1), n - need(n, F.col("len_")) + 1)).alias("key_"))
+    size = F.length("gloss")
+    index = glosses.where(size > 0).select("gloss", order, size.alias("len_"), F.explode(F.slice(_letters(F.col("gloss"), ranks), F.lit(1), size - need(size, shortest(size)) + 1)).alias("key_"))
+    pairs = keyed.join(index, ["len_", "key_"]).select("q", "gloss", order).distinct()
+    pairs = pairs.withColumn("ratio", fuzzy_ratio("q", "gloss")).where(F.col("ratio") >= least)
     best = pairs.groupBy("q").agg(F.max_by("gloss", F.struct("ratio", -F.col(order))).alias("match"), F.max("ratio").alias("ratio"))
     return queries.join(best, "q", "left")
 
 
 def nearest_cosine(queries: DataFrame, table: DataFrame, k: int = 1, q_id: str = "q_id", t_id: str = "t_id", vector: str = "embedding", skip_self: bool = False, block: int = 2048) -> DataFrame:
-    """The ``k`` nearest rows by cosine, exact: q_id, t_id, similarity, rank. A zero vector has similarity 0 to all.
+    """The ``k`` nearest rows by cosine, exact: q_id, t_id, similarity, rank. A zero vector has similarity 0 to all; null vectors take no part. Ties go to the smaller id.
 
-    Queries are shared in blocks of ``block``; each task keeps its best k per
-    query, so only those are shuffled.
+    A stated query set against all rows, in blocks: a block of rows meets each
+    block of queries in one task, which keeps its best k for each query. With
+    queries that fit a broadcast the rows stay where they are.
     """
-    spark = queries.sparkSession
-    it = queries.select(q_id, vector).where(F.col(vector).isNotNull()).toLocalIterator()
-    out = None
-    done = False
-    while not done:
-        rows = []
-        for r in it:
-            rows.append((r[0], r[1]))
-            if len(rows) == block:
-                break
-        else:
-            done = True
-        if not rows and out is not None:
-            break
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1)))
-        found = table.select(t_id, vector).where(F.col(vector).isNotNull()).mapInPandas(_best(shared, k, q_id, t_id, vector, skip_self), f"{q_id} long, {t_id} long, similarity double")
-        out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy(q_id).orderBy(F.desc("similarity"), t_id)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _best(shared, k: int, q_id: str, t_id: str, vector: str, skip_self: bool):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        q_len = np.sqrt((q * q).sum(1)) if len(ids) else None
-        for part in parts:
-            if not len(part) or not len(ids):
-                continue
-            x = np.stack(part[vector].to_numpy()).astype(float)
-            norm = q_len[:, None] * np.sqrt((x * x).sum(1))[None]
-            sim = np.divide(q @ x.T, norm, out=np.zeros_like(norm), where=norm > 0)
-            own = part[t_id].to_numpy()
-            if skip_self:
-                sim[np.asarray(ids)[:, None] == own[None]] = -np.inf
-            order = np.lexsort((np.broadcast_to(own, sim.shape), -sim), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            flat = sim[rows, order.ravel()]
-            ok = np.isfinite(flat)
-            yield pd.DataFrame({q_id: np.asarray(ids)[rows][ok], t_id: own[order.ravel()][ok], "similarity": flat[ok]})
-
-    return run
-
-
-def cascade(queries: DataFrame, glosses: DataFrame, nearest: DataFrame | None = None, least: float = THRESHOLD) -> DataFrame:
-    """``match`` and ``stage`` of each query ``q`` (upper-cased): exact, variant, fuzzy, else what ``nearest`` (q, match) says.
-
-    Each stage looks only at what the stages before left.
+    asked = queries.select(F.col(q_id).alias("q_"), F.col(vector).cast("array<double>").alias("qv_")).where("qv_ is not null")
+    rows = table.select(F.col(t_id).alias("t_"), F.col(vector).cast("array<double>").alias("v_")).where("v_ is not null")
+    kinds = dict(queries.dtypes)[q_id], dict(table.dtypes)[t_id]
+    schema = f"q_ {kinds[0]}, t_ {kinds[1]}, similarity double"
+    if is_small(asked, F.size("qv_") * 8 + 16):
+        got = asked.toArrow()  # SMALL_BYTES at most
+        shared = queries.sparkSession.sparkContext.broadcast(got)
+        found = rows.mapInArrow(lambda batches: (_best(shared.value, pa.Table.from_batches([b]), k, skip_self, lo, block) for b in batches for lo in range(0, shared.value.num_rows, block)), schema)
+    else:
+        n = lambda df: max(1, -(-df.count() // (4 * block)))
+        a, b = n(asked), n(rows)
+        part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        lhs = asked.select(part("q_", a).alias("i"), every(b).alias("j"), "q_", "qv_")
+        rhs = rows.select(every(a).alias("i"), part("t_", b).alias("j"), "t_", "v_")
+        both = lhs.groupBy("i", "j").cogroup(rhs.groupBy("i", "j"))
+        found = both.applyInArrow(lambda x, y: _best(x.select(["q_", "qv_"]), y.select(["t_", "v_"]), k, skip_self).combine_chunks(), schema)
+    w = Window.partitionBy("q_").orderBy(F.desc("similarity"), "t_")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select(F.col("q_").alias(q_id), F.col("t_").alias(t_id), "similarity", "rank")
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = np.concatenate([np.zeros(0), *(np.asarray(c.flatten()) for c in column.chunks)])
+    return flat.reshape(len(column), -1)
+
+
+def _best(asked: pa.Table, rows: pa.Table, k: int, skip_self: bool, start: int = 0, length: int | None = None):
+    """The k rows most similar to each query."""
+    asked = asked.slice(start, length)
+    if asked.num_rows and rows.num_rows:
+        q, x = _matrix(asked.column(1)), _matrix(rows.column(1))
+        norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None]
+        sim = np.divide(q @ x.T, norm, out=np.zeros_like(norm), where=norm > 0)
+        ids = np.asarray(rows.column(0))
+        if skip_self:
+            sim[np.asarray(asked.column(0))[:, None] == ids[None]] = -np.inf
+        kept = min(k, len(ids))
+        edge = np.partition(sim, len(ids) - kept, axis=1)[:, len(ids) - kept]
+        row, col = np.nonzero((sim >= edge[:, None]) & np.isfinite(sim))
+        order = np.lexsort((ids[col], -sim[row, col], row))
+        row, col = row[order], col[order]
+        ok = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[ok], col[ok]
+    else:
+        row = col = np.zeros(0, np.int64)
+        sim = np.zeros((0, 0))
+    out = [asked.column(0).combine_chunks().take(pa.array(row)), rows.column(0).combine_chunks().take(pa.array(col)), pa.array(sim[row, col])]
+    names = ["q_", "t_", "similarity"]
+    return pa.RecordBatch.from_arrays(out, names=names) if length is not None else pa.table(out, names=names)
+
+
+def cascade(queries: DataFrame, glosses: DataFrame, nearest: DataFrame | None = None, least: float = THRESHOLD, embed=None, order: str = "idx") -> DataFrame:
+    """``match`` and ``stage`` of each query ``q`` (upper-cased): exact, variant, fuzzy, else nearest.
+
+    Each stage looks only at what the stages before left. The last one takes
+    what ``nearest`` (q, match) says, or the gloss whose vector is nearest,
+    where ``embed`` is a column function from words to vectors: the boundary
+    to a model. Without either, what is left has no match.
     """
     asked = queries.withColumn("q", F.upper("q"))
     words = asked.select("q").distinct()
@@ -136,6 +164,11 @@ def cascade(queries: DataFrame, glosses: DataFrame, nearest: DataFrame | None =
     fuzzy = fuzzy_match(rest, glosses, least)
     done = done.unionByName(fuzzy.where("match is not null").select("q", "match", F.lit("fuzzy").alias("stage")))
     rest = fuzzy.where("match is null").select("q")
+    if nearest is None and embed is not None:
+        vectors = glosses.select("gloss", F.col(order).alias("t_id"), embed(F.col("gloss")).alias("embedding"))
+        numbered = rest.where("q is not null").select(F.xxhash64("q").alias("q_id"), "q", embed(F.col("q")).alias("embedding"))
+        found = nearest_cosine(numbered, vectors).join(vectors.select("t_id", F.col("gloss").alias("match")), "t_id")
+        nearest = numbered.select("q_id", "q").join(found, "q_id").select("q", "match")
     if nearest is not None:
         rest = rest.join(nearest.select("q", "match"), "q", "left").withColumn("stage", F.when(F.col("match").isNotNull(), "nearest").otherwise("none"))
     else:

@@ -8,8 +8,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from ..functions import porter
 from ..functions import text as X
 
 
@@ -46,22 +47,43 @@ def without_blanks(text: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", "")
 
 
+# The rules of mteval-v13a that part punctuation from words (Spark's and SQL's expressions alike).
+ENTITIES = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+PARTED = ((r"([{-~\[-` -&(-+:-@/])", " $1 "), (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "))
+
+
+def tokens_13a(text: Column) -> Column:
+    """Words and punctuation as mteval-v13a parts them; null has none."""
+    out = F.coalesce(text, F.lit(""))
+    for old, new in ENTITIES:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    out = F.concat(F.lit(" "), out, F.lit(" "))
+    for rule, new in PARTED:
+        out = F.regexp_replace(out, rule, new)
+    return F.array_remove(F.split(out, r"\s+"), "")
+
+
 def bleu(pairs: DataFrame, order: int = 4) -> DataFrame:
-    """Corpus BLEU-1 to BLEU-``order`` (0 to 100), with brevity penalty, without smoothing."""
-    worded = pairs.select("id", X.words("pred").alias("pred"), X.words("ref").alias("ref"))
+    """Corpus BLEU-1 to BLEU-``order`` (0 to 100) over 13a tokens, with brevity penalty.
+
+    Orders without a match are smoothed exponentially: the k-th of them counts
+    as 1 / 2^k of a match. A score is 0 if no gram matches at all, or if the
+    predictions have no gram of an order.
+    """
+    worded = pairs.select("id", tokens_13a(F.col("pred")).alias("pred"), tokens_13a(F.col("ref")).alias("ref"))
     lengths = worded.agg(F.coalesce(F.sum(F.size("pred")), F.lit(0)).alias("c"), F.coalesce(F.sum(F.size("ref")), F.lit(0)).alias("r"))
     m = gram_matches(worded, range(1, order + 1))
     cells = [F.max(F.when(F.col("n") == n, F.struct("matches", "pred"))).alias(f"o{n}") for n in range(1, order + 1)]
     row = m.agg(*cells).crossJoin(lengths)
     penalty = F.when(F.col("c") == 0, 0.0).when(F.col("c") < F.col("r"), F.exp(1 - F.col("r") / F.col("c"))).otherwise(1.0)
-    p = lambda n: F.coalesce(F.try_divide(F.col(f"o{n}.matches"), F.col(f"o{n}.pred")), F.lit(0.0))
-    scores = []
+    hits, total = (lambda n: F.coalesce(F.col(f"o{n}.matches"), F.lit(0))), (lambda n: F.coalesce(F.col(f"o{n}.pred"), F.lit(0)))
+    scores, log, halves, lacking, any_hit = [], F.lit(0.0), F.lit(0), F.lit(False), F.lit(False)
     for n in range(1, order + 1):
-        log, any_zero = F.lit(0.0), F.lit(False)
-        for i in range(1, n + 1):
-            any_zero = any_zero | (p(i) == 0)
-            log = log + F.when(p(i) > 0, F.log(p(i))).otherwise(0.0)
-        scores.append(F.when(any_zero, 0.0).otherwise(100.0 * penalty * F.exp(log / n)).alias(f"bleu_{n}"))
+        halves = halves + F.when(hits(n) == 0, 1).otherwise(0)
+        lacking, any_hit = lacking | (total(n) == 0), any_hit | (hits(n) > 0)
+        share = F.when(hits(n) > 0, hits(n).cast("double")).otherwise(F.pow(F.lit(0.5), halves)) / F.greatest(total(n), F.lit(1))
+        log = log + F.log(share)
+        scores.append(F.when(lacking | ~any_hit, 0.0).otherwise(100.0 * penalty * F.exp(log / n)).alias(f"bleu_{n}"))
     return row.select(*scores)
 
 
@@ -74,16 +96,16 @@ def chrf(pairs: DataFrame, order: int = 6, beta: float = 2.0) -> DataFrame:
     return mean.select(F.coalesce(F.try_divide((1 + b) * F.col("p") * F.col("r"), b * F.col("p") + F.col("r")) * 100, F.lit(0.0)).alias("chrf"))
 
 
-def stem(word: Column) -> Column:
-    """A light suffix stripper: plural and verb endings of words of over three letters."""
-    w = F.lower(word)
-    cut = F.regexp_replace(F.regexp_replace(w, "(sses|ies)$", "$1"), "(?<=[a-zäöüß]{3})(ing|ed|es|s|en|er)$", "")
-    return F.when(F.length(w) > 3, cut).otherwise(w)
+@F.pandas_udf(ArrayType(StringType()))
+def stems(words: pd.Series) -> pd.Series:
+    """Stems of the words of over three letters."""
+    return words.map(lambda own: None if own is None else [porter.stem(w) if len(w) > 3 else w for w in own])
 
 
 def rouge_words(text: Column, stemmed: bool = True) -> Column:
-    w = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    return F.transform(w, stem) if stemmed else w
+    """Runs of a-z and 0-9 after lower-casing, with Porter's stems."""
+    w = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
+    return stems(w) if stemmed else w
 
 
 @F.pandas_udf(LongType())
@@ -186,8 +208,8 @@ def _rate(pairs: DataFrame, edits, name: str, scale: float) -> DataFrame:
 
 
 def ter(pairs: DataFrame) -> DataFrame:
-    """Corpus translation edit rate (0 and up, in percent)."""
-    return _rate(pairs, _ter, "ter", 100.0)
+    """Corpus translation edit rate (0 and up, in percent), without regard to case."""
+    return _rate(pairs.withColumns({c: F.lower(c) for c in ("pred", "ref")}), _ter, "ter", 100.0)
 
 
 def wer(pairs: DataFrame) -> DataFrame:

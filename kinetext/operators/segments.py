@@ -19,6 +19,8 @@ KEYS = ("entry", "speaker")
 # Single tokens that are dropped, and tokens that veto a whole sentence.
 EXCLUDED_TOKENS = ("$GEST", "$GEST-NM", "$GEST-OFF", "$$EXTRA-LING-MAN", "$PMS", "$UNKLAR")
 VETO_TOKENS, VETO_PREFIX = ("$PROD", "$ORAL", "$ALPHA", "$ORAL^"), "$ALPHA"
+# Gloss types that are not timed, by name and by what they contain.
+UNTIMED, UNTIMED_PARTS = (*EXCLUDED_TOKENS, "$PROD"), ("$ORAL", "$ALPHA")
 
 
 def ordered(keys: Sequence[str] = KEYS, *order: str | Column) -> WindowSpec:
@@ -123,6 +125,39 @@ def exclude(blocks: DataFrame, excluded: Sequence[str] = EXCLUDED_TOKENS, veto:
     return kept.withColumn("text", F.array_join("tokens", " ")).drop("vetoed", "lone", "tokens", "group_id", "is_group")
 
 
+def prune_types(types: DataFrame, equal: Sequence[str] = UNTIMED, parts: Sequence[str] = UNTIMED_PARTS, column: str = "gloss") -> DataFrame:
+    """Distinct types without ^ at their ends, less those that equal one of ``equal`` or contain one of ``parts``. Null types go."""
+    out = types.select(F.regexp_replace(column, r"\^+$", "").alias(column)).where(F.col(column).isNotNull() & ~F.col(column).isin(*equal))
+    for part in parts:
+        out = out.where(~F.contains(F.col(column), F.lit(part)))
+    return out.distinct()
+
+
+def forward_sentences(blocks: DataFrame, own: Column, keys: Sequence[str] = ("entry",), order: str = "pos", sep: str = ",", fps: Column | float = 50) -> DataFrame:
+    """Sentences by a scan forward: keys, pos, full_sentence, glosses, start_frame, end_frame.
+
+    ``own`` says which blocks of a file are the speaker's. The first sentence
+    since the last end takes all of the speaker's blocks up to the next end,
+    itself included; later sentences among them count as glosses and keep
+    their marker. A block of another speaker before that end breaks the scan:
+    nothing up to it is a sentence. A sentence that is its own end ends a scan
+    and opens none.
+    """
+    rows = blocks.withColumn("own_", F.coalesce(own, F.lit(False)))
+    closes = ~F.col("own_") | F.col("is_end")
+    rows = rows.withColumn("run_", F.coalesce(count_if(closes).over(before(ordered(keys, order))), F.lit(0)))
+    opens = F.col("own_") & F.col("is_full") & ~F.col("is_end")
+    text = F.when(F.col("is_full"), F.concat("text", F.lit(X.FULL))).otherwise(F.col("text"))
+    found = rows.groupBy(*keys, "run_").agg(
+        F.max(F.col("own_") & F.col("is_end")).alias("ended"),
+        F.min(F.when(opens, F.struct(F.col(order).alias("at"), "text", "start_ms", "end_ms"))).alias("first"),
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), text.alias("text")))).alias("all"),  # one sentence's blocks
+    ).where(F.col("ended") & F.col("first").isNotNull())
+    glosses = F.transform(F.filter("all", lambda x: x["at"] > F.col("first.at")), lambda x: x["text"])
+    whole = F.regexp_replace("first.text", "/+$", "")
+    return found.select(*keys, F.col("first.at").alias(order), whole.alias("full_sentence"), F.array_join(glosses, sep).alias("glosses"), X.ms_to_frame("first.start_ms", fps).alias("start_frame"), X.ms_to_frame("first.end_ms", fps).alias("end_frame"))
+
+
 def sentence_rows(blocks: DataFrame, keys: Sequence[str] = KEYS, order: str = "pos", strict: bool = False) -> DataFrame:
     """The blocks of complete sentences with their ``sid``: from the sentence to its end, both included.
 

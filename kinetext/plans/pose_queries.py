@@ -56,10 +56,10 @@ def conf_avg(spark, sf_dir):
     return vector_frames(spark, sf_dir).groupBy("label").agg(r6(F.avg(K.confidence(F.col("frame")))).alias("avg_conf"))
 
 
-@add("SELECT o_custkey AS gloss, arg_max(o_orderkey, struct_pack(a := o_totalprice, b := -o_orderkey)) AS item_no, max(o_totalprice) AS avg_conf FROM orders GROUP BY o_custkey")
+@add("SELECT o_custkey AS gloss, o_orderdate AS entry, o_orderkey AS item_no, o_totalprice AS avg_conf, o_orderpriority AS pose_sequence FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderdate, o_orderkey) AS n FROM (SELECT * REPLACE (floor(o_totalprice / 50000) AS o_totalprice) FROM orders)) WHERE n = 1")
 def best_per_key(spark, sf_dir):
-    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("gloss"), F.col("o_orderkey").alias("item_no"), F.col("o_totalprice").alias("avg_conf"))
-    return D.best_per_key(items, "gloss", "avg_conf", "item_no", [])
+    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("gloss"), F.col("o_orderdate").alias("entry"), F.col("o_orderkey").alias("item_no"), F.floor(F.col("o_totalprice") / 50000).cast("double").alias("avg_conf"), F.col("o_orderpriority").alias("pose_sequence"))
+    return D.best_per_key(items, "gloss", "avg_conf", ["entry", "item_no"], ["pose_sequence"])
 
 
 @add(f"WITH {VECTORS}, a AS (SELECT vec_id, unnest(['pose_keypoints_2d', 'face_keypoints_2d', 'hand_left_keypoints_2d', 'hand_right_keypoints_2d']) AS part, unnest([27, 12, 12, 11]) AS expected, unnest([27, 12, 12, 12]) AS actual FROM v) SELECT vec_id, part, CAST(expected AS INTEGER) AS expected, CAST(actual AS INTEGER) AS actual FROM a WHERE expected <> actual")
@@ -161,10 +161,29 @@ def msj(spark, sf_dir):
     return motion.mean_squared_jerk(frames, ["label"], "vec_id", "xy").select("label", r6("msj").alias("msj"))
 
 
-@add()
+#: Speeds as rows, and the spectral arc length from the sums of their Fourier transform.
+SPEEDS = f"""{VECTORS}, p AS (SELECT label, vec_id, unnest(v[1:63]) AS x, generate_subscripts(v[1:63], 1) AS i FROM v), l AS (SELECT *, x - lag(x, 1) OVER (PARTITION BY label, i ORDER BY vec_id) AS d FROM p),
+s AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, sqrt(sum(d * d)) AS v FROM l WHERE d IS NOT NULL AND (i - 1) % 3 <> 2 GROUP BY label, vec_id)"""
+ARC = f"""{SPEEDS}, m AS (SELECT label, count(*) AS m FROM s GROUP BY label), f AS (SELECT s.label, m, k, sqrt(pow(sum(v * cos(2 * pi() * k * t / m)), 2) + pow(sum(v * sin(2 * pi() * k * t / m)), 2)) AS size FROM s JOIN m ON s.label = m.label, range(0, 100000) r(k) WHERE k <= m // 2 GROUP BY s.label, m, k),
+c AS (SELECT *, sum(size) OVER (PARTITION BY label ORDER BY k) / sum(size) OVER (PARTITION BY label) AS share FROM f), e AS (SELECT label, min(k) AS last FROM c WHERE share >= 0.99 GROUP BY label),
+d AS (SELECT c.label, sqrt(pow(size - lag(size) OVER (PARTITION BY c.label ORDER BY k), 2) + pow(1.0 / m, 2)) AS step FROM c JOIN e ON c.label = e.label WHERE k <= last), arc AS (SELECT label, -sum(step) AS sal FROM d GROUP BY label)"""
+
+
+@add(f"WITH {ARC} SELECT CAST(label AS INTEGER) AS label, round(coalesce(sal, 0), 6) + 0.0 AS sal FROM arc")
 def sal(spark, sf_dir):
     frames = vector_frames(spark, sf_dir).withColumn("xy", K.positions(F.col("frame")))
-    return motion.spectral_arc_length(frames, ["label"], "vec_id", "xy")
+    return motion.spectral_arc_length(frames, ["label"], "vec_id", "xy").select("label", r6("sal").alias("sal"))
+
+
+JERK = """lj AS (SELECT *, lag(x, 1) OVER w AS a, lag(x, 2) OVER w AS b, lag(x, 3) OVER w AS c FROM p WINDOW w AS (PARTITION BY label, i ORDER BY vec_id)),
+jerk AS (SELECT label, avg(q) AS msj FROM (SELECT label, vec_id, sum(pow(x - 3 * a + 3 * b - c, 2)) AS q FROM lj WHERE c IS NOT NULL AND (i - 1) % 3 <> 2 GROUP BY label, vec_id) GROUP BY label)"""
+
+
+@add(f"WITH {ARC}, {JERK} SELECT CAST(arc.label AS INTEGER) AS label, round(sal, 6) + 0.0 AS sal, round(msj, 6) + 0.0 AS msj FROM arc JOIN jerk ON arc.label = jerk.label WHERE sal IS NOT NULL")
+def smoothness(spark, sf_dir):
+    """Only sequences that have both figures."""
+    frames = vector_frames(spark, sf_dir).withColumn("xy", K.positions(F.col("frame")))
+    return motion.smoothness(frames, ["label"], "vec_id", "xy").select("label", r6("sal").alias("sal"), r6("msj").alias("msj"))
 
 
 @add(f"WITH {VECTORS}, p AS (SELECT label, vec_id, unnest(v[1:63]) AS x, generate_subscripts(v[1:63], 1) AS i FROM v), l AS (SELECT *, x - lag(x, 1) OVER (PARTITION BY label, i ORDER BY vec_id) AS d FROM p), s AS (SELECT label, vec_id, sqrt(sum(d * d)) AS v FROM l WHERE (i - 1) % 3 <> 2 AND d IS NOT NULL GROUP BY label, vec_id) SELECT CAST(label AS INTEGER) AS label, count(*) AS steps, round(sum(v), 6) AS path FROM s GROUP BY label")

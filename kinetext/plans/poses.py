@@ -13,9 +13,8 @@ def dictionary(marked: DataFrame, cameras: DataFrame, wanted: DataFrame, drop_sh
     """Marked blocks and cameras to gloss -> best sequence."""
     items = D.pose_sequences(D.intervals_in_frames(marked), D.frames(cameras), drop_shared=drop_shared)
     items = items.where(F.size("pose_sequence") > 0).withColumnRenamed("text", "gloss")
-    # A first-seen order without gathering rows: ties in confidence go to the smaller (entry, speaker, pos).
-    ranked = items.withColumn("item_no", F.xxhash64("entry", "speaker", "pos"))
-    return D.build_dictionary(ranked, wanted)
+    # Ties in confidence go to the first seen: the smallest (entry, speaker, pos).
+    return D.build_dictionary(items, wanted)
 
 
 def translate(queries: DataFrame, glosses: DataFrame, poses: DataFrame, times: DataFrame | None = None, nearest: DataFrame | None = None) -> DataFrame:

@@ -229,17 +229,32 @@ def _grams(source, side, flag, orders):
     return f"SELECT id, k AS n, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g, {flag} AS p FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT id, {source} AS w, unnest(range(1, {orders + 1})) AS k FROM pr) WHERE len(w) >= k)"
 
 
-COUNTS = f"x AS ({_grams(PW, 'pred', 1, 4)} UNION ALL {_grams(RW, 'ref', 0, 4)}), c AS (SELECT id, n, g, sum(p) AS p, sum(1 - p) AS r FROM x GROUP BY ALL), m AS (SELECT n, sum(p) AS pred, sum(r) AS ref, sum(least(p, r)) AS matches FROM c GROUP BY n)"
+def _counts(p, r):
+    return f"x AS ({_grams(p, 'pred', 1, 4)} UNION ALL {_grams(r, 'ref', 0, 4)}), c AS (SELECT id, n, g, sum(p) AS p, sum(1 - p) AS r FROM x GROUP BY ALL), m AS (SELECT n, sum(p) AS pred, sum(r) AS ref, sum(least(p, r)) AS matches FROM c GROUP BY n)"
 
 
-@add(f"WITH {PAIRS}, {COUNTS} SELECT CAST(n AS INTEGER) AS n, CAST(pred AS BIGINT) AS pred, CAST(ref AS BIGINT) AS ref, CAST(matches AS BIGINT) AS matches FROM m")
+@add(f"WITH {PAIRS}, {_counts(PW, RW)} SELECT CAST(n AS INTEGER) AS n, CAST(pred AS BIGINT) AS pred, CAST(ref AS BIGINT) AS ref, CAST(matches AS BIGINT) AS matches FROM m")
 def gram_matches(spark, sf_dir):
     p = pairs(spark, sf_dir).select("id", X.words("pred").alias("pred"), X.words("ref").alias("ref"))
     return scoring.gram_matches(p, range(1, 5))
 
 
-@add(f"""WITH {PAIRS}, {COUNTS}, l AS (SELECT sum(len({PW})) AS c, sum(len({RW})) AS r FROM pr), bp AS (SELECT CASE WHEN c < r THEN exp(1 - r / c) ELSE 1 END AS b FROM l),
-pn AS (SELECT n, matches / pred AS p FROM m) SELECT """ + ", ".join(f"round(100 * (SELECT b FROM bp) * (SELECT CASE WHEN min(p) > 0 THEN exp(sum(CASE WHEN p > 0 THEN ln(p) ELSE 0 END) / {k}) ELSE 0 END FROM pn WHERE n <= {k}), 6) AS bleu_{k}" for k in (1, 2, 3, 4)))
+def _tokens_13a(side: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    out = f"coalesce({side}, '')"
+    for old, new in scoring.ENTITIES:
+        out = f"replace({out}, {quoted(old)}, {quoted(new)})"
+    out = f"' ' || {out} || ' '"
+    for rule, new in scoring.PARTED:
+        out = f"regexp_replace({out}, {quoted(rule)}, {quoted(new.replace('$', chr(92)))}, 'g')"
+    return f"list_filter(string_split_regex({out}, '\\s+'), lambda x: x <> '')"
+
+
+P13, R13 = _tokens_13a("pred"), _tokens_13a("ref")
+
+
+@add(f"""WITH {PAIRS}, {_counts(P13, R13)}, l AS (SELECT sum(len({P13})) AS c, sum(len({R13})) AS r FROM pr), bp AS (SELECT CASE WHEN c < r THEN exp(1 - r / c) ELSE 1 END AS b FROM l),
+pn AS (SELECT n, CASE WHEN matches > 0 THEN matches ELSE pow(0.5, sum(CASE WHEN matches = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n)) END / pred AS p FROM m) SELECT """ + ", ".join(f"round(100 * (SELECT b FROM bp) * (SELECT exp(sum(ln(p)) / {k}) FROM pn WHERE n <= {k}), 6) AS bleu_{k}" for k in (1, 2, 3, 4)))
 def bleu(spark, sf_dir):
     out = scoring.bleu(pairs(spark, sf_dir))
     return out.select(*(r6(c).alias(c) for c in out.columns))
@@ -255,24 +270,37 @@ def chrf(spark, sf_dir):
     return scoring.chrf(pairs(spark, sf_dir)).select(r6("chrf").alias("chrf"))
 
 
-RP, RR = (f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')" for c in ("pred", "ref"))
+RP, RR = (f"list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda x: x <> '')" for c in ("pred", "ref"))
+#: A table row by row: the longest common subsequence, and the edits, of the first i words of a with the first j of b. Ranges start before the first word.
+LCS = "SELECT id, a, b, i + 1, list_transform(range(len(b) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE list_max(list_transform(range(1, j + 1), lambda k: greatest(t[k + 1], t[k] + CASE WHEN a[i + 1] = b[k] THEN 1 ELSE 0 END))) END) FROM {0} WHERE i < len(a)"
+EDITS = "SELECT id, a, b, i + 1, list_transform(range(len(b) + 1), lambda j: least(i + 1 + j, coalesce(list_min(list_transform(range(1, j + 1), lambda k: least(t[k + 1] + 1, t[k] + CASE WHEN a[i + 1] = b[k] THEN 0 ELSE 1 END) + j - k)), i + 1 + j))) FROM {0} WHERE i < len(a)"
 
 
-@add(f"""WITH {PAIRS}, g AS ({_grams(RP, 'pred', 1, 2)} UNION ALL {_grams(RR, 'ref', 0, 2)}), c AS (SELECT id, g, sum(p) AS p, sum(1 - p) AS r FROM g WHERE n = 2 GROUP BY ALL), m AS (SELECT id, sum(p) AS p, sum(r) AS r, sum(least(p, r)) AS m FROM c GROUP BY id)
-SELECT round(100 * avg(coalesce(2.0 * m / (p + r), 0)), 6) AS rouge_2 FROM pr LEFT JOIN m USING (id)""")
-def rouge_2(spark, sf_dir):
-    return scoring.rouge_n(pairs(spark, sf_dir), 2, stemmed=False).select(r6("rouge_2").alias("rouge_2"))
+@add(f"""WITH RECURSIVE {PAIRS}, w AS (SELECT id, {RP} AS a, {RR} AS b FROM pr), g AS ({_grams(RP, 'pred', 1, 2)} UNION ALL {_grams(RR, 'ref', 0, 2)}), c AS (SELECT id, n, g, sum(p) AS p, sum(1 - p) AS r FROM g GROUP BY ALL), m AS (SELECT id, n, 2.0 * sum(least(p, r)) / (sum(p) + sum(r)) AS f FROM c GROUP BY id, n),
+l AS (SELECT id, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda x: 0) AS t FROM w UNION ALL {LCS.format("l")}), e AS (SELECT id, coalesce(2.0 * t[len(b) + 1] / nullif(len(a) + len(b), 0), 0) AS f FROM l WHERE i = len(a))
+SELECT round(100 * avg(coalesce(m1.f, 0)), 6) AS rouge_1, round(100 * avg(coalesce(m2.f, 0)), 6) AS rouge_2, round(100 * avg(e.f), 6) AS rouge_l FROM e LEFT JOIN m m1 ON m1.id = e.id AND m1.n = 1 LEFT JOIN m m2 ON m2.id = e.id AND m2.n = 2""")
+def rouge_unstemmed(spark, sf_dir):
+    out = scoring.rouge(pairs(spark, sf_dir), stemmed=False)
+    return out.select(*(r6(c).alias(c) for c in out.columns))
 
 
 @add()
 def rouge(spark, sf_dir):
+    """With Porter's stems, which SQL cannot express."""
     out = scoring.rouge(pairs(spark, sf_dir))
     return out.select(*(r6(c).alias(c) for c in out.columns))
 
 
-@add()
+@add(f"""WITH RECURSIVE {PAIRS}, w AS (SELECT id, {PW} AS a, {RW} AS b FROM pr), l AS (SELECT id, a, b, 0 AS i, range(len(b) + 1) AS t FROM w UNION ALL {EDITS.format("l")})
+SELECT round(sum(t[len(b) + 1]) / sum(len(b)), 6) AS wer FROM l WHERE i = len(a)""")
 def wer(spark, sf_dir):
-    return scoring.wer(pairs(spark, sf_dir))
+    return scoring.wer(pairs(spark, sf_dir)).select(r6("wer").alias("wer"))
+
+
+@add()
+def ter(spark, sf_dir):
+    """Greedy block shifts are beyond SQL."""
+    return scoring.ter(pairs(spark, sf_dir)).select(r6("ter").alias("ter"))
 
 
 @add(f"SELECT max(len({W})) AS longest FROM conversations")
@@ -326,18 +354,40 @@ def variant_match(spark, sf_dir):
     return matching.variant_match(q, glosses(spark, sf_dir)).select("q", "match")
 
 
-@add()
+def _ratios(asked: str, known: str) -> str:
+    """Ratios of all pairs of q and gloss that share a letter."""
+    return f"""z AS (SELECT row_number() OVER () AS id, q, gloss, idx, string_split(q, '') AS a, string_split(gloss, '') AS b FROM {asked}, {known} WHERE q <> '' AND gloss <> ''),
+l AS (SELECT id, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda x: 0) AS t FROM z UNION ALL {LCS.format("l")}), rt AS (SELECT q, gloss, idx, 200.0 * t[len(l.b) + 1] / (len(l.a) + len(l.b)) AS ratio FROM l JOIN z ON l.id = z.id WHERE i = len(l.a)),
+fz AS (SELECT q, arg_max(gloss, struct_pack(r := ratio, o := -idx)) AS match, max(ratio) AS ratio FROM rt WHERE ratio >= 80 GROUP BY q)"""
+
+
+@add(f"""WITH RECURSIVE n AS (SELECT DISTINCT upper(p_name) AS gloss FROM part), g AS (SELECT gloss, row_number() OVER (ORDER BY gloss) AS idx FROM n), s AS (SELECT DISTINCT regexp_replace(gloss, '[AEI]$|L', '', 'g') AS q FROM n), {_ratios('s', 'g')}
+SELECT s.q, match, round(ratio, 6) AS ratio FROM s LEFT JOIN fz ON s.q = fz.q""")
 def fuzzy_match(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.upper("p_name").alias("gloss")).distinct()
-    table_ = names.withColumn("idx", F.xxhash64("gloss"))
     asked = names.select(F.regexp_replace("gloss", "[AEI]$|L", "").alias("q")).distinct()
-    return matching.fuzzy_match(asked, table_).select("q", "match", "ratio")
+    known = J.running(names, F.lit(1), ["gloss"], "before_").select("gloss", (F.col("before_") + 1).alias("idx"))
+    return matching.fuzzy_match(asked, known).select("q", "match", r6("ratio").alias("ratio"))
 
 
-@add()
+ASKED = "CASE p_partkey % 4 WHEN 0 THEN replace(p_brand, '#', '') WHEN 1 THEN 'brand' WHEN 2 THEN replace(p_brand, '#', '-') || '!' ELSE 'x' || p_name END"
+VECTOR_OF = "list_transform(range(8), lambda i: CAST(CAST(('0x' || substr(md5({0}), 4 * i + 1, 4)) AS INTEGER) AS DOUBLE))"
+
+
+@add(f"""WITH RECURSIVE {GLOSSES}, u AS (SELECT DISTINCT upper({ASKED}) AS q FROM part), ex AS (SELECT q FROM u JOIN g ON g.gloss = u.q), u1 AS (SELECT q FROM u WHERE q NOT IN (SELECT q FROM ex)),
+v AS (SELECT gloss, regexp_extract(gloss, '^([A-ZÄÖÜ]+)([0-9]+)?([A-Z]*)$', 1) AS base, CAST(coalesce(nullif(regexp_extract(gloss, '^([A-ZÄÖÜ]+)([0-9]+)?([A-Z]*)$', 2), ''), '0') AS INTEGER) AS num FROM g),
+va AS (SELECT q, (SELECT arg_min(gloss, num) FROM v WHERE v.base = regexp_extract(q, '^([A-ZÄÖÜ]+)([0-9]+)?([A-Z]*)$', 1) AND v.base <> '') AS match FROM u1), u2 AS (SELECT q FROM va WHERE match IS NULL), {_ratios('u2', 'g')},
+u3 AS (SELECT q FROM u2 WHERE q NOT IN (SELECT q FROM fz)), ne AS (SELECT u3.q, arg_max(gloss, list_cosine_similarity({VECTOR_OF.format("u3.q")}, {VECTOR_OF.format("gloss")})) AS match FROM u3, g GROUP BY u3.q),
+found AS (SELECT q, q AS match, 'exact' AS stage FROM ex UNION ALL SELECT q, match, 'variant' FROM va WHERE match IS NOT NULL UNION ALL SELECT q, match, 'fuzzy' FROM fz UNION ALL SELECT q, match, 'nearest' FROM ne)
+SELECT p_partkey, upper({ASKED}) AS q, match, stage FROM part JOIN found ON found.q = upper({ASKED})""")
 def cascade_match(spark, sf_dir):
-    asked = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.replace("p_brand", F.lit("#"), F.lit(""))).when(F.col("p_partkey") % 3 == 1, F.lit("brand")).otherwise(F.concat(F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("!"))).alias("q"))
-    return matching.cascade(asked, glosses(spark, sf_dir)).select("p_partkey", "q", "match", "stage")
+    """The vectors stand for those of a model: 16 bits of a hash to a component."""
+    bare = F.replace("p_brand", F.lit("#"), F.lit(""))
+    no = F.col("p_partkey") % 4
+    asked = table(spark, sf_dir, "part").select("p_partkey", F.when(no == 0, bare).when(no == 1, F.lit("brand")).when(no == 2, F.concat(F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("!"))).otherwise(F.concat(F.lit("x"), "p_name")).alias("q"))
+    embed = lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(F.md5(c), 4 * i + 1, F.lit(4)), 16, 10).cast("double"))
+    known = glosses(spark, sf_dir)
+    return matching.cascade(asked, known, embed=embed).select("p_partkey", "q", "match", "stage")
 
 
 @add("WITH t AS (SELECT o_custkey, count(*) AS n, CAST(sum(o_totalprice) AS DOUBLE) AS total FROM orders GROUP BY o_custkey) SELECT c_custkey, CAST(coalesce(n, 0) AS DOUBLE) AS median_igt, round(coalesce(total, 0), 2) AS median_ogt FROM customer LEFT JOIN t ON c_custkey = o_custkey")

@@ -30,7 +30,7 @@ def sentence_videos(pairs: DataFrame, root: str) -> DataFrame:
 
 
 def timing_table(blocks: DataFrame, types: DataFrame) -> DataFrame:
-    """Raw times of every occurrence of a known gloss."""
+    """Raw times of every occurrence of a known gloss that is timed."""
     marked = marked_blocks(blocks, types)
     named = marked.withColumns({"block_index": F.col("pos").cast("string"), "gloss": F.split_part("text", F.lit(":"), F.lit(1))})
-    return timing.gloss_times(named, types=types)
+    return timing.gloss_times(named, types=S.prune_types(types))

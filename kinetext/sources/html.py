@@ -35,14 +35,15 @@ def links(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "pos", F.col("x.href").alias("href"), plain(F.col("x.text")).alias("text"), absolute(F.col("url"), F.col("x.href")).alias("target"))
 
 
-def table_rows(pages: DataFrame, needed: str | None = None) -> DataFrame:
-    """(page_id, row_no, cells): cells by header, each with its text and first link. Rows lacking the link of the column ``needed`` are left out."""
+def table_rows(pages: DataFrame, needed: str | None = None, max_entries: int = -1) -> DataFrame:
+    """(page_id, row_no, cells): cells by header, each with its text and first link. Of each page the first ``max_entries`` rows (-1: all), less those that lack the link of the column ``needed``."""
     headers = F.transform(F.regexp_extract_all(F.regexp_extract("html", r"(?is)<tr\b[^>]*>(.*?</th>.*?)</tr>", 1), F.lit(r"(?is)<th\b[^>]*>(.*?)</th>"), 1), plain)
     rows = pages.select("page_id", "url", headers.alias("heads"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>((?:(?!</tr>).)*<td.*?)</tr>"), 1)).alias("row_no", "row"))
     cells = F.regexp_extract_all("row", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), 1)
     cell = lambda c: F.struct(plain(c).alias("text"), F.when(c.rlike(LINK), absolute(F.col("url"), F.regexp_extract(c, LINK, 1))).alias("link"))
     n = F.least(F.size("heads"), F.size(cells))
     out = rows.select("page_id", "row_no", F.map_from_arrays(F.slice("heads", F.lit(1), n), F.slice(F.transform(cells, cell), F.lit(1), n)).alias("cells"))
+    out = out.where(F.col("row_no") < max_entries) if max_entries >= 0 else out
     return out.where(F.col("cells")[needed]["link"].isNotNull()) if needed else out
 
 

@@ -342,5 +342,34 @@ def test_chat_and_paraphrases(spark):
     assert [(m["role"], m["content"]) for m in messages] == [("system", "Sys"), ("user", "Say: Guten Tag"), ("assistant", "GUT TAG")]
     model = lambda t: F.array(t, F.lit("a a a a a a"), F.lit(" Hallo "), F.lit("Moin"))
     assert corpus.paraphrases(df, model).first()["paraphrase"] == "Hallo"
+    drawn = lambda t: F.array(*(F.lit(x) for x in ("", "Eins", "Eins", "Guten Tag", "Zwei ", "a a a a a a", None, "Drei")))
+    taken = lambda **options: [r["paraphrase"] for r in corpus.paraphrases(df, drawn, **options).collect()]
+    assert taken(n=2) == ["Eins", "Zwei"]
+    assert taken(n=5) == ["Eins", "Zwei", "Drei"]
+    assert taken(n=5, tries=2) == ["Eins"]  # the second text fails twice
+    assert taken(tries=1) == []
+    assert corpus.paraphrases(spark.createDataFrame([(None,)], "full_sentence string"), drawn).count() == 0
+
+
+def test_pairs_of_fuzzy_matches_are_not_missed(spark):
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choices("abcde", [5, 4, 3, 2, 1], k=rng.randint(1, 9))) for _ in range(150)})
+    asked = sorted({"".join(rng.choices("abcdef", k=rng.randint(1, 9))) for _ in range(60)})
+    known = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "gloss string, idx int")
+    got = {r["q"]: r["match"] for r in matching.fuzzy_match(spark.createDataFrame([(q,) for q in asked], "q string"), known, 70.0).collect()}
+    for q in asked:
+        ratio, at = max((matching.indel_ratio(q, w), -i) for i, w in enumerate(words))
+        assert got[q] == (words[-at] if ratio >= 70 else None)
+
+
+def test_nearest_cosine_without_a_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 5)))] + [(60, [0.0] * 5), (61, None), (62, [1.0] * 5), (63, [1.0] * 5)]
+    a, b = (spark.createDataFrame(v, f"{c} long, embedding array<double>").repartition(3) for c in ("q_id", "t_id"))
+    want = sorted(tuple(r) for r in matching.nearest_cosine(a, b, 3, skip_self=True, block=7).collect())
+    assert len(want) == 63 * 3
+    monkeypatch.setattr(matching, "is_small", lambda *_: False)
+    got = sorted(tuple(r) for r in matching.nearest_cosine(a, b, 3, skip_self=True, block=5).collect())
+    assert [(q, t, n) for q, t, _, n in got] == [(q, t, n) for q, t, _, n in want]
 
 
