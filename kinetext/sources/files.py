@@ -85,8 +85,8 @@ def with_suffix_unioned(spark: SparkSession, paths: Sequence[str], schema: T.Str
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = False, by: Sequence[str] = ()) -> None:
-    writer = df.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"')
+def write_csv(df: DataFrame, path: str, quote_all: bool = False, by: Sequence[str] = (), sep: str = ",") -> None:
+    writer = df.write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').option("sep", sep)
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 

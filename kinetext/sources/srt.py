@@ -19,7 +19,7 @@ def files(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def with_all(spark: SparkSession, root: str, needed: Sequence[str]) -> DataFrame:
-    """Entries of a folder that have all the needed files, from the listing alone."""
+    """Entries of a folder that have all the needed files, from the listing alone. Files without content don't count."""
     found = spark.read.format("binaryFile").load(f"{root}/entry_*/*").select(F.regexp_extract("path", ENTRY, 1).alias("entry"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
     return found.where(F.col("file").isin(*needed)).groupBy("entry").agg(F.countDistinct("file").alias("n")).where(F.col("n") == len(needed)).select("entry")
 
