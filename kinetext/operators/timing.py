@@ -57,70 +57,66 @@ def gloss_times(blocks: DataFrame, keys: Sequence[str] = S.KEYS, order: str = "p
     return out.join(broadcast_if_small(types.distinct(), F.length("gloss")), "gloss", "left_semi") if types is not None else out
 
 
-def percentiles(df: DataFrame, by: Sequence[str], metrics: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """Exact percentiles, interpolated: by, metric, p (an array, in the order of ``shares``) for each metric of each group that has values.
-
-    Equal values are counted first; the counts of an eighth of an octave then
-    say in which of these the wanted ranks lie, and only their values are
-    sorted. No task has all values of a group.
+def summaries(df: DataFrame, by: Sequence[str], metrics: Sequence[str], shares: Sequence[float] = (), rows: bool = False) -> DataFrame:
+    """by, metric, n, mean, std (of a sample) and p, exact interpolated percentiles in the order of ``shares``, for each metric of each group that has values.
+
+    Equal values are counted first, and what follows works on these counts:
+    the rows are read once, and no task has all values of a group. The counts
+    of an eighth of an octave say in which of them the wanted ranks lie; only
+    the values there are sorted. With ``rows`` a metric named '' counts the
+    rows.
     """
-    cells = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("x")
-    counts = df.select(*by, cells).select(*by, "x.*").where("v is not null").groupBy(*by, "metric", "v").agg(F.count(F.lit(1)).alias("c"))
+    cells = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics] + [F.struct(F.lit("").alias("metric"), F.lit(0.0).alias("v"))] * rows
+    counts = df.select(*by, F.explode(F.array(*cells)).alias("x")).select(*by, "x.*").where("v is not null").groupBy(*by, "metric", "v").agg(F.count(F.lit(1)).alias("c"))
     octave = F.floor(F.log2(F.abs("v")) * 8).cast("long") + 100_000
     counts = counts.withColumn("cell", F.when(F.col("v") > 0, octave).when(F.col("v") < 0, -octave).otherwise(0))
     group = [*by, "metric"]
     w = Window.partitionBy(*group)
-    totals = counts.groupBy(*group, "cell").agg(F.sum("c").alias("held"))
+    totals = counts.groupBy(*group, "cell").agg(F.sum("c").alias("held"), F.sum(F.col("c") * F.col("v")).alias("total"))
+
+    def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """An equi join in which null keys meet."""
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"{k}_r"))
+        return left.join(right.withColumnsRenamed({k: f"{k}_r" for k in keys}), on).drop(*(f"{k}_r" for k in keys))
+
+    means = totals.groupBy(*group).agg(F.sum("held").alias("n"), (F.sum("total") / F.sum("held")).alias("mean"))
+    moments = joined(counts.drop("cell"), means, group).groupBy(*group).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.sum(F.col("c") * F.pow(F.col("v") - F.col("mean"), F.lit(2))).alias("m2"))
+    moments = moments.withColumn("std", F.sqrt(F.try_divide("m2", F.col("n") - 1))).drop("m2")
+    if not shares:
+        return moments.withColumn("p", F.array().cast("array<double>"))
     totals = totals.withColumns({"n": F.sum("held").over(w), "first": F.sum("held").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")})
-    at = lambda p, f: f(F.col("n").cast("double") * p - p)
-    ranks = [at(p, f) for p in shares for f in (F.floor, F.ceil)]
+    rank = lambda p, f: f(F.col("n").cast("double") * p - p)
+    ranks = [rank(p, f) for p in shares for f in (F.floor, F.ceil)]
     here = lambda r, start, size: (r >= start) & (r < start + size)
     wanted = F.lit(False)
     for r in ranks:
         wanted = wanted | here(r, F.col("first"), F.col("held"))
-    totals = totals.where(wanted).drop("held")
-    on = F.lit(True)
-    for k in [*group, "cell"]:
-        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    values = counts.alias("a").join(totals.alias("b"), on).select(*(F.col(f"a.{k}").alias(k) for k in [*group, "cell"]), "v", "c", "n", "first")
+    values = joined(counts, totals.where(wanted).select(*group, "cell", "n", "first"), [*group, "cell"])
     inside = Window.partitionBy(*group, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     values = values.withColumn("start", F.col("first") + F.sum("c").over(inside) - F.col("c"))
     picked = values.groupBy(*group).agg(F.max("n").alias("n"), *(F.max(F.when(here(r, F.col("start"), F.col("c")), F.col("v"))).alias(f"r{i}") for i, r in enumerate(ranks)))
-    between = [F.col(f"r{2 * i}") + (F.col(f"r{2 * i + 1}") - F.col(f"r{2 * i}")) * (F.col("n").cast("double") * p - p - at(p, F.floor)) for i, p in enumerate(shares)]
-    return picked.select(*group, F.array(*between).alias("p"))
-
-
-def with_medians(groups: DataFrame, df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """A table of groups with median_<metric> of each metric."""
-    medians = percentiles(df, by, metrics, [0.5]).groupBy(*by).agg(*(F.max(F.when(F.col("metric") == m, F.col("p")[0])).alias(f"median_{m}") for m in metrics))
-    if not by:
-        return groups.crossJoin(F.broadcast(medians))  # one row
-    medians = medians.select(*(F.col(k).alias(f"{k}_m") for k in by), *(f"median_{m}" for m in metrics))
-    on = F.lit(True)
-    for k in by:
-        on = on & F.col(k).eqNullSafe(F.col(f"{k}_m"))
-    return groups.join(medians, on, "left").drop(*(f"{k}_m" for k in by))
+    between = [F.col(f"r{2 * i}") + (F.col(f"r{2 * i + 1}") - F.col(f"r{2 * i}")) * (F.col("n").cast("double") * p - p - rank(p, F.floor)) for i, p in enumerate(shares)]
+    return joined(moments, picked.select(*group, F.array(*between).alias("p")), group)
 
 
 def statistics(df: DataFrame, by: Sequence[str], metrics: Sequence[str] = METRICS, count: str = "count") -> DataFrame:
     """Mean, median and sample deviation of each metric, and the count, per group."""
-    aggs = [f(F.col(m).cast("double")).alias(f"{name}_{m}") for m in metrics for name, f in (("avg", F.avg), ("std", F.stddev_samp))]
-    out = with_medians(df.groupBy(*by).agg(*aggs, F.count(F.lit(1)).alias(count)), df, by, metrics)
-    return out.select(*by, *(f"{name}_{m}" for m in metrics for name in ("avg", "median", "std")), count)
+    of = lambda m, x: F.max(F.when(F.col("metric") == m, x))
+    cells = [of(m, x).alias(f"{name}_{m}") for m in metrics for name, x in (("avg", F.col("mean")), ("median", F.col("p")[0]), ("std", F.col("std")))]
+    return summaries(df, by, metrics, [0.5], rows=True).groupBy(*by).agg(*cells, of("", F.col("n")).alias(count))
 
 
 def global_statistics(df: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """One row per metric: mean, median, std, q25, q75."""
-    shown = df.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("x")).select("x.*")
-    q = percentiles(df, [], metrics, [0.5, 0.25, 0.75])
-    plain = shown.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
-    return plain.join(q, "metric", "left").select("metric", "mean", F.col("p")[0].alias("median"), "std", F.col("p")[1].alias("q25"), F.col("p")[2].alias("q75"))
+    found = summaries(df, [], metrics, [0.5, 0.25, 0.75])
+    return found.select("metric", "mean", F.col("p")[0].alias("median"), "std", F.col("p")[1].alias("q25"), F.col("p")[2].alias("q75"))
 
 
 def with_group_statistics(df: DataFrame, by: Sequence[str], metrics: Sequence[str] = METRICS) -> DataFrame:
     """Each row with its group's means and medians: the aggregate, which is small, joined back, so that no group is gathered."""
-    means = df.groupBy(*by).agg(*(F.avg(F.col(m).cast("double")).alias(f"avg_{m}") for m in metrics))
-    groups = with_medians(means, df, by, metrics).select(*by, *(f"{name}_{m}" for m in metrics for name in ("avg", "median")))
+    groups = statistics(df, by, metrics).select(*by, *(f"{name}_{m}" for m in metrics for name in ("avg", "median")))
     return df.join(groups, list(by), "left")
 
 

@@ -318,11 +318,15 @@ def test_percentiles(spark):
     rows = [(rng.choice(["a", "b", None]), rng.choice([0.0, -3.5, 1e-3, 7.25, rng.uniform(-1e6, 1e6)]), None) for _ in range(500)] + [("one", 5.0, 2.0)]
     df = spark.createDataFrame(rows, "g string, x double, y double").repartition(4)
     shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {(r["g"], r["metric"]): r["p"] for r in timing.percentiles(df, ["g"], ["x", "y"], shares).collect()}
+    got = {(r["g"], r["metric"]): r for r in timing.summaries(df, ["g"], ["x", "y"], shares, rows=True).collect()}
     for g in ("a", "b", None, "one"):
-        want = np.quantile([x for k, x, _ in rows if k == g], shares)
-        assert np.allclose(got[g, "x"], want, rtol=1e-12), g
-    assert got["one", "y"] == [2.0] * 6 and ("a", "y") not in got
+        own = [x for k, x, _ in rows if k == g]
+        assert np.allclose(got[g, "x"]["p"], np.quantile(own, shares), rtol=1e-12), g
+        assert got[g, "x"]["mean"] == pytest.approx(np.mean(own)) and got[g, "x"]["n"] == got[g, ""]["n"] == len(own)
+        assert got[g, "x"]["std"] == (pytest.approx(np.std(own, ddof=1)) if len(own) > 1 else None)
+    assert got["one", "y"]["p"] == [2.0] * 6 and ("a", "y") not in got
+    far = spark.createDataFrame([(1e9 + i % 3,) for i in range(3000)], "x double")  # little deviation far from zero
+    assert timing.summaries(far, [], ["x"]).first()["std"] == pytest.approx(np.std([i % 3 for i in range(3000)], ddof=1), rel=1e-6)
     stats = {r["g"]: r for r in timing.statistics(df, ["g"], ["x", "y"]).collect()}
     assert stats[None]["median_x"] is not None and stats["a"]["median_y"] is None and stats["one"]["count"] == 1
 
