@@ -85,13 +85,24 @@ def term_search(blocks: DataFrame, terms: DataFrame, text: str = "text", term: s
 
 
 def substring_join(left: DataFrame, right: DataFrame, text: str, term: str, gram: int = 3) -> DataFrame:
-    """Pairs where ``text`` contains ``term`` (both non-null, terms not empty): a term's first ``gram`` characters must stand in the text, which gives an equi join."""
-    terms = right.where(F.length(term) > 0).withColumn("g_", F.substring(term, 1, gram)).withColumn("n_", F.length("g_"))
-    lengths = sorted(r["n_"] for r in terms.select("n_").distinct().collect())  # ``gram`` at most
-    terms = broadcast_if_small(terms, F.length(term) + 16)
+    """Pairs where ``text`` contains ``term`` (both non-null, terms not empty), as an equi join: of the substrings of ``gram`` characters of a term, the one that the fewest texts have must stand in the text.
+
+    Terms shorter than ``gram`` are their own key. The texts are read once to
+    count, and once for each length of key that there is.
+    """
+    terms = right.where(F.length(term) > 0)
+    own = F.transform(F.sequence(F.lit(1), F.length("key_of_") - gram + 1), lambda i: F.substr(F.col("key_of_"), i, F.lit(gram)))
+    names = terms.select(F.col(term).alias("key_of_")).distinct()
+    parts = names.where(F.length("key_of_") >= gram).select("key_of_", F.explode(F.array_distinct(own)).alias("g_"))
+    wanted = broadcast_if_small(parts.select("g_").distinct(), F.lit(16))
+    counts = left.select(F.explode(X.pieces(gram)(F.col(text))).alias("g_")).join(wanted, "g_").groupBy("g_").agg(F.count(F.lit(1)).alias("c_"))
+    rarest = parts.join(counts, "g_", "left").groupBy("key_of_").agg(F.min(F.struct(F.coalesce("c_", F.lit(0)).alias("c_"), "g_"))["g_"].alias("g_"))
+    keys = rarest.unionByName(names.where(F.length("key_of_") < gram).select("key_of_", F.col("key_of_").alias("g_"))).withColumn("n_", F.length("g_"))
+    lengths = sorted(r["n_"] for r in names.select(F.least(F.length("key_of_"), F.lit(gram)).alias("n_")).distinct().collect())  # ``gram`` at most
+    keyed = broadcast_if_small(terms.join(keys, F.col(term) == F.col("key_of_")).drop("key_of_"), F.length(term) + 16)
     out = None
-    for n in lengths or [gram]:  # terms shorter than ``gram`` are their own key
-        pairs = left.withColumn("g_", F.explode(X.pieces(n)(F.col(text)))).join(terms.where(F.col("n_") == n), "g_").where(F.col(text).contains(F.col(term))).drop("g_", "n_")
+    for n in lengths or [gram]:
+        pairs = left.withColumn("g_", F.explode(X.pieces(n)(F.col(text)))).join(keyed.where(F.col("n_") == n), "g_").where(F.col(text).contains(F.col(term))).drop("g_", "n_")
         out = pairs if out is None else out.unionByName(pairs)
     return out
 

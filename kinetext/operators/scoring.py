@@ -2,44 +2,78 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import porter
 from ..functions import text as X
 
 
-MATCH = ArrayType(StructType([StructField("n", IntegerType()), StructField("pred", LongType()), StructField("ref", LongType()), StructField("matches", LongType())]))
+COUNTS = StructType([StructField(x, ArrayType(LongType())) for x in ("pred", "ref", "matches")])
 
 
-def count_matches(pred: Sequence, ref: Sequence, orders: range) -> list[dict]:
-    """Per order: grams of each side, and matches, each gram matched as often as both have it."""
-    out = []
-    for n in orders:
-        a = Counter(tuple(pred[i : i + n]) for i in range(len(pred) - n + 1))
-        b = Counter(tuple(ref[i : i + n]) for i in range(len(ref) - n + 1))
-        out.append({"n": n, "pred": max(len(pred) - n + 1, 0), "ref": max(len(ref) - n + 1, 0), "matches": (a & b).total()})
+def count_matches(pred: list[np.ndarray], ref: list[np.ndarray], orders: range) -> np.ndarray:
+    """Of each row and order: grams of either side, and matches, each gram matched as often as both have it; an array (3, rows, orders).
+
+    Rows are lists of whole numbers that name words or letters. All rows are
+    counted together: a gram is named by the one before it and its last word.
+    """
+    sizes = np.array([[len(x) for x in side] for side in (pred, ref)], np.int64).reshape(2, -1)
+    n = sizes.shape[1]
+    word = np.concatenate([np.zeros(0, np.int64), *pred, *ref])
+    owner = np.repeat(np.tile(np.arange(n), 2), sizes.ravel())
+    side = np.repeat([0, 1], sizes.sum(1))
+    left = np.repeat(np.cumsum(sizes.ravel()), sizes.ravel()) - np.arange(len(word))  # words from here to the end of the text
+    top = int(word.max(initial=0)) + 1
+    place, gram, out = np.arange(len(word)), np.zeros(len(word), np.int64), np.zeros((3, n, len(orders)), np.int64)
+    for k in range(1, orders.stop):
+        ok = left[place] >= k
+        place, gram = place[ok], gram[ok]
+        names, gram = np.unique(gram * top + word[place + k - 1], return_inverse=True)
+        if k not in orders:
+            continue
+        keys = owner[place] * max(len(names), 1) + gram
+        (a, in_a), (b, in_b) = (np.unique(keys[side[place] == i], return_counts=True) for i in (0, 1))
+        both, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        j = k - orders.start
+        out[:2, :, j] = np.maximum(sizes - k + 1, 0)
+        out[2, :, j] = np.bincount(both // max(len(names), 1), np.minimum(in_a[at_a], in_b[at_b]), n)
     return out
 
 
-def row_matches(orders: range):
-    """A column function on two word lists (or strings without white space, by character). A row's grams meet in its own task: nothing is shuffled."""
+def numbered(rows: pd.Series) -> list[np.ndarray]:
+    """Texts as code points; lists of words as they are."""
+    if len(rows) and isinstance(rows.iloc[0], str):
+        return [np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.int64) for x in rows]
+    return [np.array(x, object) for x in rows]
 
-    @F.pandas_udf(MATCH)
-    def count(pred: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series([count_matches(a, b, orders) for a, b in zip(pred, ref, strict=True)])
+
+def row_matches(orders: range):
+    """A column function on two word lists, or strings by character. A row's grams meet in its own task: nothing is shuffled."""
+
+    @F.pandas_udf(COUNTS)
+    def count(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        a, b = numbered(pred), numbered(ref)
+        if len(pred) and not isinstance(pred.iloc[0], str):
+            names = pd.factorize(np.concatenate([np.zeros(0, object), *a, *b]))[0].astype(np.int64)
+            ends = np.cumsum([len(x) for x in [*a, *b]])[:-1]
+            rows = np.split(names, ends)
+            a, b = rows[: len(a)], rows[len(a) :]
+        return pd.DataFrame(dict(zip(("pred", "ref", "matches"), map(list, count_matches(a, b, orders)), strict=True)))
 
     return count
 
 
 def gram_matches(pairs: DataFrame, orders: range, keys: Sequence[str] = ()) -> DataFrame:
     """Per order (and key): grams of predictions and references, and matches."""
-    rows = pairs.select(*keys, F.explode(row_matches(orders)("pred", "ref")).alias("x")).select(*keys, "x.*")
+    found = row_matches(orders)("pred", "ref").alias("m")
+    zipped = F.arrays_zip(F.col("m.pred").alias("pred"), F.col("m.ref").alias("ref"), F.col("m.matches").alias("matches"))
+    rows = pairs.select(*keys, found).select(*keys, F.posexplode(zipped).alias("i", "x")).select(*keys, (F.col("i") + orders.start).alias("n"), "x.*")
     return rows.groupBy(*keys, "n").agg(F.sum("pred").alias("pred"), F.sum("ref").alias("ref"), F.sum("matches").alias("matches"))
 
 

@@ -274,6 +274,18 @@ def test_long_term_lists_are_joined(spark, monkeypatch):
     assert got == [(1, "cd"), (2, "z")]
 
 
+def test_substring_join_finds_every_pair(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abc", [6, 3, 1], k=n))
+    texts = [(i, word(rng.randint(0, 30)) if i % 9 else None) for i in range(80)]
+    terms = sorted({word(rng.randint(1, 7)) for _ in range(60)} | {""})
+    lines, known = spark.createDataFrame(texts, "id int, text string").repartition(3), spark.createDataFrame([(t,) for t in terms], "term string")
+    want = sorted((i, t) for i, x in texts if x is not None for t in terms if t and t in x)
+    for small in (True, False):
+        monkeypatch.setattr(joins, "is_small", lambda *a, small=small, **k: small)
+        assert sorted(tuple(r) for r in joins.substring_join(lines, known, "text", "term").select("id", "term").collect()) == want
+
+
 def test_ngrams_cross_texts(spark):
     texts = ["a b", "", "c", "d e f g", "h"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
@@ -313,6 +325,18 @@ def test_ngrams_over_many_ranges(spark, monkeypatch):
         assert all(abs(r["percentage"] - r["count"] * 100 / len(words)) < 1e-9 for r in got)
 
 
+def test_gram_counts_match_counters():
+    rng = random.Random(11)
+    pred, ref = ([rng.choices(range(4), k=rng.randint(0, 9)) for _ in range(60)] for _ in range(2))
+    for orders in (range(1, 5), range(2, 3), range(1, 7)):
+        got = scoring.count_matches([np.array(x, np.int64) for x in pred], [np.array(x, np.int64) for x in ref], orders)
+        for i, (a, b) in enumerate(zip(pred, ref, strict=True)):
+            for j, n in enumerate(orders):
+                x, y = (Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) for w in (a, b))
+                assert got[:, i, j].tolist() == [x.total(), y.total(), (x & y).total()]
+    assert scoring.count_matches([], [], range(1, 3)).shape == (3, 0, 2)
+
+
 def test_percentiles(spark):
     rng = random.Random(6)
     rows = [(rng.choice(["a", "b", None]), rng.choice([0.0, -3.5, 1e-3, 7.25, rng.uniform(-1e6, 1e6)]), None) for _ in range(500)] + [("one", 5.0, 2.0)]
