@@ -157,6 +157,17 @@ def languages(train: list[tuple], docs: list[tuple]) -> list[tuple]:
     return out
 
 
+def page(url: str | None, html: str | None) -> tuple:
+    """(visible text, declared language, host, suffix) of a page."""
+    found = re.search(r"://(?:[^/?#@]*@)?([^/?#:]*)", (url or "").translate(AZ))
+    host = found[1] if found else ""
+    tag = re.search(r"""(?i)<html[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", html or "")
+    text = html
+    for rule in (r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", r"<[^>]*>", r"&#?\w+;"):
+        text = text if text is None else re.sub(rule, " ", text)
+    return text, tag and tag[1].lower(), host or None, host.rsplit(".", 1)[-1] or None
+
+
 def word_feature(word: str, bits: int = 14) -> int:
     h = sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(word.encode())) % (1 << 64)
     return (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64) >> 64 - bits

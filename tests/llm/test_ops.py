@@ -167,6 +167,20 @@ def test_fused_evidence_matches_plain_version(spark, docs):
     assert np.allclose([x[3] for _, x in got], [x[3] for _, x in want], atol=1e-4)
 
 
+def test_pages_match_plain_version(spark, sf, docs):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    rows += [(90_000, None, None), (90_001, "no address", "<html lang=DE>der und"), (90_002, "http://u:p@Example.COM:80/x", ""), (90_003, "http://a.net", "<!-- the --><p>the cat &amp; <script>le la</script>"), (90_003, "http://a.net", "<p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = language_id.identify_pages(pages, spark.createDataFrame(docs, DOCS), 1 << 20).collect()
+    plain = [brute.page(u, h) for _, u, h in rows]
+    want = brute.languages([(d[1], d[2]) for d in docs], plain)
+    key = lambda x: tuple(str(v) for v in x[:-1]) + (round(x[-1], 3),)
+    got = sorted(key((r["page_id"], r["declared"], r["host"], r["suffix"], r["language"], r["text_language"], r["accepted"], r["probability"])) for r in got)
+    want = sorted(key((p, t[1], t[2], t[3], w[0], w[2], w[3], w[1])) for (p, _, _), t, w in zip(rows, plain, want, strict=True))
+    assert [x[:-1] for x in got] == [x[:-1] for x in want]
+    assert np.allclose([x[-1] for x in got], [x[-1] for x in want], atol=2e-3)
+
+
 def test_fused_evidence_beats_text_alone(spark, docs):
     known = [d for d in docs if d[1] and d[2]]
     model = language_id.fit_text_model(spark.createDataFrame([d for d in known if d[0] % 2], DOCS), "text", "lang", "doc_id")
