@@ -124,28 +124,27 @@ def blend_arrays(a, b, n):
     return F.transform(steps, lambda i: K.blend(a, b, i / (n + 1)))
 
 
-def label_sequences(spark, sf_dir, n: int = 10):
-    """The first ``n`` vectors of each label as a sequence of body arrays."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    first = vector_frames(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
-    seq = F.transform(F.array_sort(F.collect_list(F.struct("rn", F.slice("v", 1, 27).alias("a")))), lambda x: x["a"])
-    return first.groupBy("label").agg(seq.alias("pose_sequence"))
+def label_sequences(spark, sf_dir):
+    """The vectors of each label as a sequence of body arrays."""
+    rows = F.array_sort(F.collect_list(F.struct("vec_id", F.slice("v", 1, 27).alias("a"))))  # a recording
+    return vector_frames(spark, sf_dir).groupBy("label").agg(F.transform(rows, lambda x: x["a"]).alias("pose_sequence"))
 
 
-FIRST10 = f"{VECTORS}, s AS (SELECT label, v[1:27] AS a, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM v), f10 AS (SELECT * FROM s WHERE rn <= 10), cnt AS (SELECT label, count(*) AS n FROM f10 GROUP BY label)"
+SEQUENCES = f"{VECTORS}, fr AS (SELECT label, v[1:27] AS a, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM v), cnt AS (SELECT label, count(*) AS n FROM fr GROUP BY label)"
 
 
-@add(f"""WITH {FIRST10}, g AS (SELECT x.label, x.rn, x.a, y.a AS b, (25 - n) // (n - 1) + CASE WHEN x.rn - 1 < (25 - n) % (n - 1) THEN 1 ELSE 0 END AS k FROM f10 x JOIN f10 y ON x.label = y.label AND y.rn = x.rn + 1 JOIN cnt ON cnt.label = x.label),
-parts AS (SELECT label, rn, 0 AS step, a FROM f10 UNION ALL SELECT label, rn, step, {blend_sql('a', 'b', '(step / (k + 1))')} AS a FROM (SELECT *, unnest(range(1, k + 1)) AS step FROM g)),
+#: To twice the length and five more: n + 5 frames over n - 1 gaps.
+@add(f"""WITH {SEQUENCES}, g AS (SELECT x.label, x.rn, x.a, y.a AS b, (n + 5) // (n - 1) + CASE WHEN x.rn - 1 < (n + 5) % (n - 1) THEN 1 ELSE 0 END AS k FROM fr x JOIN fr y ON x.label = y.label AND y.rn = x.rn + 1 JOIN cnt ON cnt.label = x.label),
+parts AS (SELECT label, rn, 0 AS step, a FROM fr UNION ALL SELECT label, rn, step, {blend_sql('a', 'b', '(step / (k + 1))')} AS a FROM (SELECT *, unnest(range(1, k + 1)) AS step FROM g)),
 o AS (SELECT CAST(label AS INTEGER) AS label, row_number() OVER (PARTITION BY label ORDER BY rn, step) - 1 AS frame, a FROM parts) """ + rows("a", "label, frame", source="o"))
 def stretch_even(spark, sf_dir):
-    out = label_sequences(spark, sf_dir).select("label", F.posexplode(K.stretch("pose_sequence", F.lit(25), blend_arrays)).alias("f", "a")).withColumn("frame", F.col("f").cast("long"))
+    out = label_sequences(spark, sf_dir).select("label", F.posexplode(K.stretch("pose_sequence", F.size("pose_sequence") * 2 + 5, blend_arrays)).alias("f", "a")).withColumn("frame", F.col("f").cast("long"))
     return values(out, F.col("a"), "label", "frame")
 
 
-@add(f"""WITH {FIRST10}, e AS (SELECT label, arg_max(a, rn) AS last, arg_min(a, rn) AS first FROM f10 GROUP BY label), m AS (SELECT label, label * 40.0 AS igt, (9 - label) * 30.0 AS ogt FROM e),
+@add(f"""WITH {SEQUENCES}, e AS (SELECT label, arg_max(a, rn) AS last, arg_min(a, rn) AS first FROM fr GROUP BY label), m AS (SELECT label, label * 40.0 AS igt, (9 - label) * 30.0 AS ogt FROM e),
 j AS (SELECT e.label, e.first, lag(e.last) OVER (ORDER BY e.label) AS prev, CASE WHEN round_even(round_even((lag(m.ogt) OVER (ORDER BY e.label) + m.igt) / 2, 0) / 1000 * 50, 0) >= 1 THEN CAST(round_even(round_even((lag(m.ogt) OVER (ORDER BY e.label) + m.igt) / 2, 0) / 1000 * 50, 0) AS BIGINT) ELSE 7 END AS k FROM e JOIN m USING (label)),
-parts AS (SELECT label, 1 AS part, rn AS step, a FROM f10 UNION ALL SELECT label, 0, step, {blend_sql('prev', 'first', '(step / (k + 1))')} FROM (SELECT *, unnest(range(1, k + 1)) AS step FROM j WHERE prev IS NOT NULL)),
+parts AS (SELECT label, 1 AS part, rn AS step, a FROM fr UNION ALL SELECT label, 0, step, {blend_sql('prev', 'first', '(step / (k + 1))')} FROM (SELECT *, unnest(range(1, k + 1)) AS step FROM j WHERE prev IS NOT NULL)),
 o AS (SELECT row_number() OVER (ORDER BY label, part, step) - 1 AS frame, a FROM parts) """ + rows("a", "frame", source="o"))
 def stitch(spark, sf_dir):
     seqs = label_sequences(spark, sf_dir).select(F.lit(1).alias("query"), F.col("label").alias("pos"), F.col("label").cast("string").alias("gloss"), "pose_sequence")

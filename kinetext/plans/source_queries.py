@@ -169,9 +169,9 @@ LABELS = ("click", "error")
 CELLS = ", ".join(f"printf('%.4f', {f}({m}) FILTER (event_type = '{x}')) AS {x}_{name}_{m}" for x in LABELS for m in ("sal", "msj") for name, f in (("mean", "avg"), ("median", "median"), ("std", "stddev_samp")))
 
 
-@add(f"SELECT {CELLS} FROM (SELECT event_type, -value AS sal, value * value AS msj FROM events WHERE value < 30)")
+@add(f"SELECT {CELLS} FROM (SELECT event_type, -value AS sal, value * value / 1000 AS msj FROM events)")
 def comparison_table(spark, sf_dir):
-    scores = table(spark, sf_dir, "events").where("value < 30").select("event_type", (-F.col("value")).alias("sal"), (F.col("value") * F.col("value")).alias("msj"))
+    scores = table(spark, sf_dir, "events").select("event_type", (-F.col("value")).alias("sal"), (F.col("value") * F.col("value") / 1000).alias("msj"))
     return motion.smoothness_table(scores, "event_type", LABELS)
 
 
