@@ -36,16 +36,28 @@ class Template:
 
 
 BASE = [Template("cc-by", "cc by", True), Template("gpl", "general public license", True), Template("reserved", "all rights reserved", True)]
-#: Opening sentences of well-known public licenses.
+#: Sentences by which well-known public licenses are told: what they grant, what they ask for, and what they disclaim.
 MORE = [
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    Template("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    Template("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     Template("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    Template("gpl-notice", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    Template("lgpl-notice", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    Template("boost", "distributed under the boost software license version 1 0"),
     Template("cc-by-notice", "this work is licensed under a creative commons attribution 4 0 international license"),
+    Template("cc-by-sa-notice", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    Template("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
     Template("unlicense", "this is free and unencumbered software released into the public domain"),
+    Template("no-warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
 ]
 
 

@@ -453,6 +453,18 @@ def test_license_places(spark, docs):
     assert mit["labels"] == "mit" and 0.8 < mit["score"] < 1
 
 
+def test_every_license_sentence_is_found(spark):
+    texts = [(i, f"Some code. {t.text.title().replace(' ', ', ', 1)}! More words follow.") for i, t in enumerate(license_scan.MORE)]
+    found = license_scan.summarize(license_scan.find_licenses(spark.createDataFrame(texts, "doc_id long, text string")))
+    for r in found.collect():
+        assert license_scan.MORE[r["doc_id"]].label in r["labels"].split(","), r["doc_id"]
+    long = license_scan.Template("long", " ".join(f"w{i % 97} v{i % 89}" for i in range(400)))  # longer than one long can hold
+    words = long.text.split()
+    texts = [(0, " ".join(words)), (1, " ".join(words[:300])), (2, " ".join(["x", *words[:500], "changed", *words[501:], "y"]))]
+    spans = {r["doc_id"]: [(s["label"], s["start"], s["stop"], round(s["share"], 2)) for s in r["spans"]] for r in license_scan.find_licenses(spark.createDataFrame(texts, "doc_id long, text string"), [long]).collect()}
+    assert spans == {0: [("long", 0, 800, 1.0)], 1: [], 2: [("long", 1, 801, 1.0)]}
+
+
 def test_native_operators_run_no_python(spark, sf):
     for name in ("op7_url_filter", "op9_license_scan"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
