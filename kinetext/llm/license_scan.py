@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-#: Words of a gram, how far diagonals may lie apart to merge, and the share of a template's grams that a span must have.
-K, DRIFT, SHARE = 2, 3, 0.6
+#: Words of a gram of base templates and of others, how far diagonals may lie apart to merge, and the share of a template's grams that a span must have.
+K_BASE, K, DRIFT, SHARE = 2, 3, 3, 0.6
 #: A span remembers which of its template's grams it has, this many to a long; the longest template says how many longs.
 MASK_BITS = 63
 
@@ -34,6 +34,10 @@ class Template:
     text: str
     base: bool = False
 
+    @property
+    def grams(self) -> int:
+        return len(self.text.split()) - (K_BASE if self.base else K) + 1
+
 
 BASE = [Template("cc-by", "cc by", True), Template("gpl", "general public license", True), Template("reserved", "all rights reserved", True)]
 #: Sentences by which well-known public licenses are told: what they grant, what they ask for, and what they disclaim.
@@ -67,16 +71,18 @@ def words_of(text: Column) -> Column:
 
 
 def grams(words: Column) -> Column:
-    """Each word with the one after it: array of (w, x); the last one's x is null."""
-    return F.arrays_zip(words.alias("w"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("x"))
+    """Each word with the two after it: array of (w, x, y); what lies beyond the end is null."""
+    after = lambda n: F.slice(words, n + 1, F.greatest(F.size(words) - n, F.lit(0)))
+    return F.arrays_zip(words.alias("w"), after(1).alias("x"), after(2).alias("y"))
 
 
 def template_grams(spark: SparkSession, templates: list[Template]) -> DataFrame:
+    """Columns no, at, a, b, c and hash (of a and b); c is null where a gram has two words."""
     rows = []
     for no, t in enumerate(templates):
         words = t.text.split()
-        rows += [(no, i, a, b) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    return spark.createDataFrame(rows, "no int, at int, a string, b string").withColumn("hash", F.xxhash64("a", "b"))
+        rows += [(no, i, words[i], words[i + 1], None if t.base else words[i + 2]) for i in range(t.grams)]
+    return spark.createDataFrame(rows, "no int, at int, a string, b string, c string").withColumn("hash", F.xxhash64("a", "b"))
 
 
 def find_licenses(docs: DataFrame, templates: list[Template] | None = None, text_col: str = "text") -> DataFrame:
@@ -90,19 +96,19 @@ def find_licenses(docs: DataFrame, templates: list[Template] | None = None, text
     be grouped, and may have any names.
     """
     templates = BASE + MORE if templates is None else templates
-    lengths = [len(t.text.split()) - K + 1 for t in templates]
+    lengths = [t.grams for t in templates]
     masks = range(-(-max([1, *lengths]) // MASK_BITS))
     spark = docs.sparkSession
     row = C.free_name(docs, "__row")
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "places", "spans", text_col.lower())]
     index = template_grams(spark, templates)
-    index = C.sized_broadcast(index, F.length("a") + F.length("b"))
+    index = C.sized_broadcast(index, F.length("a") + F.length("b") + F.coalesce(F.length("c"), F.lit(0)))
     # The caller's columns travel as one struct, so that their names meet no others.
     own = F.struct(F.monotonically_increasing_id().alias(row), *(F.col(f"`{c}`") for c in kept))
     words = docs.select(own.alias("own"), words_of(F.col(f"`{text_col}`").cast("string")).alias("words"))
     pairs = words.select("own", F.posexplode_outer(grams(F.col("words"))).alias("place", "gram"))
-    pairs = pairs.select("own", "place", F.col("gram.w").alias("w"), F.col("gram.x").alias("x")).withColumn("hash", F.xxhash64("w", "x"))
-    same = (pairs["hash"] == index["hash"]) & (pairs["w"] == index["a"]) & (pairs["x"] == index["b"])
+    pairs = pairs.select("own", "place", F.col("gram.w").alias("w"), F.col("gram.x").alias("x"), F.col("gram.y").alias("y")).withColumn("hash", F.xxhash64("w", "x"))
+    same = (pairs["hash"] == index["hash"]) & (pairs["w"] == index["a"]) & (pairs["x"] == index["b"]) & (index["c"].isNull() | (pairs["y"] == index["c"]))
     hits = pairs.join(index, same, "left").select("own", "place", "no", F.when(F.col("no").isNotNull(), F.col("place") - F.col("at")).alias("diagonal"), "at")
     # A document's grams are in one task: the partial aggregate leaves a record for it and one for each of its diagonals.
     grams_seen = [F.bit_or(F.when(F.col("at").between(MASK_BITS * i, MASK_BITS * (i + 1) - 1), F.expr(f"shiftleft(1L, at - {MASK_BITS * i})"))).alias(f"g{i}") for i in masks]

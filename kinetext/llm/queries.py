@@ -119,11 +119,11 @@ def licenses_sql() -> str:
     """Votes by diagonal, as in the operator."""
     rows = ", ".join(f"({no}, '{t.label}', {t.base}, '{t.text}')" for no, t in enumerate(license_scan.BASE + license_scan.MORE))
     k, drift, share = license_scan.K, license_scan.DRIFT, license_scan.SHARE
-    return f"""WITH t(no, label, base, text) AS (VALUES {rows}), tw AS (SELECT no, label, base, string_split(text, ' ') AS w, len(w) - 1 AS grams FROM t),
-tg AS (SELECT no, i AS spot, w[i + 1] AS x, w[i + 2] AS y FROM (SELECT no, w, unnest(range(0, grams)) AS i FROM tw)),
+    return f"""WITH t(no, label, base, text) AS (VALUES {rows}), tw AS (SELECT no, label, base, string_split(text, ' ') AS w, len(w) + 1 - CASE WHEN base THEN {license_scan.K_BASE} ELSE {k} END AS grams FROM t),
+tg AS (SELECT no, i AS spot, w[i + 1] AS x, w[i + 2] AS y, CASE WHEN NOT base THEN w[i + 3] END AS z FROM (SELECT no, base, w, unnest(range(0, grams)) AS i FROM tw)),
 d AS (SELECT doc_id, {WORDS} AS w FROM documents),
-dg AS (SELECT doc_id, i, w[i + 1] AS x, w[i + 2] AS y FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM d)),
-v AS (SELECT doc_id, no, i - spot AS diagonal, count(*) AS n, list(DISTINCT spot) AS spots, min(spot) AS lo, max(spot) AS hi FROM dg JOIN tg ON dg.x = tg.x AND dg.y = tg.y GROUP BY ALL),
+dg AS (SELECT doc_id, i, w[i + 1] AS x, w[i + 2] AS y, w[i + 3] AS z FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM d)),
+v AS (SELECT doc_id, no, i - spot AS diagonal, count(*) AS n, list(DISTINCT spot) AS spots, min(spot) AS lo, max(spot) AS hi FROM dg JOIN tg ON dg.x = tg.x AND dg.y = tg.y AND (tg.z IS NULL OR dg.z = tg.z) GROUP BY ALL),
 g AS (SELECT v.*, label, base, grams, base AND n = grams AS exact, sum(CASE WHEN NOT base AND gap <= {drift} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, v.no ORDER BY diagonal) AS grp
       FROM (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, no ORDER BY diagonal) AS gap FROM v) v JOIN tw ON v.no = tw.no),
 s AS (SELECT doc_id, any_value(label) AS label, any_value(base) AS base, any_value(grams) AS grams, bool_or(exact) AS exact, min(diagonal + lo) AS a, max(diagonal + hi) + {k} AS b, len(list_distinct(flatten(list(spots)))) / any_value(grams) AS share FROM g GROUP BY doc_id, no, grp),
