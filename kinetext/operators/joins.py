@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import materialize
 
 #: Rows and bytes of a dimension that is turned into one expression or broadcast.
 SMALL_ROWS, SMALL_BYTES = 20_000, 8 << 20
@@ -192,57 +193,40 @@ def variants(number: int, count: int = 10, size: int = 6) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(count)), lambda v: F.struct(v.alias("variant"), (F.floor((v - 1) / size) + 1).alias("batch")))
 
 
-#: Rows that a range of a global order should hold, and the root of the number of ranges at most.
-RANGE_ROWS, RANGE_ROOT = 100_000, 64
+#: Rows that a range of a global order should hold.
+RANGE_ROWS = 100_000
 
 
-def _range_number(df: DataFrame, order: Sequence[str]) -> Column | None:
-    """The number of a row's range of the order, ranges being cut at sampled rows; None if one range will do.
-
-    About 16 rows a range come to the driver. A row is compared with the edges
-    of the coarse ranges, and then with those inside its own.
-    """
-    n = df.count()
-    wanted = min(RANGE_ROOT**2, -(-n // RANGE_ROWS))
-    if wanted < 2:
-        return None
-    share = max(1, n // (16 * wanted))
-    sample = sorted({tuple(r) for r in df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(share)) == 0).collect()})
-    edges = [sample[i * len(sample) // wanted] for i in range(1, wanted)] if len(sample) >= wanted else sample
-    if not edges:
-        return None
-    kinds = dict(df.dtypes)
-    literal = lambda rows: F.array(*(F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, row, strict=True))) for row in rows))
-    key = F.struct(*(F.col(c).alias(c) for c in order))
-    below = lambda cut: F.size(F.filter(cut, lambda e: e < key))
-    if len(edges) < RANGE_ROOT:
-        return below(literal(edges))
-    coarse = edges[RANGE_ROOT - 1 :: RANGE_ROOT]
-    fine = [edges[i : i + RANGE_ROOT - 1] for i in range(0, len(edges), RANGE_ROOT)]
-    fine += [edges[-1:]] * (len(coarse) + 1 - len(fine))
-    at = below(literal(coarse))
-    return at * RANGE_ROOT + below(F.get(F.array(*(literal(x) for x in fine)), at))
+def running(df: DataFrame, value: Column, order: Sequence[str], out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``out``: the sum of ``value`` (whole numbers) over all rows before, by ``order``, in all or within ``keys``. See ``running_all``."""
+    return running_all(df, {out: (value, F.sum)}, order, keys)
 
 
-def running(df: DataFrame, value: Column, order: Sequence[str], out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """``out``: the sum of ``value`` (whole numbers) over all rows before, by ``order`` (columns without nulls, together without ties), in all or within ``keys``.
+def running_all(df: DataFrame, values: dict[str, tuple[Column, Callable[[Column], Column]]], order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """For each name a whole number, combined (by ``F.sum`` or ``F.bit_xor``; 0 if there are none) over all rows before, in all or within ``keys``.
 
-    Rows are cut into ranges of the order by their number, so that neither a
-    global order nor a hot key is one task: the ranges' totals are summed
-    first, then each range by itself.
+    ``order`` are columns without nulls; rows that tie in all of them must be
+    equal. Spark cuts the rows into ranges of the order and writes them with
+    their range's number, so that neither a global order nor a hot key is one
+    task, however many rows there are: the ranges' totals are combined first,
+    then each range by itself.
     """
-    number = _range_number(df, order)
-    if number is None:
+    wanted = -(-df.count() // RANGE_ROWS)
+    if wanted < 2:
         w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # RANGE_ROWS rows at most
-        return df.withColumn(out, F.coalesce(F.sum(value.cast("long")).over(w), F.lit(0).cast("long")))
-    ranged = df.withColumns({"range_": number, "value_": value.cast("long")})
-    totals = ranged.groupBy(*keys, "range_").agg(F.sum("value_").alias("total_"))  # a row for each range (and key)
-    before = F.sum("total_").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
-    names = [*keys, "range_"]
-    base = totals.select(*(F.col(k).alias(f"{k}_b") for k in names), F.coalesce(before, F.lit(0).cast("long")).alias("base_"))
+        return df.withColumns({out: F.coalesce(f(v.cast("long")).over(w), F.lit(0).cast("long")) for out, (v, f) in values.items()})
+    ranged = materialize(df.repartitionByRange(wanted, *[k for k in keys if k not in order], *order).withColumn("range_", F.spark_partition_id()))
+    named = {f"value_{i}_": v.cast("long") for i, (v, _) in enumerate(values.values())}
+    ranged = ranged.withColumns(named)
+    names, zero = [*keys, "range_"], F.lit(0).cast("long")
+    totals = ranged.groupBy(*names).agg(*(f(c).alias(c) for c, (_, f) in zip(named, values.values(), strict=True)))  # a row for each range (and key)
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*(F.col(k).alias(f"{k}_b") for k in names), *(F.coalesce(f(c).over(w), zero).alias(f"{c}b") for c, (_, f) in zip(named, values.values(), strict=True)))
     on = F.lit(True)
     for k in names:
         on = on & F.col(k).eqNullSafe(F.col(f"{k}_b"))
     inner = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.join(base if keys else F.broadcast(base), on).withColumn(out, F.col("base_") + F.coalesce(F.sum("value_").over(inner), F.lit(0).cast("long")))
-    return summed.drop("range_", "value_", "base_", *(f"{k}_b" for k in names))
+    both = lambda f, a, b: a.bitwiseXOR(b) if f is F.bit_xor else a + b
+    summed = ranged.join(base if keys else F.broadcast(base), on)  # without keys a row for each range
+    summed = summed.withColumns({out: both(f, F.col(f"{c}b"), F.coalesce(f(c).over(inner), zero)) for c, (out, (_, f)) in zip(named, values.items(), strict=True)})
+    return summed.drop("range_", *named, *(f"{c}b" for c in named), *(f"{k}_b" for k in names))

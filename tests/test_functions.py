@@ -298,7 +298,6 @@ def test_ngrams_cross_texts(spark):
 @pytest.mark.parametrize("rows_a_range", [7, 100, 100_000])
 def test_running_sums_over_ranges(spark, monkeypatch, rows_a_range):
     monkeypatch.setattr(joins, "RANGE_ROWS", rows_a_range)
-    monkeypatch.setattr(joins, "RANGE_ROOT", 4)
     rng = random.Random(2)
     rows = [(rng.randint(0, 3), f"t{rng.randint(0, 20)}", i, rng.randint(0, 5), rng.choice([None, "x", "y"])) for i in range(300)]
     df = spark.createDataFrame(rows, "k long, t string, i long, n long, g string").repartition(5)
