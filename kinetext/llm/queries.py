@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, language_id, license_scan, line_dedup, quality, secret_scan, simhash, url_filter
+from . import ann, bpe, decontaminate, language_id, license_scan, line_dedup, prefix_trie, quality, secret_scan, simhash, url_filter
 
 #: The vocabulary of op6; workers read it from the installed library.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,9 +91,14 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.rebuilt(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, convs).drop("preorder", "subtree_end")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_quality, op5_secret_scan, op6_bpe, op7_url_filter, op8_simhash, op9_license_scan, op10_nearest_neighbours, page_language)
+    for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_quality, op5_secret_scan, op6_bpe, op7_url_filter, op8_simhash, op9_license_scan, op10_nearest_neighbours, op11_prefix_trie, page_language)
 }
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -141,7 +146,24 @@ d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_z
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10"""
 
+#: The CRC-32 bit by bit; each node counts for every prefix of its own.
+TRIE = """
+WITH RECURSIVE t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, list(length(role) || ':' || role || text ORDER BY turn NULLS FIRST, role, text) AS w, list(length(text) ORDER BY turn NULLS FIRST, role, text) AS n FROM t GROUP BY c),
+crc(c, k, v) AS (SELECT c, 0, CAST(4294967295 AS BIGINT) FROM s UNION ALL
+  SELECT c, k + 1, xor(u >> 1, CASE WHEN u & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END)
+  FROM (SELECT c, k, CASE WHEN k % 8 = 0 THEN xor(v, CAST(ascii(CAST(c AS VARCHAR)[k // 8 + 1]) AS BIGINT)) ELSE v END AS u FROM crc WHERE k < 8 * length(CAST(c AS VARCHAR)))),
+h AS (SELECT c, CAST(xor(v, CAST(4294967295 AS BIGINT)) % 6 AS BIGINT) AS h FROM crc WHERE k = 8 * length(CAST(c AS VARCHAR))),
+r AS (SELECT s.c, list_concat(coalesce(b.w, [])[1:h], s.w[h + 1:]) AS w, list_concat(coalesce(b.n, [])[1:h], s.n[h + 1:]) AS n FROM s JOIN h USING (c) LEFT JOIN s b ON b.c = s.c - s.c % 100),
+p AS (SELECT c, d, w[1:d] AS w, CASE WHEN d > 0 THEN n[d] ELSE 0 END AS chars, d = len(w) AS last FROM (SELECT *, unnest(range(0, len(w) + 1)) AS d FROM r)),
+v AS (SELECT w, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(chars) AS saved, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM p GROUP BY w, d),
+k AS (SELECT w[1:d - 1] AS w, count(*) AS n FROM v WHERE d > 0 GROUP BY ALL),
+x AS (SELECT v.*, u.conv_id AS parent_conv_id, coalesce(k.n, 0) AS n_children FROM v LEFT JOIN v u ON v.d > 0 AND u.d = v.d - 1 AND u.w = v.w[1:v.d - 1] LEFT JOIN k ON k.w = v.w),
+y AS (SELECT w[1:i] AS w, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM x) GROUP BY ALL)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM x JOIN y USING (w)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_prefix_trie": TRIE,
     "op5_secret_scan": secrets_sql(),
     "op9_license_scan": licenses_sql(),
     "op10_nearest_neighbours": NEIGHBOURS,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -246,3 +247,29 @@ def co_training(docs: list[tuple], marks: dict[int, int], rounds: int = 4) -> di
     odds = np.stack([a * (x @ w) + b for (a, b), x, w in zip(scales(), views, weights, strict=True)] + [np.ones(len(docs))], 1)
     mix = settled(odds[held], [1.0, 0.3, 0.0], 0.1)
     return {d[0]: float(p) for d, p in zip(docs, sigmoid(odds @ mix), strict=True)}
+
+
+def prefix_trie(turns, block=100, shared=6):
+    """Nodes as {path: (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256)} of rows (conv_id, turn, role, text)."""
+    own = {}
+    for c, turn, role, text in turns:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(xs)] for c, xs in own.items()}
+    built = {}
+    for c, xs in own.items():
+        h = zlib.crc32(str(c).encode()) % shared
+        built[c] = tuple(own.get(c - int(math.fmod(c, block)), [])[:h] + xs[h:])
+    members, ends, kids = {}, {}, {}
+    for c, xs in built.items():
+        ends.setdefault(xs, []).append(c)
+        for d in range(len(xs) + 1):
+            members.setdefault(xs[:d], set()).add(c)
+            if d:
+                kids.setdefault(xs[: d - 1], set()).add(xs[:d])
+    leaves, saved = {}, {}
+    for path in sorted(members, key=len, reverse=True):
+        below = kids.get(path, ())
+        leaves[path] = sum(leaves[k] for k in below) or 1
+        saved[path] = (len(members[path]) - 1) * (len(path[-1][1]) if path else 0) + sum(saved[k] for k in below)
+    return {p: (min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(kids.get(p, ())), leaves[p], saved[p], sha(",".join(map(str, sorted(ends.get(p, ())))))) for p, m in members.items()}

@@ -7,7 +7,7 @@ import pytest
 
 from kinetext.llm.queries import ORACLE_SQL, QUERIES
 
-TABLES = "documents embeddings pages benchmark labels".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
