@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, language_id, license_scan, line_dedup, prefix_trie, quality, secret_scan, simhash, url_filter
+from . import ann, bpe, decontaminate, language_id, license_scan, line_dedup, prefix_trie, quality, secret_scan, simhash, url_filter, vector_codes
 
 #: The vocabulary of op6; workers read it from the installed library.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -96,9 +96,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(turns, convs).drop("preorder", "subtree_end")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.encode(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_quality, op5_secret_scan, op6_bpe, op7_url_filter, op8_simhash, op9_license_scan, op10_nearest_neighbours, op11_prefix_trie, page_language)
+    for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_quality, op5_secret_scan, op6_bpe, op7_url_filter, op8_simhash, op9_license_scan, op10_nearest_neighbours, op11_prefix_trie, op12_vector_codes, page_language)
 }
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -146,6 +151,26 @@ d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_z
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10"""
 
+def codes_sql() -> str:
+    """Rounds of whole-number means, one after the other. Doubles hold all numbers of vectors of unit length exactly."""
+    steps = """WITH e AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v, len(embedding) // 4 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, k, v[k * w + 1:(k + 1) * w] AS x FROM (SELECT *, unnest(range(0, 4)) AS k FROM e)),
+b0 AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS no, x FROM p SEMI JOIN (SELECT vec_id FROM e ORDER BY vec_id LIMIT 256) USING (vec_id)),
+"""
+    for i in range(vector_codes.ROUNDS + 1):
+        steps += f"""a{i} AS MATERIALIZED (SELECT vec_id, k, any_value(p.x) AS x, min(struct_pack(d := list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x), no := no)) AS best FROM p JOIN b{i} b USING (k) GROUP BY vec_id, k),
+"""
+        if i < vector_codes.ROUNDS:
+            steps += f"""m{i} AS (SELECT k, no, list(m ORDER BY i) AS x FROM (SELECT k, best.no AS no, i, floor(sum(y) / count(*)) AS m FROM (SELECT k, best, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{i}) GROUP BY ALL) GROUP BY k, no),
+b{i + 1} AS MATERIALIZED (SELECT b.k, b.no, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m USING (k, no)),
+"""
+    n = vector_codes.ROUNDS
+    return f"""{steps}h AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY k, no, i)) AS sha FROM (SELECT k, no, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM b{n})),
+c AS (SELECT vec_id, string_agg(format('{{:02x}}', best.no), '' ORDER BY k) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{n} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha FROM h) AS codebooks_sha256 FROM e JOIN c USING (vec_id)"""
+
+
 #: The CRC-32 bit by bit; each node counts for every prefix of its own.
 TRIE = """
 WITH RECURSIVE t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
@@ -164,6 +189,7 @@ SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved
 
 ORACLE_SQL: dict[str, str] = {
     "op11_prefix_trie": TRIE,
+    "op12_vector_codes": codes_sql(),
     "op5_secret_scan": secrets_sql(),
     "op9_license_scan": licenses_sql(),
     "op10_nearest_neighbours": NEIGHBOURS,
