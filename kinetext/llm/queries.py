@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, language_id, license_scan, line_dedup, prefix_trie, quality, secret_scan, simhash, url_filter, vector_codes
+from . import ann, bpe, decontaminate, language_id, license_scan, line_dedup, prefix_trie, quality, secret_scan, simhash, url_filter, vector_codes, warc
 
 #: The vocabulary of op6; workers read it from the installed library.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,8 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Columns of documents; an input of fewer splits than the cluster has cores is dealt out evenly first."""
-    df = table(spark, sf_dir, "documents").select(*columns)
-    cores = spark.sparkContext.defaultParallelism
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
@@ -101,9 +104,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_quality, op5_secret_scan, op6_bpe, op7_url_filter, op8_simhash, op9_license_scan, op10_nearest_neighbours, op11_prefix_trie, op12_vector_codes, page_language)
+    for f in (op1_line_dedup, op2_benchmark_decontamination, op3_language_id, op4_quality, op5_secret_scan, op6_bpe, op7_url_filter, op8_simhash, op9_license_scan, op10_nearest_neighbours, op11_prefix_trie, op12_vector_codes, op13_warc_packages, page_language)
 }
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -171,6 +178,15 @@ c AS (SELECT vec_id, string_agg(format('{{:02x}}', best.no), '' ORDER BY k) AS c
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha FROM h) AS codebooks_sha256 FROM e JOIN c USING (vec_id)"""
 
 
+def packages_sql() -> str:
+    """Base32 by way of bits: a list of the digits' four bits, and one of the five bits of each letter."""
+    four, five = (", ".join(f"'{i:0{n}b}'" for i in range(1 << n)) for n in (4, 5))
+    return f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, b, array_to_string(list_transform(string_split(x, ''), lambda c: [{four}][instr('0123456789abcdef', c)]), '') AS bits FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[list_position([{five}], bits[5 * i + 1:5 * i + 5])]), '') AS payload_digest,
+  CASE WHEN page_id = min(page_id) OVER (PARTITION BY b) THEN 'response' ELSE 'revisit' END AS record_type, nullif(min(page_id) OVER (PARTITION BY b), page_id) AS refers_to FROM d"""
+
+
 #: The CRC-32 bit by bit; each node counts for every prefix of its own.
 TRIE = """
 WITH RECURSIVE t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
@@ -190,6 +206,7 @@ SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved
 ORACLE_SQL: dict[str, str] = {
     "op11_prefix_trie": TRIE,
     "op12_vector_codes": codes_sql(),
+    "op13_warc_packages": packages_sql(),
     "op5_secret_scan": secrets_sql(),
     "op9_license_scan": licenses_sql(),
     "op10_nearest_neighbours": NEIGHBOURS,
