@@ -193,8 +193,8 @@ def variants(number: int, count: int = 10, size: int = 6) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(count)), lambda v: F.struct(v.alias("variant"), (F.floor((v - 1) / size) + 1).alias("batch")))
 
 
-#: Rows that a range of a global order should hold.
-RANGE_ROWS = 100_000
+#: Rows that a range of a global order should hold, and ranges at most: beyond a billion rows ranges grow, and Spark sorts them with spilling.
+RANGE_ROWS, MOST_RANGES = 20_000, 50_000
 
 
 def running(df: DataFrame, value: Column, order: Sequence[str], out: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -211,7 +211,7 @@ def running_all(df: DataFrame, values: dict[str, tuple[Column, Callable[[Column]
     task, however many rows there are: the ranges' totals are combined first,
     then each range by itself.
     """
-    wanted = -(-df.count() // RANGE_ROWS)
+    wanted = min(MOST_RANGES, -(-df.count() // RANGE_ROWS))
     if wanted < 2:
         w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # RANGE_ROWS rows at most
         return df.withColumns({out: F.coalesce(f(v.cast("long")).over(w), F.lit(0).cast("long")) for out, (v, f) in values.items()})
