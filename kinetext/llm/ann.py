@@ -27,9 +27,9 @@ LIST, SAMPLE_A_LIST, SAMPLE = 100, 16, 20_000
 SAMPLE_BYTES = 128 << 20
 #: A vector is in every list within this ratio of its nearest one, up to COPIES.
 BORDER, COPIES = 1.10, 4
-#: A query searches lists within this ratio of its nearest: LEAST_LISTS at least, and FEW_LISTS or FACTOR * lists ** POWER at most. On
-#: vectors in nearly random directions, where the ratio rules out little, that is what a recall of 0.96 takes at 50,000 and at 500,000.
-PRUNE, LEAST_LISTS, FEW_LISTS, FACTOR, POWER = 1.20, 8, 48, 1.7, 0.62
+#: A query searches LEAST_LISTS at least, and else lists within a ratio of its nearest one, up to a number. Both follow from the data: TESTS
+#: sampled vectors are compared with all rows, and so many of their nearest ones (RECALL) must be in lists that are searched.
+LEAST_LISTS, TESTS, RECALL = 8, 128, 0.97
 #: Graph: neighbours of a centroid, and candidates kept on a walk beyond the lists asked for.
 DEGREE, SLACK = 24, 16
 #: Bytes of vectors of either side that one task compares, and queries that it compares with a list at a time.
@@ -136,35 +136,82 @@ def by_cell(batch: pa.RecordBatch, row: np.ndarray, lists: np.ndarray, group: in
 
 
 def _assign(shared, group: int):
-    """The lists of each vector: all within BORDER of the nearest, of the COPIES nearest."""
+    """Each vector under its lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids = shared.value
-        k = min(COPIES, len(centroids))
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                d = distances(matrix(part.column("v")), centroids)
-                near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                far = np.take_along_axis(d, near, 1)
-                row, col = np.nonzero(far <= far.min(1, keepdims=True) * BORDER**2)
-                yield by_cell(part, row, near[row, col], group, "vec_id")
+                yield by_cell(part, *lists_of(matrix(part.column("v")), shared.value), group, "vec_id")
 
     return run
 
 
-def _choose(shared, group: int):
+def lists_of(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of vectors: all lists within BORDER of the nearest, of the COPIES nearest."""
+    d = distances(x, centroids)
+    k = min(COPIES, len(centroids))
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    far = np.take_along_axis(d, near, 1)
+    row, col = np.nonzero(far <= far.min(1, keepdims=True) * BORDER**2)
+    return row, near[row, col]
+
+
+def _tested(tests: np.ndarray, k: int):
+    """The ``k`` rows of each task that are nearest to each test, with their vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_d, best_v = np.full((len(tests), k), np.inf), np.zeros((len(tests), k, tests.shape[1]))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                x = matrix(batch.column("v").slice(lo, 1024))
+                d = distances(tests, x)
+                d = np.concatenate([best_d, d], 1)
+                own = np.argpartition(d, k - 1, axis=1)[:, :k]
+                held = np.minimum(own, k - 1)
+                best_v = np.where((own < k)[:, :, None], np.take_along_axis(best_v, held[:, :, None], 1), x[np.maximum(own - k, 0)])
+                best_d = np.take_along_axis(d, own, 1)
+        test, spot = np.nonzero(np.isfinite(best_d))
+        flat = best_v[test, spot]
+        v = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * tests.shape[1]), pa.array(flat.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(test.astype(np.int32)), pa.array(best_d[test, spot]), v], names=["test", "d", "v"])
+
+    return run
+
+
+def search_width(main: DataFrame, tests: np.ndarray, centroids: np.ndarray, k: int) -> tuple[int, float]:
+    """(lists at most, squared ratio to the nearest list) that a query has to search for RECALL of its ``k`` nearest rows: measured on ``tests`` against all rows."""
+    if len(centroids) <= LEAST_LISTS:
+        return len(centroids), np.inf
+    found = main.select("v").mapInArrow(_tested(tests, k + 1), "test int, d double, v array<double>")
+    first = Window.partitionBy("test").orderBy("d")
+    near = found.withColumn("n", F.row_number().over(first)).where((F.col("n") <= k + 1) & (F.col("n") > 1)).select("test", "v").toArrow()  # TESTS * k; the nearest is the test itself
+    if near.num_rows == 0:
+        return len(centroids), np.inf
+    test, x = np.asarray(near.column("test")), matrix(near.column("v").combine_chunks())
+    d = distances(tests, centroids)
+    rank = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1)
+    row, own = lists_of(x, centroids)
+    order = np.lexsort((rank[test[row], own], row))  # of a neighbour's lists, the one that is searched first
+    first_of = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
+    q, best = test[row[first_of]], own[first_of]
+    share = 1 - (1 - RECALL) / 2  # half of what may be missed is missed by the one bound, half by the other
+    most = int(np.quantile(rank[q, best], share, method="higher")) + 1
+    ratio = float(np.quantile(d[q, best] / np.maximum(d[q].min(1), 1e-12), share, method="higher"))
+    return max(LEAST_LISTS, most), ratio
+
+
+def _choose(shared, group: int, most: int, ratio: float):
     """The lists that each query searches."""
     key = uuid.uuid4().hex  # a worker builds the graph once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = _graph(key, shared)
-        most = max(FEW_LISTS, int(FACTOR * len(graph.centroids) ** POWER))
         for batch in batches:
             rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, q in enumerate(matrix(batch.column("v"))):
                 near, far = graph.nearest(q, most)
-                near = near[(far <= max(far[0], 1e-12) * PRUNE**2) | (np.arange(len(far)) < LEAST_LISTS)]
+                near = near[(far <= max(far[0], 1e-12) * ratio) | (np.arange(len(far)) < LEAST_LISTS)]
                 rows.append(np.full(len(near), i))
                 lists.append(near)
             yield by_cell(batch, np.concatenate(rows), np.concatenate(lists), group, "q")
@@ -244,19 +291,21 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     dims = max(1, width["n"])
     lists = min(max(1, total // LIST), max(1, SAMPLE_BYTES // (8 * dims * SAMPLE_A_LIST)))
     size = min(max(SAMPLE, lists * SAMPLE_A_LIST), SAMPLE_BYTES // (8 * dims))
-    sample = kept.where(F.size("v") == width["n"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, size)).select("v").toArrow()
-    centroids = fit_centroids(matrix(sample.column("v").combine_chunks()), lists)
+    main, other = kept.where(F.size("v") == width["n"]), kept.where(F.size("v") != width["n"])
+    sample = matrix(main.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, size)).select("v").toArrow().column("v").combine_chunks())
+    tests = sample[: min(TESTS, len(sample) // 5)]
+    centroids = fit_centroids(sample[len(tests) :], lists)  # without the tests, which stand for queries that no centroid knows
+    most, ratio = search_width(main, tests, centroids, k)
     shared = spark.sparkContext.broadcast(centroids)  # SAMPLE_BYTES / SAMPLE_A_LIST at most
     # A cell is as many neighbouring lists as one task compares.
     piece = max(1, PIECE // (8 * dims))
     group = max(1, piece * len(centroids) // (total * COPIES))
-    main, other = kept.where(F.size("v") == width["n"]), kept.where(F.size("v") != width["n"])
     own = lambda key: [(-F.size("v")).alias("cell"), key, "v", F.array(-F.size("v")).alias("lists")]
     posted = main.mapInArrow(_assign(shared, group), "cell int, vec_id long, v array<double>, lists array<int>").unionByName(other.select(*own("vec_id")))
     # Equal vectors that are queries are searched for once.
     asked = valid.where(F.col("vec_id") % every == 0).groupBy("v").agg(F.min("vec_id").alias("q"))
     asked = C.materialize(asked, "asked")
-    wanted = asked.where(F.size("v") == width["n"]).mapInArrow(_choose(shared, group), "cell int, q long, v array<double>, lists array<int>").unionByName(asked.where(F.size("v") != width["n"]).select(*own("q")))
+    wanted = asked.where(F.size("v") == width["n"]).mapInArrow(_choose(shared, group, most, ratio), "cell int, q long, v array<double>, lists array<int>").unionByName(asked.where(F.size("v") != width["n"]).select(*own("q")))
     # Large cells, and cells that many queries search, go to several tasks: each part of the one meets each part of the other.
     posted, wanted = C.materialize(posted, "posted"), C.materialize(wanted, "wanted")
     pieces = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias(name))

@@ -25,13 +25,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return found.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(found.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _cut(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written and read back, and where it is."""
+    with C.tables_made() as made:
+        return C.materialize(df, "stars"), made[-1]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Columns ``node`` and ``component`` (the smallest node reachable) for every node of ``edges`` (a, b)."""
-    now = C.checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, path = _cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     sign = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")))
     before = None
     while (state := now.agg(sign).first()[0]) != before:
         before = state
-        now = C.checkpoint(_small_star(_large_star(now)))
+        (now, new), old = _cut(_small_star(_large_star(now))), path
+        C.delete(edges.sparkSession, old)
+        path = new
     # Converged: every node points at its root, and roots stand only on the right.
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

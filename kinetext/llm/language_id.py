@@ -59,16 +59,22 @@ class Grams:
         return found[0][0], np.concatenate([mean for _, mean in found], 1)
 
 
+def declaration(value: Column) -> Column:
+    """A declared language as it is compared everywhere: lower-cased, without white space at its ends, null if nothing is left."""
+    return F.nullif(F.lower(F.btrim(value.cast("string"), F.lit(" \t\n\x0b\f\r"))), F.lit(""))
+
+
 def fit_text_model(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], Grams | None]:
     """(all declared languages, log probability of each trigram in each): counted on the workers over about ``sample`` documents a language.
 
-    Rows with a null label or text are left out; an empty text counts for its
+    Labels that differ in case or in white space at their ends are one. Rows
+    with a null or empty label or a null text are left out; an empty text counts for its
     label with no trigrams. Rows that repeat each count. Without labels there
     are no languages and no model.
     """
     label, text, place = (C.free_name(labelled, x) for x in ("__label", "__body", "__place"))
     # A document is taken if its id's hash, even over 2^32, is below its language's share.
-    known = labelled.select(F.col(f"`{label_col}`").cast("string").alias(label), F.col(f"`{text_col}`").cast("string").alias(text), F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 32)).alias(place))
+    known = labelled.select(declaration(F.col(f"`{label_col}`")).alias(label), F.col(f"`{text_col}`").cast("string").alias(text), F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 32)).alias(place))
     known = known.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     sizes = known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
     languages = sorted(r[label] for r in sizes)
@@ -76,7 +82,7 @@ def fit_text_model(labelled: DataFrame, text_col: str, label_col: str, id_col: s
         return [], None
     number = {x: i for i, x in enumerate(languages)}
     shares = labelled.sparkSession.createDataFrame([(r[label], number[r[label]], min(1 << 32, (sample << 32) // r["n"])) for r in sizes], "name string, lang int, share long")
-    chosen = known.join(F.broadcast(shares), F.col(label) == F.col("name")).where(F.col(place) < F.col("share")).select("lang", F.col(text).alias("text"))  # shares: a row for each language
+    chosen = known.join(C.sized_broadcast(shares, F.length("name") + 12), F.col(label) == F.col("name")).where(F.col(place) < F.col("share")).select("lang", F.col(text).alias("text"))
 
     def count(batches):
         for batch in batches:
@@ -144,7 +150,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Grams | None], text_col: s
     names = {x: C.free_name(docs, "__" + x) for x in ("declared", "suffix", "host", "prior", "told", "hk", "hs", "declaredk", "declaredp", "suffixk", "suffixp", "grams", "best", "mean")}
     declared, suffix, host, prior, told, hk, hs, dk, dp, sk, sp, grams, best, mean_of = names.values()
     docs = C.as_text(docs, text_col)
-    with_evidence = docs.withColumns({declared: F.lower(some(declared_col)), suffix: some(suffix_col), host: some(host_col)})
+    with_evidence = docs.withColumns({declared: declaration(some(declared_col)), suffix: some(suffix_col), host: some(host_col)})
 
     # What the texts alone say. They are read once; the rest works on the scores.
     def score(part: pa.RecordBatch) -> dict:

@@ -14,7 +14,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,20 +115,26 @@ def _suspects(filter_parts, bits: int, min_chars: int):
         for batch in batches:
             for part in C.slices(batch, "text"):
                 docs, keys = [], []
-                for doc, text in zip(part.column("doc").to_pylist(), C.texts(part.column("text")), strict=True):
+                for doc, text in zip(zip(part.column("doc").to_pylist(), part.column("part").to_pylist(), strict=True), C.texts(part.column("text")), strict=True):
                     own = [k for k in dict.fromkeys(line_keys(text, min_chars)) if k is not None]
                     docs += [doc] * len(own)
                     keys += own
                 hit = np.flatnonzero(bloom.has(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in hit], pa.int64()), pa.array([blake2b(keys[i], digest_size=16).digest() for i in hit], pa.binary())], names=["doc", "digest"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([docs[i][x] for i in hit], pa.int64()) for x in (0, 1)), pa.array([blake2b(keys[i], digest_size=16).digest() for i in hit], pa.binary())], names=["doc", "part", "digest"])
 
     return run
 
 
+def document_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What a line's document is compared by, and what tells the rows apart that have no id: those are one document, but don't lose their lines in one place."""
+    number = F.col(f"`{id_col}`").cast("long")
+    return F.coalesce(number, F.lit(C.NO_ID)), F.when(number.isNull(), F.xxhash64(F.col(f"`{text_col}`").cast("string"))).otherwise(F.lit(0).cast("long"))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """Per document, the digests of the lines it loses: columns ``doc`` and ``lost`` (array of binary)."""
+    """Per document, the digests of the lines it loses: columns ``doc``, ``part`` and ``lost`` (array of binary). See ``document_keys``."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(C.NO_ID)).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = docs.select(*(k.alias(n) for k, n in zip(document_keys(id_col, text_col), ("doc", "part"), strict=True)), F.col(f"`{text_col}`").cast("string").alias("text"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     n = docs.agg(F.sum(F.length(F.regexp_replace(text, "[^\n]+", "")).cast("long") + 1)).first()[0] or 0
     bits = LEAST_BITS
@@ -142,11 +148,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         filters = filters.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(shares))).repartition(segments * shares, "segment", "share").select("segment", "once", "twice").mapInArrow(_merge, columns)
     merged = filters.repartition(segments, "segment").mapInArrow(_merge, columns).select("segment", "twice").collect()  # MOST_BITS bounds it
     parts = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in merged])
-    suspects = C.materialize(texts.mapInArrow(_suspects(parts, bits, min_chars), "doc long, digest binary"), "suspects")
+    suspects = C.materialize(texts.mapInArrow(_suspects(parts, bits, min_chars), "doc long, part long, digest binary"), "suspects")
     first = suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
     first = C.materialize(first, "first")
     lost = suspects.join(first, "digest").where("doc > first")
-    return C.materialize(lost.groupBy("doc").agg(F.collect_set("digest").alias("lost")), "lost")
+    return C.materialize(lost.groupBy("doc", "part").agg(F.collect_set("digest").alias("lost")), "lost")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -159,15 +165,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null or empty text is one empty line (and stays null or empty). Rows with
     the same id are one document. Documents with a null id count as one
-    document with the largest id. An empty table gives an empty table. Columns
+    document with the largest id. Ids are whole numbers; others that can't be
+    read as such raise an error. An empty table gives an empty table. Columns
     of ``docs`` named like a new column are replaced.
     """
     lost = repeated_lines(docs, id_col, text_col, min_chars)
     lost = C.sized_broadcast(lost, F.size("lost") * 24)
     columns, docs = docs.columns, C.as_text(docs, text_col)
-    key, bag = (C.free_name(docs, x) for x in ("__doc", "__lost"))
-    side = lost.select(F.col("doc").alias(key), F.col("lost").alias(bag))
-    joined = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(C.NO_ID))).join(side, key, "left")
+    key, part_key, bag = (C.free_name(docs, x) for x in ("__doc", "__part", "__lost"))
+    side = lost.select(F.col("doc").alias(key), F.col("part").alias(part_key), F.col("lost").alias(bag))
+    joined = docs.withColumns(dict(zip((key, part_key), document_keys(id_col, text_col), strict=True))).join(side, [key, part_key], "left")
 
     def rewrite(part: pa.RecordBatch) -> dict:
         texts, n_lines, n_dropped = [], [], []
@@ -183,5 +190,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return {text_col: C.text_array(texts), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
 
     fields = [T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    out = C.add_columns(joined, rewrite, fields, text_col, drop=(key, bag))
+    out = C.add_columns(joined, rewrite, fields, text_col, drop=(key, part_key, bag))
     return out.select([F.col(f"`{c}`") for c in columns if c.lower() not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"])

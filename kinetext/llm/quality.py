@@ -30,6 +30,8 @@ ROUNDS, SURE = 4, 0.95
 TRUST = 0.3
 #: Steps of the first fit of a view, and of the later ones, which start from the one before.
 STEPS, MORE_STEPS = 60, 15
+#: Sums of tasks that the driver adds up itself; more are added on the executors first.
+FEW_SUMS = 32
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 LETTERS = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 #: Byte classes whose shares are features of style.
@@ -263,7 +265,7 @@ class SparkCrowd:
             C.delete(self.spark, old)
 
     def slopes(self, weights: list[list[np.ndarray] | None]) -> list[list[np.ndarray] | None]:
-        """Summed on the workers: one row a task comes to the driver."""
+        """Summed on the workers; the driver gets FEW_SUMS rows, or with more cores the root of their number."""
         shared, n = self.spark.sparkContext.broadcast(weights), self.targets
 
         def run(batches):
@@ -277,8 +279,19 @@ class SparkCrowd:
                             a += b
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([a.ravel() for own in total for a in own or ()]).tobytes()], pa.binary())], names=["g"])
 
+        def add(batches):
+            total = None
+            for batch in batches:
+                for x in batch.column("g"):
+                    own = np.frombuffer(x.as_buffer())
+                    total = own.copy() if total is None else total + own
+            yield pa.RecordBatch.from_arrays([pa.array([] if total is None else [total.tobytes()], pa.binary())], names=["g"])
+
         tasks = self.spark.sparkContext.defaultParallelism
-        rows = self.table.select("t", "style", "m", "size", "labels").coalesce(tasks).mapInArrow(run, "g binary").toArrow().column("g").to_pylist()
+        sums = self.table.select("t", "style", "m", "size", "labels").coalesce(tasks).mapInArrow(run, "g binary")
+        if tasks > FEW_SUMS:
+            sums = sums.repartition(int(tasks**0.5)).mapInArrow(add, "g binary")
+        rows = sums.toArrow().column("g").to_pylist()
         shared.destroy()
         flat, out = np.sum([np.frombuffer(x) for x in rows], 0) if rows else None, []
         at = 0

@@ -122,12 +122,16 @@ def secrets_sql() -> str:
     found = []
     for no, rule in enumerate(secret_scan.BASE + secret_scan.MORE):
         regex = re.sub(r"\(\?i:([^)]*)\)", lambda m: f"(?:{either_case(m[1])})", rule.regex.decode()).replace("'", "''")
-        found.append(f"""SELECT doc_id, {no} AS no, '{rule.kind}' AS kind, w, p, CAST(sum(length(g)) OVER (PARTITION BY doc_id ORDER BY i) + coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a, {rule.least} AS least
+        group, before = rule.group, re.fullmatch(r"\(\?<!\[(.*?)\]\)(.*)", regex)
+        if before:  # DuckDB's expressions can't look behind: what stands before is matched too, and its length taken off
+            regex, group = rf"(?:^|[^{before[1]}])({before[2]})", 1
+        skip = "length(w) - length(p)" if before else "0"
+        found.append(f"""SELECT doc_id, {no} AS no, '{rule.kind}' AS kind, w, p, CAST(sum(length(g)) OVER (PARTITION BY doc_id ORDER BY i) + coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + {skip} AS a, {skip} AS skip, {rule.least} AS least
 FROM (SELECT doc_id, unnest(w) AS w, unnest(p) AS p, unnest(g[1:len(w)]) AS g, generate_subscripts(w, 1) AS i
-      FROM (SELECT doc_id, regexp_extract_all(text, '{regex}') AS w, regexp_extract_all(text, '{regex}', {rule.group}) AS p, regexp_split_to_array(text, '{regex}') AS g FROM documents WHERE text IS NOT NULL))""")
+      FROM (SELECT doc_id, regexp_extract_all(text, '{regex}') AS w, regexp_extract_all(text, '{regex}', {group}) AS p, regexp_split_to_array(text, '{regex}') AS g FROM documents WHERE text IS NOT NULL))""")
     base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE)
     shown = "kind || ':' || a || ':' || b, ',' ORDER BY a, no"
-    return f"""WITH f AS (SELECT doc_id, no, kind, a, a + length(w) AS b FROM ({" UNION ALL ".join(found)}) WHERE length(p) >= least),
+    return f"""WITH f AS (SELECT doc_id, no, kind, a, a + length(w) - skip AS b FROM ({" UNION ALL ".join(found)}) WHERE length(p) >= least),
 s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg({shown}) FILTER (kind IN ({base})) AS base, string_agg({shown}) AS spans FROM f GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN s USING (doc_id)"""
 
@@ -150,7 +154,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_b
 FROM d LEFT JOIN r USING (doc_id)"""
 
 
-#: Exact neighbours: the operator's while it searches all lists, as it does with up to FEW_LISTS of them.
+#: Exact neighbours: the operator's while it searches all lists, as it does with up to LEAST_LISTS of them.
 NEIGHBOURS = """
 WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

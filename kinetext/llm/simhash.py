@@ -200,8 +200,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in at most ``radius`` bits (at most 3). Rows with equal fingerprints are
     one node, so large groups of copies never meet as pairs. Rows with a null
     id link like any other, keep their fingerprint and get the smallest
-    non-null id of their component, or null where there is none. An empty
-    table gives an empty table.
+    non-null id of their component, or null where there is none. Ids are whole
+    numbers; others that can't be read as such raise an error. An empty table
+    gives an empty table.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the masks cover radii up to {RADIUS}")

@@ -1,3 +1,4 @@
+import glob
 import random
 import re
 from collections import Counter
@@ -5,6 +6,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -481,6 +483,53 @@ def brute_nearest(data, every, k):
     return out
 
 
+def test_declarations_that_differ_in_case_are_one(spark):
+    texts = {"en": "the cat and the dog went home together", "fr": "le chat et le chien sont rentrés ensemble"}
+    data = [(4 * i + j, f"{texts[k]} {i}", said, "h", 9) for i in range(30) for j, (k, said) in enumerate((("en", "en"), ("en", " EN\t"), ("fr", "fr"), ("fr", "")))]
+    got = language_id.identify_documents(spark.createDataFrame(data, DOCS)).collect()
+    assert all(r["language"] == r["text_language"] == ("en" if r["doc_id"] % 4 < 2 else "fr") and r["accepted"] for r in got)
+
+
+def test_secrets_in_long_runs(spark):
+    """Each rule on 5 MB of what it begins with, over and over: no rule may take more than the length of a text."""
+    import time
+
+    for rule in secret_scan.BASE + secret_scan.MORE:
+        for bit in (b"eyJ", b"eyJaaaaaaaa.", b"token=", b"secret ", b"AKIA", b"ghp_", b"xoxb-", b"-----BEGIN ", b"-----BEGIN A ", b"abcdef", b"a://", b"a.b://x:"):
+            text = bit * (5_000_000 // len(bit))
+            began = time.perf_counter()
+            sum(1 for _ in re.finditer(rule.regex, text))
+            assert time.perf_counter() - began < 8, (rule.kind, bit)
+    found = secret_scan.find_secrets(spark.createDataFrame([(1, "eyJ" * 700_000 + " eyJabcdefgh.abcdefgh.abcdefgh-eyJabcdefgh.abcdefgh.abcdefgh")], "doc_id long, text string")).first()["findings"]
+    assert [(f["kind"], f["start"]) for f in found if f["kind"] == "jwt"] == [("jwt", 2_100_001)]
+
+
+def test_components_leave_no_files(spark, tmp_path):
+    from kinetext.llm.components import connected_components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    folder = common.own_folder(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/stars-*"))
+    assert connected_components(edges).count() == 21
+    assert len(set(glob.glob(f"{folder}/stars-*")) - before) == 1
+    common.clear(spark)
+    assert not glob.glob(f"{folder}/*")
+
+
+def test_sums_of_many_tasks_are_added_on_the_executors(spark, monkeypatch):
+    docs_, labels = crowded(spark)
+    want = [tuple(r) for r in quality.score_quality(docs_, labels).orderBy("doc_id").select("p_quality").collect()]
+    monkeypatch.setattr(quality, "FEW_SUMS", 1)
+    got = [tuple(r) for r in quality.score_quality(docs_, labels).orderBy("doc_id").select("p_quality").collect()]
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_lines_of_many_documents_without_an_id(spark):
+    data = [(None, f"a shared line of text\nown line number {i % 50}") for i in range(200)] + [(1, "A shared line of TEXT")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"))
+    same(rows(got, "doc_id", "n_lines", "n_dropped", "text"), brute.line_dedup(data))
+
+
 def test_nearest_neighbours_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     data = [(r[0], r[1]) for r in df.collect()]
@@ -496,6 +545,30 @@ def test_nearest_neighbours_recall(spark):
         assert [(s, v) for _, v, s in sorted(found)] == sorted((s, v) for _, v, s in found)
 
 
+@pytest.mark.parametrize(("n", "dims", "centres"), [(60_000, 128, 0), (40_000, 32, 300)])
+def test_recall_where_lists_are_ruled_out(spark, n, dims, centres):
+    """Random directions, where lists rule out little, and clusters, where they rule out most."""
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(n, dims))
+    if centres:
+        x = rng.normal(size=(centres, dims))[rng.integers(0, centres, n)] + 0.25 * x
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))}))
+    got = {}
+    for r in ann.search(df, every=300).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    found = 0
+    for q in range(0, n, 300):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        found += len(got[q] & set(np.argpartition(d, 10)[:10].tolist()))
+    assert found >= 0.9 * 10 * len(got)
+    if centres:
+        sample = x[rng.permutation(n)[:8000]]
+        c = ann.fit_centroids(sample[100:], n // ann.LIST)
+        most, _ = ann.search_width(df.select(F.col("embedding").alias("v")), sample[:100], c, 10)
+        assert most < len(c) / 4
+
+
 def test_nearest_neighbours_odd_inputs(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.0]), (5, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (9, []), (10, [3.0, 4.0, 5.0]), (20, [3.0, 4.0, 6.0]), (30, [1.0, 0.0]), *[(100 + i, [1.0, 0.0]) for i in range(30)]]
