@@ -31,8 +31,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
-    return simhash.dedup(docs).select(docs.columns)
+    """Keeps the document with the smallest id of each group of near duplicates: by their texts as they are, or as ``documents`` has them, since line dedup takes apart what copies have in common."""
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return simhash.dedup(docs, before=raw).select(docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

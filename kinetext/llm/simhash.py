@@ -206,7 +206,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the masks cover radii up to {RADIUS}")
-    prints = C.materialize(fingerprints(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "text", drop_text=True), "prints")
+    return components_of(C.materialize(prints_of(docs, id_col, text_col), "prints"), radius)
+
+
+def prints_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return fingerprints(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "text", drop_text=True)
+
+
+def components_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``near_duplicates`` of fingerprints (doc_id, simhash)."""
     nodes = C.materialize(prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("rep")), "nodes")
     # Only fingerprints that have a link, a part of all, are labelled anew.
     parts = connected_components(links(nodes.select("fp"), radius))
@@ -218,9 +226,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(label, "simhash").select("doc_id", "simhash", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id. Rows with a null id stay; of rows that repeat an id all stay or none."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", before: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id. Rows with a null id stay; of rows that repeat an id all stay or none.
+
+    ``before`` has earlier texts of the same documents (and of others, which
+    don't count). Documents are then linked by what they were too, so that
+    copies are found although their common lines have been taken out since.
+    """
     key = C.free_name(docs, "__gone")
-    found = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    found = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id")
+    if before is not None:
+        ids = C.materialize(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "ids")
+        old = prints_of(before, id_col, text_col).join(C.sized_broadcast(ids, F.lit(8)), "doc_id", "left_semi")
+        edges = found.unionByName(components_of(C.materialize(old, "prints")).where("doc_id <> component_id"))
+        found = connected_components(edges.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")).where("doc_id <> component_id")
+    found = found.select(F.col("doc_id").alias(key))
     gone = C.sized_broadcast(C.materialize(found.distinct(), "gone"), F.lit(8))
     return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")
