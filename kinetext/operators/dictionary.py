@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import keypoints as K
 from ..functions import text as X
 from ..schemas import KEYPOINT_KEYS, RAW_SIZES, STORED_SIZES
-from .joins import broadcast_if_small, frames_in_intervals
+from .intervals import frames_in_intervals
+from .joins import broadcast_if_small
 
 
 def frames(cameras: DataFrame, skip: Sequence[str] = ("c",), speakers: dict[str, str] | None = None) -> DataFrame:
@@ -38,7 +39,7 @@ def pose_sequences(intervals: DataFrame, people: DataFrame, keys: Sequence[str]
 
     With ``drop_shared``, people of frames that several intervals cover are left out.
     """
-    hits = frames_in_intervals(intervals.select(*keys, "first_frame", "last_frame"), people, ["entry", "speaker"], "first_frame", "last_frame", "frame", "left")
+    hits = frames_in_intervals(intervals.select(*keys, "first_frame", "last_frame"), people, ["entry", "speaker"], "first_frame", "last_frame", "frame", keys)
     if drop_shared:
         shared = Window.partitionBy("entry", "speaker", "frame", "person_no")
         hits = hits.withColumn("n_", F.count(F.lit(1)).over(shared)).withColumn("person", F.when(F.col("n_") == 1, F.col("person")))

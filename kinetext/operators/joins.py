@@ -108,59 +108,6 @@ def substring_join(left: DataFrame, right: DataFrame, text: str, term: str, gram
     return out
 
 
-def frames_in_intervals(intervals: DataFrame, frames: DataFrame, keys: Sequence[str], first: str, last: str, frame: str, how: str = "inner", most: int | None = None) -> DataFrame:
-    """Pairs with ``first <= frame <= last`` on integers, as an equi join on the exploded frame numbers.
-
-    For intervals of bounded length, such as glosses of at most 2 s; for others
-    use ``points_in_intervals``. ``most`` drops nothing: it only checks that no
-    interval is longer.
-    """
-    length = F.col(last) - F.col(first) + 1
-    checked = intervals
-    if most is not None:
-        checked = intervals.where(F.when(length > most, F.raise_error(F.concat(F.lit("interval of "), length.cast("string")))).otherwise(F.lit(True)).cast("boolean"))
-    steps = F.when(F.col(first) <= F.col(last), F.sequence(first, last)).otherwise(F.array().cast(dict(intervals.dtypes)[first].join(("array<", ">"))))
-    explode = F.explode_outer if how == "left" else F.explode
-    return checked.withColumn(frame, explode(steps)).join(frames, [*keys, frame], how)
-
-
-def bins(start: Column, end: Column, width: int) -> Column:
-    """The bins of a given width that [start, end] touches."""
-    return F.sequence(F.floor(start / width).cast("long"), F.floor(F.greatest(start, end) / width).cast("long"))
-
-
-def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str, width: int, closed: bool = True, how: str = "inner") -> DataFrame:
-    """Pairs with start <= point <= end (or < end), by bins of ``width``: a point has one bin, an interval those that it touches, so no pair comes twice."""
-    inside = (F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end) if closed else F.col(point) < F.col(end))
-    left = points.withColumn("bin_", F.floor(F.col(point) / width).cast("long"))
-    right = intervals.withColumn("bin_", F.explode(bins(F.col(start), F.col(end), width)))
-    names = [*keys, "bin_"]
-    right = right.withColumnsRenamed({k: f"{k}_r" for k in names})
-    on = inside
-    for k in names:
-        on = (F.col(k) == F.col(f"{k}_r")) & on
-    return left.join(right, on, how).drop("bin_", *(f"{k}_r" for k in names))
-
-
-def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], a: tuple[str, str], b: tuple[str, str], width: int) -> DataFrame:
-    """Pairs of half-open intervals with b.start < a.end and b.end > a.start. Both sides are binned; a pair is kept only in the bin where the later of the two starts."""
-    lhs = left.withColumn("bin_", F.explode(bins(F.col(a[0]), F.col(a[1]), width)))
-    rhs = right.withColumn("bin_", F.explode(bins(F.col(b[0]), F.col(b[1]), width)))
-    names = [*keys, "bin_"]
-    rhs = rhs.withColumnsRenamed({k: f"{k}_r" for k in names})
-    on = (F.col(b[0]) < F.col(a[1])) & (F.col(b[1]) > F.col(a[0])) & (F.col("bin_") == F.floor(F.greatest(F.col(a[0]), F.col(b[0])) / width).cast("long"))
-    for k in names:
-        on = (F.col(k) == F.col(f"{k}_r")) & on
-    return lhs.join(rhs, on).drop("bin_", *(f"{k}_r" for k in names))
-
-
-def snap_to_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str], id_cols: Sequence[str], point: str, start: str, end: str, order: Sequence[str], width: int) -> DataFrame:
-    """The start of the first interval (in ``order``) that holds the point, else the point, as ``snapped``."""
-    found = points_in_intervals(points, intervals, keys, point, start, end, width, closed=False)
-    first = found.groupBy(*id_cols).agg(F.min_by(start, F.struct(*order)).alias("snapped_"))
-    return points.join(first, list(id_cols), "left").withColumn("snapped", F.coalesce("snapped_", point)).drop("snapped_")
-
-
 def anti_join(train: DataFrame, holdout: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of train whose trimmed keys are not in holdout; null keys never match."""
     other = holdout.select(*(F.trim(F.col(k)).alias(f"{k}_r") for k in keys)).distinct()

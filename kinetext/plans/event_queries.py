@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import intervals as I
 from ..operators import joins as J
 from ..operators import segments as S
 from ..operators import timing as M
@@ -170,7 +171,7 @@ def exists_theta_anti(spark, sf_dir):
 def interval_overlap(spark, sf_dir):
     b = event_blocks(spark, sf_dir)
     right = b.where("is_full").select("entry", F.col("pos").alias("s_pos"), F.col("start_ms").alias("s_start"), F.col("end_ms").alias("s_end"))
-    pairs = J.overlaps(b.where("text = 'error'").select("entry", "pos", "start_ms", "end_ms"), right, ["entry"], ("start_ms", "end_ms"), ("s_start", "s_end"), 7_200_000)
+    pairs = I.overlaps(b.where("text = 'error'").select("entry", "pos", "start_ms", "end_ms"), right, ["entry"], ("start_ms", "end_ms"), ("s_start", "s_end"))
     return pairs.groupBy("entry", "pos").agg(F.count(F.lit(1)).alias("overlapping"), F.min("s_pos").alias("first"))
 
 
@@ -179,7 +180,7 @@ def snap_start(spark, sf_dir):
     b = event_blocks(spark, sf_dir)
     points = b.where("text = 'click'").select("entry", "pos", (F.col("start_ms") - 15_000).alias("p"))
     full = b.where("is_full").select("entry", F.col("speaker").alias("a"), F.col("pos").alias("o"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
-    return J.snap_to_interval(points, full, ["entry"], ["entry", "pos"], "p", "s", "e", ["a", "o"], 7_200_000).select("entry", "pos", "snapped")
+    return I.snap_to_interval(points, full, ["entry"], ["entry", "pos"], "p", "s", "e", ["a", "o"]).select("entry", "pos", "snapped")
 
 
 @add(f"""WITH {BLOCKS}, iv AS (SELECT entry, pos, CAST(start_ms // 3600000 AS BIGINT) AS f0, CAST(least(end_ms, start_ms + 86400000) // 3600000 AS BIGINT) AS f1 FROM b WHERE is_full),
@@ -190,7 +191,7 @@ def range_join_collect(spark, sf_dir):
     hour = lambda c: F.floor(c / 3_600_000).cast("long")
     iv = b.where("is_full").select("entry", "pos", hour(F.col("start_ms")).alias("f0"), hour(X.cap_end("start_ms", "end_ms", 86_400_000)).alias("f1"))
     fr = b.where("not is_full").select("entry", F.col("pos").alias("item"), hour(F.col("start_ms")).alias("frame"))
-    hits = J.frames_in_intervals(iv, fr, ["entry"], "f0", "f1", "frame", "left", most=25)
+    hits = I.frames_in_intervals(iv, fr, ["entry"], "f0", "f1", "frame", ["entry", "pos"])
     items = F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), F.struct("frame", "item"))))
     return hits.groupBy("entry", "pos").agg(F.array_join(F.transform(items, lambda x: x["item"].cast("string")), ",").alias("items"))
 

@@ -241,19 +241,6 @@ def test_ter_counts_a_shift_once():
         assert scoring.edit_distance(a, b) == row[-1]
 
 
-def test_joins(spark):
-    rng = random.Random(9)
-    iv = [(i, "k%d" % (i % 3), s, s + rng.randint(0, 50)) for i in range(40) for s in [rng.randint(0, 200)]]
-    jv = [(100 + i, "k%d" % (i % 3), s, s + rng.randint(0, 50)) for i in range(40) for s in [rng.randint(0, 200)]]
-    a = spark.createDataFrame(iv, "i long, k string, s long, e long")
-    b = spark.createDataFrame(jv, "j long, k string, s2 long, e2 long")
-    got = sorted((r["i"], r["j"]) for r in joins.overlaps(a, b, ["k"], ("s", "e"), ("s2", "e2"), 16).collect())
-    assert got == sorted((x[0], y[0]) for x in iv for y in jv if x[1] == y[1] and y[2] < x[3] and y[3] > x[2])
-    pts = spark.createDataFrame([(i, "k%d" % (i % 3), i * 5) for i in range(50)], "p long, k string, t long")
-    got = sorted((r["p"], r["i"]) for r in joins.points_in_intervals(pts, a, ["k"], "t", "s", "e", 16).select("p", "i").collect())
-    assert got == sorted((p, x[0]) for p in range(50) for x in iv if x[1] == "k%d" % (p % 3) and x[2] <= p * 5 <= x[3])
-
-
 def test_trie_expression():
     rng = random.Random(10)
     for _ in range(200):
