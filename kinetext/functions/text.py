@@ -179,16 +179,6 @@ def degenerate_flags(texts: pd.Series) -> pd.Series:
     return texts.map(lambda xs: None if xs is None else [repeats_dominate([w for w in re.split(BLANKS, x or "") if w]) for x in xs])
 
 
-def pieces(n: int):
-    """A column function: the distinct substrings of ``n`` characters of a text. Spark's substring walks a text from its start for each."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else sorted({t[i : i + n] for i in range(len(t) - n + 1)}))
-
-    return cut
-
-
 def target_size(height: Column, width: Column, resolution: int, aspect: float = 9 / 16, step: int = 64) -> Column:
     """What an image is resized and then cropped to: resize_h, resize_w, crop_h, crop_w. The crop's long side is a multiple of ``step``."""
     long = int(resolution / aspect // step) * step

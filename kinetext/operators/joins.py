@@ -8,8 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..sources.scratch import materialize
+from .terms import terms_in
 
 #: Rows and bytes of a dimension that is turned into one expression or broadcast.
 SMALL_ROWS, SMALL_BYTES = 20_000, 8 << 20
@@ -51,9 +51,8 @@ def trie_regex(terms: Sequence[str]) -> str:
 def contains_any(lines: DataFrame, terms: DataFrame, text: str, term: str, out: str = "found", strip: str = "^") -> DataFrame:
     """``out``: whether the text contains any of the terms, each without ``strip`` at its end. A null text contains none.
 
-    A bounded list of terms becomes one expression, evaluated in the scan. A
-    longer one is joined by trigram: a term's first three characters must stand
-    in the text, which gives an equi join; the rest is verified.
+    A bounded list of terms becomes one expression, evaluated in the scan; a
+    longer one an automaton that the texts pass.
     """
     strip_end = F.regexp_replace(F.col(term), "[" + re.escape(strip) + "]+$", "") if strip else F.col(term)
     wanted = terms.select(strip_end.alias("t_")).where("t_ is not null").distinct()
@@ -64,9 +63,9 @@ def contains_any(lines: DataFrame, terms: DataFrame, text: str, term: str, out:
         if found[0] == "":
             return lines.withColumn(out, F.col(text).isNotNull())
         return lines.withColumn(out, F.coalesce(F.col(text).rlike(trie_regex(found)), F.lit(False)))
-    keyed = lines.withColumn("row_", F.monotonically_increasing_id())
-    hits = substring_join(keyed.select("row_", text), wanted, text, "t_").select("row_").distinct()
-    return keyed.join(hits.withColumn(out, F.lit(True)), "row_", "left").withColumn(out, F.coalesce(out, F.lit(False))).drop("row_")
+    marked = terms_in(lines.withColumn("text_", F.col(text).cast("string")), wanted, "text_", "t_", "terms_", first=True)
+    empty = not wanted.where("t_ = ''").isEmpty()
+    return marked.withColumn(out, F.when(F.lit(empty), F.col(text).isNotNull()).otherwise(F.size("terms_") > 0)).drop("text_", "terms_")
 
 
 #: Terms that a scan looks for one by one.
@@ -74,40 +73,17 @@ FEW_TERMS = 64
 
 
 def term_search(blocks: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
-    """Each block with each term that it contains, without a cross join: few terms are looked for in the scan, more are joined by their first characters."""
+    """Each block with each term that it contains, without a cross join: few terms are looked for in the scan, more by an automaton that the texts pass. See ``terms.term_positions`` for places."""
     wanted = terms.select(term).where(F.length(term) > 0).distinct()
     few = [r[0] for r in wanted.limit(FEW_TERMS + 1).collect()]
     if len(few) > FEW_TERMS:
-        return substring_join(blocks, wanted, text, term)
+        return terms_in(blocks, wanted, text, term, "terms_").withColumn(term, F.explode("terms_")).drop("terms_")
     if not few:
         return blocks.withColumn(term, F.lit(None).cast("string")).limit(0)
     found = F.filter(F.array(*(F.lit(t) for t in sorted(few))), lambda t: F.col(text).contains(t))
     return blocks.withColumn(term, F.explode(found))
 
 
-def substring_join(left: DataFrame, right: DataFrame, text: str, term: str, gram: int = 3) -> DataFrame:
-    """Pairs where ``text`` contains ``term`` (both non-null, terms not empty), as an equi join: of the substrings of ``gram`` characters of a term, the one that the fewest texts have must stand in the text.
-
-    Terms shorter than ``gram`` are their own key. The texts are read once to
-    count, and once for each length of key that there is.
-    """
-    terms = right.where(F.length(term) > 0)
-    own = F.transform(F.sequence(F.lit(1), F.length("key_of_") - gram + 1), lambda i: F.substr(F.col("key_of_"), i, F.lit(gram)))
-    names = terms.select(F.col(term).alias("key_of_")).distinct()
-    parts = names.where(F.length("key_of_") >= gram).select("key_of_", F.explode(F.array_distinct(own)).alias("g_"))
-    wanted = broadcast_if_small(parts.select("g_").distinct(), F.lit(16))
-    counts = left.select(F.explode(X.pieces(gram)(F.col(text))).alias("g_")).join(wanted, "g_").groupBy("g_").agg(F.count(F.lit(1)).alias("c_"))
-    rarest = parts.join(counts, "g_", "left").groupBy("key_of_").agg(F.min(F.struct(F.coalesce("c_", F.lit(0)).alias("c_"), "g_"))["g_"].alias("g_"))
-    keys = rarest.unionByName(names.where(F.length("key_of_") < gram).select("key_of_", F.col("key_of_").alias("g_"))).withColumn("n_", F.length("g_"))
-    lengths = sorted(r["n_"] for r in names.select(F.least(F.length("key_of_"), F.lit(gram)).alias("n_")).distinct().collect())  # ``gram`` at most
-    keyed = broadcast_if_small(terms.join(keys, F.col(term) == F.col("key_of_")).drop("key_of_"), F.length(term) + 16)
-    out = None
-    for n in lengths or [gram]:
-        pairs = left.withColumn("g_", F.explode(X.pieces(n)(F.col(text)))).join(keyed.where(F.col("n_") == n), "g_").where(F.col(text).contains(F.col(term))).drop("g_", "n_")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
-
-
 def anti_join(train: DataFrame, holdout: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of train whose trimmed keys are not in holdout; null keys never match."""
     other = holdout.select(*(F.trim(F.col(k)).alias(f"{k}_r") for k in keys)).distinct()

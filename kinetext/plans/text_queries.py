@@ -10,6 +10,7 @@ from ..operators import dictionary as D
 from ..operators import joins as J
 from ..operators import matching, scoring
 from ..operators import timing as M
+from ..operators.terms import term_positions as terms_at
 from ..sources import html
 from .common import Registry, long, r6, spread, table
 
@@ -158,6 +159,18 @@ def term_search(spark, sf_dir):
     return J.term_search(docs(spark, sf_dir), terms).select("doc_id", "term")
 
 
+@add("""WITH RECURSIVE w AS (SELECT string_split(text, ' ') AS w FROM benchmark), t AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)),
+r AS (SELECT doc_id, term, instr(text, term) AS at FROM documents JOIN t ON contains(text, term)
+      UNION ALL SELECT r.doc_id, term, at + instr(substr(text, at + 1), term) FROM r JOIN documents d ON r.doc_id = d.doc_id WHERE contains(substr(text, at + 1), term))
+SELECT doc_id, term, at - 1 AS start FROM r""")
+def term_positions(spark, sf_dir):
+    """All places in documents where two words stand as they do in a benchmark item."""
+    w = F.split("text", " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.get(w, i - 1), F.lit(" "), F.get(w, i)))
+    terms = table(spark, sf_dir, "benchmark").where(F.size(w) > 1).select(F.explode(pairs).alias("term"))
+    return terms_at(spread(docs(spark, sf_dir).select("doc_id", "text")), terms, ["doc_id"])
+
+
 @add("""SELECT conv_id, turn FROM conversations c WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents h WHERE trim(h.text) = trim(c.text)) AND NOT EXISTS (SELECT 1 FROM benchmark h WHERE trim(h.text) = trim(c.text))
 UNION ALL SELECT -doc_id, 0 FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM conversations h WHERE trim(h.text) = trim(d.text)) AND NOT EXISTS (SELECT 1 FROM documents h JOIN labels l ON h.doc_id = l.doc_id WHERE h.doc_id <> d.doc_id AND trim(h.text) = trim(d.text) AND trim(h.lang) = trim(d.lang)) AND doc_id NOT IN (SELECT doc_id FROM labels)""")
 def leak_filter(spark, sf_dir):

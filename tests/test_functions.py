@@ -261,18 +261,6 @@ def test_long_term_lists_are_joined(spark, monkeypatch):
     assert got == [(1, "cd"), (2, "z")]
 
 
-def test_substring_join_finds_every_pair(spark, monkeypatch):
-    rng = random.Random(12)
-    word = lambda n: "".join(rng.choices("abc", [6, 3, 1], k=n))
-    texts = [(i, word(rng.randint(0, 30)) if i % 9 else None) for i in range(80)]
-    terms = sorted({word(rng.randint(1, 7)) for _ in range(60)} | {""})
-    lines, known = spark.createDataFrame(texts, "id int, text string").repartition(3), spark.createDataFrame([(t,) for t in terms], "term string")
-    want = sorted((i, t) for i, x in texts if x is not None for t in terms if t and t in x)
-    for small in (True, False):
-        monkeypatch.setattr(joins, "is_small", lambda *a, small=small, **k: small)
-        assert sorted(tuple(r) for r in joins.substring_join(lines, known, "text", "term").select("id", "term").collect()) == want
-
-
 def test_ngrams_cross_texts(spark):
     texts = ["a b", "", "c", "d e f g", "h"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
