@@ -160,9 +160,9 @@ def term_search(spark, sf_dir):
 
 
 @add("""WITH RECURSIVE w AS (SELECT string_split(text, ' ') AS w FROM benchmark), t AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)),
-r AS (SELECT doc_id, term, instr(text, term) AS at FROM documents JOIN t ON contains(text, term)
-      UNION ALL SELECT r.doc_id, term, at + instr(substr(text, at + 1), term) FROM r JOIN documents d ON r.doc_id = d.doc_id WHERE contains(substr(text, at + 1), term))
-SELECT doc_id, term, at - 1 AS start FROM r""")
+r AS (SELECT doc_id, term, instr(text, term) AS p FROM documents JOIN t ON contains(text, term)
+      UNION ALL SELECT r.doc_id, term, p + instr(substr(text, p + 1), term) FROM r JOIN documents d ON r.doc_id = d.doc_id WHERE contains(substr(text, p + 1), term))
+SELECT doc_id, term, p - 1 AS start FROM r""")
 def term_positions(spark, sf_dir):
     """All places in documents where two words stand as they do in a benchmark item."""
     w = F.split("text", " ")
