@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from ..functions import porter
 from ..functions import text as X
+from . import ter as T
 
 
 COUNTS = StructType([StructField(x, ArrayType(LongType())) for x in ("pred", "ref", "matches")])
@@ -200,36 +201,6 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return score
 
 
-def ter_edits(pred: list[str], ref: list[str], span: int = 10, reach: int = 50) -> int:
-    """Fewest edits with block shifts, found greedily: the shift that saves most is made while any saves an edit."""
-    now, shifts = list(pred), 0
-    best = edit_distance(now, ref)
-    places: dict[tuple[str, ...], list[int]] = {}
-    for j in range(len(ref)):
-        for n in range(1, min(span, len(ref) - j) + 1):
-            places.setdefault(tuple(ref[j : j + n]), []).append(j)
-    while best:
-        found = None
-        for i in range(len(now)):
-            for n in range(1, min(span, len(now) - i) + 1):
-                for j in places.get(tuple(now[i : i + n]), ()):
-                    if j != i and abs(j - i) <= reach:
-                        rest = now[:i] + now[i + n :]
-                        moved = rest[:j] + now[i : i + n] + rest[j:]
-                        d = edit_distance(moved, ref)
-                        if d + 1 < best and (found is None or d < found[0]):
-                            found = (d, moved)
-        if found is None:
-            break
-        best, now, shifts = found[0], found[1], shifts + 1
-    return best + shifts
-
-
-@F.pandas_udf(LongType())
-def _ter(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ter_edits(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
-
-
 @F.pandas_udf(LongType())
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
@@ -241,9 +212,9 @@ def _rate(pairs: DataFrame, edits, name: str, scale: float) -> DataFrame:
     return out.select((F.try_divide("e", "n") * scale).alias(name))
 
 
-def ter(pairs: DataFrame) -> DataFrame:
-    """Corpus translation edit rate (0 and up, in percent), without regard to case."""
-    return _rate(pairs.withColumns({c: F.lower(c) for c in ("pred", "ref")}), _ter, "ter", 100.0)
+def ter(pairs: DataFrame, shift: bool = True, beam: int | None = T.BEAM) -> DataFrame:
+    """Corpus translation edit rate (0 and up, in percent), without regard to case. See ``ter.edits``."""
+    return T.ter(pairs, X.words, beam, shift)
 
 
 def wer(pairs: DataFrame) -> DataFrame:

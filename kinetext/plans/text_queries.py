@@ -310,6 +310,13 @@ def wer(spark, sf_dir):
     return scoring.wer(pairs(spark, sf_dir)).select(r6("wer").alias("wer"))
 
 
+@add(f"""WITH RECURSIVE {PAIRS}, w AS (SELECT id, {PW.replace("pred", "lower(pred)")} AS a, {RW.replace("ref", "lower(ref)")} AS b FROM pr), l AS (SELECT id, a, b, 0 AS i, range(len(b) + 1) AS t FROM w UNION ALL {EDITS.format("l")})
+SELECT round(100 * sum(t[len(b) + 1]) / sum(len(b)), 6) AS ter FROM l WHERE i = len(a)""")
+def ter_unshifted(spark, sf_dir):
+    """What the translation edit rate is without shifts and without a band."""
+    return scoring.ter(pairs(spark, sf_dir), shift=False, beam=None).select(r6("ter").alias("ter"))
+
+
 @add()
 def ter(spark, sf_dir):
     """Greedy block shifts are beyond SQL."""
