@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as X
+from ..sources.scratch import materialize
 from .joins import broadcast_if_small, is_small
+from .nearest import pruned
 
 THRESHOLD = 80.0
+#: Pairs of vectors that are compared without more ado.
+FEW_PAIRS = 200_000_000
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -89,27 +93,28 @@ def fuzzy_match(queries: DataFrame, glosses: DataFrame, least: float = THRESHOLD
 def nearest_cosine(queries: DataFrame, table: DataFrame, k: int = 1, q_id: str = "q_id", t_id: str = "t_id", vector: str = "embedding", skip_self: bool = False, block: int = 2048) -> DataFrame:
     """The ``k`` nearest rows by cosine, exact: q_id, t_id, similarity, rank. A zero vector has similarity 0 to all; null vectors take no part. Ties go to the smaller id.
 
-    A stated query set against all rows, in blocks: a block of rows meets each
-    block of queries in one task, which keeps its best k for each query. With
-    queries that fit a broadcast the rows stay where they are.
+    A stated query set against all rows. Up to FEW_PAIRS of them, queries that
+    fit a broadcast meet the rows where they are; beyond, pieces of rows that
+    can't hold any of the nearest are ruled out first (see ``nearest``).
     """
     asked = queries.select(F.col(q_id).alias("q_"), F.col(vector).cast("array<double>").alias("qv_")).where("qv_ is not null")
     rows = table.select(F.col(t_id).alias("t_"), F.col(vector).cast("array<double>").alias("v_")).where("v_ is not null")
     kinds = dict(queries.dtypes)[q_id], dict(table.dtypes)[t_id]
     schema = f"q_ {kinds[0]}, t_ {kinds[1]}, similarity double"
-    if is_small(asked, F.size("qv_") * 8 + 16):
+    if is_small(asked, F.size("qv_") * 8 + 16) and asked.count() * rows.count() <= FEW_PAIRS:
         got = asked.toArrow()  # SMALL_BYTES at most
         shared = queries.sparkSession.sparkContext.broadcast(got)
         found = rows.mapInArrow(lambda batches: (_best(shared.value, pa.Table.from_batches([b]), k, skip_self, lo, block) for b in batches for lo in range(0, shared.value.num_rows, block)), schema)
     else:
-        n = lambda df: max(1, -(-df.count() // (4 * block)))
-        a, b = n(asked), n(rows)
-        part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        lhs = asked.select(part("q_", a).alias("i"), every(b).alias("j"), "q_", "qv_")
-        rhs = rows.select(every(a).alias("i"), part("t_", b).alias("j"), "t_", "v_")
-        both = lhs.groupBy("i", "j").cogroup(rhs.groupBy("i", "j"))
-        found = both.applyInArrow(lambda x, y: _best(x.select(["q_", "qv_"]), y.select(["t_", "v_"]), k, skip_self).combine_chunks(), schema)
+        # Zero vectors are as near to all, so of such rows the first few do, and for such queries the first rows.
+        length = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)
+        keep = lambda x, y: _best(x, y, k, skip_self).combine_chunks()
+        asked, rows = materialize(asked), materialize(rows)
+        found, _ = pruned(asked.where(length("qv_") > 0), rows.where(length("v_") > 0), k, keep, kinds)
+        few = rows.where(length("v_") == 0).orderBy("t_").limit(k + 1).unionByName(rows.orderBy("t_").limit(k + 1)).distinct().toArrow()  # two times k + 1 rows
+        shared = queries.sparkSession.sparkContext.broadcast(few)
+        found = found.unionByName(asked.mapInArrow(lambda batches: (_best(pa.Table.from_batches([b]), shared.value, k, skip_self, 0, b.num_rows) for b in batches), schema))
+        found = found.groupBy("q_", "t_").agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy("q_").orderBy(F.desc("similarity"), "t_")
     best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return best.select(F.col("q_").alias(q_id), F.col("t_").alias(t_id), "similarity", "rank")

@@ -360,16 +360,3 @@ def test_pairs_of_fuzzy_matches_are_not_missed(spark):
     for q in asked:
         ratio, at = max((matching.indel_ratio(q, w), -i) for i, w in enumerate(words))
         assert got[q] == (words[-at] if ratio >= 70 else None)
-
-
-def test_nearest_cosine_without_a_broadcast(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    v = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 5)))] + [(60, [0.0] * 5), (61, None), (62, [1.0] * 5), (63, [1.0] * 5)]
-    a, b = (spark.createDataFrame(v, f"{c} long, embedding array<double>").repartition(3) for c in ("q_id", "t_id"))
-    want = sorted(tuple(r) for r in matching.nearest_cosine(a, b, 3, skip_self=True, block=7).collect())
-    assert len(want) == 63 * 3
-    monkeypatch.setattr(matching, "is_small", lambda *_: False)
-    got = sorted(tuple(r) for r in matching.nearest_cosine(a, b, 3, skip_self=True, block=5).collect())
-    assert [(q, t, n) for q, t, _, n in got] == [(q, t, n) for q, t, _, n in want]
-
-
