@@ -12,6 +12,7 @@ from ..operators import corpus as C
 from ..operators import dictionary as D
 from ..operators import motion
 from ..operators import segments as S
+from ..operators.retries import retried_paraphrases
 from ..sources import files, html, scratch, srt
 from .common import VECTORS, Registry, r6, table, values
 
@@ -310,6 +311,27 @@ def paraphrases(spark, sf_dir):
     return C.paraphrases(names, drawn, "name", n=3, tries=3).select("name", "paraphrase")
 
 
+@add("""WITH RECURSIVE s AS (SELECT p_partkey, p_name AS t, []::VARCHAR[] AS taken, 0 AS missed, 0 AS calls FROM part UNION ALL
+ SELECT p_partkey, t, CASE WHEN ok THEN list_append(taken, x) ELSE taken END, CASE WHEN ok THEN 0 ELSE missed + 1 END, calls + 1
+ FROM (SELECT *, x NOT IN ('', t, 'no no no no no') AND NOT list_contains(taken, x) AS ok
+       FROM (SELECT *, CASE WHEN (p_partkey + 3 * len(taken) + missed) % 4 = 0 THEN t WHEN (p_partkey + missed) % 5 = 1 THEN 'no no no no no' WHEN missed = 1 THEN list_extract(list_concat([t], taken), -1) ELSE upper(t) || ' ' || (p_partkey % 3 + len(taken) // 2) END AS x FROM s WHERE len(taken) < 3 AND missed < 4)))
+SELECT p_partkey, array_to_string(taken, '|') AS paraphrases, calls FROM s WHERE len(taken) >= 3 OR missed >= 4""")
+def paraphrase_retries(spark, sf_dir):
+    """What the generator, which stands for a model, says depends on what it must not say again and on the attempt."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    numbers = F.col("p_partkey")
+
+    def generate(text, exclude, attempt):
+        key = F.element_at(F.split(text, " #"), 2).cast("long")
+        own = F.element_at(F.split(text, " #"), 1)
+        n = F.size(exclude) - 1
+        said = F.element_at(exclude, -1)
+        return F.when((key + 3 * n + attempt) % 4 == 0, text).when((key + attempt) % 5 == 1, F.lit("no no no no no")).when(attempt == 1, said).otherwise(F.concat(F.upper(own), F.lit(" "), (key % 3 + F.floor(n / 2)).cast("string")))
+
+    found = retried_paraphrases(parts.withColumn("line", F.concat("p_name", F.lit(" #"), numbers.cast("string"))), generate, "line", n=3, tries=4)
+    return found.select("p_partkey", F.array_join("paraphrases", "|").alias("paraphrases"), "calls")
+
+
 @add("SELECT n_regionkey AS page_id, CAST(n AS INTEGER) AS row_no, n_name AS name, 'http://h.org/srt/' || n_nationkey || '.srt' AS link FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS n FROM nation) WHERE n < 3 AND n_nationkey % 2 = 0")
 def table_scrape(spark, sf_dir):
     """The first three rows of a page's table, less those without the link."""
