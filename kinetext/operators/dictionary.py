@@ -58,9 +58,9 @@ def best_per_key(items: DataFrame, key: str, score: str, order: Sequence[str], p
     return items.select(key, *order, score, *payload).join(first, [key, *order])
 
 
-def build_dictionary(items: DataFrame, wanted: DataFrame, order: Sequence[str] = ("entry", "speaker", "pos")) -> DataFrame:
+def build_dictionary(items: DataFrame, wanted: DataFrame, order: Sequence[str] = ("entry", "speaker", "pos"), sizes: tuple[int, ...] = STORED_SIZES) -> DataFrame:
     """gloss -> the sound sequence with the best mean confidence; only wanted glosses."""
-    sound = items.where(~K.is_corrupt("pose_sequence")).withColumn("avg_conf", K.mean_confidence("pose_sequence"))
+    sound = items.where(~K.is_corrupt("pose_sequence", sizes)).withColumn("avg_conf", K.mean_confidence("pose_sequence"))
     wanted = broadcast_if_small(wanted.select("gloss").distinct(), F.length("gloss"))
     return best_per_key(sound.join(wanted, "gloss", "left_semi"), "gloss", "avg_conf", order, ["pose_sequence"])
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from ..functions import keypoints as K
 from ..functions import text as X
 from .joins import broadcast_if_small
+from .timing import summaries
 
 DEFAULT_GAP = 7
 
@@ -124,5 +125,7 @@ def smoothness(frames: DataFrame, keys: Sequence[str], order: str, positions: st
 def smoothness_table(scores: DataFrame, label: str, labels: Sequence[str]) -> DataFrame:
     """Mean, median and deviation of sal and msj, side by side for each label, to four places."""
     shown = lambda c: F.format_number(c, 4)
-    aggs = [shown(f(m)).alias(f"{name}_{m}") for m in ("sal", "msj") for name, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp))]
-    return scores.withColumn("row_", F.lit(1)).groupBy("row_").pivot(label, list(labels)).agg(*aggs).drop("row_")
+    found = summaries(scores.where(F.col(label).isin(list(labels))), [label], ["sal", "msj"], [0.5])  # a row for each label and metric
+    of = lambda x, m, c: F.max(F.when((F.col(label) == x) & (F.col("metric") == m), shown(c)))
+    cells = [of(x, m, c).alias(f"{x}_{name}_{m}") for x in labels for m in ("sal", "msj") for name, c in (("mean", F.col("mean")), ("median", F.col("p")[0]), ("std", F.col("std")))]
+    return found.groupBy(F.lit(1).alias("row_")).agg(*cells).drop("row_")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import dictionary as D
 from ..operators import intervals as I
 from ..operators import joins as J
 from ..operators import segments as S
@@ -216,7 +217,20 @@ def dual_gloss_counts(spark, sf_dir):
     return g.agg(F.count_if(dual).alias("dual"), F.count_if(dual & F.col("g").contains("ERROR")).alias("dual_excluded"))
 
 
-@add("SELECT CAST(n AS INTEGER) AS number, CAST(v AS INTEGER) AS variant, CAST((v - 1) // 6 + 1 AS BIGINT) AS batch FROM range(1, 31) a(n), range(1, 11) b(v)")
+@add("SELECT CAST(p_partkey AS INTEGER) AS number, CAST(v AS INTEGER) AS variant, CAST((v - 1) // 6 + 1 AS BIGINT) AS batch FROM part, range(1, 11) b(v)")
 def variants_cartesian(spark, sf_dir):
-    numbers = spark.range(1, 31).select(F.col("id").cast("int").alias("number"))
+    numbers = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("number"))
     return numbers.select("number", F.explode(J.variants(0)).alias("x")).select("number", "x.*")
+
+
+@add(f"WITH {BLOCKS} SELECT entry, pos, CAST(trunc(start_ms % 86400000 / 1000 * 50) AS INTEGER) AS first_frame, CAST(trunc((end_ms - start_ms) / 1000 * 50) AS INTEGER) AS last_frame FROM b WHERE NOT is_full")
+def gloss_frames(spark, sf_dir):
+    """Glosses in frames of their day; sentences left out."""
+    day = event_blocks(spark, sf_dir).withColumns({"start_ms": F.col("start_ms") % 86_400_000, "end_ms": F.col("end_ms") - F.col("start_ms")})
+    return D.intervals_in_frames(day).select("entry", "pos", "first_frame", "last_frame")
+
+
+@add(f"WITH {BLOCKS} SELECT entry, speaker, pos, CAST(row_number() OVER (PARTITION BY entry, speaker ORDER BY end_ms DESC, pos) AS INTEGER) AS block_idx FROM b")
+def renumbered(spark, sf_dir):
+    last_first = event_blocks(spark, sf_dir).withColumn("back", -F.col("end_ms"))
+    return S.renumber(last_first, S.KEYS, "back", "pos").select("entry", "speaker", "pos", "block_idx")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keypoints as K
 from ..operators import dictionary as D
 from ..operators import matching, motion
-from .common import VECTORS, Registry, r6, table, values, vector_frames
+from .common import PARTS, VECTORS, Registry, r6, table, values, vector_frames
 
 R = Registry()
 add = R.add
@@ -62,6 +62,20 @@ def best_per_key(spark, sf_dir):
     return D.best_per_key(items, "gloss", "avg_conf", ["entry", "item_no"], ["pose_sequence"])
 
 
+@add(f"""WITH {VECTORS}, s AS (SELECT label, vec_id // 4 AS entry, avg({C3}) AS avg_conf, count(*) AS frames FROM v GROUP BY ALL HAVING NOT bool_or(vec_id % 7 = 0)),
+w AS (SELECT DISTINCT label FROM v WHERE label % 2 = 0 AND vec_id % 3 = 0), r AS (SELECT s.*, row_number() OVER (PARTITION BY label ORDER BY round(avg_conf, 9) DESC, entry) AS n FROM s SEMI JOIN w ON s.label = w.label)
+SELECT 'L' || label AS gloss, entry, round(avg_conf, 6) + 0.0 AS avg_conf, frames FROM r WHERE n = 1""")
+def dictionary_built(spark, sf_dir):
+    """Runs of frames with a label; every seventh vector lacks a value and spoils its run. Of the wanted labels' sound runs the surest stays."""
+    short = lambda f: F.struct(*(F.when(F.col("vec_id") % 7 == 0, F.slice(f[k], 1, 11)).otherwise(f[k]).alias(k) if k == "hand_right_keypoints_2d" else f[k].alias(k) for k in PARTS))
+    frames = vector_frames(spark, sf_dir).select(F.concat(F.lit("L"), "label").alias("gloss"), "label", "vec_id", F.floor(F.col("vec_id") / 4).alias("entry"), short(F.col("frame")).alias("frame"))
+    runs = frames.groupBy("gloss", "entry").agg(F.array_sort(F.collect_list(F.struct("vec_id", "frame"))).alias("x"))  # four frames at most
+    runs = runs.select("gloss", "entry", F.transform("x", lambda x: x["frame"]).alias("pose_sequence"))
+    wanted = frames.where("label % 2 = 0 AND vec_id % 3 = 0").select("gloss")
+    found = D.build_dictionary(runs, wanted, ["entry"], (27, 12, 12, 12))
+    return found.select("gloss", "entry", r6("avg_conf").alias("avg_conf"), F.size("pose_sequence").cast("long").alias("frames"))
+
+
 @add(f"WITH {VECTORS}, a AS (SELECT vec_id, unnest(['pose_keypoints_2d', 'face_keypoints_2d', 'hand_left_keypoints_2d', 'hand_right_keypoints_2d']) AS part, unnest([27, 12, 12, 11]) AS expected, unnest([27, 12, 12, 12]) AS actual FROM v) SELECT vec_id, part, CAST(expected AS INTEGER) AS expected, CAST(actual AS INTEGER) AS actual FROM a WHERE expected <> actual")
 def corruption_audit(spark, sf_dir):
     return D.size_audit(vector_frames(spark, sf_dir), "frame", (27, 12, 12, 11), ["vec_id"])

@@ -138,10 +138,11 @@ def text_lines(spark, sf_dir):
     return files.lines(spark, path)
 
 
-@add("SELECT CAST(row_number() OVER (ORDER BY r_regionkey) AS INTEGER) AS pos, upper(r_name) AS gloss FROM region")
+@add("""WITH l AS (SELECT p_partkey, list_filter(list_transform(string_split(' ' || p_brand || ', ,' || coalesce(p_type, '') || ',' || lower(p_name) || ' ,', ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM part)
+SELECT p_partkey, CAST(generate_subscripts(l, 1) AS INTEGER) AS pos, upper(unnest(l)) AS gloss FROM l""")
 def literal_list(spark, sf_dir):
-    names = [r[0] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").select(F.lower("r_name")).collect()]  # five
-    return files.literal_list(spark, ", ".join(names) + ", ,")
+    written = F.concat(F.lit(" "), "p_brand", F.lit(", ,"), F.coalesce("p_type", F.lit("")), F.lit(","), F.lower("p_name"), F.lit(" ,"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.inline(files.literal_items(written)))
 
 
 @add("SELECT CAST(sum(strlen(n_name) + 1) AS BIGINT) AS bytes FROM nation")

@@ -59,10 +59,15 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("term")).where(F.col("term") != "")
 
 
+def literal_items(text: Column, upper: bool = True) -> Column:
+    """An array of (pos, gloss) of a comma-separated list; blank items are dropped, the others numbered from 1. Null gives none."""
+    items = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(items, lambda x, i: F.struct((i + 1).alias("pos"), (F.upper(x) if upper else x).alias("gloss")))
+
+
 def literal_list(spark: SparkSession, text: str, upper: bool = True) -> DataFrame:
-    """(pos, gloss) of a comma-separated list; blank items are dropped."""
-    parts = [x.strip() for x in text.split(",") if x.strip()]
-    return spark.createDataFrame([(i, x.upper() if upper else x) for i, x in enumerate(parts, 1)], "pos int, gloss string")
+    """(pos, gloss) of one such list."""
+    return spark.range(1).select(F.inline(literal_items(F.lit(text), upper)))
 
 
 def from_entry(df: DataFrame, first: str) -> DataFrame:
