@@ -14,15 +14,20 @@ from .intervals import frames_in_intervals
 from .joins import broadcast_if_small
 
 
-def frames(cameras: DataFrame, skip: Sequence[str] = ("c",), speakers: dict[str, str] | None = None) -> DataFrame:
+def frames(cameras: DataFrame, skip: Sequence[str] = ("c",)) -> DataFrame:
     """One row per (entry, camera, frame, person): the arrays normalised by the camera's size, the body cut to its upper part.
 
     ``cameras`` has entry, camera_no and the camera struct; the camera at
     position 0 is speaker A, at 1 speaker B.
     """
     c = F.col("cam")
+    return people(cameras.select("entry", "camera_no", c["camera"].alias("camera"), c["width"].alias("width"), c["height"].alias("height"), F.explode(c["frames"]).alias("frame", "body")), skip)
+
+
+def people(frames: DataFrame, skip: Sequence[str] = ("c",)) -> DataFrame:
+    """``frames`` of what has a row for each frame already: entry, camera_no, camera, width, height, frame and body."""
     named = F.when(F.col("camera_no") == 0, "A").when(F.col("camera_no") == 1, "B")
-    rows = cameras.where(~F.coalesce(c["camera"].isin(*skip), F.lit(False))).select("entry", "camera_no", named.alias("speaker"), c["width"].alias("w"), c["height"].alias("h"), F.explode(c["frames"]).alias("frame", "body"))
+    rows = frames.where(~F.coalesce(F.col("camera").isin(*skip), F.lit(False))).select("entry", "camera_no", named.alias("speaker"), F.col("width").alias("w"), F.col("height").alias("h"), "frame", "body")
     rows = rows.select("entry", "camera_no", "speaker", "w", "h", F.col("frame").cast("int").alias("frame"), F.posexplode("body.people").alias("person_no", "p"))
     norm = lambda k: K.normalize(F.col("p")[k], F.col("w"), F.col("h"))
     person = F.struct(K.select_points(norm("pose_keypoints_2d")).alias("pose_keypoints_2d"), *(norm(k).alias(k) for k in KEYPOINT_KEYS[1:]))

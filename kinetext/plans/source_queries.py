@@ -13,7 +13,7 @@ from ..operators import dictionary as D
 from ..operators import motion
 from ..operators import segments as S
 from ..operators.retries import retried_paraphrases
-from ..sources import files, html, scratch, srt
+from ..sources import files, html, nested, scratch, srt
 from .common import VECTORS, Registry, r6, table, values
 
 R = Registry()
@@ -191,7 +191,7 @@ def camera_frames(spark, sf_dir):
     camera = lambda name: F.struct(F.lit(name).alias("camera"), F.lit(640).alias("width"), F.lit(360).alias("height"), F.col("frames"))
     path = scratch.folder(spark)
     rows.groupBy("entry").agg(frames.alias("frames")).select("entry", F.to_json(F.array(camera("c"), camera("b1"))).alias("value")).write.partitionBy("entry").text(path)
-    found = D.frames(files.cameras(spark, f"{path}/*/*.txt"))
+    found = D.people(nested.camera_frames(spark, f"{path}/*/*.txt"))
     return values(found, F.col("person.pose_keypoints_2d"), "entry", "speaker", "frame")
 
 
@@ -225,7 +225,7 @@ def pose_dictionaries(spark, sf_dir):
     """Documents that map glosses to sequences."""
     path = scratch.folder(spark)
     _people(spark, sf_dir).select(F.col("gloss").alias("g"), F.to_json(F.create_map("gloss", "pose_sequence")).alias("value")).write.partitionBy("g").text(path)
-    return _ends(files.pose_dictionary(spark, f"{path}/*/*.txt"))
+    return _ends(nested.pose_dictionary(spark, f"{path}/*/*.txt"))
 
 
 @add("SELECT CAST(vec_id AS INTEGER) AS idx, 'G' || label AS gloss, CAST(len(embedding) AS INTEGER) AS size, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS first FROM embeddings")
