@@ -13,7 +13,7 @@ from ..operators import dictionary as D
 from ..operators import motion
 from ..operators import segments as S
 from ..operators.retries import retried_paraphrases
-from ..sources import files, html, nested, scratch, srt
+from ..sources import files, html, nested, scratch, srt, video
 from .common import VECTORS, Registry, r6, table, values
 
 R = Registry()
@@ -228,6 +228,20 @@ def pose_dictionaries(spark, sf_dir):
     return _ends(nested.pose_dictionary(spark, f"{path}/*/*.txt"))
 
 
+@add("""WITH r AS (SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN 50.0 ELSE CAST(s_nationkey + 20 AS DOUBLE) END AS fps FROM supplier)
+SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, CAST(trunc(l_orderkey % 100000 / 1000.0 * fps) AS INTEGER) AS frame FROM lineitem JOIN r ON l_suppkey = s_suppkey""")
+def frames_of_recordings(spark, sf_dir):
+    """A supplier's recording has a rate of its own, in its header; every fifth nation's has none and the usual one holds."""
+    s = table(spark, sf_dir, "supplier")
+    scale = F.lit(1000) + F.col("s_suppkey") % 100
+    told = s.where("s_nationkey % 5 <> 0").select(F.concat(F.lit("entry_"), "s_suppkey").alias("entry"), scale.cast("long").alias("scale"), (10 * scale).cast("long").alias("length"), ((F.col("s_nationkey") + 20) * 10).cast("long").alias("frames"))
+    path = scratch.folder(spark)
+    video.write_headers(told, path).count()
+    items = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("entry_"), "l_suppkey").alias("entry"), "l_orderkey", "l_linenumber")
+    timed = video.with_rates(items, video.frame_rates(spark, f"{path}/*/video.mp4"))
+    return timed.select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"), X.ms_to_frame(F.col("l_orderkey") % 100_000, F.col("fps")).alias("frame"))
+
+
 @add("SELECT CAST(vec_id AS INTEGER) AS idx, 'G' || label AS gloss, CAST(len(embedding) AS INTEGER) AS size, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS first FROM embeddings")
 def vector_matrix(spark, sf_dir):
     path = scratch.folder(spark)
