@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import markup
+
 LINK = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 
 
@@ -36,13 +38,22 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def table_rows(pages: DataFrame, needed: str | None = None, max_entries: int = -1) -> DataFrame:
-    """(page_id, row_no, cells): cells by header, each with its text and first link. Of each page the first ``max_entries`` rows (-1: all), less those that lack the link of the column ``needed``."""
-    headers = F.transform(F.regexp_extract_all(F.regexp_extract("html", r"(?is)<tr\b[^>]*>(.*?</th>.*?)</tr>", 1), F.lit(r"(?is)<th\b[^>]*>(.*?)</th>"), 1), plain)
-    rows = pages.select("page_id", "url", headers.alias("heads"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>((?:(?!</tr>).)*<td.*?)</tr>"), 1)).alias("row_no", "row"))
-    cells = F.regexp_extract_all("row", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), 1)
-    cell = lambda c: F.struct(plain(c).alias("text"), F.when(c.rlike(LINK), absolute(F.col("url"), F.regexp_extract(c, LINK, 1))).alias("link"))
-    n = F.least(F.size("heads"), F.size(cells))
-    out = rows.select("page_id", "row_no", F.map_from_arrays(F.slice("heads", F.lit(1), n), F.slice(F.transform(cells, cell), F.lit(1), n)).alias("cells"))
+    """(page_id, row_no, cells): cells by header, each with its text and first link. Of each page the first ``max_entries`` rows (-1: all), less those that lack the link of the column ``needed``.
+
+    A table's headers are its first row with a header cell; rows of nothing
+    else but header cells are not counted. Of columns that share a header the
+    first one counts. A table without headers has none. See ``markup`` for
+    spans, nested tables and tags that are missing.
+    """
+    rows = pages.select("page_id", "url", F.explode(F.filter(markup.table_grids(F.col("html")), lambda r: F.size(r["cells"]) > 0)).alias("r")).select("page_id", "url", "r.*")
+    by = Window.partitionBy("page_id", "table_no").orderBy("row_no")  # a page's table
+    titles = F.when(F.exists("cells", lambda c: c["head"]), F.transform("cells", lambda c: c["text"]))
+    rows = rows.withColumn("heads", F.first(titles, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = rows.where(F.col("heads").isNotNull() & F.exists("cells", lambda c: ~c["head"]))
+    rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy("page_id").orderBy("table_no", "row_no")) - 1)
+    cell = lambda c: F.struct(c["text"].alias("text"), F.when(c["href"].isNotNull(), absolute(F.col("url"), c["href"])).alias("link"))
+    pairs = F.filter(F.transform("cells", lambda c, i: F.struct(F.get("heads", i).alias("k"), cell(c).alias("v"), i.alias("i"))), lambda x: x["k"].isNotNull() & (F.array_position("heads", x["k"]) == x["i"] + 1))
+    out = rows.select("page_id", "row_no", F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["k"], x["v"]))).alias("cells"))
     out = out.where(F.col("row_no") < max_entries) if max_entries >= 0 else out
     return out.where(F.col("cells")[needed]["link"].isNotNull()) if needed else out
 
