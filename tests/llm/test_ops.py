@@ -633,6 +633,17 @@ def test_empty_tables(spark):
     assert decontaminate.find_contamination(odd(spark), bench).where("n_hit > 0").count() == 0
 
 
+def test_empty_pages_and_labels(spark, docs):
+    known = spark.createDataFrame(docs, DOCS)
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert language_id.identify_pages(none, known).count() == 0
+    assert language_id.identify_pages(spark.createDataFrame([(1, None, None)], none.schema), known.limit(0)).select("language", "accepted").collect() == [(None, False)]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality.score_quality(known, labels)
+    assert got.count() == len(docs) and {(r["p_quality"], r["p_toxic"]) for r in got.collect()} == {(0.5, 0.5)}
+    assert quality.score_quality(known.limit(0), labels).count() == 0
+
+
 def test_all_null_columns(spark):
     df = spark.createDataFrame([(None,) * 5] * 3, DOCS)
     assert line_dedup.dedup_lines(df).count() == 3
