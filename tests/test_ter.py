@@ -1,6 +1,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 
 from kinetext.operators import scoring, ter
@@ -108,3 +109,14 @@ def test_corpus_rate(spark):
     df = spark.createDataFrame(rows, "id int, pred string, ref string")
     assert scoring.ter(df).first()["ter"] == pytest.approx(100 * (1 + 1 + 1 + 2) / 7)
     assert scoring.ter(df.limit(0)).first()["ter"] is None
+
+
+def test_alignment_along_the_edge_of_the_band():
+    rng = random.Random(3)
+    for _ in range(400):
+        pred, ref = (np.array([rng.randint(0, 40) for _ in range(rng.randint(1, 160))], np.int32) for _ in range(2))
+        cost, at, wrong, missed = ter.alignment(pred, ref)
+        assert cost == ter.distances(pred[None], ref)[0]
+        kept = np.flatnonzero(~missed)
+        assert (pred[at[kept]] == ref[kept]).all() and len(kept) == np.count_nonzero(~wrong)
+        assert max(wrong.sum(), missed.sum()) <= cost <= wrong.sum() + missed.sum()
