@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import ctypes
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -15,9 +17,21 @@ from ..functions import text as X
 from . import ter as T
 
 
+#: Words or letters that are compared at a time: beside its batch, a worker's memory doesn't grow with the rows of a batch.
+BLOCK = 1 << 18
 COUNTS = StructType([StructField(x, ArrayType(LongType())) for x in ("pred", "ref", "matches")])
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and all of an executor's count together."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def count_matches(pred: list[np.ndarray], ref: list[np.ndarray], orders: range) -> np.ndarray:
     """Of each row and order: grams of either side, and matches, each gram matched as often as both have it; an array (3, rows, orders).
 
@@ -47,25 +61,40 @@ def count_matches(pred: list[np.ndarray], ref: list[np.ndarray], orders: range)
     return out
 
 
-def numbered(rows: pd.Series) -> list[np.ndarray]:
-    """Texts as code points; lists of words as they are."""
-    if len(rows) and isinstance(rows.iloc[0], str):
-        return [np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.int64) for x in rows]
-    return [np.array(x, object) for x in rows]
+def _size(column: pa.Array) -> np.ndarray:
+    """Letters of texts, or words of lists; none for null."""
+    n = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.utf8_length(column)
+    return n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def blocks(*columns: pa.Array, most: int | None = None) -> Iterator[tuple[list[np.ndarray], ...]]:
+    """The rows of word lists, or of strings by character, as lists of whole numbers, in blocks of about ``most`` words or letters (BLOCK; single rows may be larger).
+
+    Letters are named by their code points, words by their place among those of the block.
+    """
+    ends = np.cumsum(np.concatenate([[0], sum(map(_size, columns))]))
+    start = 0
+    while start < len(ends) - 1:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + (most or BLOCK), "right")) - 1)
+        own = [c.slice(start, stop - start) for c in columns]
+        if pa.types.is_list(own[0].type):
+            names = pa.concat_arrays([c.flatten() for c in own]).dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+        else:
+            names = np.frombuffer("".join(x or "" for c in own for x in c.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+        rows = np.split(names, np.cumsum(np.concatenate([_size(c) for c in own]))[:-1])
+        yield tuple(rows[i * (stop - start) : (i + 1) * (stop - start)] for i in range(len(columns)))
+        start = stop
+    give_back()
 
 
 def row_matches(orders: range):
     """A column function on two word lists, or strings by character. A row's grams meet in its own task: nothing is shuffled."""
 
-    @F.pandas_udf(COUNTS)
-    def count(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        a, b = numbered(pred), numbered(ref)
-        if len(pred) and not isinstance(pred.iloc[0], str):
-            names = pd.factorize(np.concatenate([np.zeros(0, object), *a, *b]))[0].astype(np.int64)
-            ends = np.cumsum([len(x) for x in [*a, *b]])[:-1]
-            rows = np.split(names, ends)
-            a, b = rows[: len(a)], rows[len(a) :]
-        return pd.DataFrame(dict(zip(("pred", "ref", "matches"), map(list, count_matches(a, b, orders)), strict=True)))
+    @F.arrow_udf(COUNTS)
+    def count(pred: pa.Array, ref: pa.Array) -> pa.Array:
+        found = np.concatenate([np.zeros((3, 0, len(orders)), np.int64), *(count_matches(a, b, orders) for a, b in blocks(pred, ref))], 1)
+        ends = pa.array(np.arange(len(pred) + 1) * len(orders), pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in found], names=COUNTS.names)
 
     return count
 
@@ -131,10 +160,15 @@ def chrf(pairs: DataFrame, order: int = 6, beta: float = 2.0) -> DataFrame:
     return mean.select(F.coalesce(F.try_divide((1 + b) * F.col("p") * F.col("r"), b * F.col("p") + F.col("r")) * 100, F.lit(0.0)).alias("chrf"))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stems(words: pd.Series) -> pd.Series:
-    """Stems of the words of over three letters."""
-    return words.map(lambda own: None if own is None else [porter.stem(w) if len(w) > 3 else w for w in own])
+@F.arrow_udf(ArrayType(StringType()))
+def stems(words: pa.Array) -> pa.Array:
+    """Stems of the words of over three letters. A word is stemmed once for each block of them."""
+    flat, out = words.flatten(), []
+    for at in range(0, len(flat), BLOCK):
+        own = flat.slice(at, BLOCK).dictionary_encode()
+        out.append(pa.array([porter.stem(w) if len(w) > 3 else w for w in own.dictionary.to_pylist()], pa.string()).take(own.indices))
+    ends = pa.array(np.cumsum(np.concatenate([[0], _size(words)])), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.concat_arrays([pa.array([], pa.string()), *out]), mask=words.is_null())
 
 
 def rouge_words(text: Column, stemmed: bool = True) -> Column:
@@ -143,21 +177,22 @@ def rouge_words(text: Column, stemmed: bool = True) -> Column:
     return stems(w) if stemmed else w
 
 
-@F.pandas_udf(LongType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence of two word lists, by bits."""
+def common_length(x: Sequence, y: Sequence) -> int:
+    """Length of the longest common subsequence, by bits."""
+    places: dict = {}
+    for i, w in enumerate(y):
+        places[w] = places.get(w, 0) | 1 << i
+    full = v = (1 << len(y)) - 1
+    for w in x:
+        u = v & places.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(y) - v.bit_count()
 
-    def one(x, y) -> int:
-        places: dict[str, int] = {}
-        for i, w in enumerate(y):
-            places[w] = places.get(w, 0) | 1 << i
-        full = v = (1 << len(y)) - 1
-        for w in x:
-            u = v & places.get(w, 0)
-            v = ((v + u) | (v - u)) & full
-        return len(y) - v.bit_count()
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+@F.arrow_udf(LongType())
+def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Longest common subsequence of two word lists."""
+    return pa.array([common_length(x.tolist(), y.tolist()) for own in blocks(a, b) for x, y in zip(*own, strict=True)], pa.int64())
 
 
 def f_measure(matches: Column, pred: Column, ref: Column) -> Column:
@@ -201,9 +236,9 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return score
 
 
-@F.pandas_udf(LongType())
-def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+@F.arrow_udf(LongType())
+def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([edit_distance(x.tolist(), y.tolist()) for own in blocks(a, b) for x, y in zip(*own, strict=True)], pa.int64())
 
 
 def _rate(pairs: DataFrame, edits, name: str, scale: float) -> DataFrame:

@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -309,6 +311,33 @@ def test_gram_counts_match_counters():
     assert scoring.count_matches([], [], range(1, 3)).shape == (3, 0, 2)
 
 
+def _plain_matches(a, b, n):
+    x, y = (Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) for w in (a, b))
+    return [x.total(), y.total(), (x & y).total()]
+
+
+@pytest.mark.parametrize("worded", [False, True])
+def test_grams_of_a_large_batch_are_counted_in_blocks(worded):
+    rng = random.Random(5)
+    sides = [[rng.choices("abcdeä𝄞" if not worded else ["ab", "c", "dé", "f"], k=rng.choice([0, 3, 250])) for _ in range(10_000)] for _ in range(2)]
+    pred, ref = (pa.array(x if worded else ["".join(r) for r in x]) for x in sides)
+    tracemalloc.start()
+    got = scoring.row_matches(range(1, 7)).func(pred, ref)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # of 1.7 million words or letters
+    for i in (*range(0, 10_000, 997), 9_999):
+        assert [list(x) for x in zip(*(got[i][k].as_py() for k in ("pred", "ref", "matches")), strict=True)] == [_plain_matches(sides[0][i], sides[1][i], n) for n in range(1, 7)]
+
+
+def test_blocks_keep_rows_whole_and_in_order():
+    a, b = pa.array([["x", "y"], None, [], ["z"] * 7, ["y", None]]).slice(1), pa.array([["p"], ["y"], ["q", "z"], ["z"], ["y"]]).slice(1)
+    for most in (1, 3, 100):
+        rows = [(len(x), len(y), len(set(x.tolist()) & set(y.tolist()))) for own in scoring.blocks(a, b, most=most) for x, y in zip(*own, strict=True)]
+        assert rows == [(0, 1, 0), (0, 2, 0), (7, 1, 1), (2, 1, 1)]
+    assert list(scoring.blocks(a.slice(0, 0), b.slice(0, 0))) == []
+
+
 def test_percentiles(spark):
     rng = random.Random(6)
     rows = [(rng.choice(["a", "b", None]), rng.choice([0.0, -3.5, 1e-3, 7.25, rng.uniform(-1e6, 1e6)]), None) for _ in range(500)] + [("one", 5.0, 2.0)]
