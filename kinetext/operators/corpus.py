@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import materialize
 from .joins import anti_join, running
 
 
@@ -60,15 +61,16 @@ def ngrams(docs: DataFrame, words: Column, n: int, order: str) -> DataFrame:
     grams = grams_of(base, "w")
     if n > 1:
         size = F.size("w")
-        ends = base.where(size > 0).select("o", F.slice("w", 1, n - 1).alias("head"), F.slice("w", F.greatest(size - n + 2, F.lit(1)), F.lit(n - 1)).alias("tail"))
-        ranked = running(ends, F.lit(1), ["o"], "rank")
+        # The texts are split into words once for the ends, and their sizes say how many words there are: the counts are made but once.
+        ends = materialize(base.where(size > 0).select("o", size.cast("long").alias("size"), F.slice("w", 1, n - 1).alias("head"), F.slice("w", F.greatest(size - n + 2, F.lit(1)), F.lit(n - 1)).alias("tail")))
+        ranked = running(ends.drop("size"), F.lit(1), ["o"], "rank")
         # Each of the n - 1 texts that follow has a word at least.
         sent = ranked.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((F.col("rank") - i).alias("rank"), i.alias("i"), F.when(i == 0, F.col("tail")).otherwise(F.col("head")).alias("w")))).alias("x")).select("x.*")
         joined = sent.where("rank >= 0").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("parts"))  # n parts
         following = F.slice(F.flatten(F.transform(F.slice("parts", 2, n), lambda x: x["w"])), 1, n - 1)
         grams = grams.unionByName(grams_of(joined.select(F.concat(F.get("parts", F.lit(0))["w"], following).alias("w")), "w"))
     counts = grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg((F.sum("count") + (n - 1)).alias("total_"))  # a stream has n - 1 grams fewer than words
+    total = ends.agg(F.sum("size").alias("total_")) if n > 1 else counts.agg(F.sum("count").alias("total_"))
     return counts.crossJoin(F.broadcast(total)).withColumn("percentage", F.col("count") * 100.0 / F.col("total_")).drop("total_")
 
 

@@ -299,6 +299,24 @@ def test_ngrams_over_many_ranges(spark, monkeypatch):
         assert all(abs(r["percentage"] - r["count"] * 100 / len(words)) < 1e-9 for r in got)
 
 
+def test_ngrams_split_each_text_twice_and_count_once(spark):
+    rows = [(i, " ".join("abcde"[j % 5] for j in range(i % 7))) for i in range(60)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "id long, text string").mapInArrow(read, "id long, text string")
+    got = corpus.ngrams(df, X.words("text"), 3, "id").collect()
+    words = " ".join(t for _, t in rows).split()
+    assert {r["ngram"]: r["count"] for r in got} == Counter(" ".join(words[i : i + 3]) for i in range(len(words) - 2))
+    assert all(abs(r["percentage"] - r["count"] * 100 / len(words)) < 1e-9 for r in got)
+    assert seen.value == 2 * len(rows)  # for the ends, and for the grams
+    assert corpus.ngrams(df.limit(2), X.words("text"), 3, "id").collect() == []
+
+
 def test_gram_counts_match_counters():
     rng = random.Random(11)
     pred, ref = ([rng.choices(range(4), k=rng.randint(0, 9)) for _ in range(60)] for _ in range(2))
