@@ -348,6 +348,12 @@ def test_grams_of_a_large_batch_are_counted_in_blocks(worded):
         assert [list(x) for x in zip(*(got[i][k].as_py() for k in ("pred", "ref", "matches")), strict=True)] == [_plain_matches(sides[0][i], sides[1][i], n) for n in range(1, 7)]
 
 
+def test_stems_of_a_batch(monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK", 2)
+    words = pa.array([["gone"], ["running", "sing", "running"], None, [], ["cats", "was"]]).slice(1)
+    assert scoring.stems.func(words).to_pylist() == [["run", "sing", "run"], None, [], ["cat", "was"]]
+
+
 def test_blocks_keep_rows_whole_and_in_order():
     a, b = pa.array([["x", "y"], None, [], ["z"] * 7, ["y", None]]).slice(1), pa.array([["p"], ["y"], ["q", "z"], ["z"], ["y"]]).slice(1)
     for most in (1, 3, 100):
