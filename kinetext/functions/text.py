@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import string
 import unicodedata
 from collections.abc import Iterator
 
@@ -20,7 +19,8 @@ SENTENCE = r"^(?:A:|B:|C:)\s*(?:[A-ZÄÖÜ].*|(?:[0-9#]\S*(?:\s+\S+)+))$"
 PIPED_LABEL = r"^(A:|B:)\s*\|+(.*)"
 VARIANT = r"^([A-ZÄÖÜ]+)(\d+)?([A-Z]*)$"
 
-PUNCTUATION = string.punctuation
+#: ASCII punctuation.
+PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 #: What splits words.
 BLANKS = r"[ \t\n\r]+"
 
@@ -92,9 +92,14 @@ def words(text: Column | str) -> Column:
     return F.array_remove(F.split(F.coalesce(col(text), F.lit("")), BLANKS), "")
 
 
+def normalized(text: Column | str) -> Column:
+    """The text in lower case without punctuation; null stays."""
+    return F.lower(F.regexp_replace(col(text), PUNCTUATION, ""))
+
+
 def normalized_words(text: Column | str) -> Column:
     """Words in lower case without punctuation, in one pass over the text; words of punctuation only are dropped."""
-    return F.array_remove(F.split(F.lower(F.translate(F.coalesce(col(text), F.lit("")), PUNCTUATION, "")), BLANKS), "")
+    return words(normalized(text))
 
 
 def is_upper(text: Column | str) -> Column:

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import text as X
 from ..sources.scratch import materialize
 from .joins import anti_join, running
+from .scoring import give_back
+
+#: Words whose grams are counted at a time (of texts, bytes over GRAM_BYTES).
+GRAM_BLOCK, GRAM_BYTES = 1 << 20, 6
+#: Of each byte, whether it parts words as ``X.BLANKS`` does.
+BLANK = np.isin(np.arange(256), list(b" \t\n\r"))
 
 
 def with_share(counts: DataFrame, total: Column | None = None, count: str = "count", out: str = "percentage") -> DataFrame:
@@ -47,29 +57,96 @@ def extreme_examples(docs: DataFrame, words: Column, text: str, order: str) -> D
     return ends.join(sized.select("o", "t"), "o").select("kind", F.col("length").cast("long").alias("length"), "texts", F.col("o").alias("first_id"), F.col("t").alias("example"))
 
 
+def split_words(texts: pa.Array) -> pa.Array:
+    """The words of each text, as ``X.words`` parts them; null and blank texts have none."""
+    texts = texts.fill_null("")
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at -= at[0]
+    inside = ~BLANK[data]
+    border = np.zeros(len(data) + 1, bool)
+    border[at] = True  # words don't cross texts
+    starts = np.flatnonzero(inside & (border[:-1] | ~np.concatenate([[False], inside[:-1]])))
+    ends = np.flatnonzero(inside & (border[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    places = np.cumsum(np.concatenate([[0], ends - starts])).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[inside]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, at), pa.int32()), words)
+
+
+def _sizes(texts: pa.Array) -> np.ndarray:
+    """Words of lists, bytes of texts over GRAM_BYTES; none for null."""
+    lists = pa.types.is_list(texts.type)
+    n = (pc.list_value_length if lists else pc.binary_length)(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return n if lists else n // GRAM_BYTES
+
+
+def _by_block(of: Callable[[pa.Array, pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What ``of`` makes of the words in column ``w`` (lists of words, or texts) and their rows, a block of about GRAM_BLOCK words at a time (single rows may be larger)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, start = np.cumsum(np.concatenate([[0], _sizes(batch.column("w"))])), 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + GRAM_BLOCK, "right")) - 1)
+                own = batch.slice(start, stop - start)
+                yield of(own.column("w") if pa.types.is_list(own.column("w").type) else split_words(own.column("w")), own)
+                start = stop
+        give_back()
+
+    return run
+
+
+def gram_counts(texts: pa.Array, n: int) -> pa.RecordBatch:
+    """Grams of n words inside texts (lists of words) and their counts: a gram is named by the one before it and its last word, and is spelled once."""
+    words = texts.flatten().dictionary_encode()
+    word, names, sizes = words.indices.to_numpy().astype(np.int64), words.dictionary, _sizes(texts)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(word))  # words from here to the end of the text
+    place = np.flatnonzero(left >= n)
+    gram = word[place]
+    for k in range(1, n):
+        gram = pa.array(gram * len(names) + word[place + k]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    count = np.bincount(gram)
+    first = np.zeros(len(count), np.int64)
+    first[gram] = place  # a place of each gram
+    spelled = pc.binary_join_element_wise(*(names.take(pa.array(word[first + k])) for k in range(n)), " ")
+    return pa.RecordBatch.from_arrays([spelled, pa.array(count, pa.int64())], names=["ngram", "n"])
+
+
+def text_ends(texts: pa.Array, k: int) -> list[pa.Array]:
+    """Of each text its number of words, its first k words and its last k."""
+    sizes, flat = _sizes(texts), texts.flatten()
+    kept, stop = np.minimum(sizes, k), np.cumsum(sizes)
+    at = np.cumsum(np.concatenate([[0], kept]))
+    within = np.arange(at[-1]) - np.repeat(at[:-1], kept)
+    some = lambda first: pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat.take(pa.array(np.repeat(first, kept) + within)))
+    return [pa.array(sizes), some(stop - sizes), some(stop - kept)]
+
+
 def ngrams(docs: DataFrame, words: Column, n: int, order: str) -> DataFrame:
     """Counts and shares of n-grams over the corpus as one stream in ``order``: they cross the borders of texts; shares are of all words.
 
-    Inside a text, grams are slices of its words. For those across borders
+    ``words`` are lists of words, or texts, which are split as ``X.words``
+    does. Inside texts, grams are counted block by block of words, and a
+    block's distinct ones are shuffled, each once. For those across borders
     only the first and last words of each text travel: a text's rank says
     whose words follow its own.
     """
     base = docs.select(F.col(order).alias("o"), words.alias("w"))
-    sliding = lambda w, k: F.arrays_zip(*(F.slice(w, F.lit(i + 1), F.greatest(F.size(w) - i, F.lit(0))).alias(f"t{i}") for i in range(k)))
-    # The words beside themselves, shifted: rows in which the last one is missing aren't whole.
-    grams_of = lambda df, w: df.select(F.explode(sliding(w, n)).alias("x")).where(F.col(f"x.t{n - 1}").isNotNull()).select(F.concat_ws(" ", *(F.col(f"x.t{i}") for i in range(n))).alias("ngram"))
-    grams = grams_of(base, "w")
+    counted = lambda df: df.select("w").mapInArrow(_by_block(lambda w, _: gram_counts(w, n)), "ngram string, n long")
+    grams = counted(base)
     if n > 1:
-        size = F.size("w")
         # The texts are split into words once for the ends, and their sizes say how many words there are: the counts are made but once.
-        ends = materialize(base.where(size > 0).select("o", size.cast("long").alias("size"), F.slice("w", 1, n - 1).alias("head"), F.slice("w", F.greatest(size - n + 2, F.lit(1)), F.lit(n - 1)).alias("tail")))
+        fields = [base.schema["o"], StructField("size", LongType()), StructField("head", ArrayType(StringType())), StructField("tail", ArrayType(StringType()))]
+        ends_of = _by_block(lambda w, own: pa.RecordBatch.from_arrays([own.column("o"), *text_ends(w, n - 1)], names=["o", "size", "head", "tail"]))
+        ends = materialize(base.mapInArrow(ends_of, StructType(fields)).where("size > 0"))
         ranked = running(ends.drop("size"), F.lit(1), ["o"], "rank")
         # Each of the n - 1 texts that follow has a word at least.
         sent = ranked.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((F.col("rank") - i).alias("rank"), i.alias("i"), F.when(i == 0, F.col("tail")).otherwise(F.col("head")).alias("w")))).alias("x")).select("x.*")
         joined = sent.where("rank >= 0").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("parts"))  # n parts
         following = F.slice(F.flatten(F.transform(F.slice("parts", 2, n), lambda x: x["w"])), 1, n - 1)
-        grams = grams.unionByName(grams_of(joined.select(F.concat(F.get("parts", F.lit(0))["w"], following).alias("w")), "w"))
-    counts = grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("count"))
+        grams = grams.unionByName(counted(joined.select(F.concat(F.get("parts", F.lit(0))["w"], following).alias("w"))))
+    # Most of a block's grams are rare: they are shuffled as they are, not first looked up among all of a task's.
+    counts = grams.repartition("ngram").groupBy("ngram").agg(F.sum("n").alias("count"))
     total = ends.agg(F.sum("size").alias("total_")) if n > 1 else counts.agg(F.sum("count").alias("total_"))
     return counts.crossJoin(F.broadcast(total)).withColumn("percentage", F.col("count") * 100.0 / F.col("total_")).drop("total_")
 

@@ -68,20 +68,19 @@ def unique_counts(spark, sf_dir):
     return d.agg(F.countDistinct("text").alias("texts")).crossJoin(C.tokens(d, X.words("text")).agg(F.countDistinct("token").alias("words")))
 
 
-def _ngram(n, words, norm):
+def _ngram(n, norm):
     w = NORM if norm else RAW
     grams = " || ' ' || ".join(f"lead(t, {i}) OVER (ORDER BY doc_id, p)" if i else "t" for i in range(n))
     return f"WITH {w}, s AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM w), g AS (SELECT {grams} AS ngram FROM s), c AS (SELECT ngram, count(*) AS count FROM g WHERE ngram IS NOT NULL GROUP BY ngram) SELECT ngram, count, round(count * 100.0 / (SELECT count(*) FROM s), 6) AS percentage FROM c"
 
 
 def _add_ngram(n: int, norm: bool) -> None:
-    words = X.normalized_words if norm else X.words
-
     def query(spark, sf_dir):
-        return C.ngrams(docs(spark, sf_dir), words("text"), n, "doc_id").withColumn("percentage", r6("percentage"))
+        text = X.normalized("text") if norm else F.col("text")
+        return C.ngrams(docs(spark, sf_dir), text, n, "doc_id").withColumn("percentage", r6("percentage"))
 
     query.__name__ = f"ngram_{n}" + "_norm" * norm
-    add(_ngram(n, words, norm))(query)
+    add(_ngram(n, norm))(query)
 
 
 for _n in (1, 2, 3, 4):

@@ -317,6 +317,22 @@ def test_ngrams_split_each_text_twice_and_count_once(spark):
     assert corpus.ngrams(df.limit(2), X.words("text"), 3, "id").collect() == []
 
 
+def test_ngrams_of_texts_count_each_gram_of_a_block_once(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [None if i % 9 == 0 else "".join(rng.choices("ab.\u00e9\u6f22 \t\n\r\x0b\u00a0", k=rng.randint(0, 12))) for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    for words, text in ((X.words("text"), F.col("text")), (X.normalized_words("text"), X.normalized("text"))):
+        lists = [r["w"] for r in df.orderBy("id").select(words.alias("w")).collect()]
+        assert corpus.split_words(pa.array([r["t"] for r in df.orderBy("id").select(text.alias("t")).collect()], pa.string())).to_pylist() == lists
+        stream = [w for x in lists for w in x]
+        for n, block in ((1, 5), (2, 5), (3, 1 << 21)):
+            monkeypatch.setattr(corpus, "GRAM_BLOCK", block)
+            want = Counter(" ".join(stream[i : i + n]) for i in range(len(stream) - n + 1))
+            assert {r["ngram"]: r["count"] for r in corpus.ngrams(df, text, n, "id").collect()} == want
+    counted = corpus.gram_counts(pa.array([["a", "b", "a", "b"], None, ["b"], ["a", "b"]]), 2)
+    assert dict(zip(*(c.to_pylist() for c in counted.columns), strict=True)) == {"a b": 3, "b a": 1}  # a row each, not one a place
+
+
 def test_gram_counts_match_counters():
     rng = random.Random(11)
     pred, ref = ([rng.choices(range(4), k=rng.randint(0, 9)) for _ in range(60)] for _ in range(2))
