@@ -136,7 +136,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     texts = docs.select(*(k.alias(n) for k, n in zip(document_keys(id_col, text_col), ("doc", "part"), strict=True)), F.col(f"`{text_col}`").cast("string").alias("text"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    n = docs.agg(F.sum(F.length(F.regexp_replace(text, "[^\n]+", "")).cast("long") + 1)).first()[0] or 0
+    n = docs.agg(F.sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long") + 1)).first()[0] or 0
     bits = LEAST_BITS
     while bits < min(MOST_BITS, n * BITS_A_LINE):
         bits *= 2
@@ -148,7 +148,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         filters = filters.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(shares))).repartition(segments * shares, "segment", "share").select("segment", "once", "twice").mapInArrow(_merge, columns)
     merged = filters.repartition(segments, "segment").mapInArrow(_merge, columns).select("segment", "twice").collect()  # MOST_BITS bounds it
     parts = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in merged])
-    suspects = C.materialize(texts.mapInArrow(_suspects(parts, bits, min_chars), "doc long, part long, digest binary"), "suspects")
+    suspects = C.materialize(C.gathered(texts.mapInArrow(_suspects(parts, bits, min_chars), "doc long, part long, digest binary")), "suspects")
     first = suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
     first = C.materialize(first, "first")
     lost = suspects.join(first, "digest").where("doc > first")

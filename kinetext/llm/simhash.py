@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the masks cover radii up to {RADIUS}")
-    return components_of(C.materialize(prints_of(docs, id_col, text_col), "prints"), radius)
+    return components_of(C.materialize(C.gathered(prints_of(docs, id_col, text_col)), "prints"), radius)
 
 
 def prints_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -238,7 +238,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", befor
     if before is not None:
         ids = C.materialize(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "ids")
         old = prints_of(before, id_col, text_col).join(C.sized_broadcast(ids, F.lit(8)), "doc_id", "left_semi")
-        edges = found.unionByName(components_of(C.materialize(old, "prints")).where("doc_id <> component_id"))
+        edges = found.unionByName(components_of(C.materialize(C.gathered(old), "prints")).where("doc_id <> component_id"))
         found = connected_components(edges.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")).where("doc_id <> component_id")
     found = found.select(F.col("doc_id").alias(key))
     gone = C.sized_broadcast(C.materialize(found.distinct(), "gone"), F.lit(8))

@@ -68,6 +68,18 @@ def test_line_dedup_bounded_filters_change_nothing(spark, docs, monkeypatch):
     same(rows(got, "doc_id", "n_lines", "n_dropped", "text"), brute.line_dedup([d[:2] for d in docs]))
 
 
+def test_tables_of_narrow_rows_have_few_files(spark):
+    """An executor starts processes for each file that it writes: what comes from many splits of text is written in as many files as there are cores."""
+    rows = [(i, f"a line that all documents have\n\nand one of its own, number {i}") for i in range(400)] + [(400, None), (401, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    for name, run in (("suspects", line_dedup.repeated_lines), ("prints", simhash.near_duplicates)):
+        with common.tables_made() as made:
+            done = run(docs)
+        (path,) = (p for p in made if p.rpartition("/")[2].startswith(name + "-"))
+        assert 1 <= len(glob.glob(path.removeprefix("file://") + "/part-*")) <= spark.sparkContext.defaultParallelism
+        assert done.count() == (399 if name == "suspects" else len(rows))
+
+
 def test_line_dedup_merges_filters_in_two_levels(spark, docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "MERGE", 2)
     got = line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS).repartition(9))
