@@ -64,10 +64,13 @@ def split_words(texts: pa.Array) -> pa.Array:
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
     at -= at[0]
     inside = ~BLANK[data]
-    border = np.zeros(len(data) + 1, bool)
-    border[at] = True  # words don't cross texts
-    starts = np.flatnonzero(inside & (border[:-1] | ~np.concatenate([[False], inside[:-1]])))
-    ends = np.flatnonzero(inside & (border[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    full = at[:-1] < at[1:]  # words don't cross texts
+    opens[at[:-1][full]] = inside[at[:-1][full]]
+    closes[at[1:][full] - 1] = inside[at[1:][full] - 1]
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     places = np.cumsum(np.concatenate([[0], ends - starts])).astype(np.int32)
     words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[inside]))
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, at), pa.int32()), words)
@@ -97,19 +100,29 @@ def _by_block(of: Callable[[pa.Array, pa.RecordBatch], pa.RecordBatch]) -> Calla
 
 
 def gram_counts(texts: pa.Array, n: int) -> pa.RecordBatch:
-    """Grams of n words inside texts (lists of words) and their counts: a gram is named by the one before it and its last word, and is spelled once."""
+    """Grams of n words inside texts (lists of words) and their counts. A gram is one whole number, its words' numbers side by side; where they don't fit, those so far are numbered anew. Sorted numbers are counted, and each distinct one is spelled once."""
     words = texts.flatten().dictionary_encode()
     word, names, sizes = words.indices.to_numpy().astype(np.int64), words.dictionary, _sizes(texts)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(word))  # words from here to the end of the text
     place = np.flatnonzero(left >= n)
-    gram = word[place]
+    bits = width = len(names).bit_length()
+    gram, renamed = word[place], {}
     for k in range(1, n):
-        gram = pa.array(gram * len(names) + word[place + k]).dictionary_encode().indices.to_numpy().astype(np.int64)
-    count = np.bincount(gram)
-    first = np.zeros(len(count), np.int64)
-    first[gram] = place  # a place of each gram
-    spelled = pc.binary_join_element_wise(*(names.take(pa.array(word[first + k])) for k in range(n)), " ")
-    return pa.RecordBatch.from_arrays([spelled, pa.array(count, pa.int64())], names=["ngram", "n"])
+        if width + bits > 63:
+            coded = pa.array(gram).dictionary_encode()
+            gram, renamed[k] = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
+            width = len(renamed[k]).bit_length()
+        gram = gram << bits | word[place + k]
+        width += bits
+    gram.sort()
+    first = np.flatnonzero(np.diff(gram, prepend=-1))
+    count, gram, spelled = np.diff(first, append=len(gram)), gram[first], []
+    for k in range(n - 1, 0, -1):
+        spelled.append(names.take(pa.array(gram & (1 << bits) - 1)))
+        gram >>= bits
+        gram = renamed[k][gram] if k in renamed else gram
+    spelled.append(names.take(pa.array(gram)))
+    return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(*reversed(spelled), " "), pa.array(count, pa.int64())], names=["ngram", "n"])
 
 
 def text_ends(texts: pa.Array, k: int) -> list[pa.Array]:
@@ -147,8 +160,11 @@ def ngrams(docs: DataFrame, words: Column, n: int, order: str) -> DataFrame:
         grams = grams.unionByName(counted(joined.select(F.concat(F.get("parts", F.lit(0))["w"], following).alias("w"))))
     # Most of a block's grams are rare: they are shuffled as they are, not first looked up among all of a task's.
     counts = grams.repartition("ngram").groupBy("ngram").agg(F.sum("n").alias("count"))
-    total = ends.agg(F.sum("size").alias("total_")) if n > 1 else counts.agg(F.sum("count").alias("total_"))
-    return counts.crossJoin(F.broadcast(total)).withColumn("percentage", F.col("count") * 100.0 / F.col("total_")).drop("total_")
+    if n == 1:
+        return with_share(counts)
+    # With the total known, the share of the many grams that occur once is a constant, which is also rounded once.
+    total = ends.agg(F.sum("size")).first()[0] or 1
+    return counts.withColumn("percentage", F.when(F.col("count") == 1, F.lit(100.0 / total)).otherwise(F.col("count") * 100.0 / total))
 
 
 def diversity(docs: DataFrame, words: Column) -> DataFrame:

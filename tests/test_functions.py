@@ -333,6 +333,19 @@ def test_ngrams_of_texts_count_each_gram_of_a_block_once(spark, monkeypatch):
     assert dict(zip(*(c.to_pylist() for c in counted.columns), strict=True)) == {"a b": 3, "b a": 1}  # a row each, not one a place
 
 
+def test_ngrams_share_a_constant_and_name_grams_by_whole_numbers(spark):
+    rng = random.Random(12)
+    for kinds in (2, 70, 40_000):  # 40,000 words take 16 bits: four don't fit 63
+        texts = [[f"w{rng.randrange(kinds)}" for _ in range(rng.choice([0, 3, 9000]))] for _ in range(9)]
+        for n in (1, 2, 3, 4, 5, 9):
+            got = corpus.gram_counts(pa.array(texts, pa.list_(pa.string())), n)
+            assert dict(zip(*(c.to_pylist() for c in got.columns), strict=True)) == Counter(" ".join(t[i : i + n]) for t in texts for i in range(len(t) - n + 1))
+            assert len(set(got.column("ngram").to_pylist())) == got.num_rows
+    out = corpus.ngrams(spark.createDataFrame([(1, "a b a b c")], "id long, text string"), F.col("text"), 2, "id")
+    assert "NestedLoopJoin" not in out._jdf.queryExecution().executedPlan().toString()  # no row meets the total in a join
+    assert {r["ngram"]: (r["count"], r["percentage"]) for r in out.collect()} == {"a b": (2, 40.0), "b a": (1, 20.0), "b c": (1, 20.0)}
+
+
 def test_gram_counts_match_counters():
     rng = random.Random(11)
     pred, ref = ([rng.choices(range(4), k=rng.randint(0, 9)) for _ in range(60)] for _ in range(2))
